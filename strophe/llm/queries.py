@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, url_filter
+from . import exact_dedup, langid, mixing, packing, rans, sharding, url_filter
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1_pfair_mixing,
+    "op3_rans_tokens": rans.op3_rans_tokens,
     "op4_digest_array": url_filter.op4_digest_array,
     "op5_bounded_ring": sharding.op5_bounded_ring,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_language_fusion": langid.op10_language_fusion,
+    "pages_language_fusion": langid.pages_language_fusion,
 }
 ORACLES = {"op4_digest_array": url_filter.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
