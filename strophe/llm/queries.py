@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, packing, rans, sharding, url_filter
+from . import exact_dedup, langid, mixing, near_dedup, packing, rans, sharding, url_filter
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1_pfair_mixing,
     "op3_rans_tokens": rans.op3_rans_tokens,
     "op4_digest_array": url_filter.op4_digest_array,
     "op5_bounded_ring": sharding.op5_bounded_ring,
+    "op6_setsketch": near_dedup.op6_setsketch,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_language_fusion": langid.op10_language_fusion,
