@@ -77,9 +77,12 @@ def with_row_id(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be sent to every executor if its rows, which were counted, are few; shuffled beyond that."""
+    return F.broadcast(df) if rows <= ROWS_TO_BROADCAST else df
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs, which has ``_row``, without the rows listed in dropped(_row)."""
     gone = dropped.select(F.col("_row").alias("_gone"))
-    if gone.count() <= ROWS_TO_BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    return docs.join(few(gone, gone.count()), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")

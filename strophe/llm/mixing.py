@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, read
+from .common import few, materialize, numbered, read, with_row_id
 
 BLOCK_ROWS = 32
 #: Parts that the weights are rounded to when they are derived from counts.
@@ -54,14 +54,14 @@ def one_cycle(parts: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), start, step)["slots"]
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs(doc_id, text, source) with its place in the mixture.
 
-    weights: by source; None derives them from the counts, to the given power. Returns doc_id, source, _row_key (a
-    digest of id and text, to join with), parts, total, block, release, deadline, slot, position and on_target.
+    weights: by source; None derives them from the counts, to the given power. Returns doc_id, source, keep (columns
+    that tell rows apart), parts, total, block, release, deadline, slot, position and on_target.
     """
     spark = docs.sparkSession
-    rows = materialize(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("_row_key")), "mix-rows")
+    rows = materialize(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("_digest"), *keep), "mix-rows")
     counts = rows.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         top = counts.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(MAX_SOURCES).collect()
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     # The first slot that finds its source without a full block; before it the weights hold.
     horizon = cycle.join(spark.createDataFrame([(i, n // block_rows) for i, n in sizes.items()], "class int, full long"), "class")
     horizon = horizon.agg(F.min(F.floor(F.col("full") / F.col("parts")) * total + F.col("pattern")[(F.col("full") % F.col("parts")).cast("int")])).first()[0]
-    ranked = numbered(classed, "class", ["_row_key", "doc_id", "source"], "_rank", sum(sizes.values()))
+    ranked = numbered(classed, "class", ["_digest", "doc_id", "source", *keep], "_rank", sum(sizes.values()))
     block = F.floor(F.col("_rank") / block_rows)
     return (
         ranked.withColumn("block", block.cast("long"))
@@ -100,9 +100,17 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
             "deadline": F.ceil((F.col("block") + 1) * total / F.col("parts")).cast("long"),
             "slot": (F.floor(F.col("block") / F.col("parts")) * total + F.col("pattern")[(F.col("block") % F.col("parts")).cast("int")]).cast("long"),
         })
-        .select("doc_id", "source", "_row_key", "parts", F.lit(total).alias("total"), "block", "release", "deadline", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), (F.col("slot") < F.lit(horizon)).alias("on_target"))
+        .select("doc_id", "source", *keep, "parts", F.lit(total).alias("total"), "block", "release", "deadline", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), (F.col("slot") < F.lit(horizon)).alias("on_target"))
     )
 
 
+def interleaved(docs: DataFrame) -> DataFrame:
+    """docs in the order of the mixture: partitions follow each other by position, and rows within them."""
+    rows = with_row_id(docs)
+    placed = materialize(mix(rows, keep=("_row",)).select(F.col("_row").alias("_of"), F.col("position").alias("_position")), "positions")
+    joined = rows.join(few(placed, placed.count()), F.col("_row") == F.col("_of"))
+    return joined.repartitionByRange("_position").sortWithinPartitions("_position").drop("_row", "_of", "_position")
+
+
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents")).drop("_row_key")
+    return mix(read(spark, sf_dir, "documents"))

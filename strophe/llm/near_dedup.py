@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_TO_BROADCAST, materialize, read, with_row_id, without_rows
+from .common import few, materialize, read, with_row_id, without_rows
 from .components import components
 from .shingles import mixed, sets
 from .tokens import small_batches
@@ -189,8 +189,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["node"], pa.array([s.tobytes() for s in sets(b["text"], k)], pa.binary())], names=["node", "elements"])
 
-    if wanted.count() <= ROWS_TO_BROADCAST:
-        wanted = F.broadcast(wanted)
+    wanted = few(wanted, wanted.count())
     return docs.join(wanted, docs["_row"] == wanted["row"]).select("node", F.col("text").cast("string").alias("text")).mapInArrow(work, "node long, elements binary")
 
 

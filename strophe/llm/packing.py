@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, read
+from .common import materialize, numbered, read, with_row_id
 from .tokens import WordEncoder, small_batches, text_column, tokenizer_path
 
 SEQUENCE = 2048
@@ -113,5 +113,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, or
     return placed.join(first, F.col("sequence_id") == F.col("_s")).drop("_s", order).orderBy("sequence_order", "sequence_id", "offset")
 
 
+def in_stream_order(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
+    """Packs docs as they were written (file by file, row by row): sequences come in the order of the stream."""
+    rows = with_row_id(docs)
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return pack(rows.select("doc_id", "text", (F.shiftleft(part, 40) + F.col("_row.at")).alias("_order")), size=size, order="_order")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, rans, sharding, url_filter
+from . import exact_dedup, langid, mixing, near_dedup, packing, rans, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1_pfair_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_setsketch": near_dedup.op6_setsketch,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_suffix_levels": suffix_dedup.op9_suffix_levels,
     "op10_language_fusion": langid.op10_language_fusion,
     "pages_language_fusion": langid.pages_language_fusion,
 }
