@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import series
+
+QUERIES: dict = {**series.QUERIES}
+ORACLES: dict = {**series.ORACLES}
