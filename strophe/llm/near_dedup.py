@@ -8,10 +8,10 @@ Equal sets are collapsed first, so thousands of copies are one node. Groups of `
 buckets; pairs of a bucket that can reach the similarity by their sizes are estimated by the likelihood of how many
 registers are larger, smaller and equal in one of the two, and what may reach it is confirmed on the full sets.
 
-Only connections count, so no bucket is spread into all its pairs: up to ``SMALL`` members are paired, larger
-buckets are first compared with one member that differs from band to band, and then the members that are not in
-that member's component with all others. A pair whose ends are connected already isn't looked at again. Components
-are found by rounds of sums and joins.
+Only connections count, so no bucket is spread into all its pairs. Up to ``SMALL`` members are paired; in larger
+buckets all are compared with the most central member, and those that do not end up in its component with all others,
+block by block, on the full sets. A pair whose ends are connected already isn't looked at again. Components are found
+by rounds of sums and joins.
 
 The chance that two texts at the limit of 0.8 share no bucket is (1 - 0.8**5)**32, about 3 in a million.
 
@@ -39,6 +39,8 @@ REGISTERS, BAND = 160, 5
 BASE = 1.001
 #: Members of a bucket that are paired with each other.
 SMALL = 12
+#: Members of a large family that meet each other in one task, on either side.
+CHUNK = 128
 #: What an estimate may fall short of the similarity: five standard errors.
 MARGIN = 0.16
 _TOP = 65535
@@ -209,21 +211,87 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return joined.select("_row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (alone | (F.col("_row") == F.col("least._row"))).alias("stays"))
 
 
+def families(inside: DataFrame) -> DataFrame:
+    """(head, n_head, node, n) of large buckets: the head is the member that meets most nodes in all its buckets.
+
+    Around a text with many variants that is the text itself or one close to it, the same for all of its buckets, so
+    each family is compared once and not once a band. Two nodes of one bucket are always in one family.
+    """
+    large = inside.where(F.col("members") > SMALL)
+    met = large.groupBy(F.col("node").alias("_n")).agg(F.sum("members").alias("met"))
+    large = large.join(met, F.col("node") == F.col("_n")).select("key", "node", "n", "met")
+    heads = large.groupBy(F.col("key").alias("_key")).agg(F.max_by(F.struct("node", "n"), F.struct("met", F.xxhash64("node"))).alias("head"))
+    return large.join(heads, F.col("key") == F.col("_key")).select(F.col("head.node").alias("head"), F.col("head.n").alias("n_head"), "node", "n").distinct()
+
+
+def outsiders(family: DataFrame, labels: DataFrame) -> DataFrame:
+    """(head, node, component, out): families in which not all members are in the head's component; out marks those."""
+    of = labels.select(F.col("node").alias("_n"), "component")
+    at = family.select("head", "node").join(of, F.col("node") == F.col("_n"), "left").select("head", "node", F.coalesce("component", "node").alias("component"))
+    head = labels.select(F.col("node").alias("_h"), F.col("component").alias("_c"))
+    at = materialize(at.join(head, F.col("head") == F.col("_h"), "left").select("head", "node", "component", (F.col("component") != F.coalesce("_c", "head")).alias("out")), "families-labelled")
+    sizes = at.groupBy(F.col("head").alias("_h")).agg(F.count("*").alias("all"), F.count_if("out").alias("outside")).where("outside > 0")
+    return at.join(sizes, F.col("head") == F.col("_h")).drop("_h")
+
+
+def crossed(outside: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each member outside its family's main component, a link to each other component it reaches.
+
+    Members are dealt to blocks of ``CHUNK``; a block of outsiders meets each block of members in a task of its own,
+    which counts shared shingles by a matrix product.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    asks = outside.where("out").select("head", "node", "component", F.lit(True).alias("asks"), deal("outside").alias("i"), every("all").alias("j"))
+    told = outside.select("head", "node", "component", F.lit(False).alias("asks"), every("outside").alias("i"), deal("all").alias("j"))
+    rows = asks.unionAll(told).join(full.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+
+    def work(table: pa.Table) -> pa.Table:
+        node, part = table["node"].to_numpy(), table["component"].to_numpy()
+        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        elements = [np.frombuffer(x.as_py(), np.uint64) for x in table["elements"]]
+        y, x = np.flatnonzero(asks), np.flatnonzero(~asks)
+        size = np.array([len(e) for e in elements])
+        join = lambda of: (np.concatenate([elements[i] for i in of]), np.repeat(np.arange(len(of)), size[of])) if len(of) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        (ey, ry), (ex, rx) = join(y), join(x)
+        words = np.intersect1d(ey, ex)
+        shared = np.zeros((len(y), len(x)), np.float32)
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
+
+            def bits(e: np.ndarray, r: np.ndarray, n: int, some: np.ndarray = some) -> np.ndarray:
+                k = np.minimum(np.searchsorted(some, e), len(some) - 1)
+                hit = some[k] == e
+                m = np.zeros((n, len(some)), np.float32)
+                m[r[hit], k[hit]] = 1
+                return m
+
+            shared += bits(ey, ry, len(y)) @ bits(ex, rx, len(x)).T
+        hits = (100 * shared >= percent * (size[y][:, None] + size[x][None, :] - shared)) & (part[y][:, None] != part[x][None, :])
+        rows = {(int(part[x[j]]), int(node[y[i]])): int(node[x[j]]) for i, j in zip(*np.nonzero(hits), strict=True)}
+        pairs = sorted({tuple(sorted((a, b))) for (_, a), b in rows.items()})
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return rows.groupBy("head", "i", "j").applyInArrow(work, "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that have a link."""
     keys = bands(nodes)
-    buckets = keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("members"), F.min_by(F.struct("node", "n"), F.xxhash64("key", "node")).alias("head")).where("members > 1")
-    inside = materialize(keys.join(buckets, F.col("key") == F.col("_key")).select("key", "node", "n", "members", F.col("head.node").alias("head"), F.col("head.n").alias("n_head")), "buckets")
+    buckets = keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("members")).where("members > 1")
+    inside = materialize(keys.join(buckets, F.col("key") == F.col("_key")).select("key", "node", "n", "members"), "buckets")
     small = inside.where(F.col("members") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
     small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
-    large = inside.where((F.col("members") > SMALL) & (F.col("node") != F.col("head"))).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), F.col("n").alias("n_a"), F.col("n_head").alias("n_b"))
+    family = materialize(families(inside), "families")
+    large = family.where(F.col("node") != F.col("head")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), F.col("n").alias("n_a"), F.col("n_head").alias("n_b"))
     pairs = small.unionAll(large).where(may_reach(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
     likely = materialize(estimated(pairs, nodes, percent), "likely")
 
     # The best partner of each node first: most of the other pairs are connected by then.
     ends = likely.select(F.col("a").alias("node"), "a", "b", "estimate").unionAll(likely.select(F.col("b").alias("node"), "a", "b", "estimate"))
     best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b").distinct()
-    wanted = ends.select("node").distinct().join(nodes.select("node", F.col("first._row").alias("row")), "node")
+    wanted = ends.select("node").unionAll(family.select("node")).distinct().join(nodes.select("node", F.col("first._row").alias("row")), "node")
     full = materialize(full_sets(docs, wanted, k), "full-sets")
     links = materialize(confirmed(best, full, percent), "links-1")
     labels = components(links)
@@ -237,23 +305,9 @@ def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = components(links)
-
-    # Large buckets: members outside their head's component with all the others.
-    crowd = inside.where(F.col("members") > SMALL).select("key", "node", "n", "head")
-    if not crowd.isEmpty():
-        of = labels.select(F.col("node").alias("_n"), "component")
-        at = crowd.join(of, F.col("node") == F.col("_n"), "left").select("key", "node", "n", "head", F.coalesce("component", "node").alias("c"))
-        head = labels.select(F.col("node").alias("_h"), F.col("component").alias("c_head"))
-        at = materialize(at.join(head, F.col("head") == F.col("_h"), "left").select("key", "node", "n", "c", F.coalesce("c_head", "head").alias("c_head")), "crowd")
-        others = at.where("c <> c_head").select(F.col("key").alias("_key"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-        cross = others.join(at, (F.col("_key") == F.col("key")) & (F.col("c_a") != F.col("c")) & may_reach(F.col("n_a"), F.col("n"), percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        cross = materialize(estimated(cross.join(likely.select("a", "b"), ["a", "b"], "left_anti"), nodes, percent), "cross")
-        if not cross.isEmpty():
-            new = cross.select(F.col("a").alias("node")).unionAll(cross.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.col("first._row").alias("row")), "node")
-            last = materialize(confirmed(cross, materialize(full_sets(docs, new, k), "full-sets"), percent), "links-3")
-            if not last.isEmpty():
-                labels = components(links.unionAll(last))
-    return labels
+    outside = outsiders(family, labels)
+    last = materialize(crossed(outside, full, percent), "links-3")
+    return labels if last.isEmpty() else components(links.unionAll(last))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
