@@ -47,7 +47,7 @@ def prominence(spectrum: DataFrame, key: str, inner: int, outer: int) -> DataFra
     other = spectrum.select(F.col(key).alias("_k"), F.col("bin").alias("_bin"), F.col("db").alias("_db"))
     near = F.abs(F.col("bin") - F.col("_bin"))
     joined = spectrum.join(other, (F.col(key) == F.col("_k")) & (near > inner) & (near <= outer))
-    return joined.groupBy(key, "bin").agg(F.round(F.first("db") - F.median("_db"), 4).alias("prominence"))
+    return joined.groupBy(key, "bin").agg(F.round(F.first("db") - F.median("_db"), 5).alias("prominence"))
 
 
 def suppressed(candidates: DataFrame, key: str, at: str, score: str, apart: float, most: int) -> DataFrame:

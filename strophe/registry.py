@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import series
+from .queries import series, spectra, tables
 
-QUERIES: dict = {**series.QUERIES}
-ORACLES: dict = {**series.ORACLES}
+QUERIES: dict = {**series.QUERIES, **spectra.QUERIES, **tables.QUERIES}
+ORACLES: dict = {**series.ORACLES, **spectra.ORACLES, **tables.ORACLES}
