@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import series, spectra, tables
+from .queries import planning, series, spectra, tables, texts
 
-QUERIES: dict = {**series.QUERIES, **spectra.QUERIES, **tables.QUERIES}
-ORACLES: dict = {**series.ORACLES, **spectra.ORACLES, **tables.ORACLES}
+QUERIES: dict = {**series.QUERIES, **spectra.QUERIES, **tables.QUERIES, **texts.QUERIES, **planning.QUERIES}
+ORACLES: dict = {**series.ORACLES, **spectra.ORACLES, **tables.ORACLES, **texts.ORACLES, **planning.ORACLES}
