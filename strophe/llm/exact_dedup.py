@@ -33,9 +33,9 @@ def without_blanks(text: Column) -> Column:
 
 
 def name_by(rows: DataFrame, *content: str) -> DataFrame:
-    """Replaces the columns ``content`` by ``_name``, the smallest id of a row with the same content."""
+    """Replaces the columns ``content``, none of them null, by ``_name``, the smallest id of a row with the same content."""
     names = rows.withColumn("_id", F.monotonically_increasing_id()).groupBy(*(F.col(c).alias(f"{c}_of") for c in content)).agg(F.min("_id").alias("_name"))
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in content))
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"{c}_of") for c in content))
     return rows.join(names, same).drop(*content, *(f"{c}_of" for c in content))
 
 
@@ -64,7 +64,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         done.append(level.where("_parts = 1").select("_row", "_about", F.lit(k).alias("_level"), "_name"))
         if most <= 1:
             return reduce(DataFrame.unionAll, done)
-        half = lambda odd: F.max(F.when(F.col("_i") % 2 == odd, F.col("_name")))
+        half = lambda odd: F.coalesce(F.max(F.when(F.col("_i") % 2 == odd, F.col("_name"))), F.lit(-1))
         pairs = (
             level.where("_parts > 1")
             .groupBy("_row", F.floor(F.col("_i") / 2).cast("int").alias("_j"))
