@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, rans, sharding, suffix_dedup, url_filter
+from . import exact_dedup, langid, media, mixing, near_dedup, packing, rans, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1_pfair_mixing,
+    "op2_chroma_fingerprints": media.op2_chroma_fingerprints,
     "op3_rans_tokens": rans.op3_rans_tokens,
     "op4_digest_array": url_filter.op4_digest_array,
     "op5_bounded_ring": sharding.op5_bounded_ring,
