@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, read, with_row_id
-from .tokens import WordEncoder, small_batches, text_column, tokenizer_path
+from .common import materialize, numbered, read, small_batches, with_row_id
+from .tokens import tokenizer_path, worker_encoder
 
 SEQUENCE = 2048
 END = (0).to_bytes(4, "little")
@@ -76,11 +76,11 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, order: str | None = None)
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + ([pa.int64()] if order else [])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for b in batches:
             rows = []
             places = b[order].to_pylist() if order else [None] * b.num_rows
-            for doc, place, ids in zip(b["doc_id"].to_pylist(), places, encoder.documents(text_column(b), END), strict=True):
+            for doc, place, ids in zip(b["doc_id"].to_pylist(), places, encoder.documents(b["text"], END), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), place))

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
-from .tokens import WordEncoder, small_batches, text_column, tokenizer_path
+from .common import read, shared_dir, small_batches
+from .tokens import tokenizer_path, worker_encoder
 
 LANES = 64
 BLOCK = 1 << 16
@@ -174,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
         held: list[tuple[int | None, bytes]] = []
         size = seq = 0
 
@@ -184,7 +184,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
             return pa.RecordBatch.from_pylist([row], schema=_SEGMENT)
 
         for b in batches:
-            for doc, ids in zip(b["doc_id"].to_pylist(), encoder.documents(text_column(b), END), strict=True):
+            for doc, ids in zip(b["doc_id"].to_pylist(), encoder.documents(b["text"], END), strict=True):
                 if held and size + len(ids) // 4 > SEGMENT:
                     yield segment()
                     held, size, seq = [], 0, seq + 1

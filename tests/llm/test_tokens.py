@@ -2,6 +2,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,21 +22,21 @@ def direct(name, text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(list("aZé'́sß9.,-!  　\t\n\r\x1c\x85 \n<|>ﬁΣ中")), max_size=40))
 def test_words_give_the_ids_of_the_whole_text(name, text):
-    assert ENCODERS[name].encode([text]) == [direct(name, text)]
+    assert list(ENCODERS[name].documents(pa.array([text, "so", text]), b"")) == [direct(name, t) for t in (text, "so", text)]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_real_texts_and_special_strings(name):
     texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
     texts += ["<|endoftext|> a <|startoftext|>", "", " ", "\n", "\n\n a \n b  c\n"]
-    assert list(ENCODERS[name].documents([None, *texts], b"end!")) == [b"end!", *(direct(name, t) + b"end!" for t in texts)]
+    assert list(ENCODERS[name].documents(pa.array([None, *texts]), b"end!")) == [b"end!", *(direct(name, t) + b"end!" for t in texts)]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_texts_longer_than_a_piece(name):
     text = "one two\nthree  four " * (PIECE // 15)
-    other = "x" * (PIECE + 10)
-    assert list(ENCODERS[name].documents(["a", text, "b"], b"")) == [direct(name, t) for t in ("a", text, "b")]
+    assert list(ENCODERS[name].documents(pa.array(["a", text, "b"]), b"")) == [direct(name, t) for t in ("a", text, "b")]
+    other = b"x" * (PIECE + 10)
     assert list(WordEncoder.pieces(other)) == [other]
 
 
