@@ -42,12 +42,12 @@ def bucket_bits(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     return max(0, math.ceil(math.log2(max(1, rows) / per_bucket)))
 
 
-def numbered(df: DataFrame, key: str, tie: list[str], out: str, rows: int, per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def numbered(df: DataFrame, key: str, tie: list[str], out: str, rows: int, per_bucket: int = ROWS_PER_BUCKET, then: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``out``: a gapless number from 0 within each ``key``, in order of a hash of ``tie``.
 
     A key that holds most rows is cut by hash ranges into buckets of about ``per_bucket`` rows, so no window
     partition grows with the key; the bucket sizes, summed before them, give the offsets. ``df`` is read twice
-    and should be materialized. Rows that agree in all of ``tie`` are interchangeable.
+    and should be materialized. Rows that agree in all of ``tie`` are ordered by ``then``.
     """
     bits = bucket_bits(rows, per_bucket)
     hashed = df.withColumn("_h", F.xxhash64(*tie))
@@ -55,21 +55,28 @@ def numbered(df: DataFrame, key: str, tie: list[str], out: str, rows: int, per_b
     before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.count("*").alias("_n"))
     offsets = offsets.withColumnRenamed("_kb", "_b").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_k", F.col("_b").alias("_kb"), "_before")
-    inside = Window.partitionBy(key, "_b").orderBy("_h", *tie)
+    inside = Window.partitionBy(key, "_b").orderBy("_h", *tie, *then)
     ranked = hashed.withColumn("_r", F.row_number().over(inside) - 1)
     joined = ranked.join(offsets, ranked[key].eqNullSafe(offsets["_k"]) & (ranked["_b"] == offsets["_kb"]))
     return joined.withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_h", "_b", "_r", "_k", "_kb", "_before")
 
 
-#: Dropped or kept rows that are sent to every executor at most (about 24 bytes each); beyond it they are shuffled.
-ROWS_TO_BROADCAST = 2_000_000
+def without_row_id(rows: DataFrame) -> DataFrame:
+    return rows.drop("_row").withColumnRenamed("_row_given", "_row")
+
+
+#: Rows, or elements of their arrays, that are sent to every executor at most: of about 32 bytes, so 16 MB in all.
+ROWS_TO_BROADCAST = 500_000
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
     """Adds ``_row``: the file and place a row was read from, which no retry or other split changes.
 
-    A frame that isn't read straight from files is written to the shared folder first.
+    A frame that isn't read straight from files is written to the shared folder first. A column of that name is kept
+    as ``_row_given`` until ``without_row_id``.
     """
+    if "_row" in docs.columns:
+        docs = materialize(docs.withColumnRenamed("_row", "_row_given"), "rows")
     try:
         docs.select("_metadata.row_index")
     except Exception:  # noqa: BLE001  a frame without files has no such column
@@ -77,12 +84,21 @@ def with_row_id(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be sent to every executor if its rows, which were counted, are few; shuffled beyond that."""
-    return F.broadcast(df) if rows <= ROWS_TO_BROADCAST else df
+def few(df: DataFrame, elements: str | None = None) -> DataFrame:
+    """df, a written table, to be sent to every executor if it is small by count; it is shuffled beyond that.
+
+    elements: an array column whose elements are counted instead of rows.
+    """
+    n = df.agg(F.coalesce(F.sum(F.size(elements)), F.lit(0))).first()[0] if elements else df.count()
+    return F.broadcast(df) if n <= ROWS_TO_BROADCAST else df
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs, which has ``_row``, without the rows listed in dropped(_row)."""
     gone = dropped.select(F.col("_row").alias("_gone"))
-    return docs.join(few(gone, gone.count()), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    return docs.join(few(gone), F.col("_row") == F.col("_gone"), "left_anti").transform(without_row_id)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: hand a Python worker few of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

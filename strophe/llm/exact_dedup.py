@@ -80,7 +80,12 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     Of equal texts the one with the most code points in its original form stays, then the smallest doc_id.
     """
-    named = materialize(identities(with_row_id(docs).select("_row", "doc_id", "text"), block_bytes), "identities")
+    return groups_of(with_row_id(docs), block_bytes)
+
+
+def groups_of(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The same for rows that have ``_row``."""
+    named = materialize(identities(rows.select("_row", "doc_id", "text"), block_bytes), "identities")
     order = F.struct(-F.col("_about.n_points"), F.col("_about.doc_id").isNull(), F.col("_about.doc_id"), F.col("_row"))
     groups = named.groupBy(F.col("_level").alias("_l"), F.col("_name").alias("_n")).agg(
         F.count("*").alias("group_size"), F.min_by(F.struct(F.col("_about.doc_id").alias("doc_id"), F.col("_row").alias("row")), order).alias("_keep")
@@ -93,7 +98,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts."""
     rows = with_row_id(docs)
-    return without_rows(rows, exact_dedup(docs).where(~F.col("kept")).select("_row"))
+    return without_rows(rows, groups_of(rows).where(~F.col("kept")).select("_row"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

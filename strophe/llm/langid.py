@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, with_row_id, without_rows
-from .tokens import small_batches
+from .common import materialize, read, small_batches, with_row_id, without_rows
 from .url_filter import host_of
 
 LANGUAGES = ("en", "fr", "es", "de")
@@ -135,7 +134,8 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
             rest = [n for n in b.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(b[n] for n in rest), *columns], names=[*rest, *scored_names])
 
-    told = rows.select(*keep, *(F.coalesce(F.col(x), F.lit("")).alias(f"_l{i}") for i, x in enumerate(levels)), F.lower("declared").alias("_declared"), F.lower("suffix").alias("_suffix"), "text")
+    padded = F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit("  "))  # a single letter has trigrams, too
+    told = rows.select(*keep, *(F.coalesce(F.col(x), F.lit("")).alias(f"_l{i}") for i, x in enumerate(levels)), F.lower("declared").alias("_declared"), F.lower("suffix").alias("_suffix"), padded.alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema if f.name != "text") + ", n_grams long, " + ", ".join(f"_t{i} double" for i in range(len(languages)))
     scored = told.mapInArrow(score, schema)
     # The text's evidence: tempered to WEIGHT trigrams; the flat model has the same chance for every trigram.

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, materialize, numbered, read, with_row_id
+from .common import few, materialize, numbered, read, with_row_id, without_row_id
 
 BLOCK_ROWS = 32
 #: Parts that the weights are rounded to when they are derived from counts.
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     # The first slot that finds its source without a full block; before it the weights hold.
     horizon = cycle.join(spark.createDataFrame([(i, n // block_rows) for i, n in sizes.items()], "class int, full long"), "class")
     horizon = horizon.agg(F.min(F.floor(F.col("full") / F.col("parts")) * total + F.col("pattern")[(F.col("full") % F.col("parts")).cast("int")])).first()[0]
-    ranked = numbered(classed, "class", ["_digest", "doc_id", "source", *keep], "_rank", sum(sizes.values()))
+    ranked = numbered(classed, "class", ["_digest", "doc_id", "source"], "_rank", sum(sizes.values()), then=keep)
     block = F.floor(F.col("_rank") / block_rows)
     return (
         ranked.withColumn("block", block.cast("long"))
@@ -108,8 +108,8 @@ def interleaved(docs: DataFrame) -> DataFrame:
     """docs in the order of the mixture: partitions follow each other by position, and rows within them."""
     rows = with_row_id(docs)
     placed = materialize(mix(rows, keep=("_row",)).select(F.col("_row").alias("_of"), F.col("position").alias("_position")), "positions")
-    joined = rows.join(few(placed, placed.count()), F.col("_row") == F.col("_of"))
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").drop("_row", "_of", "_position")
+    joined = rows.join(few(placed), F.col("_row") == F.col("_of"))
+    return joined.repartitionByRange("_position").sortWithinPartitions("_position").drop("_of", "_position").transform(without_row_id)
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

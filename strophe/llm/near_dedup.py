@@ -30,13 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, materialize, read, with_row_id, without_rows
+from .common import few, materialize, read, small_batches, with_row_id, without_rows
 from .components import components
 from .shingles import mixed, sets
-from .tokens import small_batches
 
 REGISTERS, BAND = 160, 5
 BASE = 1.001
+#: Rate of the exponential variables: so high that a single element's hardly ever exceed 1, where levels end.
+RATE = 20.0
 #: Members of a bucket that are paired with each other.
 SMALL = 12
 #: Members of a large family that meet each other in one task, on either side.
@@ -80,7 +81,7 @@ def sketches(elements: list[np.ndarray], registers: int = REGISTERS) -> np.ndarr
             np.minimum.at(best, place, at)
         best = best.reshape(len(todo), registers)
         full = np.isfinite(best).all(1)
-        level = np.floor(1.0 - np.log(best[full]) / np.log(BASE))
+        level = np.floor(1.0 - np.log(best[full] / RATE) / np.log(BASE))
         out[todo[full]] = np.clip(level, 0, _TOP).astype(np.uint16)
         todo, reach = todo[~full], reach * 3
     return out
@@ -191,13 +192,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["node"], pa.array([s.tobytes() for s in sets(b["text"], k)], pa.binary())], names=["node", "elements"])
 
-    wanted = few(wanted, wanted.count())
+    wanted = few(wanted)
     return docs.join(wanted, docs["_row"] == wanted["row"]).select("node", F.col("text").cast("string").alias("text")).mapInArrow(work, "node long, elements binary")
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """For each row of docs(doc_id, text): _row, doc_id, n_shingles, component_id and stays (one row of a component)."""
-    docs = with_row_id(docs)
+    return grouped_rows(with_row_id(docs), k, percent)
+
+
+def grouped_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The same for rows that have ``_row``."""
     rows = materialize(scan(docs, ["_row", "doc_id"], k), "sketches")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     nodes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
@@ -313,7 +318,7 @@ def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near-duplicates: five words, a similarity of 0.8."""
     rows = with_row_id(docs)
-    return without_rows(rows, grouped(docs).where(~F.col("stays")).select("_row"))
+    return without_rows(rows, grouped_rows(rows).where(~F.col("stays")).select("_row"))
 
 
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, materialize, read, shared_dir, with_row_id
+from .common import few, materialize, read, shared_dir, small_batches, with_row_id
 from .langid import spans
 from .shingles import _Powers, mixed
-from .tokens import small_batches
 
 WINDOW, GRAM = 400, 200
 BATCHES = 4
@@ -182,7 +181,7 @@ class SuffixIndex:
         """The runs whose key occurs again, in another run or in their own."""
         runs_of = self.spark.read.parquet(*(p for _, p in self.levels))
         shared = materialize(self.spark.read.parquet(*self.shared).distinct().select(F.col("key").alias("_key")), "shared-keys")
-        again = runs_of.join(few(shared, shared.count()), F.col("key") == F.col("_key"), "left_semi")
+        again = runs_of.join(few(shared), F.col("key") == F.col("_key"), "left_semi")
         return again.unionAll(runs_of.where("twice")).distinct()
 
 
@@ -209,7 +208,7 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> Dat
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([b["_row"].take(pa.array(which, pa.int64())), *arrays], names=["_row", "key", "first", "crowd", "string"])
 
-    joined = docs.join(few(send, send.count()), F.col("_row") == F.col("_of")).select("_row", F.col("text").cast("string").alias("text"), "runs")
+    joined = docs.join(few(send, "runs"), F.col("_row") == F.col("_of")).select("_row", F.col("text").cast("string").alias("text"), "runs")
     strings = materialize(joined.mapInArrow(cut, f"{_ROW}, key long, first long, crowd long, string binary"), "strings")
 
     def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +281,7 @@ def removed(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Da
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = docs.join(few(per_text, per_text.count()), F.col("_row") == F.col("_of"), "left").select("doc_id", "text", "cuts")
+    joined = docs.join(few(per_text, "cuts"), F.col("_row") == F.col("_of"), "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
