@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import few, materialize, read, shared_dir, small_batches, with_row_id
@@ -253,6 +253,14 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> Dat
     return whole.unionAll(edges)
 
 
+def joined_up(stretches: DataFrame) -> DataFrame:
+    """The stretches (_row, a, b) that overlap or touch as one: runs that follow each other overlap by a window."""
+    by_start = Window.partitionBy("_row").orderBy("a", "b")
+    before = F.max("b").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = stretches.withColumn("_fresh", (before.isNull() | (F.col("a") > before)).cast("int"))
+    return fresh.withColumn("_at", F.sum("_fresh").over(by_start.rowsBetween(Window.unboundedPreceding, 0))).groupBy("_row", "_at").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_at")
+
+
 def removed(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text that is left."""
     docs = with_row_id(docs).select("_row", "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -260,7 +268,7 @@ def removed(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Da
     for k in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("_row"), F.lit(batches)) == k))
     stretches = repeats(docs, index.candidates(), window)
-    per_text = materialize(stretches.groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts")  # no more than a text has
+    per_text = materialize(joined_up(stretches).groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts")  # no more than a text has
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
