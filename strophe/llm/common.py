@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +102,21 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(few(gone), F.col("_row") == F.col("_gone"), "left_anti").transform(without_row_id)
 
 
+def released(work):
+    """work, a function for mapInArrow, that hands memory back to the system at the end of a task: workers outlive it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts are long: hand a Python worker few of them at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small_batches, with_row_id, without_rows
+from .common import materialize, read, released, small_batches, with_row_id, without_rows
 from .url_filter import host_of
 
 LANGUAGES = ("en", "fr", "es", "de")
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = S
             which, gram = np.nonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(gram, pa.int32()), pa.array(found[which, gram], pa.int64())], names=["lang", "gram", "n"])
 
-        counts = labelled.where(F.col("_h") <= cut).select("text", "lang").mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        counts = labelled.where(F.col("_h") <= cut).select("text", "lang").mapInArrow(released(count), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         for r in counts.toLocalIterator():  # languages * GRAMS rows at most
             model[r["lang"], r["gram"]] += r["n"]
     return np.log(model / model[:, 1:].sum(1, keepdims=True)).astype(np.float32)
@@ -137,7 +137,7 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
     padded = F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit("  "))  # a single letter has trigrams, too
     told = rows.select(*keep, *(F.coalesce(F.col(x), F.lit("")).alias(f"_l{i}") for i, x in enumerate(levels)), F.lower("declared").alias("_declared"), F.lower("suffix").alias("_suffix"), padded.alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema if f.name != "text") + ", n_grams long, " + ", ".join(f"_t{i} double" for i in range(len(languages)))
-    scored = told.mapInArrow(score, schema)
+    scored = told.mapInArrow(released(score), schema)
     # The text's evidence: tempered to WEIGHT trigrams; the flat model has the same chance for every trigram.
     temper = F.least(F.lit(1.0), F.lit(float(WEIGHT)) / F.greatest("n_grams", F.lit(1)))
     scored = scored.withColumns({f"_t{i}": F.col(f"_t{i}") * temper for i in range(len(languages))} | {"_u": F.col("n_grams") * temper * float(-np.log(GRAMS))})

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, materialize, read, small_batches, with_row_id, without_rows
+from .common import few, materialize, read, released, small_batches, with_row_id, without_rows
 from .components import components
 from .shingles import mixed, sets
 
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, keep: list[str], k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b[x] for x in rest), *columns], names=[*rest, "n_shingles", "s1", "s2", "regs"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema if f.name != "text")
-    return told.mapInArrow(work, f"{schema}, n_shingles long, s1 long, s2 long, regs binary")
+    return told.mapInArrow(released(work), f"{schema}, n_shingles long, s1 long, s2 long, regs binary")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def bands(nodes: DataFrame) -> DataFrame:
             repeat = lambda name: pa.array(np.repeat(b[name].to_numpy(), regs.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), repeat("node"), repeat("n")], names=["key", "node", "n"])
 
-    return nodes.select("node", "n", "regs").mapInArrow(work, "key long, node long, n long")
+    return nodes.select("node", "n", "regs").mapInArrow(released(work), "key long, node long, n long")
 
 
 def may_reach(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -164,7 +164,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             keep = np.flatnonzero(found >= percent / 100 - MARGIN)
             yield pa.RecordBatch.from_arrays([b["a"].take(pa.array(keep)), b["b"].take(pa.array(keep)), pa.array(found[keep])], names=["a", "b", "estimate"])
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long, estimate double")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(released(work), "a long, b long, estimate double")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b["a"].take(rows), b["b"].take(rows)], names=["a", "b"])
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(work, "a long, b long")
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(released(work), "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -193,7 +193,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["node"], pa.array([s.tobytes() for s in sets(b["text"], k)], pa.binary())], names=["node", "elements"])
 
     wanted = few(wanted)
-    return docs.join(wanted, docs["_row"] == wanted["row"]).select("node", F.col("text").cast("string").alias("text")).mapInArrow(work, "node long, elements binary")
+    return docs.join(wanted, docs["_row"] == wanted["row"]).select("node", F.col("text").cast("string").alias("text")).mapInArrow(released(work), "node long, elements binary")
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, read, small_batches, with_row_id
+from .common import materialize, numbered, read, released, small_batches, with_row_id
 from .tokens import tokenizer_path, worker_encoder
 
 SEQUENCE = 2048
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, order: str | None = None)
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns[2:]).mapInArrow(cut, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns[2:]).mapInArrow(released(cut), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, order: str | None = None) -> DataFrame:

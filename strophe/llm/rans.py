@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, small_batches
+from .common import read, released, shared_dir, small_batches
 from .tokens import tokenizer_path, worker_encoder
 
 LANES = 64
@@ -195,7 +195,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
-    ordered.mapInArrow(write, SEGMENTS).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(released(write), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -222,7 +222,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     before = Window.orderBy("_p", "_s").rowsBetween(Window.unboundedPreceding, -1)  # a row for each segment of two million tokens
     offsets = files.select(F.col("part").alias("_p"), F.col("seq").alias("_s"), F.col("n_tokens").alias("_n")).select("_p", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    decoded = files.select("part", "seq", "doc_ids", "counts", "table_ids", "table_f", "blocks").mapInArrow(decode, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    decoded = files.select("part", "seq", "doc_ids", "counts", "table_ids", "table_f", "blocks").mapInArrow(released(decode), "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     joined = decoded.join(offsets, (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s")))
     return joined.select("doc_id", (F.col("_before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", F.col("part").alias("file_part"), "seq")
 

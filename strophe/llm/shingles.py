@@ -34,11 +34,13 @@ class _Powers:
 
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 16)
-            cls.up = np.cumprod(np.concatenate(([_ONE], np.full(size - 1, _BASE, np.uint64))), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate(([_ONE], np.full(size - 1, pow(_BASE, -1, 1 << 64), np.uint64))), dtype=np.uint64)
-        return cls.up, cls.down
+        if len(cls.up) >= n:
+            return cls.up, cls.down
+        size = max(n, 1 << 16)
+        up, down = (np.cumprod(np.concatenate(([_ONE], np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        if size <= 2 * SLICE:  # a longer text's are not kept
+            cls.up, cls.down = up, down
+        return up, down
 
 
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

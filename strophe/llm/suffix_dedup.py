@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few, materialize, read, shared_dir, small_batches, with_row_id
+from .common import few, materialize, read, released, shared_dir, small_batches, with_row_id
 from .langid import spans
 from .shingles import _Powers, mixed
 
@@ -138,7 +138,7 @@ def entries(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                     yield pa.RecordBatch.from_arrays([b["_row"].take(pa.array(doc)), *columns], names=["_row", "key", "sig", "first", "windows", "twice"])
                 i = j
 
-    return docs.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(work, f"{_ROW}, key long, sig long, first long, windows long, twice boolean")
+    return docs.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(released(work), f"{_ROW}, key long, sig long, first long, windows long, twice boolean")
 
 
 class SuffixIndex:
@@ -209,7 +209,7 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> Dat
             yield pa.RecordBatch.from_arrays([b["_row"].take(pa.array(which, pa.int64())), *arrays], names=["_row", "key", "first", "crowd", "string"])
 
     joined = docs.join(few(send, "runs"), F.col("_row") == F.col("_of")).select("_row", F.col("text").cast("string").alias("text"), "runs")
-    strings = materialize(joined.mapInArrow(cut, f"{_ROW}, key long, first long, crowd long, string binary"), "strings")
+    strings = materialize(joined.mapInArrow(released(cut), f"{_ROW}, key long, first long, crowd long, string binary"), "strings")
 
     def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -236,7 +236,7 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> Dat
             yield from flush(False)
 
     gathered = strings.where(F.col("crowd") <= CROWD).drop("crowd").repartition("key").sortWithinPartitions("key")
-    edges = gathered.mapInArrow(array, f"{_ROW}, a long, b long")
+    edges = gathered.mapInArrow(released(array), f"{_ROW}, a long, b long")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +247,7 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> Dat
 
     crowded = strings.where(F.col("crowd") > CROWD)
     if not crowded.isEmpty():
-        each = materialize(crowded.select("_row", "first", "string").mapInArrow(digests, f"{_ROW}, digest long, a long"), "digests")
+        each = materialize(crowded.select("_row", "first", "string").mapInArrow(released(digests), f"{_ROW}, digest long, a long"), "digests")
         again = each.groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("n")).where("n > 1")
         edges = edges.unionAll(each.join(again, F.col("digest") == F.col("_d")).select("_row", "a", (F.col("a") + window).alias("b")))
     return whole.unionAll(edges)
@@ -290,7 +290,7 @@ def removed(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = docs.join(few(per_text, "cuts"), F.col("_row") == F.col("_of"), "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(released(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

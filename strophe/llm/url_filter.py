@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, released
 
 MAX_BYTES = 1 << 30
 #: (verdict, host, path)
@@ -122,7 +122,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
             verdict = pa.array([default if x is None else "allow" if x[2] else "block" for x in best], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, rule, verdict], names=[*b.schema.names, "rule", "verdict"])
 
-    return parsed.mapInArrow(probe, "page_id long, host string, path string, rule string, verdict string")
+    return parsed.mapInArrow(released(probe), "page_id long, host string, path string, rule string, verdict string")
 
 
 def judge_by_join(parsed: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
