@@ -490,3 +490,22 @@ def test_search_finds_what_brute_force_does(spark, docs, none):
     assert len(want) > 20 and {k for k in got if k[0] != k[1]} <= want and len(want & set(got)) / len(want) >= 0.9
     assert (0, 0) in got and got[(0, 0)].query_copies == 2
     assert media.search(none.select("doc_id", F.col("text").cast("binary").alias("pcm")), "doc_id", F.lit(True)).collect() == []
+
+
+def test_search_finds_clips_in_recordings_of_any_length(spark):
+    rows = []
+    for i, ratio in enumerate((1, 2, 5, 10, 20, 40) * 2):
+        whole = tune(300 + i, 0.5 * ratio + 0.1)
+        begin = media.HOP * (3 * ratio)
+        clip = whole[begin : begin + media.RATE // 2] if ratio > 1 else whole[: media.RATE // 2]
+        rows += [(10 * i, pcm(clip if i % 2 else whole)), (10 * i + 1, pcm(whole if i % 2 else clip))]
+    prints = {k: media.fingerprint((np.frombuffer(p, np.uint8).astype(np.float32) - 128) / 128) for k, p in rows}
+    want = set()
+    for q in (k for k in prints if k % 10 == 0):
+        for d in (k for k in prints if k != q):
+            _, votes, _, errors = media.align(prints[q], prints[d])
+            if votes >= media.VOTES * min(len(prints[q]), len(prints[d])) and errors <= media.ERRORS:
+                want.add((q, d))
+    assert {(10 * i, 10 * i + 1) for i in range(12)} <= want
+    got = media.search(spark.createDataFrame(rows, "k long, pcm binary"), "k", F.col("k") % 10 == 0).collect()
+    assert {(r.query_id, r.match_id) for r in got} == want
