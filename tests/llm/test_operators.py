@@ -509,3 +509,12 @@ def test_search_finds_clips_in_recordings_of_any_length(spark):
     assert {(10 * i, 10 * i + 1) for i in range(12)} <= want
     got = media.search(spark.createDataFrame(rows, "k long, pcm binary"), "k", F.col("k") % 10 == 0).collect()
     assert {(r.query_id, r.match_id) for r in got} == want
+
+
+def test_short_recordings_match_their_copies(spark):
+    rows = [(0, b"short"), (1, b"short"), (2, b"shore"), (10, b"x" * 1215), (11, b"x" * 1215), (12, b"x" * 1216), (20, b"alone"), (30, None), (40, b"")]
+    df = spark.createDataFrame(rows, "k long, pcm binary")
+    got = {(r.query_id, r.match_id, r.query_copies) for r in media.search(df, "k", F.col("k") % 10 == 0).collect()}
+    assert got == {(0, 0, 2), (10, 10, 2)}
+    told = {(r.query_id, r.match_id, r.query_copies) for r in media.search(df, "k", F.col("k") % 10 == 0, report=True).collect()}
+    assert told - got == {(0, None, 2), (10, None, 2), (20, None, 1), (30, None, 1), (40, None, 1)}
