@@ -5,17 +5,23 @@ before slot floor(k / w) and has to run before slot ceil((k + 1) / w); in each s
 one with the earliest deadline does. For weights that add up to one this keeps every source within less than one
 block of weight times slots, at each slot, for as long as all of them still have blocks.
 
-Weights are whole parts of a total, so the schedule repeats after ``total`` slots: one cycle is folded in a single
-expression and each block finds its slot by arithmetic. No row waits for another one, whatever the source's size.
-
-Defined cases: a null source is a source of its own; an empty table gives an empty result; a source that has run out
-leaves its slots empty and the others go on in order, so every row is given a place (``on_target`` tells which lie
-before the first empty slot); texts are not looked at; rows that agree in id and text are interchangeable.
+Weights are whole parts of a total. Each source, however many there are, has its own weight, releases and deadlines. The
+driver holds the number of rows of each source and the place of each block, arrays of a few bytes; it schedules with
+two heaps up to the first slot that finds its source without a full block. From there on the other blocks follow in
+the order of their deadlines. Rows join the places of their blocks.
+
+Defined cases: a null source is a source of its own; an empty table gives an empty result; once a source
+has run out the others go on in the order of their deadlines, so every row is given a place (``on_target`` tells which
+lie before that); sources that are not among the weights given share the smallest of these, by their counts to the power; texts are not looked at; rows that agree in id and text are interchangeable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import heapq
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import few, materialize, numbered, read, with_row_id, without_row_id
@@ -23,8 +29,6 @@ from .common import few, materialize, numbered, read, with_row_id, without_row_i
 BLOCK_ROWS = 32
 #: Parts that the weights are rounded to when they are derived from counts.
 RESOLUTION = 1000
-#: Sources that are scheduled one by one; any further (smaller) ones share one class, in which rows keep their order.
-MAX_SOURCES = 256
 
 
 def parts_of(weights: list[float], total: int) -> list[int]:
@@ -38,20 +42,41 @@ def parts_of(weights: list[float], total: int) -> list[int]:
     return parts
 
 
-def one_cycle(parts: list[int]) -> Column:
-    """The schedule of one cycle, array of the class that runs in each slot: earliest deadline first among those released."""
-    total, classes = sum(parts), len(parts)
-    size = F.array(*(F.lit(p) for p in parts))
-    start = F.struct(F.array_repeat(F.lit(0), classes).alias("ran"), F.array().cast("array<int>").alias("slots"))
-
-    def step(state: Column, slot: Column) -> Column:
-        k = lambda i: state["ran"][i].cast("long")
-        ready = F.filter(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: (k(i) < size[i]) & (F.floor(k(i) * total / size[i]) <= slot))
-        first = F.array_min(F.transform(ready, lambda i: F.struct(F.ceil((k(i) + 1) * total / size[i]).alias("d"), i.alias("i"))))["i"]
-        ran = F.transform(state["ran"], lambda n, i: F.when(i == first, n + 1).otherwise(n))
-        return F.struct(ran.alias("ran"), F.concat(state["slots"], F.array(first)).alias("slots"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), start, step)["slots"]
+def schedule(parts: list[int], full: list[int]) -> np.ndarray:
+    """The class that runs in each slot: earliest deadline first among the released blocks, until one has no full block left."""
+    total = sum(parts)
+    ran, out = [0] * len(parts), []
+    ready = [(-(-total // p), i) for i, p in enumerate(parts)]  # (deadline, class)
+    heapq.heapify(ready)
+    later: list[tuple[int, int]] = []  # (release, class)
+    slot = 0
+    while ready or later:
+        while later and later[0][0] <= slot:
+            i = heapq.heappop(later)[1]
+            heapq.heappush(ready, (-(-(ran[i] + 1) * total // parts[i]), i))
+        i = heapq.heappop(ready)[1]
+        if ran[i] >= full[i]:
+            break
+        ran[i] += 1
+        out.append(i)
+        heapq.heappush(later, (ran[i] * total // parts[i], i))
+        slot += 1
+    return np.array(out, np.int64)
+
+
+def places(parts: list[int], sizes: list[int], block_rows: int) -> tuple[pa.Table, int]:
+    """(class, block, slot) of all blocks, and the first slot off the target."""
+    slots = schedule(parts, [n // block_rows for n in sizes])
+    order = np.argsort(slots, kind="stable")
+    ran = np.bincount(slots, minlength=len(parts))
+    count = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    rest = -(-np.array(sizes, np.int64) // block_rows) - ran
+    which = np.repeat(np.arange(len(parts)), rest)
+    block = count(rest) + np.repeat(ran, rest)
+    weight = np.array(parts, np.int64)[which]
+    late = np.lexsort((which, -(-(block + 1) * sum(parts) // weight)))
+    columns = (np.concatenate((slots[order], which[late])), np.concatenate((count(ran), block[late])), np.concatenate((order, len(slots) + np.arange(len(late)))))
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["_c", "_at", "slot"]), len(slots)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -62,45 +87,29 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     """
     spark = docs.sparkSession
     rows = materialize(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("_digest"), *keep), "mix-rows")
-    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
-    if weights is None:
-        top = counts.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(MAX_SOURCES).collect()
-        listed = {r["source"]: float(r["n"]) ** power for r in top}
-    else:
-        listed = dict(weights)
-    names = list(listed)
-    table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, class int")  # MAX_SOURCES or what the caller lists
-    classed = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["_name"]), "left").drop("_name").withColumn("class", F.coalesce("class", F.lit(len(names))))
-    sizes = {r["class"]: r["n"] for r in classed.groupBy("class").agg(F.count("*").alias("n")).collect()}
-    if len(names) in sizes:  # what the list leaves out shares a class
-        names.append(None)
-        listed = {**{i: w for i, w in enumerate(listed.values())}, len(names) - 1: float(sizes[len(names) - 1]) ** power if weights is None else min(listed.values(), default=1.0)}
-    shown = [i for i in range(len(names)) if sizes.get(i)]
-    given = list(listed.values())
-    parts = parts_of([given[i] for i in shown], resolution) if shown else []
-    share = dict(zip(shown, parts, strict=True))
+    counts = rows.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("source")).toArrow()
+    sizes = counts["n"].to_pylist()
+    share = np.array(sizes, np.float64) ** power
+    if weights is not None:
+        given = [weights.get(x) for x in counts["source"].to_pylist()]
+        left = np.array([w is None for w in given], bool)
+        share = np.where(left, share * (min(weights.values(), default=1.0) / max(share[left].sum(), 1e-300)), [w or 0.0 for w in given])
+    parts = parts_of(share.tolist(), resolution)
     total = sum(parts)
-    cycle = spark.createDataFrame([(i, p) for i, p in share.items()], "class int, parts int")
-    if shown:
-        slots = spark.range(1).select(F.posexplode(one_cycle(parts)).alias("at", "place"))
-        slots = slots.select(F.col("at"), F.array(*(F.lit(i) for i in shown))[F.col("place")].alias("class"))
-        cycle = cycle.join(slots, "class").groupBy("class", "parts").agg(F.sort_array(F.collect_list("at")).alias("pattern"))
-    else:
-        cycle = cycle.withColumn("pattern", F.array().cast("array<int>"))
-    # The first slot that finds its source without a full block; before it the weights hold.
-    horizon = cycle.join(spark.createDataFrame([(i, n // block_rows) for i, n in sizes.items()], "class int, full long"), "class")
-    horizon = horizon.agg(F.min(F.floor(F.col("full") / F.col("parts")) * total + F.col("pattern")[(F.col("full") % F.col("parts")).cast("int")])).first()[0]
-    ranked = numbered(classed, "class", ["_digest", "doc_id", "source"], "_rank", sum(sizes.values()), then=keep)
-    block = F.floor(F.col("_rank") / block_rows)
+    at, horizon = places(parts, sizes, block_rows)
+    classes = pa.table([counts["source"], pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.int64())], names=["_name", "class", "parts"])
+    named = few(materialize(spark.createDataFrame(classes, "_name string, class long, parts long"), "mix-sources"))
+    classed = rows.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    ranked = numbered(classed, "class", ["_digest", "doc_id", "source"], "_rank", sum(sizes), then=keep)
+    placed = few(materialize(spark.createDataFrame(at, "_c long, _at long, slot long"), "mix-places"))
     return (
-        ranked.withColumn("block", block.cast("long"))
-        .join(F.broadcast(cycle), "class")
+        ranked.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
+        .join(placed, (F.col("class") == F.col("_c")) & (F.col("block") == F.col("_at")))
         .withColumns({
-            "release": F.floor(F.col("block") * total / F.col("parts")).cast("long"),
-            "deadline": F.ceil((F.col("block") + 1) * total / F.col("parts")).cast("long"),
-            "slot": (F.floor(F.col("block") / F.col("parts")) * total + F.col("pattern")[(F.col("block") % F.col("parts")).cast("int")]).cast("long"),
+            "release": F.expr(f"block * {total} div parts"),
+            "deadline": F.expr(f"((block + 1) * {total} + parts - 1) div parts"),
         })
-        .select("doc_id", "source", *keep, "parts", F.lit(total).alias("total"), "block", "release", "deadline", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), (F.col("slot") < F.lit(horizon)).alias("on_target"))
+        .select("doc_id", "source", *keep, F.col("parts").cast("int").alias("parts"), F.lit(total).alias("total"), "block", "release", "deadline", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), (F.col("slot") < F.lit(horizon)).alias("on_target"))
     )
 
 

@@ -94,6 +94,14 @@ def test_one_source_with_most_rows(spark):
     assert sorted((r.position, r.doc_id) for r in rows) == sorted((r.position, r.doc_id) for r in again)
 
 
+def test_each_of_many_sources_has_its_own_weight(spark):
+    df = spark.createDataFrame([(i, str(i), f"s{i % 400}" if i < 3600 else None) for i in range(4000)], "doc_id long, text string, source string")
+    rows = mixing.mix(df, block_rows=2).collect()
+    assert check_mix(rows, 4000) > 400
+    parts = {r.source: r.parts for r in rows}
+    assert len(parts) == 401 and parts[None] > parts["s1"]
+
+
 def test_interleaved_rows_are_in_order(spark, docs):
     placed = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
     out = mixing.interleaved(docs)
