@@ -18,6 +18,7 @@ lie before that); sources that are not among the weights given share the smalles
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,34 @@ from pyspark.sql import functions as F
 from .common import few, materialize, numbered, read, with_row_id, without_row_id
 
 BLOCK_ROWS = 32
-#: Parts that the weights are rounded to when they are derived from counts.
-RESOLUTION = 1000
+#: Parts that the weights are rounded to, at least and at most: more blocks or smaller weights take more.
+RESOLUTION, MOST = 1000, 2**31 - 1
+
+
+def total_for(weights: list[float], blocks: int, least: int = RESOLUTION) -> int:
+    """A total above the number of blocks, a multiple of least, of which each weight has a part: rounding moves no source by a block."""
+    some = [w for w in weights if w > 0]
+    wanted = max(least, blocks + 1, math.ceil(sum(some) / min(some, default=1.0)))
+    return min(math.ceil(wanted / least) * least, MOST)
 
 
 def parts_of(weights: list[float], total: int) -> list[int]:
-    """Whole parts, one at least for each, that add up to total: largest remainders."""
+    """Whole parts that add up to total: largest remainders. A weight below one part still gets one, from the largest."""
     total = max(total, len(weights))
-    free, whole = total - len(weights), sum(weights)
-    exact = [w / whole * free for w in weights]
-    parts = [1 + int(x) for x in exact]
-    for i in sorted(range(len(parts)), key=lambda i: (int(exact[i]) - exact[i], i))[: total - sum(parts)]:
-        parts[i] += 1
+    whole = sum(weights)
+    exact = [w / whole * total if whole else 0.0 for w in weights]
+    parts = [int(x) for x in exact]
+    order = sorted(range(len(parts)), key=lambda i: (int(exact[i]) - exact[i], i))
+    for k in range(total - sum(parts)):
+        parts[order[k % len(order)]] += 1
+    large = [(-p, i) for i, p in enumerate(parts) if p > 1]
+    heapq.heapify(large)
+    for i, p in enumerate(parts):
+        if not p:
+            q, j = heapq.heappop(large)
+            parts[j], parts[i] = parts[j] - 1, 1
+            if parts[j] > 1:
+                heapq.heappush(large, (q + 1, j))
     return parts
 
 
@@ -94,7 +111,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
         given = [weights.get(x) for x in counts["source"].to_pylist()]
         left = np.array([w is None for w in given], bool)
         share = np.where(left, share * (min(weights.values(), default=1.0) / max(share[left].sum(), 1e-300)), [w or 0.0 for w in given])
-    parts = parts_of(share.tolist(), resolution)
+    blocks = sum(-(-n // block_rows) for n in sizes)
+    parts = parts_of(share.tolist(), total_for(share.tolist(), blocks, resolution)) if sizes else []
     total = sum(parts)
     at, horizon = places(parts, sizes, block_rows)
     classes = pa.table([counts["source"], pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.int64())], names=["_name", "class", "parts"])

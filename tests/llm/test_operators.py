@@ -102,6 +102,26 @@ def test_each_of_many_sources_has_its_own_weight(spark):
     assert len(parts) == 401 and parts[None] > parts["s1"]
 
 
+def test_parts_follow_the_weights():
+    assert mixing.parts_of([0.9, 0.1], 1000) == [900, 100]
+    assert mixing.parts_of([0.5, *[0.5 / 255] * 255], 2550)[0] == 1275
+    assert mixing.parts_of([5.0, 0.0, 1e-9], 10) == [8, 1, 1] and mixing.parts_of([0.0, 0.0], 3) == [2, 1]
+    assert mixing.total_for([1.0, 9999.0], 5) == 10_000 and mixing.total_for([1.0], 5000) == 6000
+
+
+def test_mixture_keeps_to_the_given_weights(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.when(F.col("id") < 5400, "a").otherwise("b").alias("source"))
+    for weights in ({"a": 0.9, "b": 0.1}, {"a": 2**0.5, "b": 0.1}):
+        rows = mixing.mix(df, weights, block_rows=1).collect()
+        check_mix(rows, 6000)
+        ordered, count = sorted((r.slot, r.source) for r in rows if r.on_target), Counter()
+        assert len(ordered) > 5000
+        for s, source in ordered:
+            count[source] += 1
+            off = max(abs(count[k] - w / sum(weights.values()) * (s + 1)) for k, w in weights.items())
+            assert off < (1 if weights["a"] == 0.9 else 2)
+
+
 def test_interleaved_rows_are_in_order(spark, docs):
     placed = {r.doc_id: r.position for r in mixing.mix(docs).collect()}
     out = mixing.interleaved(docs)
