@@ -9,8 +9,8 @@ a row's own text is taken out of its host's sums before they are used for it.
 ``und`` is a further class, a flat model of trigrams: a text that it explains best is in none of the languages and
 the row is rejected, as is one without any letter.
 
-The models are fitted on a bounded sample of labelled rows (``SAMPLE``, the smallest digests of doc_id), everything
-else on all rows.
+The models are fitted on a bounded sample of labelled rows (``SAMPLE``, for each language the smallest digests of
+doc_id), everything else on all rows. A language without labelled rows has no model and explains no text.
 
 Defined cases: null and empty texts are rejected with lang ``und``; a null or unknown declared language, suffix or
 host is no evidence; null ids and repeated rows are judged row by row; an empty table gives an empty result; if no
@@ -19,6 +19,8 @@ labelled row exists, the declared language decides alone.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,9 +91,11 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = S
     """Log-probabilities of trigrams, a row for each language, from a bounded sample of docs(doc_id, text, lang)."""
     small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isin(*languages) & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("doc_id"))
-    cut = labelled.select("_h").orderBy("_h").limit(sample).agg(F.max("_h")).first()[0]
+    each = [labelled.where(F.col("lang") == x).select("_h").orderBy("_h").limit(max(1, sample // len(languages))).agg(F.max("_h").alias("cut")).select(F.lit(x).alias("of"), "cut") for x in languages]
+    cuts = {r["of"]: r["cut"] for r in functools.reduce(DataFrame.unionAll, each).collect() if r["cut"] is not None}
     model = np.full((len(languages), GRAMS), SMOOTHING)
-    if cut is not None:
+    if cuts:
+        inside = functools.reduce(operator.or_, ((F.col("lang") == x) & (F.col("_h") <= cut) for x, cut in cuts.items()))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.zeros((len(languages), GRAMS), np.int64)
@@ -103,10 +107,13 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = S
             which, gram = np.nonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(gram, pa.int32()), pa.array(found[which, gram], pa.int64())], names=["lang", "gram", "n"])
 
-        counts = labelled.where(F.col("_h") <= cut).select("text", "lang").mapInArrow(released(count), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        counts = labelled.where(inside).select("text", "lang").mapInArrow(released(count), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         for r in counts.toLocalIterator():  # languages * GRAMS rows at most
             model[r["lang"], r["gram"]] += r["n"]
-    return np.log(model / model[:, 1:].sum(1, keepdims=True)).astype(np.float32)
+    model = np.log(model / model[:, 1:].sum(1, keepdims=True)).astype(np.float32)
+    if cuts:
+        model[[i for i, x in enumerate(languages) if x not in cuts]] = -np.inf
+    return model
 
 
 def softmax(scores: list[Column]) -> list[Column]:

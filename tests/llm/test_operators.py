@@ -435,6 +435,16 @@ def test_evidence_decides_where_the_text_is_short(spark, docs):
     assert (got[1].lang, got[2].lang) == ("de", "fr") and not any(got[i].accepted for i in (3, 4, 5)) and got[3].lang == "und"
 
 
+def test_rare_and_absent_languages(spark, docs):
+    rows = [(i, f"the cat sat on the mat and the dog {i} was there with them", "en") for i in range(300)] + [(999, "der hund und die katze sind nicht in dem garten " * 3, "de")]
+    rare = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=8)
+    assert np.ptp(rare[langid.LANGUAGES.index("de")]) > 0  # its only row counts
+    junk = "zqxj kvwq xzzq jqqx wkkv qqzx zzzq xjxj vkqz " * 9
+    asked = spark.createDataFrame([(1, junk, None, None, "a"), (2, junk, "fr", None, "a"), (3, rows[0][1], None, None, "a")], "doc_id long, text string, declared string, suffix string, host string")
+    got = {r.doc_id: (r.lang, r.accepted) for r in langid.identify(asked, langid.fit(docs.where("lang = 'en'")), ["host"], ["doc_id"]).collect()}
+    assert got == {1: ("und", False), 2: ("und", False), 3: ("en", True)}
+
+
 def test_language_edges(spark, edge, none, docs):
     assert len(langid.identify_documents(edge, ["doc_id"]).collect()) == len(EDGE)
     assert langid.identify_documents(none, ["doc_id"]).collect() == []
