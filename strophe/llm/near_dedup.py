@@ -261,7 +261,7 @@ def crossed(outside: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         join = lambda of: (np.concatenate([elements[i] for i in of]), np.repeat(np.arange(len(of)), size[of])) if len(of) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         (ey, ry), (ex, rx) = join(y), join(x)
         words = np.intersect1d(ey, ex)
-        shared = np.zeros((len(y), len(x)), np.float32)
+        shared = np.zeros((len(y), len(x)), np.int64)
         for at in range(0, len(words), 8192):
             some = words[at : at + 8192]
 
@@ -272,7 +272,7 @@ def crossed(outside: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 m[r[hit], k[hit]] = 1
                 return m
 
-            shared += bits(ey, ry, len(y)) @ bits(ex, rx, len(x)).T
+            shared += (bits(ey, ry, len(y)) @ bits(ex, rx, len(x)).T).astype(np.int64)  # of 8192 at most: exact
         hits = (100 * shared >= percent * (size[y][:, None] + size[x][None, :] - shared)) & (part[y][:, None] != part[x][None, :])
         rows = {(int(part[x[j]]), int(node[y[i]])): int(node[x[j]]) for i, j in zip(*np.nonzero(hits), strict=True)}
         pairs = sorted({tuple(sorted((a, b))) for (_, a), b in rows.items()})

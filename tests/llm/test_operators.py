@@ -363,6 +363,14 @@ def test_texts_that_differ_late_or_in_length_alone(spark):
     assert all(r.kept and r.group_size == 1 for r in exact_dedup.exact_dedup(df, 4).collect())
 
 
+def test_counts_of_long_texts_are_exact(spark):
+    n = next(n for n in range(671_089, 671_200) if float(np.float32(100 * n)) < 100 * n)
+    same = np.arange(n, dtype=np.uint64).tobytes()
+    full = spark.createDataFrame([(1, bytearray(same)), (2, bytearray(same))], "node long, elements binary")
+    outside = spark.createDataFrame([(1, 1, 1, False, 2, 1), (1, 2, 2, True, 2, 1)], "head long, node long, component long, out boolean, all long, outside long")
+    assert [tuple(sorted(r)) for r in near_dedup.crossed(outside, full, 100).collect()] == [(1, 2)]
+
+
 # op9
 
 
