@@ -6,14 +6,17 @@ import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: Rows that one numbering task should hold at most.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,21 +24,55 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own where it is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strophe-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Steps that were written and not deleted yet.
+_STEPS: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing before it."""
     path = f"{shared_dir(df.sparkSession)}/strophe/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _STEPS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the steps written within, but for those of the frames handed to what it yields."""
+    first, kept = len(_STEPS), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_STEPS[-1])  # df was the last to be written
+        return df
+
+    yield keep
+    mine = _STEPS[first:]
+    _STEPS[first:] = [p for p in mine if p in kept]
+    delete(spark, [p for p in mine if p not in kept])
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all written steps: for the end of a job, when no frame made from them is used any more."""
+    delete(spark, _STEPS)
+    _STEPS.clear()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once; Catalyst would inline it into every element of a lambda otherwise."""
     return F.transform(F.array(value), body)[0]
@@ -68,8 +105,8 @@ def without_row_id(rows: DataFrame) -> DataFrame:
     return rows.drop("_row").withColumnRenamed("_row_given", "_row")
 
 
-#: Rows, or elements of their arrays, that are sent to every executor at most: of about 32 bytes, so 16 MB in all.
-ROWS_TO_BROADCAST = 500_000
+#: What is sent to every executor at most, in bytes, and what a row and an element of its arrays take in a hash table.
+BROADCAST_BYTES, ROW_BYTES, ELEMENT_BYTES = 64 << 20, 150, 32
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:
@@ -80,20 +117,27 @@ def with_row_id(docs: DataFrame) -> DataFrame:
     """
     if "_row" in docs.columns:
         docs = materialize(docs.withColumnRenamed("_row", "_row_given"), "rows")
+    from_files = "_metadata" in docs.columns or bool(docs.inputFiles())
     try:
-        docs.select("_metadata.row_index")
-    except Exception:  # noqa: BLE001  a frame without files has no such column
+        if from_files:
+            docs.select("_metadata.row_index")
+    except AnalysisException:  # files lie below a step that has no such column
+        from_files = False
+    if not from_files:
         docs = materialize(docs, "rows")
     return docs.withColumn("_row", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
 
 
 def few(df: DataFrame, elements: str | None = None) -> DataFrame:
-    """df, a written table, to be sent to every executor if it is small by count; it is shuffled beyond that.
+    """df, a written table, to be sent to every executor if its bytes are few; it is shuffled beyond that.
 
-    elements: an array column whose elements are counted instead of rows.
+    elements: an array column whose elements are counted as well.
     """
-    n = df.agg(F.coalesce(F.sum(F.size(elements)), F.lit(0))).first()[0] if elements else df.count()
-    return F.broadcast(df) if n <= ROWS_TO_BROADCAST else df
+    sizes = [F.octet_length(f.name) for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    if elements:
+        sizes.append(F.size(elements) * ELEMENT_BYTES)
+    size = sum((F.coalesce(s, F.lit(0)).cast("long") for s in sizes), F.lit(ROW_BYTES).cast("long"))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -117,6 +161,13 @@ def released(work):
     return run
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long: hand a Python worker few of them at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """What is run within hands Python workers about so many bytes at a time; Spark's own bound is 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

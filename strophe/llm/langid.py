@@ -10,7 +10,11 @@ a row's own text is taken out of its host's sums before they are used for it.
 the row is rejected, as is one without any letter.
 
 The models are fitted on a bounded sample of labelled rows (``SAMPLE``, for each language the smallest digests of
-doc_id), everything else on all rows. A language without labelled rows has no model and explains no text.
+doc_id, or of the text where that is null; rows that share a digest at the limit are all taken), everything else on
+all rows. A language without labelled rows has no model and explains no text.
+
+The declared language is label and evidence at once: how well texts alone are told apart shows in ``text_lang``, or
+with ``declared`` hidden, as on held-out rows.
 
 Defined cases: null and empty texts are rejected with lang ``und``; a null or unknown declared language, suffix or
 host is no evidence; null ids and repeated rows are judged row by row; an empty table gives an empty result; if no
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, released, small_batches, with_row_id, without_rows
+from .common import few, materialize, read, released, small_batches, with_row_id, without_rows
 from .url_filter import host_of
 
 LANGUAGES = ("en", "fr", "es", "de")
@@ -89,8 +93,7 @@ def sums(data: np.ndarray, ends: np.ndarray, tables: list[np.ndarray]) -> np.nda
 
 def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
     """Log-probabilities of trigrams, a row for each language, from a bounded sample of docs(doc_id, text, lang)."""
-    small_batches(docs.sparkSession)
-    labelled = docs.where(F.col("lang").isin(*languages) & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("doc_id"))
+    labelled = docs.where(F.col("lang").isin(*languages) & F.col("text").isNotNull()).withColumn("_h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")))
     each = [labelled.where(F.col("lang") == x).select("_h").orderBy("_h").limit(max(1, sample // len(languages))).agg(F.max("_h").alias("cut")).select(F.lit(x).alias("of"), "cut") for x in languages]
     cuts = {r["of"]: r["cut"] for r in functools.reduce(DataFrame.unionAll, each).collect() if r["cut"] is not None}
     model = np.full((len(languages), GRAMS), SMOOTHING)
@@ -108,8 +111,9 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = S
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(gram, pa.int32()), pa.array(found[which, gram], pa.int64())], names=["lang", "gram", "n"])
 
         counts = labelled.where(inside).select("text", "lang").mapInArrow(released(count), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        for r in counts.toLocalIterator():  # languages * GRAMS rows at most
-            model[r["lang"], r["gram"]] += r["n"]
+        with small_batches(docs.sparkSession):
+            got = counts.toArrow()  # languages * GRAMS rows at most
+        model[got["lang"].to_numpy(), got["gram"].to_numpy()] += got["n"].to_numpy()
     model = np.log(model / model[:, 1:].sum(1, keepdims=True)).astype(np.float32)
     if cuts:
         model[[i for i, x in enumerate(languages) if x not in cuts]] = -np.inf
@@ -127,7 +131,6 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
 
     Returns keep and lang, posterior, text_lang, n_grams and accepted.
     """
-    small_batches(rows.sparkSession)
     count = np.ones(GRAMS, np.float32)
     count[0] = 0
     tables = [np.where(np.arange(GRAMS) > 0, m, 0).astype(np.float32) for m in model] + [count]
@@ -149,7 +152,8 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
     temper = F.least(F.lit(1.0), F.lit(float(WEIGHT)) / F.greatest("n_grams", F.lit(1)))
     scored = scored.withColumns({f"_t{i}": F.col(f"_t{i}") * temper for i in range(len(languages))} | {"_u": F.col("n_grams") * temper * float(-np.log(GRAMS))})
     alone = softmax([F.col(f"_t{i}") for i in range(len(languages))])
-    scored = materialize(scored.withColumns({f"_p{i}": F.when(F.col("n_grams") > 0, p).otherwise(F.lit(0.0)) for i, p in enumerate(alone)}), "language-scores")
+    with small_batches(rows.sparkSession):
+        scored = materialize(scored.withColumns({f"_p{i}": F.when(F.col("n_grams") > 0, p).otherwise(F.lit(0.0)) for i, p in enumerate(alone)}), "language-scores")
 
     keys = [f"_l{i}" for i in range(len(levels))]
     add = [F.sum(f"_p{i}").alias(f"_p{i}") for i in range(len(languages))]
@@ -167,10 +171,8 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
     host = table.select(*(F.col(k).alias(f"{k}_of") for k in keys), *(F.col(f"_p{i}").alias(f"_h{i}") for i in range(len(languages))))
     if len(keys) > 1:
         host = host.join(up, [host[f"{k}_of"] == up[k] for k in keys[:-1]]).drop(*keys[:-1])
-    same = scored[keys[0]] == host[f"{keys[0]}_of"]
-    for k in keys[1:]:
-        same = same & (scored[k] == host[f"{k}_of"])
-    joined = scored.join(host, same)
+    host = few(materialize(host, "language-hosts"))  # both sides come from files, so a host with most rows can be split
+    joined = scored.join(host, functools.reduce(operator.and_, (F.col(k) == F.col(f"{k}_of") for k in keys)))
     left = [F.greatest(F.col(f"_h{i}") - F.col(f"_p{i}"), F.lit(0.0)) for i in range(len(languages))]
     n = sum(left[1:], left[0])
     country = F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair))[F.col("_suffix")]

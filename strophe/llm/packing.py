@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, read, released, small_batches, with_row_id
+from .common import few, materialize, numbered, read, released, small_batches, with_row_id
 from .tokens import tokenizer_path, worker_encoder
 
 SEQUENCE = 2048
@@ -69,7 +69,6 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, order: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the order of its document."""
-    small_batches(docs.sparkSession)
     columns = ["doc_id", "text"] + ([order] if order else [])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (f", {order} long" if order else "")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ([order] if order else [])
@@ -96,11 +95,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, or
     order: a column with the place of each document in the stream; each sequence then has ``sequence_order``, the
     first place among its documents, and the result is sorted by it.
     """
-    cut = materialize(pieces(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), size, order), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), size, order), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
-    table = docs.sparkSession.createDataFrame(plan(counts, size), "_length long, first long, n long, each long, sequence long, at long")
-    if len(counts) <= size:  # the plan is as small as its histogram
-        table = F.broadcast(table)
+    table = few(materialize(docs.sparkSession.createDataFrame(plan(counts, size), "_length long, first long, n long, each long, sequence long, at long"), "plan"))
     ranked = numbered(cut, "length", ["doc_id", "piece", "start", "ids_crc32"], "_rank", sum(counts.values()))
     step = F.col("_rank") - F.col("first")
     placed = ranked.join(table, (F.col("length") == F.col("_length")) & (step >= 0) & (step < F.col("n"))).select(

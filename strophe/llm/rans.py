@@ -170,7 +170,6 @@ def decode_segment(table_ids: bytes, table_f: bytes, blocks: list[dict]) -> Iter
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Writes the ids of docs(doc_id, text) in ascending order of doc_id, id 0 after each document."""
-    small_batches(docs.sparkSession)
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +193,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
             yield segment()
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
-    ordered.mapInArrow(released(write), SEGMENTS).write.option("compression", "none").parquet(path)
+    order = ["doc_id", F.crc32(F.col("text").cast("binary"))]  # rows that share an id, or have none, can be dealt out as well
+    with small_batches(docs.sparkSession):
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(released(write), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -220,8 +220,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([same("part"), same("seq"), pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, pa.int64())], names=["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"])
 
     files = spark.read.parquet(path)
-    before = Window.orderBy("_p", "_s").rowsBetween(Window.unboundedPreceding, -1)  # a row for each segment of two million tokens
-    offsets = files.select(F.col("part").alias("_p"), F.col("seq").alias("_s"), F.col("n_tokens").alias("_n")).select("_p", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = files.select(F.col("part").alias("_p"), F.col("seq").alias("_s"), F.col("n_tokens").alias("_n"))
+    parts = sizes.groupBy("_p").agg(F.sum("_n").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("_p").alias("_q"), before(Window.orderBy("_p")).alias("_parts_before"))  # a row for each part file
+    offsets = sizes.withColumn("_inside", before(Window.partitionBy("_p").orderBy("_s"))).join(parts, F.col("_p") == F.col("_q")).select("_p", "_s", (F.col("_parts_before") + F.col("_inside")).alias("_before"))
     decoded = files.select("part", "seq", "doc_ids", "counts", "table_ids", "table_f", "blocks").mapInArrow(released(decode), "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     joined = decoded.join(offsets, (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s")))
     return joined.select("doc_id", (F.col("_before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", F.col("part").alias("file_part"), "seq")
