@@ -9,8 +9,8 @@ buckets; pairs of a bucket that can reach the similarity by their sizes are esti
 registers are larger, smaller and equal in one of the two, and what may reach it is confirmed on the full sets.
 
 Only connections count, so no bucket is spread into all its pairs. Up to ``SMALL`` members are paired; in larger
-buckets all are compared with the most central member, and those that do not end up in its component with all others,
-block by block, on the full sets. A pair whose ends are connected already isn't looked at again. Components are found
+buckets all are compared with the most central member, and those that do not end up in its component with all others
+by an exact join on the rarest shingles of the full sets. A pair whose ends are connected already isn't looked at again. Components are found
 by rounds of sums and joins.
 
 The chance that two texts at the limit of 0.8 share no bucket is (1 - 0.8**5)**32, about 3 in a million.
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, materialize, read, released, small_batches, with_row_id, without_rows
+from .common import few, materialize, read, released, scratch, small_batches, with_row_id, without_rows
 from .components import components
 from .shingles import mixed, sets
 
@@ -40,8 +40,8 @@ BASE = 1.001
 RATE = 20.0
 #: Members of a bucket that are paired with each other.
 SMALL = 12
-#: Members of a large family that meet each other in one task, on either side.
-CHUNK = 128
+#: Counters of shingles, as a power of two, that put them in order: what they hold decides the cost, never the result.
+COUNTERS = 18
 #: What an estimate may fall short of the similarity: five standard errors.
 MARGIN = 0.16
 _TOP = 65535
@@ -101,7 +101,6 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 
 def scan(docs: DataFrame, keep: list[str], k: int) -> DataFrame:
     """keep, n_shingles, the set's digest (s1, s2) and its sketch for each row of docs(text)."""
-    small_batches(docs.sparkSession)
     told = docs.select(*keep, F.col("text").cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +202,17 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def grouped_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The same for rows that have ``_row``."""
-    rows = materialize(scan(docs, ["_row", "doc_id"], k), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = materialize(scan(docs, ["_row", "doc_id"], k), "sketches")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     nodes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = linked(docs, nodes, k, percent)
+    with scratch(docs.sparkSession) as keep:
+        labels = keep(materialize(linked(docs, nodes, k, percent), "labels"))
     of_set = nodes.select("s1", "s2", "node", "first").join(labels, "node", "left").select("s1", "s2", "first", F.coalesce("component", "node").alias("component"))
     least = of_set.groupBy("component").agg(F.min("first").alias("least"))
-    of_set = of_set.join(least, "component").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "least")
+    least = materialize(least, "components")
+    of_set = of_set.join(few(least), "component").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "least")
     joined = rows.drop("regs").join(of_set, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")) & (F.col("n_shingles") > 0), "left")
     alone = F.col("n_shingles") == 0
     return joined.select("_row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (alone | (F.col("_row") == F.col("least._row"))).alias("stays"))
@@ -223,9 +225,11 @@ def families(inside: DataFrame) -> DataFrame:
     each family is compared once and not once a band. Two nodes of one bucket are always in one family.
     """
     large = inside.where(F.col("members") > SMALL)
-    met = large.groupBy(F.col("node").alias("_n")).agg(F.sum("members").alias("met"))
+    met = materialize(large.groupBy(F.col("node").alias("_n")).agg(F.sum("members").alias("met")), "met")
     large = large.join(met, F.col("node") == F.col("_n")).select("key", "node", "n", "met")
+    large = materialize(large, "large-buckets")
     heads = large.groupBy(F.col("key").alias("_key")).agg(F.max_by(F.struct("node", "n"), F.struct("met", F.xxhash64("node"))).alias("head"))
+    heads = materialize(heads, "heads")
     return large.join(heads, F.col("key") == F.col("_key")).select(F.col("head.node").alias("head"), F.col("head.n").alias("n_head"), "node", "n").distinct()
 
 
@@ -236,55 +240,76 @@ def outsiders(family: DataFrame, labels: DataFrame) -> DataFrame:
     head = labels.select(F.col("node").alias("_h"), F.col("component").alias("_c"))
     at = materialize(at.join(head, F.col("head") == F.col("_h"), "left").select("head", "node", "component", (F.col("component") != F.coalesce("_c", "head")).alias("out")), "families-labelled")
     sizes = at.groupBy(F.col("head").alias("_h")).agg(F.count("*").alias("all"), F.count_if("out").alias("outside")).where("outside > 0")
+    sizes = materialize(sizes, "family-sizes")
     return at.join(sizes, F.col("head") == F.col("_h")).drop("_h")
 
 
+def buckets_of(h: np.ndarray) -> np.ndarray:
+    return (mixed(h) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def commonness(full: DataFrame) -> np.ndarray:
+    """How many shingles of full(elements) fall into each of 2**COUNTERS counters: tells rare ones from common ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << COUNTERS, np.int64)
+        for b in batches:
+            for x in b["elements"]:
+                found += np.bincount(buckets_of(np.frombuffer(x.as_py(), np.uint64)), minlength=len(found))
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(found[some], pa.int64())], names=["at", "n"])
+
+    got = full.select("elements").mapInArrow(released(count), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2**COUNTERS rows at most
+    out = np.zeros(1 << COUNTERS, np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def prefixes(sets_of: DataFrame, percent: int) -> DataFrame:
+    """(element, place, small, node, component, out, n) for the rarest shingles of sets_of(node, component, out, elements).
+
+    Two sets of n_a <= n_b elements that reach the similarity share percent * (n_a + n_b) / (100 + percent) of them, so
+    in one order of all shingles a prefix of the smaller set meets one of the larger. The rows for a set as the smaller
+    one (small) need a shorter prefix than those for it as the larger.
+    """
+    common = commonness(sets_of)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in enumerate(b["elements"]):
+                e = np.frombuffer(x.as_py(), np.uint64)
+                n = len(e)
+                e = e[np.lexsort((e, common[buckets_of(e)]))]
+                large = n - -(-percent * n // 100) + 1
+                few_ = n - -(-2 * percent * n // (100 + percent)) + 1
+                place = np.concatenate((np.arange(few_), np.arange(large)))
+                rows = pa.array(np.full(len(place), i))
+                small = pa.array(np.arange(len(place)) < few_)
+                yield pa.RecordBatch.from_arrays([pa.array(e[place].view(np.int64)), pa.array(place), small, *(b[c].take(rows) for c in ("node", "component", "out")), pa.array(np.full(len(place), n))], names=["element", "place", "small", "node", "component", "out", "n"])
+
+    return sets_of.select("node", "component", "out", "elements").mapInArrow(released(work), "element long, place long, small boolean, node long, component long, out boolean, n long")
+
+
 def crossed(outside: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each member outside its family's main component, a link to each other component it reaches.
+    """(a, b): pairs of different components, one of them outside its family's main one, that may reach the similarity.
 
-    Members are dealt to blocks of ``CHUNK``; a block of outsiders meets each block of members in a task of its own,
-    which counts shared shingles by a matrix product.
+    An exact prefix join: families of texts that all fall short of the similarity have their own shingles in the
+    prefixes and make no pairs. A pair is made where the places leave enough shingles to share.
     """
-    blocks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    deal = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    asks = outside.where("out").select("head", "node", "component", F.lit(True).alias("asks"), deal("outside").alias("i"), every("all").alias("j"))
-    told = outside.select("head", "node", "component", F.lit(False).alias("asks"), every("outside").alias("i"), deal("all").alias("j"))
-    rows = asks.unionAll(told).join(full.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
-
-    def work(table: pa.Table) -> pa.Table:
-        node, part = table["node"].to_numpy(), table["component"].to_numpy()
-        asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        elements = [np.frombuffer(x.as_py(), np.uint64) for x in table["elements"]]
-        y, x = np.flatnonzero(asks), np.flatnonzero(~asks)
-        size = np.array([len(e) for e in elements])
-        join = lambda of: (np.concatenate([elements[i] for i in of]), np.repeat(np.arange(len(of)), size[of])) if len(of) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        (ey, ry), (ex, rx) = join(y), join(x)
-        words = np.intersect1d(ey, ex)
-        shared = np.zeros((len(y), len(x)), np.int64)
-        for at in range(0, len(words), 8192):
-            some = words[at : at + 8192]
-
-            def bits(e: np.ndarray, r: np.ndarray, n: int, some: np.ndarray = some) -> np.ndarray:
-                k = np.minimum(np.searchsorted(some, e), len(some) - 1)
-                hit = some[k] == e
-                m = np.zeros((n, len(some)), np.float32)
-                m[r[hit], k[hit]] = 1
-                return m
-
-            shared += (bits(ey, ry, len(y)) @ bits(ex, rx, len(x)).T).astype(np.int64)  # of 8192 at most: exact
-        hits = (100 * shared >= percent * (size[y][:, None] + size[x][None, :] - shared)) & (part[y][:, None] != part[x][None, :])
-        rows = {(int(part[x[j]]), int(node[y[i]])): int(node[x[j]]) for i, j in zip(*np.nonzero(hits), strict=True)}
-        pairs = sorted({tuple(sorted((a, b))) for (_, a), b in rows.items()})
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-    return rows.groupBy("head", "i", "j").applyInArrow(work, "a long, b long").distinct()
+    some = outside.groupBy("node").agg(F.first("component").alias("component"), F.max("out").alias("out"))
+    held = full.join(some.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
+    rows = materialize(prefixes(materialize(held, "outside-sets"), percent), "prefixes")
+    side = lambda x, small: rows.where(F.col("small") == small).select("element", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "out", "n", "place")))
+    met = side("a", True).join(side("b", False), "element").where("(n_a < n_b OR n_a = n_b AND node_a < node_b) AND component_a <> component_b AND (out_a OR out_b)")
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    met = met.where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (rest * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that have a link."""
     keys = bands(nodes)
-    buckets = keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("members")).where("members > 1")
+    buckets = materialize(keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("members")).where("members > 1"), "bucket-sizes")
     inside = materialize(keys.join(buckets, F.col("key") == F.col("_key")).select("key", "node", "n", "members"), "buckets")
     small = inside.where(F.col("members") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))
     small = small.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
@@ -311,7 +336,8 @@ def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame
         links = links.unionAll(more)
         labels = components(links)
     outside = outsiders(family, labels)
-    last = materialize(crossed(outside, full, percent), "links-3")
+    pairs = materialize(crossed(outside, full, percent), "crossed")
+    last = materialize(confirmed(pairs, full, percent), "links-3")
     return labels if last.isEmpty() else components(links.unionAll(last))
 
 

@@ -6,18 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .langid import spans
 
 #: Bytes of text worked on at a time (a longer text is worked on alone).
 SLICE = 1 << 21
-_ONE = np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Longest word, in bytes, that is hashed along with all others.
+LONGEST = 256
 _BLANK = np.zeros(256, np.bool_)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, np.uint64)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_EIGHT, _32, _ALL = np.uint64(8), np.uint64(32), np.uint64(2**64 - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,20 +29,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base, and of its inverse, as far as they were needed."""
+def eights(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight of the size bytes of data from each place on, as an integer; data ends in eight bytes of padding."""
+    view = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), 0, (1,))
+    return view[at] & (_ALL >> (_EIGHT * (_EIGHT - np.minimum(size, 8).astype(np.uint64))))
 
-    up = down = np.ones(1, np.uint64)
 
-    @classmethod
-    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) >= n:
-            return cls.up, cls.down
-        size = max(n, 1 << 16)
-        up, down = (np.cumprod(np.concatenate(([_ONE], np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-        if size <= 2 * SLICE:  # a longer text's are not kept
-            cls.up, cls.down = up, down
-        return up, down
+def hashes(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of one byte or more at lo; data ends in eight bytes of padding.
+
+    Strings of up to eight bytes collide with no other of their length. Longer ones run through two chains of
+    multiplications and shifts, eight bytes a step, so no sum of byte values times powers can agree.
+    """
+    size = size.astype(np.int64)
+    first = eights(data, lo, size)
+    start = mixed(size.astype(np.uint64) * _A)
+    out = mixed(first ^ start)
+    rest = np.flatnonzero(size > 8)
+    if rest.size:
+        a, b, at, left = out[rest], mixed(first * _B + start), lo[rest] + 8, size[rest] - 8
+        b = b[rest]
+        while True:
+            piece = eights(data, at, left)
+            a, b = mixed((a ^ piece) * _A), mixed((b + piece) * _B)
+            on = left > 8
+            stop = ~on
+            out[rest[stop]] = mixed(a[stop] ^ ((b[stop] << _32) | (b[stop] >> _32)))
+            if not on.any():
+                break
+            rest, a, b, at, left = rest[on], a[on], b[on], at[on] + 8, left[on] - 8
+    return out
+
+
+def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the words of data from lo to hi, which is lower-cased already."""
+    size = hi - lo
+    long = np.flatnonzero(size > LONGEST)
+    out = hashes(np.concatenate((data, np.zeros(8, np.uint8))), lo, np.minimum(size, LONGEST))
+    for i in long:
+        out[i] = xxhash.xxh3_64_intdigest(data[lo[i] : hi[i]].tobytes())
+    return out
 
 
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +81,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate(([False], full[:-1])) & ~edge[:-1] if len(data) else full
     after = np.concatenate((full[1:], [False])) & ~edge[1:] if len(data) else full
     lo, hi = np.flatnonzero(full & ~before), np.flatnonzero(full & ~after) + 1
-    up, down = _Powers.to(len(data) + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
-    return mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)), np.searchsorted(lo, ends)
+    return word_hashes(_LOWER[data], lo, hi), np.searchsorted(lo, ends)
 
 
 def sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 from .langid import spans
-from .shingles import _Powers, mixed
+from .shingles import LONGEST, eights, hashes, mixed
 
 #: Words kept by a worker (about 60 bytes each); beyond it the memory is given up and filled again.
 MOST_WORDS = 1 << 21
@@ -21,7 +21,6 @@ _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = np.zeros(256, np.uint8)
 _WHITE[[9, 11, 12, 13, 28, 29, 30, 31]] = 3
 _WHITE[[32, 10]] = 1, 2
-_BYTE = mixed(np.arange(1000, 1256, dtype=np.uint64))
 _HEAD = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -42,14 +41,15 @@ def wide_spaces(data: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Ids by a word's 64-bit hash in open addressing; its length and its first eight bytes are compared as well."""
+    """Ids by a word's 64-bit hash in open addressing, with the word's kind and its bytes to compare."""
 
     def __init__(self, most: int):
         self.bits = max(4, int(most).bit_length())
         self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.start, self.count, self.first = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.uint64)
-        self.ids = np.zeros(4096, np.uint32)
-        self.size = self.used = 0
+        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.at, self.length, self.head = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.bool_)
+        self.ids, self.bytes = np.zeros(4096, np.uint32), np.zeros(4096, np.uint8)
+        self.size = self.used = self.filled = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, or -1."""
@@ -64,17 +64,33 @@ class WordTable:
             rest, slot = rest[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, keys: np.ndarray, first: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Takes in distinct keys that aren't there."""
+    def same(self, entry: np.ndarray, data: np.ndarray, lo: np.ndarray, size: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Whether each entry is the word of data at lo, byte by byte; data ends in eight bytes of padding."""
+        out = (self.length[entry] == size) & (self.head[entry] == head)
+        rest, at, place, left = np.flatnonzero(out), lo, self.at[entry], size
+        at, place, left = at[rest], place[rest], left[rest]
+        while rest.size:
+            equal = eights(data, at, left) == eights(self.bytes, place, left)
+            out[rest[~equal]] = False
+            on = equal & (left > 8)
+            rest, at, place, left = rest[on], at[on] + 8, place[on] + 8, left[on] - 8
+        return out
+
+    def add(self, keys: np.ndarray, words: list[bytes], heads: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Takes in words whose distinct keys aren't there."""
         entry = np.arange(len(keys), dtype=np.int32) + self.size
-        size, used = self.size + len(keys), self.used + len(ids)
+        lengths = np.array([len(w) for w in words], np.int64)
+        size, used, filled = self.size + len(keys), self.used + len(ids), self.filled + int(lengths.sum())
         if size > len(self.start):  # room grows by half, so that it is copied seldom
-            self.start, self.count, self.first = (np.resize(x, size + size // 2) for x in (self.start, self.count, self.first))
+            self.start, self.count, self.at, self.length, self.head = (np.resize(x, size + size // 2) for x in (self.start, self.count, self.at, self.length, self.head))
         if used > len(self.ids):
             self.ids = np.resize(self.ids, used + used // 2)
-        self.start[self.size : size], self.count[self.size : size], self.first[self.size : size] = self.used + np.cumsum(counts) - counts, counts, first
-        self.ids[self.used : used] = ids
-        self.size, self.used = size, used
+        if filled + 8 > len(self.bytes):
+            self.bytes = np.resize(self.bytes, filled + filled // 2 + 8)
+        self.start[self.size : size], self.count[self.size : size] = self.used + np.cumsum(counts) - counts, counts
+        self.at[self.size : size], self.length[self.size : size], self.head[self.size : size] = self.filled + np.cumsum(lengths) - lengths, lengths, heads
+        self.ids[self.used : used], self.bytes[self.filled : filled] = ids, np.frombuffer(b"".join(words), np.uint8)
+        self.size, self.used, self.filled = size, used, filled
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         while keys.size:
             free = self.keys[slot] == 0
@@ -102,7 +118,8 @@ class WordEncoder:
     A space between two characters that are no white space ends a word for the tokenizers used here: nothing that
     they normalise, split or merge reaches over it. So does such a single line feed, which is left at the start of
     what follows. Texts are cut at these places, all at once in a batch's bytes, and each distinct word is encoded
-    once. A text with any other white space is cut at single spaces only and encoded without this memory.
+    once. A text with any other white space, or with a word of more than ``LONGEST`` bytes, is cut at single spaces
+    only and encoded without this memory.
     """
 
     def __init__(self, path: str, most_words: int = MOST_WORDS):
@@ -164,14 +181,17 @@ class WordEncoder:
         if strange.any():
             good = ~strange[owner]
             lo, hi, kind, owner = lo[good], hi[good], kind[good], owner[good]
-        up, down = _Powers.to(len(data) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
-        size = (hi - lo).astype(np.uint64)
-        key = mixed((total[hi] - total[lo]) * down[lo] + size)
-        key[kind == 3] = mixed(key[kind == 3] ^ _HEAD)
-        key |= key == 0
+        size = hi - lo
+        long = size > LONGEST
+        if long.any():  # not worth remembering
+            strange[owner[long]] = True
+            good = ~strange[owner]
+            lo, hi, kind, owner, size = lo[good], hi[good], kind[good], owner[good], size[good]
         padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        eight = np.ndarray(len(data), "<u8", padded, 0, (1,))[lo] & (np.uint64(2**64 - 1) >> (np.uint64(8) * (np.uint64(8) - np.minimum(size, np.uint64(8)))))
+        key = hashes(padded, lo, size)
+        head = kind == 3
+        key[head] = mixed(key[head] ^ _HEAD)
+        key |= key == 0
 
         entry = self.table.find(key)
         missing = np.flatnonzero(entry < 0)
@@ -181,13 +201,14 @@ class WordEncoder:
             if self.table.size + len(one) > self.most_words:
                 self.table = WordTable(max(self.most_words, len(key)))
                 _, one = np.unique(key, return_index=True)
-            head = kind[one] == 3
-            strings = [data[a:b].tobytes().decode() for a, b in zip(lo[one], hi[one], strict=True)]
-            counts, ids = self.lookup([w for w, h in zip(strings, head, strict=True) if not h])
-            heads = self.each([w for w, h in zip(strings, head, strict=True) if h])
-            self.table.add(np.concatenate((key[one][~head], key[one][head])), np.concatenate((eight[one][~head], eight[one][head])), np.concatenate((counts, np.array([len(x) for x in heads], np.int64))), np.concatenate((ids, *heads)))
+            one = np.concatenate((one[~head[one]], one[head[one]]))
+            words = [data[a:b].tobytes() for a, b in zip(lo[one], hi[one], strict=True)]
+            tails = int((~head[one]).sum())
+            counts, ids = self.lookup([w.decode() for w in words[:tails]])
+            heads = self.each([w.decode() for w in words[tails:]])
+            self.table.add(key[one], words, head[one], np.concatenate((counts, np.array([len(x) for x in heads], np.int64))), np.concatenate((ids, *heads)))
             entry = self.table.find(key)
-        strange[owner[self.table.first[entry] != eight]] = True  # two words with one hash
+        strange[owner[~self.table.same(entry, padded, lo, size, head)]] = True  # two words with one hash
 
         count = self.table.count[entry].astype(np.int64)
         before = np.cumsum(count) - count

@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from strophe.llm import tokens
 from strophe.llm.rans import BLOCK, Table, decode_segment, encode_segment, frequencies
+from strophe.llm.shingles import hashes
 from strophe.llm.tokens import PIECE, WordEncoder, tokenizer_path
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
@@ -75,3 +77,37 @@ def test_tables_survive_packing():
     table, _ = Table.of(np.array([5, 5, 70000, 2**31, 9], np.uint32))
     again = Table.unpack(*table.pack())
     assert (again.ids == table.ids).all() and (again.f == table.f).all() and zlib.crc32(b"") == 0
+
+
+def thue_morse(letters, n=1024):
+    out = letters[0]
+    while len(out) < n:
+        out += out.translate(str.maketrans(letters, letters[::-1]))
+    return out
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("size", [64, 256, 1024])
+def test_words_made_to_collide_and_long_words(name, size):
+    """Their sums of letters times powers of any odd base agree modulo 2**64."""
+    texts = [f"so xxxxxxxxx{thue_morse(x, size)} end" for x in ("ab", "ba")] + ["é" * 200 + " a", "x" * 255 + " " + "x" * 256 + " " + "x" * 257]
+    assert list(ENCODERS[name].documents(pa.array(texts), b"")) == [direct(name, t) for t in texts]
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    """All words of a length share a hash: their bytes decide."""
+    monkeypatch.setattr(tokens, "hashes", lambda data, lo, size: size.astype(np.uint64))
+    encoder = WordEncoder(tokenizer_path(NAMES[0]))
+    texts = ["the cat sat", "cat the sat", "abcdefghij abcdefghik", "abcdefghik abcdefghij sat"]
+    for _ in range(2):
+        assert list(encoder.documents(pa.array(texts), b"")) == [direct(NAMES[0], t) for t in texts]
+
+
+def test_hashes_of_words_do_not_depend_on_what_is_beside_them():
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(1, 300, 400)]
+    alone = [int(hashes(np.frombuffer(w + bytes(8), np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+    size = np.array([len(w) for w in words])
+    together = hashes(np.frombuffer(b"".join(words) + bytes(8), np.uint8), np.cumsum(size) - size, size)
+    assert together.tolist() == alone and len(set(alone)) == len(set(words))
+    assert len({int(hashes(np.frombuffer(w + bytes(8), np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in (b"a", b"a\0", b"a\0\0", b"a" + bytes(9))}) == 4
