@@ -1,24 +1,29 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are gathered into blocks. Block k (from 0) of a source with weight w = parts / total may not run
-before slot floor(k / w) and has to run before slot ceil((k + 1) / w); in each slot, of the blocks that may run the
+Rows of a source are gathered into blocks. Block k (from 0) of a source with weight w, its share of the whole, may not
+run before slot floor(k / w) and has to run before slot ceil((k + 1) / w); in each slot, of the blocks that may run the
 one with the earliest deadline does. For weights that add up to one this keeps every source within less than one
 block of weight times slots, at each slot, for as long as all of them still have blocks.
 
-Weights are whole parts of a total. Each source, however many there are, has its own weight, releases and deadlines. The
-driver holds the number of rows of each source and the place of each block, arrays of a few bytes; it schedules with
-two heaps up to the first slot that finds its source without a full block. From there on the other blocks follow in
-the order of their deadlines. Rows join the places of their blocks.
-
-Defined cases: a null source is a source of its own; an empty table gives an empty result; once a source
-has run out the others go on in the order of their deadlines, so every row is given a place (``on_target`` tells which
-lie before that); sources that are not among the weights given share the smallest of these, by their counts to the power; texts are not looked at; rows that agree in id and text are interchangeable.
+Weights are not rounded: they are given as integers, fractions or floats and taken as the exact fractions that these
+are, however many sources there are. Weights by count and power are floats. The driver holds the number of rows of each
+source and the place of each block; it schedules with two heaps up to the first slot that finds its source without a
+full block. From there on the other blocks follow in the order of their deadlines. Rows join the places of their
+blocks. A table has ``MOST_BLOCKS`` blocks and one for each source at most, so what the driver holds is bounded: beyond
+that blocks have more rows.
+
+Defined cases: a null source is a source of its own; an empty table gives an empty result; once a source has run out
+the others go on in the order of their deadlines, so every row is given a place (``on_target`` tells which lie before
+that); sources that are not among the weights given share the smallest of these, by their counts to the power; a given
+weight of zero or less is none, so such a source comes last; texts are not looked at; rows that agree in id and text
+are interchangeable.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -28,42 +33,24 @@ from pyspark.sql import functions as F
 from .common import few, materialize, numbered, read, with_row_id, without_row_id
 
 BLOCK_ROWS = 32
-#: Parts that the weights are rounded to, at least and at most: more blocks or smaller weights take more.
-RESOLUTION, MOST = 1000, 2**31 - 1
-
-
-def total_for(weights: list[float], blocks: int, least: int = RESOLUTION) -> int:
-    """A total above the number of blocks, a multiple of least, of which each weight has a part: rounding moves no source by a block."""
-    some = [w for w in weights if w > 0]
-    wanted = max(least, blocks + 1, math.ceil(sum(some) / min(some, default=1.0)))
-    return min(math.ceil(wanted / least) * least, MOST)
-
-
-def parts_of(weights: list[float], total: int) -> list[int]:
-    """Whole parts that add up to total: largest remainders. A weight below one part still gets one, from the largest."""
-    total = max(total, len(weights))
-    whole = sum(weights)
-    exact = [w / whole * total if whole else 0.0 for w in weights]
-    parts = [int(x) for x in exact]
-    order = sorted(range(len(parts)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for k in range(total - sum(parts)):
-        parts[order[k % len(order)]] += 1
-    large = [(-p, i) for i, p in enumerate(parts) if p > 1]
-    heapq.heapify(large)
-    for i, p in enumerate(parts):
-        if not p:
-            q, j = heapq.heappop(large)
-            parts[j], parts[i] = parts[j] - 1, 1
-            if parts[j] > 1:
-                heapq.heappush(large, (q + 1, j))
-    return parts
+#: Blocks of a table at most, besides the last one of each source.
+MOST_BLOCKS = 1 << 21
+
+
+def integers(weights: list[int | float | Fraction]) -> list[int]:
+    """The weights as whole numbers in exactly the same proportions."""
+    exact = [Fraction(w) for w in weights]
+    scale = math.lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    common = math.gcd(*whole) or 1
+    return [w // common for w in whole]
 
 
 def schedule(parts: list[int], full: list[int]) -> np.ndarray:
     """The class that runs in each slot: earliest deadline first among the released blocks, until one has no full block left."""
     total = sum(parts)
     ran, out = [0] * len(parts), []
-    ready = [(-(-total // p), i) for i, p in enumerate(parts)]  # (deadline, class)
+    ready = [(-(-total // p), i) for i, p in enumerate(parts) if p > 0]  # (deadline, class)
     heapq.heapify(ready)
     later: list[tuple[int, int]] = []  # (release, class)
     slot = 0
@@ -82,52 +69,52 @@ def schedule(parts: list[int], full: list[int]) -> np.ndarray:
 
 
 def places(parts: list[int], sizes: list[int], block_rows: int) -> tuple[pa.Table, int]:
-    """(class, block, slot) of all blocks, and the first slot off the target."""
+    """(class, block, release, deadline, slot) of all blocks, and the first slot off the target."""
     slots = schedule(parts, [n // block_rows for n in sizes])
-    order = np.argsort(slots, kind="stable")
-    ran = np.bincount(slots, minlength=len(parts))
-    count = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    rest = -(-np.array(sizes, np.int64) // block_rows) - ran
-    which = np.repeat(np.arange(len(parts)), rest)
-    block = count(rest) + np.repeat(ran, rest)
-    weight = np.array(parts, np.int64)[which]
-    late = np.lexsort((which, -(-(block + 1) * sum(parts) // weight)))
-    columns = (np.concatenate((slots[order], which[late])), np.concatenate((count(ran), block[late])), np.concatenate((order, len(slots) + np.arange(len(late)))))
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["_c", "_at", "slot"]), len(slots)
-
-
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, keep: tuple[str, ...] = ()) -> DataFrame:
+    total, horizon = sum(parts), len(slots)
+    rows, ran = [], [0] * len(parts)
+    window = lambda i, k: (k * total // parts[i], -(-(k + 1) * total // parts[i])) if parts[i] > 0 else (None, None)
+    for slot, i in enumerate(slots.tolist()):
+        rows.append((i, ran[i], *window(i, ran[i]), slot))
+        ran[i] += 1
+    late = [(i, k, *window(i, k)) for i, n in enumerate(sizes) for k in range(ran[i], -(-n // block_rows))]
+    late.sort(key=lambda r: (r[3] is None, r[3] or 0, r[0], r[1]))
+    rows += [(*r, horizon + j) for j, r in enumerate(late)]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    most = 2**63 - 1  # a window that far off tells nothing but that
+    columns[2:4] = [[x if x is None else min(x, most) for x in c] for c in columns[2:4]]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["_c", "_at", "release", "deadline", "slot"]), horizon
+
+
+def mix(docs: DataFrame, weights: dict[str | None, int | float | Fraction] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs(doc_id, text, source) with its place in the mixture.
 
     weights: by source; None derives them from the counts, to the given power. Returns doc_id, source, keep (columns
-    that tell rows apart), parts, total, block, release, deadline, slot, position and on_target.
+    that tell rows apart), weight (the source's share), block, release, deadline, slot, position and on_target.
     """
     spark = docs.sparkSession
     rows = materialize(docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("_digest"), *keep), "mix-rows")
     counts = rows.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("source")).toArrow()
     sizes = counts["n"].to_pylist()
-    share = np.array(sizes, np.float64) ** power
+    share: list[int | float | Fraction] = [n**power for n in sizes]
     if weights is not None:
         given = [weights.get(x) for x in counts["source"].to_pylist()]
-        left = np.array([w is None for w in given], bool)
-        share = np.where(left, share * (min(weights.values(), default=1.0) / max(share[left].sum(), 1e-300)), [w or 0.0 for w in given])
-    blocks = sum(-(-n // block_rows) for n in sizes)
-    parts = parts_of(share.tolist(), total_for(share.tolist(), blocks, resolution)) if sizes else []
+        left = sum(Fraction(s) for s, w in zip(share, given, strict=True) if w is None)
+        least = Fraction(min((w for w in weights.values() if w > 0), default=1))
+        share = [max(Fraction(w), 0) if w is not None else least * Fraction(s) / left for s, w in zip(share, given, strict=True)]
+    parts = integers(share)
     total = sum(parts)
+    block_rows = max(block_rows, -(-sum(sizes) // MOST_BLOCKS))
     at, horizon = places(parts, sizes, block_rows)
-    classes = pa.table([counts["source"], pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.int64())], names=["_name", "class", "parts"])
-    named = few(materialize(spark.createDataFrame(classes, "_name string, class long, parts long"), "mix-sources"))
+    classes = pa.table([counts["source"], pa.array(range(len(parts)), pa.int64()), pa.array([float(Fraction(p, total or 1)) for p in parts], pa.float64())], names=["_name", "class", "weight"])
+    named = few(materialize(spark.createDataFrame(classes, "_name string, class long, weight double"), "mix-sources"))
     classed = rows.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
     ranked = numbered(classed, "class", ["_digest", "doc_id", "source"], "_rank", sum(sizes), then=keep)
-    placed = few(materialize(spark.createDataFrame(at, "_c long, _at long, slot long"), "mix-places"))
+    placed = few(materialize(spark.createDataFrame(at, "_c long, _at long, release long, deadline long, slot long"), "mix-places"))
     return (
         ranked.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
         .join(placed, (F.col("class") == F.col("_c")) & (F.col("block") == F.col("_at")))
-        .withColumns({
-            "release": F.expr(f"block * {total} div parts"),
-            "deadline": F.expr(f"((block + 1) * {total} + parts - 1) div parts"),
-        })
-        .select("doc_id", "source", *keep, F.col("parts").cast("int").alias("parts"), F.lit(total).alias("total"), "block", "release", "deadline", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), (F.col("slot") < F.lit(horizon)).alias("on_target"))
+        .select("doc_id", "source", *keep, "weight", "block", "release", "deadline", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), (F.col("slot") < F.lit(horizon)).alias("on_target"))
     )
 
 
