@@ -6,10 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def half_up(x: Column, digits: int) -> Column:
-    """Rounded half up in plain double arithmetic, the same in every engine."""
+def half_even(x: Column, digits: int) -> Column:
+    """Rounded to so many digits by the exact value of the double; what lies halfway goes to the even neighbour.
+
+    The product with the power of ten is taken in two parts, what a double holds and what it leaves out, so that a
+    value just beside the middle is not taken for it. For magnitudes below 2**52 / 10**digits.
+    """
     scale = float(10**digits)
-    return F.floor(x * scale + 0.5).cast("double") / scale
+
+    def rounded(v: Column) -> Column:
+        whole = v * scale
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        rest = (high * scale - whole) + (v - high) * scale
+        low = F.floor(whole).cast("double")
+        over = (whole - low - 0.5) + rest
+        up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2.0)) == 1))
+        return F.when(up, low + 1).otherwise(low) / scale
+
+    return let(x.cast("double"), rounded)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once; the optimizer would inline it wherever it is named otherwise."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number as text with so many digits, rounded as above."""
+    return F.format_string(f"%.{digits}f", half_even(x, digits))
 
 
 def mean(x: Column, digits: int = 4) -> Column:
@@ -37,11 +61,16 @@ def number(text: Column, default: float) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), default).otherwise(x)
 
 
-def clean_loudness(x: Column, key: str) -> Column:
-    """Measured loudness figures without infinities: -inf is silence; +inf and NaN fall back by figure."""
+def clean_loudness(x: Column, key: str, integrated: Column | None = None) -> Column:
+    """Measured loudness figures without infinities: -inf is silence; +inf and NaN fall back by figure.
+
+    A missing threshold lies 10 below integrated, the cleaned integrated loudness.
+    """
+    integrated = F.lit(-23.0) if integrated is None else integrated
     fallback = {"input_tp": 0.0, "input_i": -70.0}.get(key, 0.0)
-    missing = {"input_i": -23.0, "input_tp": -1.0, "input_lra": 7.0, "target_offset": 0.0}.get(key, -33.0)
-    return F.when(x.isNull(), missing).when(x == float("-inf"), -70.0).when(F.isnan(x) | (x == float("inf")), fallback).otherwise(x)
+    missing = {"input_i": -23.0, "input_tp": -1.0, "input_lra": 7.0, "target_offset": 0.0}.get(key)
+    instead = F.lit(missing) if missing is not None else integrated - 10
+    return F.when(x.isNull(), instead).when(x == float("-inf"), -70.0).when(F.isnan(x) | (x == float("inf")), fallback).otherwise(x)
 
 
 def bucket_percent(key: Column, digest: str = "md5") -> Column:
@@ -62,3 +91,31 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def trapezoid(t: Column, start: float, end: float, ramp: float) -> Column:
     """An envelope that rises and falls linearly over ``ramp`` at either end of an interval."""
     return clamp(F.least((t - start) / ramp, (end - t) / ramp), 0.0, 1.0)
+
+
+def width_db(width: Column) -> Column:
+    """What a stereo width above 1 may add to a peak, in decibels."""
+    return F.when(width > 1, 20 * F.log10(width)).otherwise(0.0)
+
+
+def confidence(raw: Column) -> Column:
+    return half_even(clamp(raw, 0.2, 0.99), 2)
+
+
+def calibration_step(lufs: Column, peak: Column, target: float, ceiling: float, response: Column, loudness_off: float = 0.20, peak_off: float = 0.15, least: float = 0.08) -> Column:
+    """The gain that a measured render still needs, null if none: steps grow with the distance and leave room for peaks.
+
+    response: decibels that one decibel of gain was found to give.
+    """
+    off, room = target - lufs, ceiling - peak
+    quiet, hot = F.abs(off) > loudness_off, peak > ceiling + peak_off
+    most = F.when(F.abs(off) > 8, 2.5).when(F.abs(off) > 5, 2.0).when((F.abs(off) > 3) | (peak > ceiling + 0.5), 1.5).otherwise(0.85)
+    wanted = F.when(hot & ~quiet, room).when(hot | (off > 0), F.least(off, room)).otherwise(off)
+    wanted = F.when(F.abs(response) > 0.05, wanted / response).otherwise(wanted)
+    gain = F.greatest(F.least(wanted, most), -most)
+    return F.when(quiet | hot, F.when(F.abs(gain) >= least, gain).when(hot, -least))
+
+
+def damped_response(response: Column, before: Column, after: Column, gain: Column) -> Column:
+    """The response after a render: half the old one, half of what was observed; null without a gain."""
+    return F.when(gain.isNotNull(), 0.5 * response + 0.5 * clamp((after - before) / gain, 0.35, 1.65))

@@ -49,28 +49,6 @@ def balance(levels: DataFrame, key: str, level: str) -> DataFrame:
     return levels.groupBy(key).agg(F.round(score, 4).alias("score"), (F.max(level) - F.min(level) > 10).alias("dynamic"))
 
 
-def profile(lra: Column, crest: Column, lra_limit: float = 4.5, crest_limit: float = 8.5) -> Column:
-    """What a track needs: both low means it is dense already, one low means care."""
-    low_lra, low_crest = lra < lra_limit, crest < crest_limit
-    return F.when(low_lra & low_crest, "preserve").when(low_lra | low_crest, "gentle").otherwise("full")
-
-
-def rating(lufs: Column, peak: Column, lra: Column, offset: Column, target: float, ceiling: float) -> Column:
-    """100 less what loudness, peak, range and offset cost."""
-    d = lufs - target
-    cost = (
-        F.when(F.abs(d) <= 1, 0).when(d < -3, 20).when(d < -1, 10).otherwise(15)
-        + F.when(peak >= ceiling, 25).when(peak >= ceiling - 1, 10).otherwise(0)
-        + F.when(lra > 10, 10).when(lra < 4, 5).otherwise(0)
-        + F.when(F.abs(offset) > 3, 10).otherwise(0)
-    )
-    return 100 - cost
-
-
-def rating_label(score: Column) -> Column:
-    return F.when(score >= 85, "good").when(score >= 65, "fair").otherwise("needs work")
-
-
 def gain_reduction(level: Column, threshold: float, ratio: float) -> Column:
     return F.greatest(F.lit(0.0), (level - threshold) * (1 - 1 / ratio))
 

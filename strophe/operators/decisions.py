@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bucket_percent, clamp, half_up
+from ..functions.numeric import bucket_percent, clamp, half_even
 
 #: A section label's profile (sub, bass, mid, high_mid, air, deess, saturation, motion, tightness, margin).
 PROFILES = [
@@ -37,7 +37,7 @@ def decide(sections: DataFrame, counts: list[str]) -> DataFrame:
 
     def step(cond: Column, f: str, how) -> None:
         nonlocal out
-        out = out.withColumn(f, half_up(F.when(cond, how(F.col(f))).otherwise(F.col(f)), 3))
+        out = out.withColumn(f, half_even(F.when(cond, how(F.col(f))).otherwise(F.col(f)), 3))
 
     for f, d in (("high_mid", -1.0), ("air", -1.5), ("deess", 0.08)):
         step(harsh, f, lambda x, d=d: x + d)
@@ -52,7 +52,7 @@ def decide(sections: DataFrame, counts: list[str]) -> DataFrame:
     step(peak, "margin", lambda x: x - 0.08)
     step(peak, "saturation", lambda x: F.greatest(F.lit(0.86), x - 0.02))
     step(flat, "motion", lambda x: F.least(F.lit(1.06), x + 0.03))
-    return out.withColumns({f: half_up(clamp(F.col(f), lo, hi), 3) for f, (lo, hi) in zip(FIELDS, LIMITS, strict=True)})
+    return out.withColumns({f: half_even(clamp(F.col(f), lo, hi), 3) for f, (lo, hi) in zip(FIELDS, LIMITS, strict=True)})
 
 
 def shadow_risk(decisions: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_up
+from ..functions.numeric import half_even
 
 #: Severities in ascending order.
 SEVERITIES = ["low", "medium", "high"]
@@ -45,7 +45,7 @@ def rule_events(frames: DataFrame, key: str, bands: dict[str, str], rules: Rules
         F.when(peak > rules.peak_high, event("peak_risk", "high", 0.95)).when((peak > rules.peak_medium) & ((rms > rules.peak_rms) | (crest < rules.peak_crest)), event("peak_risk", "medium", 0.78)),
         F.when(sharp > rules.harsh_high, event("harshness_risk", "high", 0.85)).when(sharp > rules.harsh_medium, event("harshness_risk", "medium", 0.70)),
         F.when((sub < rules.weak[0]) & (bass < rules.weak[1]), event("low_end_weak", "medium", 0.72)).when((sub > rules.hot[0]) & (bass > rules.hot[1]), event("low_end_hot", "medium", 0.74)),
-        F.when((crest < rules.flat_crest) & (rms > rules.flat_rms), event("dynamic_flat", "medium", 0.60)),
+        F.when((crest < rules.flat_crest) & (rms > rules.flat_rms), event("dynamic_flat", "low", 0.60)),
     )
     return frames.select(key, "frame", "t", F.explode(F.array_compact(found)).alias("e")).select(key, "frame", "t", "e.type", "e.severity", "e.confidence")
 
@@ -64,7 +64,7 @@ def merge_by_gap(events: DataFrame, keys: list[str], t: str, gap: float, tie: st
         rank = sum((F.when(F.col("severity") == s, i).otherwise(0) for i, s in enumerate(SEVERITIES)), F.lit(0))
         order = F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), *([F.col(tie).alias("k")] if tie else []), F.col("confidence").alias("c"))))  # one interval's events
         start = F.struct(F.lit(0.0).alias("mean"), F.lit(0).alias("n"))
-        mean = F.aggregate(order, start, lambda a, x: F.struct(half_up((a["mean"] * a["n"] + x["c"]) / (a["n"] + 1), 2).alias("mean"), (a["n"] + 1).alias("n")), lambda a: a["mean"])
+        mean = F.aggregate(order, start, lambda a, x: F.struct(half_even((a["mean"] * a["n"] + x["c"]) / (a["n"] + 1), 2).alias("mean"), (a["n"] + 1).alias("n")), lambda a: a["mean"])
         out |= {"severity": F.element_at(F.array(*(F.lit(s) for s in SEVERITIES)), F.max(rank) + 1), "confidence": mean}
     return islands.groupBy(*keys, "_island").agg(*(c.alias(n) for n, c in out.items())).drop("_island")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_up
+from ..functions.numeric import half_even
 
 
 def boundaries(frames: DataFrame, key: str, level_jump: float, shape_jump: float, least: int) -> DataFrame:
@@ -48,7 +48,7 @@ def compact(rows: DataFrame, key: str, least: int) -> DataFrame:
 
     def step(out: Column, x: Column) -> Column:
         last = F.element_at(out, -1)
-        merged = F.struct(last["section"].alias("section"), last["a"].alias("a"), x["b"].alias("b"), (last["n"] + x["n"]).alias("n"), F.when(last["label"] == "verse", x["label"]).otherwise(last["label"]).alias("label"), half_up((last["confidence"] + x["confidence"]) / 2, 2).alias("confidence"))
+        merged = F.struct(last["section"].alias("section"), last["a"].alias("a"), x["b"].alias("b"), (last["n"] + x["n"]).alias("n"), F.when(last["label"] == "verse", x["label"]).otherwise(last["label"]).alias("label"), half_even((last["confidence"] + x["confidence"]) / 2, 2).alias("confidence"))
         short = (F.size(out) > 0) & (x["n"] < least)
         return F.when(short, F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(out, F.array(x)))
 

@@ -1,6 +1,7 @@
-"""Plans of actions as rows: validation, budgets, ordered admission, execution order and graphs.
+"""Plans of actions as rows: validation, operations, budgets, ordered admission, guardrails, execution order, graphs and audits.
 
-An action: plan, pos, function_id, target (a band or null) and value (its leading parameter).
+An action: plan, pos, function_id, target (a band or null), params (numbers by name), and where asked for operation and
+evidence (numbers by name).
 """
 
 from __future__ import annotations
@@ -8,13 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import half_even, width_db
+from ..operators.diagnosis import BANDS as BAND_LABELS
 from . import catalog
 
-#: What a plan may add up to in dB, cut and boost, for tone and for gain, and in any band at once.
-TONE_CUT, TONE_BOOST, HEADROOM = 2.0, 3.0, 2.5
+#: What one action and a whole plan may boost and cut, in tone and in gain, and a band at once, in dB.
+LIMITS = {
+    "tonal_boost_individual": 2.0, "tonal_cut_individual": 3.0, "tonal_boost_total": 3.0, "tonal_cut_total": 6.0,
+    "gain_boost_individual": 2.0, "gain_cut_individual": 3.0, "gain_boost_total": 3.0, "gain_cut_total": 6.0, "band_boost": 2.5,
+}
+#: Names of the governors that reject.
+TONAL, GAIN, OVERLAP, HEADROOM = "audio.governor.tonal_budget", "audio.governor.gain_budget", "audio.governor.spectral_overlap", "audio.governor.chain_headroom"
+#: What an action may do.
+OPERATIONS = ["cut", "boost", "attenuate", "expand", "narrow", "protect"]
+#: The parameter whose sign tells cut from boost.
+SIGNED = {
+    "audio.tone_eq.band": "gain_db", "audio.tone_eq.tilt": "gain_db", "audio.multiband.eq": "gain_db", "audio.dynamic_eq.motion": "gain_db", "audio.transient.dynamic_control": "amount_db",
+    "audio.low_end.dynamic_balance": "gain_db", "audio.autogain.output_gain": "gain_db", "audio.multiband.saturation": "drive_db", "audio.saturation.softclip": "drive_db",
+}
+#: Functions that set a width, that suppress, that fade, and those that only attenuate.
+WIDTHS = ["audio.multiband.stereo_width", "audio.stereo.correlation_guard"]
+SUPPRESSORS = ["audio.dynamic_eq.resonance", "audio.vocal.resonance_suppressor"]
+PASSES = ["audio.tone_eq.high_pass", "audio.tone_eq.low_pass"]
+ATTENUATORS = ["audio.deesser.sibilance_reduction", "audio.multiband.compressor", "audio.multiband.limiter", "audio.glue.bus_compressor", "audio.loudness.fade_in", "audio.loudness.fade_out"]
+#: Functions whose signed gain is tonal, and those that make dense material denser.
+TONAL_GAINS = ["audio.tone_eq.band", "audio.tone_eq.tilt", "audio.multiband.eq", "audio.dynamic_eq.motion", "audio.low_end.dynamic_balance"]
+DENSITY = ["audio.glue.bus_compressor", "audio.multiband.compressor", "audio.multiband.saturation", "audio.saturation.softclip"]
 #: The plugin whose neighbouring actions share one stage, and what always comes last.
-SHARED_STAGE = "multiband"
-TAIL = {"loudness.normalize": 1, "limiter.true_peak": 2}
+SHARED_STAGE = "audio.multiband"
+TAIL = {"audio.loudness.normalize": 1, "audio.limiter.true_peak": 2}
+SCOPES = [*catalog.BANDS, "global", "vocal_center"]
 
 
 def resolve(actions: DataFrame) -> DataFrame:
@@ -25,16 +49,86 @@ def resolve(actions: DataFrame) -> DataFrame:
     return named.join(F.broadcast(catalog.functions(spark)), "function_id", "left")
 
 
-def problems(actions: DataFrame, parameter: str = "parameter") -> DataFrame:
-    """Each action with the first thing wrong with it (empty: none): unknown, out of range, without or with a band."""
-    known = resolve(actions)
-    ranges = F.broadcast(catalog.parameters(actions.sparkSession).select(F.col("function_id").alias("_f"), F.col("parameter").alias("_p"), "least", "most"))
-    joined = known.join(ranges, (known["function_id"] == F.col("_f")) & (known[parameter] == F.col("_p")), "left")
+def parameter_problems(given: DataFrame) -> DataFrame:
+    """given(function_id, parameter, raw text) with the first thing wrong with each (empty: nothing): type, choice, range."""
+    spec = catalog.parameters(given.sparkSession).select(F.col("function_id").alias("_f"), F.col("parameter").alias("_p"), "type", "least", "most", "choices")
+    raw, number = F.col("raw"), F.col("raw").try_cast("double")
     wrong = (
-        F.when(F.col("plugin").isNull(), "unknown function").when(F.col("_p").isNull(), "unknown parameter").when(F.col("banded") & F.col("target").isNull(), "needs a band")
-        .when(~F.col("banded") & F.col("target").isNotNull(), "takes no band").when((F.col("value") < F.col("least")) | (F.col("value") > F.col("most")), "out of range").otherwise("")
+        F.when(F.col("_p").isNull(), "unknown parameter")
+        .when((F.col("type") == "bool") & ~raw.isin("true", "false"), "not bool")
+        .when((F.col("type") == "int") & ~raw.rlike("^[+-]?[0-9]+$"), "not int")
+        .when((F.col("type") == "float") & (number.isNull() | F.isnan(number)), "not float")
+        .when((F.size("choices") > 0) & ~F.array_contains("choices", raw), "no choice")
+        .when(number < F.col("least"), "too low")
+        .when(number > F.col("most"), "too high")
+        .otherwise("")
+    )
+    joined = given.join(F.broadcast(spec), (F.col("function_id") == F.col("_f")) & (F.col("parameter") == F.col("_p")), "left")
+    return joined.withColumn("problem", F.when(raw.isNull(), "missing").otherwise(wrong)).drop("_f", "_p", "type", "least", "most", "choices")
+
+
+def of(name: str, default: float = 0.0) -> Column:
+    return F.coalesce(F.col("params")[name], F.lit(default))
+
+
+def by_function(values: dict[str, Column], otherwise: Column | None = None) -> Column:
+    out = F.lit(None).cast("double") if otherwise is None else otherwise
+    for name, value in values.items():
+        out = F.when(F.col("function_id") == name, value).otherwise(out)
+    return out
+
+
+def signed_value() -> Column:
+    """The parameter that tells cut from boost; null for functions without one."""
+    return by_function({f: of(p) for f, p in SIGNED.items()})
+
+
+def operation() -> Column:
+    """What an action does, by its function and the sign of its parameters."""
+    f, v, w = F.col("function_id"), signed_value(), of("width", 1.0)
+    return (
+        F.when(f.isin(WIDTHS), F.when(w < 1, "narrow").when(w > 1, "expand").otherwise("neutral"))
+        .when(f.isin(PASSES), "cut")
+        .when(f.isin(*SUPPRESSORS, "audio.spectral.deharsh"), "attenuate")
+        .when(f.isin("audio.spectral.dullness_recovery", "audio.saturation.exciter"), "boost")
+        .when(v.isNotNull(), F.when(v < 0, "cut").when(v > 0, "boost").otherwise("neutral"))
+        .when(F.startswith(f, F.lit("audio.repair.")) | f.isin(ATTENUATORS), "attenuate")
+        .otherwise("protect")
+    )
+
+
+def supported() -> Column:
+    """The operations that a function may be asked for."""
+    f, some = F.col("function_id"), lambda *names: F.array(*(F.lit(n) for n in names))
+    return (
+        F.when(f.isin(list(SIGNED)), some("cut", "boost", "attenuate", "neutral"))
+        .when(f.isin(WIDTHS), some("narrow", "expand", "neutral"))
+        .when(f.isin(PASSES), some("cut"))
+        .when(f.isin(*SUPPRESSORS, "audio.spectral.deharsh"), some("cut", "attenuate", "protect"))
+        .when(f == "audio.vocal.center_naturalizer", some("protect", "attenuate"))
+        .when(f.isin("audio.spectral.dullness_recovery", "audio.saturation.exciter"), some("boost", "neutral"))
+        .when(F.startswith(f, F.lit("audio.repair.")) | f.isin(ATTENUATORS), some("attenuate", "protect"))
+        .otherwise(some("protect"))
     )
-    return joined.withColumn("problem", wrong).drop("_f", "_p", "least", "most")
+
+
+def operation_problem(asked: Column) -> Column:
+    """What is wrong with the operation asked for (empty: nothing): one that the function lacks, or that its parameters contradict."""
+    v, w, wide = signed_value(), of("width", 1.0), F.col("function_id").isin(WIDTHS)
+    against = ((asked == "cut") & (v >= 0)) | ((asked == "boost") & (v <= 0)) | ((asked == "neutral") & (F.abs(v) > 1e-9)) | ((asked == "attenuate") & (v > 0))
+    stands = wide & (((asked == "narrow") & (w >= 1)) | ((asked == "expand") & (w <= 1)) | ((asked == "neutral") & (F.abs(w - 1) > 1e-9)))
+    return F.when(~F.array_contains(supported(), asked), "unsupported").when(F.coalesce(against, F.lit(False)) | stands, "contradicted").otherwise("")
+
+
+def problems(actions: DataFrame) -> DataFrame:
+    """Each action with its operation (inferred where none is given) and the first thing wrong with it (empty: nothing)."""
+    known = resolve(actions)
+    asked = F.coalesce("operation", operation())
+    wrong = (
+        F.when(F.col("plugin").isNull(), "unknown function").when(F.col("banded") & F.col("target").isNull(), "needs a band")
+        .when(F.col("target").isNotNull() & (~F.col("banded") | ~F.col("target").isin(catalog.BANDS)), "takes no such band").otherwise(operation_problem(asked))
+    )
+    return known.withColumns({"operation": asked, "problem": wrong})
 
 
 def plan_problems(actions: DataFrame, analysis: list[str]) -> DataFrame:
@@ -44,43 +138,217 @@ def plan_problems(actions: DataFrame, analysis: list[str]) -> DataFrame:
     return per.select("plan", F.array_join(F.sort_array(F.array_intersect("_ids", "_against")), ",").alias("conflicts"), F.array_join(F.sort_array(F.array_except("_needs", F.array(*(F.lit(a) for a in analysis)))), ",").alias("missing"))
 
 
+def contributions(actions: DataFrame) -> DataFrame:
+    """What each action adds: tonal_boost, tonal_cut, gain_boost, gain_cut, scope (where its tone counts), bands (an array of boosts)."""
+    f, pos = F.col("function_id"), lambda x: F.greatest(x, F.lit(0.0))
+    tone = by_function({n: of("gain_db") for n in TONAL_GAINS} | {n: -of("max_reduction_db") for n in [*SUPPRESSORS, "audio.spectral.deharsh"]} | {"audio.spectral.dullness_recovery": of("max_boost_db")})
+    gain = by_function({"audio.autogain.output_gain": of("gain_db"), "audio.glue.bus_compressor": of("makeup_db"), "audio.multiband.compressor": of("makeup_db")})
+    vocal, mix = f == "audio.vocal.center_naturalizer", of("mix")
+    wet = F.least(F.lit(1.0), pos(mix))
+    level = by_function(
+        {n: of("gain_db") for n in ("audio.tone_eq.band", "audio.multiband.eq", "audio.dynamic_eq.motion", "audio.low_end.dynamic_balance", "audio.autogain.output_gain")}
+        | {"audio.tone_eq.tilt": F.abs(of("gain_db")) / 2, "audio.spectral.dullness_recovery": of("max_boost_db"), "audio.transient.dynamic_control": of("amount_db"), "audio.glue.bus_compressor": of("makeup_db"), "audio.multiband.compressor": of("makeup_db")}
+        | {n: F.least(F.lit(1.5), pos(of("drive_db")) * wet * 0.10) for n in ("audio.multiband.saturation", "audio.saturation.softclip")}
+        | {"audio.saturation.exciter": F.least(F.lit(1.5), pos(of("amount")) * wet * 0.15), "audio.vocal.center_naturalizer": pos(of("body_gain_db")) * wet}
+        | {n: width_db(pos(of("width", 1.0))) for n in WIDTHS}
+    )
+    high, low = F.array(F.lit("high_mid"), F.lit("air")), F.array(F.lit("sub_bass"), F.lit("bass"))
+    whole = F.array(*(F.lit(b) for b in catalog.BANDS))
+    own = F.when(F.col("target").isin(catalog.BANDS), F.array("target")).otherwise(whole)
+    at = (
+        F.when(f == "audio.tone_eq.tilt", F.when(of("gain_db") > 0, high).otherwise(low)).when(f.isin("audio.spectral.dullness_recovery", "audio.saturation.exciter"), high)
+        .when(vocal, F.array(F.lit("low_mid"), F.lit("mid"))).when(f.isin("audio.autogain.output_gain", "audio.glue.bus_compressor"), whole).otherwise(own)
+    )
+    boost = F.when(level > 1e-9, level).otherwise(0.0)
+    return actions.withColumns({
+        "tonal_boost": F.when(vocal, of("body_gain_db") * mix).otherwise(pos(F.coalesce(tone, F.lit(0.0)))),
+        "tonal_cut": F.when(vocal, (of("harshness_reduction_db") + of("air_reduction_db")) * mix).otherwise(pos(-F.coalesce(tone, F.lit(0.0)))),
+        "gain_boost": pos(F.coalesce(gain, F.lit(0.0))), "gain_cut": pos(-F.coalesce(gain, F.lit(0.0))),
+        "scope": F.when(vocal, "vocal_center").when(tone.isNotNull(), F.coalesce("target", F.lit("global"))),
+        "bands": F.array(*(F.when(F.array_contains(at, b), boost).otherwise(0.0) for b in catalog.BANDS)),
+    })
+
+
+SIDES = ["tonal_boost", "tonal_cut", "gain_boost", "gain_cut"]
+
+
+def alone_problem(columns: list[str]) -> Column:
+    """The governor that a single action offends, the last one if several; the vocal naturalizer has no limit of its own.
+
+    Where the actions have evidence, boosts, cuts and gains need a measured reason above 0.
+    """
+    free = F.col("function_id") == "audio.vocal.center_naturalizer"
+    over = lambda n: (F.col(n) > LIMITS[f"{n}_individual"]) & ~free
+    lacks = lambda name: ~F.coalesce(F.col("evidence")[name] > 0, F.lit(False)) if "evidence" in columns else F.lit(False)
+    tonal, done = F.col("scope").isNotNull() & ~free, F.coalesce(F.col("operation"), F.lit("")) if "operation" in columns else F.lit("")
+    gain = over("gain_cut") | over("gain_boost") | ((F.col("gain_boost") > 0) & lacks("compensation_required_db"))
+    tone = over("tonal_cut") | over("tonal_boost") | (tonal & (((done == "boost") & lacks("measured_deficit_db")) | ((done == "cut") & lacks("measured_excess_db"))))
+    return F.when(gain, GAIN).when(tone, TONAL)
+
+
 def budgets(actions: DataFrame) -> DataFrame:
-    """Cut and boost that a plan adds up to (never netted), its actions, what is left of the boost, and the outcome."""
-    cut, boost = F.sum(F.greatest(-F.col("value"), F.lit(0.0))), F.sum(F.greatest(F.col("value"), F.lit(0.0)))
-    per = actions.groupBy("plan").agg(F.count("*").alias("actions"), F.round(cut, 4).alias("cut"), F.round(boost, 4).alias("boost"))
-    return per.withColumns({"left": F.round(TONE_BOOST - F.col("boost"), 4), "passed": (F.col("cut") <= TONE_CUT) & (F.col("boost") <= TONE_BOOST)})
+    """For each plan its totals (boosts and cuts are never netted), what is left of each, the governors that it offends, and the outcome."""
+    parts = contributions(actions)
+    parts = parts.withColumn("_alone", alone_problem(parts.columns))
+    scopes = parts.where("scope IS NOT NULL").groupBy("plan", "scope").agg(F.sum("tonal_boost").alias("b"), F.sum("tonal_cut").alias("c"), F.count("*").alias("n"))
+    crowded = scopes.groupBy("plan").agg(F.coalesce(F.bool_or((F.col("n") > 1) & ((F.col("b") > LIMITS["tonal_boost_individual"] + 1e-9) | (F.col("c") > LIMITS["tonal_cut_individual"] + 1e-9))), F.lit(False)).alias("_crowded"))
+    per = parts.groupBy("plan").agg(
+        F.count("*").alias("actions"), *(half_even(F.sum(n), 3).alias(n) for n in SIDES), F.coalesce(F.bool_or(F.col("_alone") == TONAL), F.lit(False)).alias("_tonal"), F.coalesce(F.bool_or(F.col("_alone") == GAIN), F.lit(False)).alias("_gain"),
+        F.greatest(*(F.sum(F.get("bands", F.lit(i))) for i in range(len(catalog.BANDS)))).alias("_band"),
+    )
+    over = lambda n: F.col(n) > LIMITS[f"{n}_total"] + 1e-9
+    found = [
+        F.when(F.col("_tonal") | over("tonal_boost") | over("tonal_cut"), TONAL), F.when(F.col("_gain") | over("gain_boost") | over("gain_cut"), GAIN),
+        F.when(F.coalesce("_crowded", F.lit(False)), OVERLAP), F.when(half_even(F.col("_band"), 3) > LIMITS["band_boost"] + 1e-9, HEADROOM),
+    ]
+    left = {f"{n}_left": half_even(F.greatest(LIMITS[f"{n}_total"] - F.col(n), F.lit(0.0)), 3) for n in SIDES}
+    joined = per.join(crowded, "plan", "left").withColumn("offended", F.array_join(F.array_compact(F.array(*found)), ","))
+    return joined.select("plan", "actions", *SIDES, *(c.alias(n) for n, c in left.items()), "offended", F.when(F.col("offended") == "", "passed").otherwise("rejected").alias("status"))
 
 
 def headroom(actions: DataFrame) -> DataFrame:
-    """The band in which a plan boosts most, counting boosts alone; the first band on a tie. No band is all bands."""
-    order = {b: i for i, b in enumerate(catalog.BANDS)}
-    bands = F.when(F.col("target").isNull(), F.array(*(F.lit(b) for b in catalog.BANDS))).otherwise(F.array("target"))
-    per = actions.where("value > 0").select("plan", "value", F.explode(bands).alias("band")).groupBy("plan", "band").agg(F.round(F.sum("value"), 4).alias("boost"))
-    rank = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("band")]
-    return per.groupBy("plan").agg(F.max_by(F.struct("band", "boost"), F.struct(F.col("boost"), -rank)).alias("w")).select("plan", F.col("w.band").alias("band"), F.col("w.boost").alias("boost"), (F.col("w.boost") > HEADROOM).alias("exceeded"))
+    """The band in which a plan boosts most, counting boosts alone; the first band on a tie."""
+    per = contributions(actions).select("plan", F.posexplode("bands").alias("no", "boost")).groupBy("plan", "no").agg(half_even(F.sum("boost"), 3).alias("boost"))
+    worst = per.groupBy("plan").agg(F.max_by(F.struct("no", "boost"), F.struct(F.col("boost"), -F.col("no"))).alias("w"))
+    return worst.select("plan", F.get(F.array(*(F.lit(b) for b in catalog.BANDS)), F.col("w.no")).alias("band"), F.col("w.boost").alias("boost"), (F.col("w.boost") > LIMITS["band_boost"] + 1e-9).alias("exceeded"))
 
 
-def admit(actions: DataFrame, cut: float = TONE_CUT, boost: float = TONE_BOOST) -> DataFrame:
-    """Ordered admission: an action is accepted if it and all that were accepted before stay within the budgets.
+def admit(actions: DataFrame, dense: Column | None = None) -> DataFrame:
+    """Ordered admission: plan, pos, function_id, outcome and the reason of a rejection.
 
-    A rejected one leaves the budgets as they were; a neutral one is traced and costs nothing. A fold over each
-    plan's actions in order.
+    An action with a problem of its own is rejected, a neutral one is traced and costs nothing; any other is accepted if
+    the plan so far and it offend no governor and exclude each other in nothing. A rejected one leaves the plan as it
+    was; of several reasons the last one counts. dense: whether the plan's material is compressed already. A fold over
+    each plan's actions in order; its state is what the accepted ones add up to, as one array of sums.
     """
-    item = F.struct("pos", "function_id", F.col("value").cast("double").alias("value"))
-    start = F.struct(F.lit(0.0).alias("cut"), F.lit(0.0).alias("boost"), F.array().cast("array<struct<pos:bigint,function_id:string,value:double,outcome:string>>").alias("out"))
+    known = contributions(problems(actions))
+    known = known.withColumn("_alone", alone_problem(known.columns))
+    n, at = len(catalog.BANDS), lambda s: [F.when(F.col("scope") == x, s).otherwise(0.0) for x in SCOPES]
+    once = lambda f: F.when(F.col("function_id") == f, 1.0).otherwise(0.0)
+    exclusive = ("audio.saturation.softclip", "audio.saturation.exciter")
+    sums = F.array(*(F.col(x) for x in SIDES), *at(F.col("tonal_boost")), *at(F.col("tonal_cut")), *at(F.lit(1.0)), *(F.get("bands", F.lit(i)) for i in range(n)), *(once(f) for f in exclusive))
+    heavy = F.coalesce(dense if dense is not None else F.lit(False), F.lit(False)) & F.col("function_id").isin(DENSITY)
+    wide = (F.col("function_id") == "audio.multiband.stereo_width") & (F.col("target") == "sub_bass") & (of("width", 1.0) > 1)
+    blocked = F.when(F.col("problem") != "", F.col("problem")).when(F.coalesce(heavy, F.lit(False)), "dense material").when(F.coalesce(wide, F.lit(False)), "wide sub bass")
+    item = F.struct("pos", "function_id", (F.col("operation") == "neutral").alias("neutral"), blocked.alias("blocked"), F.col("_alone").alias("alone"), sums.alias("sums"))
+    size = len(SIDES) + 3 * len(SCOPES) + n + 2
+    start = F.struct(F.array_repeat(F.lit(0.0), size).alias("sums"), F.array().cast("array<struct<pos:bigint,function_id:string,outcome:string,reason:string>>").alias("out"))
+
+    def reason(t: Column, alone: Column) -> Column:
+        k, m = len(SIDES), len(SCOPES)
+        get = lambda i: F.get(t, F.lit(i))
+        either = lambda cs: F.array_contains(F.array(*cs), True)
+        crowded = either([(get(k + 2 * m + i) > 1) & ((get(k + i) > LIMITS["tonal_boost_individual"] + 1e-9) | (get(k + m + i) > LIMITS["tonal_cut_individual"] + 1e-9)) for i in range(m)])
+        room = either([half_even(get(k + 3 * m + i), 3) > LIMITS["band_boost"] + 1e-9 for i in range(n)])
+        clash = (get(size - 2) > 0) & (get(size - 1) > 0)
+        over = lambda i: get(i) > LIMITS[f"{SIDES[i]}_total"] + 1e-9
+        return F.when(clash, "conflict").when(room, HEADROOM).when(over(2) | over(3), GAIN).when(over(0) | over(1), TONAL).when(crowded, OVERLAP).otherwise(alone)
 
     def step(a: Column, x: Column) -> Column:
-        v = x["value"]
-        more_cut, more_boost = a["cut"] + F.greatest(-v, F.lit(0.0)), a["boost"] + F.greatest(v, F.lit(0.0))
-        fits = (more_cut <= cut + 1e-9) & (more_boost <= boost + 1e-9)
-        outcome = F.when(F.abs(v) <= 1e-9, "neutral").when(fits, "accepted").otherwise("rejected")
-        row = F.struct(x["pos"].cast("bigint").alias("pos"), x["function_id"].alias("function_id"), v.alias("value"), outcome.alias("outcome"))
-        return F.struct(F.when(fits, more_cut).otherwise(a["cut"]).alias("cut"), F.when(fits, more_boost).otherwise(a["boost"]).alias("boost"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    folded = actions.groupBy("plan").agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step).alias("s"))  # one plan's actions
+        def told(v: Column) -> Column:  # v: the sums with this action, and why not
+            fits = v["why"].isNull()
+            outcome = F.when(x["blocked"].isNotNull(), "rejected").when(x["neutral"], "neutral").when(fits, "accepted").otherwise("rejected")
+            why = F.when(x["blocked"].isNotNull(), x["blocked"]).when(~x["neutral"], v["why"])
+            row = F.struct(x["pos"].cast("bigint").alias("pos"), x["function_id"].alias("function_id"), outcome.alias("outcome"), why.alias("reason"))
+            taken = x["blocked"].isNull() & ~x["neutral"] & fits
+            return F.struct(F.when(taken, v["sums"]).otherwise(a["sums"]).alias("sums"), F.concat(a["out"], F.array(row)).alias("out"))
+
+        added = F.transform(F.array(F.zip_with(a["sums"], x["sums"], lambda p, q: p + q)), lambda t: F.struct(t.alias("sums"), reason(t, x["alone"]).alias("why")))
+        return F.transform(added, told)[0]
+
+    folded = known.groupBy("plan").agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step).alias("s"))  # one plan's actions
     return folded.select("plan", F.explode("s.out").alias("o")).select("plan", "o.*")
 
 
+def guardrails(actions: DataFrame, target: float, ceiling: float) -> DataFrame:
+    """Plans that end in loudness and limiter whatever they asked for: targets overwritten, ceilings lowered, missing ones added.
+
+    Adds ``injected`` and ``step``, the order of execution.
+    """
+    plans = actions.select("plan").distinct()
+    needed = {"audio.loudness.normalize": {"target_lufs": target, "true_peak_db": ceiling, "lra": 11.0}, "audio.limiter.true_peak": {"ceiling_db": ceiling, "release_ms": 150.0, "lookahead_ms": 5.0}}
+    literal = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
+    wanted = plans.select("plan", F.explode(F.array(*(F.struct(F.lit(f).alias("function_id"), literal(p).alias("params")) for f, p in needed.items()))).alias("x")).select("plan", "x.*")
+    tail = actions.where(F.col("function_id").isin(list(needed)))
+    first = tail.groupBy("plan", "function_id").agg(F.min_by(F.struct("pos", "params"), "pos").alias("own"))
+    over = F.when(F.col("function_id") == "audio.loudness.normalize", F.map_concat(F.map_filter("own.params", lambda k, v: ~k.isin("target_lufs", "true_peak_db")), literal({"target_lufs": target, "true_peak_db": ceiling})))
+    least = F.map_concat(F.map_filter("own.params", lambda k, v: k != "ceiling_db"), F.create_map(F.lit("ceiling_db"), F.least(F.coalesce(F.col("own.params")["ceiling_db"], F.lit(ceiling)), F.lit(ceiling))))
+    last = wanted.join(first, ["plan", "function_id"], "left").select(
+        "plan", F.col("own.pos").alias("pos"), "function_id", F.lit(None).cast("string").alias("target"), F.when(F.col("own").isNull(), F.col("params")).otherwise(F.coalesce(over, least)).alias("params"), F.col("own").isNull().alias("injected")
+    )
+    rest = actions.where(~F.col("function_id").isin(list(needed))).select("plan", "pos", "function_id", "target", "params", F.lit(False).alias("injected"))
+    return effective_order(rest.unionByName(last))
+
+
+def classic(tracks: DataFrame, key: str) -> DataFrame:
+    """The plan that is made without any advice: actions by rules on tracks(key, lufs, voice, high_mid, air)."""
+    c, action = F.col, lambda f, t, op, name, v: F.struct(F.lit(f).alias("function_id"), F.lit(t).cast("string").alias("target"), F.lit(op).alias("operation"), F.lit(name).alias("parameter"), v.cast("double").alias("value"))
+    # Widths of the bands.
+    widths = [("sub_bass", 0.0), ("bass", 0.4), ("low_mid", 0.7), ("high_mid", 1.15), ("air", 1.25)]
+    rows = [
+        action("audio.autogain.headroom", None, "protect", "gain_db", F.when(F.coalesce("lufs", F.lit(-24.0)) < -25, -12.0).otherwise(-17.0)),
+        F.when(c("voice") > -30, action("audio.deesser.sibilance_reduction", None, "attenuate", "intensity", F.lit(0.4))),
+        F.when(c("high_mid") > -22, action("audio.multiband.eq", "high_mid", "cut", "gain_db", F.lit(-0.8))),
+        F.when(c("air") > -24, action("audio.multiband.eq", "air", "cut", "gain_db", F.lit(-1.0))),
+        *(action("audio.multiband.stereo_width", b, "narrow" if w < 1 else "expand", "width", F.lit(w)) for b, w in widths),
+    ]
+    listed = tracks.select(key, F.posexplode(F.array_compact(F.array(*rows))).alias("pos", "x"))
+    return listed.select(key, F.col("pos").cast("bigint").alias("pos"), "x.*")
+
+
+def audit(renders: DataFrame, operations: DataFrame, loudness_off: float = 0.3, peak_off: float = 0.2) -> DataFrame:
+    """Renders(plan, lufs, peak, target, ceiling) against their targets, with how many of operations(plan, operation) did what."""
+    counts = operations.groupBy("plan").agg(*(F.count_if(F.col("operation") == o).alias(o) for o in OPERATIONS))
+    error, over = F.col("lufs") - F.col("target"), F.col("peak") - F.col("ceiling")
+    checked = renders.withColumns({
+        "error_lu": half_even(error, 3), "overshoot_db": half_even(over, 3),
+        "loud_enough": F.coalesce(F.abs(error) <= loudness_off, F.lit(False)), "below_ceiling": F.coalesce(over <= peak_off, F.lit(False)),
+    })
+    joined = checked.join(counts, "plan", "left").withColumns({o: F.coalesce(o, F.lit(0)) for o in OPERATIONS})
+    return joined.withColumn("status", F.when(F.col("loud_enough") & F.col("below_ceiling"), "passed").otherwise("warning"))
+
+
+def migrated(settings: DataFrame) -> DataFrame:
+    """Old settings(track, name, band, value) as actions: known names and bands with an effect, in the order of the old groups."""
+    # Fixed values: (old name, function, parameter, value that does nothing, group).
+    rules = [
+        ("noise_reduction_level", "audio.repair.denoise", "level", 0.0, 0), ("declip_level", "audio.repair.declip", "level", 0.0, 0), ("declick_level", "audio.repair.declick", "level", 0.0, 0),
+        ("deesser_intensity", "audio.deesser.sibilance_reduction", "intensity", 0.0, 1), ("band_adjust_db", "audio.tone_eq.band", "gain_db", 0.0, 2), ("tone_tilt_db", "audio.tone_eq.tilt", "gain_db", 0.0, 2),
+        ("band_widths", "audio.multiband.stereo_width", "width", 1.0, 3), ("saturation_drive_db", "audio.saturation.softclip", "drive_db", 0.0, 4), ("glue_ratio", "audio.glue.bus_compressor", "ratio", 1.0, 5),
+    ]
+    spark = settings.sparkSession
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "no int, name string, function_id string, parameter string, neutral double, stage int")
+    bands = spark.createDataFrame([(i, b, x) for i, b in enumerate(catalog.BANDS) for x in (b, BAND_LABELS[b])], "band_no int, target string, band string")
+    known = settings.join(F.broadcast(table), "name").join(F.broadcast(bands), "band", "left").where((F.abs(F.col("value") - F.col("neutral")) > 1e-9) & (F.col("band").isNull() | F.col("target").isNotNull()))
+    by = Window.partitionBy("track").orderBy("stage", "no", F.coalesce("band_no", F.lit(-1)), "band")
+    return known.select("track", F.row_number().over(by).cast("bigint").alias("pos"), "function_id", "target", "parameter", "value")
+
+
+def adjustments(actions: DataFrame) -> DataFrame:
+    """A plan's actions as settings: gains and widths by band, and the intensity of the de-esser, the last action of a kind counting."""
+    pick = lambda f, p: F.map_from_entries(F.sort_array(F.collect_list(F.when((F.col("function_id") == f) & F.col("target").isNotNull(), F.struct("target", F.col("last")[p].alias("value"))))))
+    last = actions.groupBy("plan", "function_id", "target").agg(F.max_by("params", "pos").alias("last"))  # one row a kind
+    return last.groupBy("plan").agg(pick("audio.multiband.eq", "gain_db").alias("gains"), pick("audio.multiband.stereo_width", "width").alias("widths"), F.max(F.when(F.col("function_id") == "audio.deesser.sibilance_reduction", F.col("last")["intensity"])).alias("deesser"))
+
+
+def adjusted(base: dict[str, Column], change: dict[str, Column]) -> dict[str, Column]:
+    """Base settings with multipliers and offsets applied; the de-esser stays within its range."""
+    one = lambda n: F.coalesce(change[n], F.lit(1.0))
+    return {
+        "deesser_intensity": F.greatest(F.lit(0.2), F.least(F.lit(1.0), base["deesser_intensity"] * one("deesser_intensity_mult"))), "saturation_drive": base["saturation_drive"] * one("saturation_drive_mult"),
+        "saturation_mix": base["saturation_mix"] * one("saturation_mix_mult"), "glue_threshold": base["glue_threshold"] + F.coalesce(change["glue_threshold_offset"], F.lit(0.0)), "glue_ratio": base["glue_ratio"] * one("glue_ratio_mult"),
+    }
+
+
+def deesser_intensity(noise: Column, click: Column, base: float = 1.0, budget: float = 2.5) -> Column:
+    """The de-esser's intensity, less what the other reductions use of a budget in dB."""
+    # What the levels of noise reduction and of click removal use.
+    uses = {"noise": {"off": 0.0, "apagado": 0.0, "leve": 0.6, "medio": 1.2, "alto": 1.8}, "click": {"off": 0.0, "apagado": 0.0, "leve": 0.9, "medio": 1.5, "alto": 2.1}}
+    used = lambda level, of: F.coalesce(F.create_map(*(F.lit(x) for kv in uses[of].items() for x in kv))[F.lower(F.trim(level))], F.lit(uses[of]["leve"]))
+    left = F.greatest(budget - used(noise, "noise") - used(click, "click"), F.lit(0.0))
+    return F.greatest(F.lit(0.2), F.least(F.lit(1.0), left / budget * base))
+
+
 def effective_order(actions: DataFrame) -> DataFrame:
     """The order of execution: as given, the loudness stage and then the limiter at the end."""
     stage = F.coalesce(F.create_map(*(F.lit(x) for kv in TAIL.items() for x in kv))[F.col("function_id")], F.lit(0))
@@ -97,7 +365,7 @@ def graph(actions: DataFrame) -> DataFrame:
     fresh = ~F.coalesce((F.col("plugin") == SHARED_STAGE) & (F.lag("plugin").over(by) == F.col("plugin")), F.lit(False))
     rows = known.withColumn("_fresh", fresh.cast("int")).withColumn("stage", F.sum("_fresh").over(by))
     stages = rows.groupBy("plan", "stage").agg(F.first("plugin").alias("plugin"), F.count("*").alias("n"))
-    label = F.concat_ws("_", "plugin", F.row_number().over(Window.partitionBy("plan", "plugin").orderBy("stage")))
+    label = F.concat_ws("_", F.replace("plugin", F.lit("audio."), F.lit("")), F.row_number().over(Window.partitionBy("plan", "plugin").orderBy("stage")))
     node = F.struct("stage", F.concat(F.lit("["), label, F.lit(":"), F.col("n").cast("string"), F.lit("]")).alias("t"))
     listed = stages.withColumn("_node", node).groupBy("plan").agg(F.sort_array(F.collect_list("_node")).alias("_nodes"))  # one plan's stages
     return listed.select("plan", F.size("_nodes").cast("long").alias("stages"), F.array_join(F.transform("_nodes", lambda x: x["t"]), ";").alias("graph"))
@@ -105,6 +373,7 @@ def graph(actions: DataFrame) -> DataFrame:
 
 def fingerprint(actions: DataFrame) -> DataFrame:
     """SHA-256 of each plan's actions, written out in order in one form."""
-    text = F.concat_ws("|", "function_id", F.coalesce("target", F.lit("-")), F.format_string("%.4f", "value"))
+    numbers = F.array_join(F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), ",")
+    text = F.concat_ws("|", "function_id", F.coalesce("target", F.lit("-")), numbers)
     listed = actions.groupBy("plan").agg(F.sort_array(F.collect_list(F.struct("pos", text.alias("t")))).alias("_a"))  # one plan's actions
     return listed.select("plan", F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("_a", lambda x: x["t"]), ";"), 256)).alias("fingerprint"))

@@ -122,12 +122,12 @@ FL = """fl AS (
   FROM bd WHERE greatest(signup_db - purchase_db, error_db - purchase_db) > 6
   UNION ALL SELECT user_id, frame, t, CASE WHEN click_db < 30 AND view_db < 36 THEN 'low_end_weak' ELSE 'low_end_hot' END, 'medium', CASE WHEN click_db < 30 AND view_db < 36 THEN 0.72::DOUBLE ELSE 0.74::DOUBLE END
   FROM bd WHERE (click_db < 30 AND view_db < 36) OR (click_db > 48 AND view_db > 48)
-  UNION ALL SELECT user_id, frame, t, 'dynamic_flat', 'medium', 0.60::DOUBLE FROM bd WHERE crest_db < 0.5 AND rms_db > 44
+  UNION ALL SELECT user_id, frame, t, 'dynamic_flat', 'low', 0.60::DOUBLE FROM bd WHERE crest_db < 0.5 AND rms_db > 44
 )"""
 MR = """isl AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, type ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id, type ORDER BY t) <= 138240.0 THEN 0 ELSE 1 END AS fresh FROM fl)),
 ord AS (SELECT *, row_number() OVER (PARTITION BY user_id, type, island ORDER BY t) AS k FROM isl),
-run AS (SELECT user_id, type, island, k, floor(confidence * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS mean FROM ord WHERE k = 1
-  UNION ALL SELECT o.user_id, o.type, o.island, o.k, floor((r.mean * (o.k - 1) + o.confidence) / o.k * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE FROM run r JOIN ord o ON o.user_id = r.user_id AND o.type = r.type AND o.island = r.island AND o.k = r.k + 1),
+run AS (SELECT user_id, type, island, k, CAST(printf('%.2f', confidence) AS DOUBLE) AS mean FROM ord WHERE k = 1
+  UNION ALL SELECT o.user_id, o.type, o.island, o.k, CAST(printf('%.2f', (r.mean * (o.k - 1) + o.confidence) / o.k) AS DOUBLE) FROM run r JOIN ord o ON o.user_id = r.user_id AND o.type = r.type AND o.island = r.island AND o.k = r.k + 1),
 mr AS (SELECT i.user_id, i.type, min(t) AS start_t, max(t) AS end_t, count(*) AS samples, CASE max(CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity,
   (SELECT arg_max(mean, k) FROM run WHERE run.user_id = i.user_id AND run.type = i.type AND run.island = i.island) AS confidence
   FROM isl i GROUP BY i.user_id, i.type, i.island)"""
@@ -145,10 +145,10 @@ lab AS (SELECT st.*, middle, CASE WHEN cuts < 2 THEN 'single' WHEN section = 0 A
 sec AS (SELECT user_id, CAST(section AS INTEGER) AS section, first_frame, last_frame, CAST(n AS INTEGER) AS n, energy, bright, label, CASE WHEN label IN ('intro', 'outro') THEN 0.78::DOUBLE WHEN label IN ('drop', 'chorus') THEN 0.72::DOUBLE WHEN energy < middle - 1.2 THEN 0.64::DOUBLE ELSE 0.60::DOUBLE END AS confidence FROM lab)"""
 CMP = """fold AS (SELECT user_id, section, 0 AS pos, first_frame, last_frame, n::BIGINT AS n, label, confidence FROM sec WHERE section = 0
   UNION ALL SELECT s.user_id, s.section, CASE WHEN s.n < 5 THEN f.pos ELSE f.pos + 1 END, CASE WHEN s.n < 5 THEN f.first_frame ELSE s.first_frame END, s.last_frame, CASE WHEN s.n < 5 THEN f.n + s.n ELSE s.n END,
-    CASE WHEN s.n < 5 AND f.label <> 'verse' THEN f.label ELSE s.label END, CASE WHEN s.n < 5 THEN floor((f.confidence + s.confidence) / 2 * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE ELSE s.confidence END FROM fold f JOIN sec s ON s.user_id = f.user_id AND s.section = f.section + 1),
+    CASE WHEN s.n < 5 AND f.label <> 'verse' THEN f.label ELSE s.label END, CASE WHEN s.n < 5 THEN CAST(printf('%.2f', (f.confidence + s.confidence) / 2) AS DOUBLE) ELSE s.confidence END FROM fold f JOIN sec s ON s.user_id = f.user_id AND s.section = f.section + 1),
 cmp AS (SELECT user_id, CAST(pos AS INTEGER) AS section, arg_max(first_frame, section) AS first_frame, arg_max(last_frame, section) AS last_frame, arg_max(n, section) AS n, arg_max(label, section) AS label, arg_max(confidence, section) AS confidence FROM fold GROUP BY user_id, pos)"""
 CNT = """cnt AS (SELECT c.user_id, c.section, m.type, count(*) AS n FROM cmp c JOIN mr m ON m.user_id = c.user_id AND least(c.last_frame * 86400.0::DOUBLE, m.end_t) > greatest(c.first_frame * 86400.0::DOUBLE, m.start_t) GROUP BY c.user_id, c.section, m.type)"""
-_h3 = lambda x: f"floor(({x}) * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE"
+_h3 = lambda x: f"CAST(printf('%.3f', {x}) AS DOUBLE)"
 
 
 def _decide_sql() -> str:

@@ -47,20 +47,6 @@ def customers(spark, sf_dir):
     return c.select("c_custkey", (F.col("c_acctbal") / 1000 - 20).alias("lufs"), (-(key % 40) / 10.0).alias("peak"), ((key % 130) / 10.0).alias("lra"), ((key % 97) / 7.0).alias("crest"), ((key % 90) / 10.0 - 4.5).alias("offset"), F.when(key % 19 > 0, (key % 23).cast("double")).alias("rate"), ((key % 31) / 3.0).alias("units"), ((key % 21) / 100.0).alias("drift"), (key % 5 > 0).alias("ready"), ((key % 29) / 10.0).alias("worst_overlap"))
 
 
-def processing_profile(spark, sf_dir):
-    return customers(spark, sf_dir).select("c_custkey", batch.profile(F.col("lra"), F.col("crest")).alias("profile"))
-
-
-def mix_rating(spark, sf_dir):
-    c = customers(spark, sf_dir).select("c_custkey", batch.rating(F.col("lufs"), F.col("peak"), F.col("lra"), F.col("offset"), -14.0, -1.0).alias("score"))
-    return c.withColumn("label", batch.rating_label(F.col("score")))
-
-
-def issue_flags(spark, sf_dir):
-    flags = {"quiet": F.col("lufs") < -18, "hot_peak": F.col("peak") > -1, "dense": F.col("crest") < 6, "flat_range": F.col("lra") < 4, "wide": F.col("drift") > 0.12}
-    return customers(spark, sf_dir).select("c_custkey", batch.issues(flags).alias("issues"), batch.repair_level(F.col("lufs"), F.col("peak"), F.col("peak") + 0.5).alias("repair"), batch.recalibrate(F.col("lufs"), F.col("peak"), -14.0, -1.0).alias("recalibrate"))
-
-
 def gated(spark, sf_dir):
     return customers(spark, sf_dir).select("c_custkey", "lufs", F.lit(-15.0).alias("target"), "peak", F.lit(-1.0).alias("ceiling"), "lra", F.col("rate").alias("peak_rate"), F.col("units").alias("high_units"), "drift", "ready", "worst_overlap")
 
@@ -118,7 +104,7 @@ def stats_clean(spark, sf_dir):
     raw = F.when(k % 7 == 0, F.lit("-inf")).when(k % 7 == 1, F.lit("inf")).when(k % 7 == 2, F.lit("nan")).when(k % 7 == 3, F.lit(None).cast("string")).when(k % 7 == 4, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string"))
     x = F.when(raw.isin("inf", "-inf"), F.when(raw == "inf", float("inf")).otherwise(float("-inf"))).when(raw == "nan", float("nan")).otherwise(raw.try_cast("double"))
     keys = ["input_i", "input_tp", "input_lra", "input_thresh", "target_offset"]
-    return table(spark, sf_dir, "customer").select("c_custkey", *(numeric.clean_loudness(x, n).alias(n) for n in keys), numeric.number(raw, -100.0).alias("number"))
+    return table(spark, sf_dir, "customer").select("c_custkey", *(numeric.clean_loudness(x, n, numeric.clean_loudness(F.col("c_acctbal") / 100, "input_i")).alias(n) for n in keys), numeric.number(raw, -100.0).alias("number"))
 
 
 def resume_pending(spark, sf_dir):
@@ -173,9 +159,9 @@ def _guard(lufs, slack, rate, units, drift) -> str:
 
 
 RO = "ro AS (SELECT '/in/' || c_custkey || '.wav' AS path, ok AS guard_ok, ready, ('0x' || substr(md5('/in/' || c_custkey || '.wav'), 1, 8))::BIGINT % 100 < 35 AS in_canary, c_custkey % 3 > 0 AS adaptive FROM gd), ap AS (SELECT *, in_canary AND guard_ok AND ready AND adaptive AS apply FROM ro)"
-_clean = lambda key, missing, fallback: f"CASE WHEN x IS NULL THEN {missing}::DOUBLE WHEN x = '-Infinity'::DOUBLE THEN -70.0::DOUBLE WHEN isnan(x) OR x = 'Infinity'::DOUBLE THEN {fallback}::DOUBLE ELSE x END AS {key}"
+_clean = lambda key, missing, fallback: f"CASE WHEN x IS NULL THEN ({missing})::DOUBLE WHEN x = '-Infinity'::DOUBLE THEN -70.0::DOUBLE WHEN isnan(x) OR x = 'Infinity'::DOUBLE THEN {fallback}::DOUBLE ELSE x END AS {key}"
 QUERIES = {
-    "batch_merge": batch_merge, "batch_summary": batch_summary, "balance_score": balance_score, "processing_profile": processing_profile, "mix_rating": mix_rating, "issue_flags": issue_flags, "guard_report": guard_report, "guard_report_lax": guard_report_lax,
+    "batch_merge": batch_merge, "batch_summary": batch_summary, "balance_score": balance_score, "guard_report": guard_report, "guard_report_lax": guard_report_lax,
     "validation_status": validation_status, "canary_bucket_md5": canary_bucket("md5"), "canary_bucket_sha256": canary_bucket("sha256"), "rollout_items": rollout_items, "rollout_report": rollout_report, "ab_integrity": ab_integrity, "before_after_delta": before_after_delta,
     "gain_reduction": gain_reduction, "stats_clean": stats_clean, "resume_pending": resume_pending, "cache_misses": cache_misses, "file_dedup_last_wins": file_dedup_last_wins, "tolerance_join": tolerance_join, "artifact_join": artifact_join, "stage_timings": stage_timings,
 }
@@ -184,11 +170,6 @@ ORACLES = {
  bool_or(mono) AS any_mono, round(avg(width), 4) AS width_avg, max(peak) AS peak_max, max(lufs) FILTER (WHERE lufs > -70) AS lufs_max, min(lra) FILTER (WHERE lufs > -70) AS lra_min, min(crest) FILTER (WHERE lufs > -70) AS crest_min, arg_max(dc, abs(dc)) AS dc_worst, round(median(bpm), 4) AS bpm_median FROM c GROUP BY s_nationkey""",
     "batch_summary": f"WITH {TR}, c AS (SELECT *, {_cat} AS cat FROM tr) SELECT s_nationkey, count(*) AS tracks, count(*) FILTER (WHERE clipped) AS clipped, count(*) FILTER (WHERE mono) AS mono, count(*) FILTER (WHERE voice > -10) AS vocals, round(avg(coalesce(lra, 0)), 4) AS lra_avg, arg_max(cat, {_rank}) FILTER (WHERE cat <> 'Unknown') AS noise_worst FROM c GROUP BY s_nationkey",
     "balance_score": "WITH l AS (SELECT l_suppkey, l_linenumber, max(l_quantity) AS level FROM lineitem GROUP BY ALL) SELECT l_suppkey, round(least(greatest(100 - 10 * stddev_pop(level), 0), 100), 4) AS score, max(level) - min(level) > 10 AS dynamic FROM l GROUP BY l_suppkey",
-    "processing_profile": f"WITH {CU} SELECT c_custkey, CASE WHEN lra < 4.5 AND crest < 8.5 THEN 'preserve' WHEN lra < 4.5 OR crest < 8.5 THEN 'gentle' ELSE 'full' END AS profile FROM cu",
-    "mix_rating": f"""WITH {CU}, s AS (SELECT c_custkey, CAST(100 - ((CASE WHEN abs(lufs + 14) <= 1 THEN 0 WHEN lufs + 14 < -3 THEN 20 WHEN lufs + 14 < -1 THEN 10 ELSE 15 END) + (CASE WHEN peak >= -1 THEN 25 WHEN peak >= -2 THEN 10 ELSE 0 END) + (CASE WHEN lra > 10 THEN 10 WHEN lra < 4 THEN 5 ELSE 0 END) + (CASE WHEN abs(off) > 3 THEN 10 ELSE 0 END)) AS INTEGER) AS score FROM cu)
- SELECT *, CASE WHEN score >= 85 THEN 'good' WHEN score >= 65 THEN 'fair' ELSE 'needs work' END AS label FROM s""",
-    "issue_flags": f"""WITH {CU} SELECT c_custkey, concat_ws(',', CASE WHEN lufs < -18 THEN 'quiet' END, CASE WHEN peak > -1 THEN 'hot_peak' END, CASE WHEN crest < 6 THEN 'dense' END, CASE WHEN lra < 4 THEN 'flat_range' END, CASE WHEN drift > 0.12::DOUBLE THEN 'wide' END) AS issues,
- concat_ws(',', CASE WHEN lufs > -20 THEN 'denoise' END, CASE WHEN peak > -0.1::DOUBLE THEN 'declip' END, CASE WHEN peak + 0.5::DOUBLE > -0.05::DOUBLE THEN 'declick' END) AS repair, abs(lufs + 14) > 0.30::DOUBLE OR peak - -1.5::DOUBLE > 0.20::DOUBLE AS recalibrate FROM cu""",
     "guard_report": f"WITH {CU}, {_guard(0.30, 0.10, 12, 8, 0.08)} SELECT c_custkey, blockers, warnings, ok FROM gd",
     "guard_report_lax": f"WITH {CU}, {_guard(0.45, 0.20, 16, 10, 0.12)} SELECT c_custkey, blockers, warnings, ok FROM gd",
     "validation_status": f"WITH {CU} SELECT CASE WHEN NOT coalesce(abs(lufs + 15.0::DOUBLE) <= 0.30::DOUBLE AND peak <= -1.0::DOUBLE + 0.20::DOUBLE AND lra >= 2, false) THEN 'FAIL' WHEN NOT coalesce(rate <= 12 AND units <= 8 AND worst < 2, false) THEN 'WARN' ELSE 'PASS' END AS status, count(*) AS n FROM cu GROUP BY 1",
@@ -201,8 +182,8 @@ ORACLES = {
     "before_after_delta": """WITH x AS (SELECT o_orderpriority, round(avg(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0), 2) AS before, round(avg(o_totalprice) FILTER (WHERE o_orderkey % 2 = 1), 2) AS after FROM orders GROUP BY o_orderpriority)
  SELECT *, CASE WHEN before IS NULL OR after IS NULL THEN 'N/A' ELSE printf('%+.1f', floor((after - before) * 10 + 0.5) / 10) END AS delta FROM x""",
     "gain_reduction": "WITH x AS (SELECT p_partkey, p_retailprice / 100 - 20 AS l FROM part), y AS (SELECT p_partkey, round(greatest(0.0::DOUBLE, (l + 18) * (1 - 1 / 1.4::DOUBLE)) + greatest(0.0::DOUBLE, (l + 8) * (1 - 1 / 4.0::DOUBLE)), 4) AS total FROM x) SELECT *, CASE WHEN total <= 6 THEN 'ok' WHEN total <= 8 THEN 'high' ELSE 'critical' END AS label FROM y",
-    "stats_clean": f"""WITH s AS (SELECT c_custkey, c_custkey % 7 AS k, CASE c_custkey % 7 WHEN 0 THEN '-Infinity'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN 'NaN'::DOUBLE WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE c_acctbal END AS x FROM customer)
- SELECT c_custkey, {_clean('input_i', -23.0, -70.0)}, {_clean('input_tp', -1.0, 0.0)}, {_clean('input_lra', 7.0, 0.0)}, {_clean('input_thresh', -33.0, 0.0)}, {_clean('target_offset', 0.0, 0.0)}, CASE WHEN k <= 4 THEN -100.0::DOUBLE ELSE x END AS number FROM s""",
+    "stats_clean": f"""WITH s AS (SELECT c_custkey, c_custkey % 7 AS k, CASE c_custkey % 7 WHEN 0 THEN '-Infinity'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN 'NaN'::DOUBLE WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE c_acctbal END AS x, c_acctbal AS y FROM customer)
+ SELECT c_custkey, {_clean('input_i', -23.0, -70.0)}, {_clean('input_tp', -1.0, 0.0)}, {_clean('input_lra', 7.0, 0.0)}, {_clean('input_thresh', 'y / 100 - 10', 0.0)}, {_clean('target_offset', 0.0, 0.0)}, CASE WHEN k <= 4 THEN -100.0::DOUBLE ELSE x END AS number FROM s""",
     "resume_pending": "SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40)",
     "cache_misses": "WITH k AS (SELECT md5(p_size || '|' || p_name) AS content_key, p_partkey FROM part) SELECT * FROM k WHERE content_key NOT IN (SELECT content_key FROM k WHERE p_partkey % 6 = 0)",
     "file_dedup_last_wins": "SELECT conv_id, role, turn, CAST(length(text) AS INTEGER) AS n FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1",

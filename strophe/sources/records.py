@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,3 +46,15 @@ def cached(wanted: DataFrame, cache: DataFrame, key: str = "content_key", versio
     values = F.map_values("band_stats")
     valid = cache.where((F.col("schema_version") == version) & (F.size(values) >= 6) & F.exists(values, lambda v: v > -69))
     return wanted.join(valid, key), wanted.join(valid.select(key), key, "left_anti")
+
+
+#: Bytes of a chunk that a content key reads.
+CHUNK = 1 << 20
+
+
+def content_key(content: Column, chunk: int = CHUNK) -> Column:
+    """The cache key of a file's bytes: MD5 of its size and first chunk, with the middle and the last one of a file of more than three."""
+    n = F.octet_length(content)
+    part = lambda at: F.substring(content, at + 1, F.lit(chunk))
+    more = F.when(n > 3 * chunk, F.concat(part(F.floor(n / 2).cast("int")), part(n - chunk))).otherwise(F.lit("").cast("binary"))
+    return F.md5(F.concat(n.cast("string").cast("binary"), part(F.lit(0)), more))

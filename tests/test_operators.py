@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strophe.functions import numeric, text
-from strophe.operators import batch, decisions, events, frames, joins, quality, sections, spectrum
+from strophe.operators import batch, decisions, diagnosis, events, frames, joins, quality, sections, spectrum
 from strophe.plans import actions, catalog
 
 
@@ -15,7 +15,7 @@ def rows(df, *columns):
 def test_gap_merge(spark):
     data = [(1, 0.0, "peak_risk", "high", 0.95), (1, 1.0, "peak_risk", "medium", 0.78), (1, 3.0, "peak_risk", "medium", 0.78), (1, 10.0, "peak_risk", "high", 0.95), (1, 1.0, "harshness_risk", "medium", 0.70), (1, 2.6, "harshness_risk", "high", 0.85)]
     df = spark.createDataFrame(data, "k int, t double, type string, severity string, confidence double")
-    want = [("harshness_risk", 1.0, 2.6, 2, "high", 0.77), ("peak_risk", 0.0, 1.0, 2, "high", 0.87), ("peak_risk", 3.0, 3.0, 1, "medium", 0.78), ("peak_risk", 10.0, 10.0, 1, "high", 0.95)]
+    want = [("harshness_risk", 1.0, 2.6, 2, "high", round((0.70 + 0.85) / 2, 2)), ("peak_risk", 0.0, 1.0, 2, "high", round((0.95 + 0.78) / 2, 2)), ("peak_risk", 3.0, 3.0, 1, "medium", 0.78), ("peak_risk", 10.0, 10.0, 1, "high", 0.95)]
     for shuffled in (df, df.orderBy(F.rand(3)).repartition(3)):
         assert rows(events.merge_by_gap(shuffled, ["k", "type"], "t", 1.6), "type", "start_t", "end_t", "samples", "severity", "confidence") == want
 
@@ -44,7 +44,7 @@ def test_single_frame_and_compaction(spark):
 def test_frame_rules(spark):
     df = spark.createDataFrame([(1, 0, 0.0, -10.0, -0.5, 3.0, -30.0, -26.0, -20.0, -15.0, -30.0)], "k int, frame int, t double, rms_db double, peak_db double, crest_db double, s double, b double, m double, h double, a double")
     got = rows(events.rule_events(df, "k", {"sub": "s", "bass": "b", "mid": "m", "high_mid": "h", "air": "a"}), "type", "severity", "confidence")
-    assert got == [("dynamic_flat", "medium", 0.6), ("harshness_risk", "high", 0.85), ("low_end_weak", "medium", 0.72), ("peak_risk", "high", 0.95)]
+    assert got == [("dynamic_flat", "low", 0.6), ("harshness_risk", "high", 0.85), ("low_end_weak", "medium", 0.72), ("peak_risk", "high", 0.95)]
 
 
 def test_integrity_of_half_a_signal(spark):
@@ -52,26 +52,88 @@ def test_integrity_of_half_a_signal(spark):
     assert rows(quality.integrity(df, ["k"], "b", "p")) == [(1, 4, -6.0206, 1.0, 0.25, 0)]
 
 
+ACTION = "plan int, pos long, function_id string, target string, operation string, params map<string,double>, evidence map<string,double>"
+
+
+def eq(spark, *moves):
+    """Gains of the multiband equaliser: (gain, band, evidence)."""
+    return spark.createDataFrame([(1, i, "audio.multiband.eq", band, "boost" if g > 0 else "cut" if g < 0 else "neutral", {"gain_db": g}, e) for i, (g, band, e) in enumerate(moves, 1)], ACTION)
+
+
 def test_budgets_never_net(spark):
-    df = spark.createDataFrame([(1, 1, "multiband.eq", "high_mid", -1.5), (1, 2, "multiband.eq", "air", 0.75)], "plan int, pos int, function_id string, target string, value double")
-    assert rows(actions.budgets(df), "cut", "boost", "left", "passed") == [(1.5, 0.75, 2.25, True)]
+    df = eq(spark, (-1.5, "high_mid", {"measured_excess_db": 2.1}), (0.75, "air", {"measured_deficit_db": 1.2}))
+    assert rows(actions.budgets(df), "tonal_cut", "tonal_boost", "tonal_boost_left", "tonal_cut_left", "status") == [(1.5, 0.75, 2.25, 4.5, "passed")]
 
 
 def test_ordered_admission(spark):
-    df = spark.createDataFrame([(1, 1, "multiband.eq", "mid", 1.5), (1, 2, "multiband.eq", "high_mid", 1.5), (1, 3, "multiband.eq", "air", 0.5), (1, 4, "multiband.eq", "air", 0.0)], "plan int, pos long, function_id string, target string, value double")
-    assert rows(actions.admit(df.repartition(3)), "pos", "outcome") == [(1, "accepted"), (2, "accepted"), (3, "rejected"), (4, "neutral")]
+    more = {"measured_deficit_db": 2.0}
+    df = eq(spark, (1.5, "mid", more), (1.5, "high_mid", more), (0.5, "air", more), (0.0, "air", more))
+    assert rows(actions.admit(df.repartition(3)), "pos", "outcome", "reason") == [(1, "accepted", None), (2, "accepted", None), (3, "rejected", actions.TONAL), (4, "neutral", None)]
+
+
+def test_single_limits_overlaps_and_evidence(spark):
+    more = {"measured_deficit_db": 2.0}
+    assert rows(actions.admit(eq(spark, (2.5, "air", more))), "outcome", "reason") == [("rejected", actions.TONAL)]
+    assert rows(actions.admit(eq(spark, (1.25, "air", more), (1.0, "air", more))), "outcome", "reason") == [("accepted", None), ("rejected", actions.OVERLAP)]
+    assert rows(actions.admit(eq(spark, (-1.0, "high_mid", {"band_rms_db": -15.0}))), "reason") == [(actions.TONAL,)]
+    gain = spark.createDataFrame([(1, 1, "audio.autogain.output_gain", None, "boost", {"gain_db": 1.0}, more), (2, 1, "audio.autogain.output_gain", None, "boost", {"gain_db": 1.0}, {"compensation_required_db": 1.0})], ACTION)
+    assert rows(actions.admit(gain), "plan", "outcome", "reason") == [(1, "rejected", actions.GAIN), (2, "accepted", None)]
+
+
+def test_conflicts_and_dense_material(spark):
+    params = {"drive_db": 2.0, "mix": 0.5, "amount": 1.0}
+    df = spark.createDataFrame([(1, 1, "audio.saturation.softclip", None, None, params, None), (1, 2, "audio.saturation.exciter", None, None, params, None)], ACTION)
+    assert rows(actions.admit(df.drop("evidence")), "outcome", "reason") == [("accepted", None), ("rejected", "conflict")]
+    assert rows(actions.admit(df.drop("evidence"), F.lit(True)), "outcome", "reason") == [("accepted", None), ("rejected", "dense material")]
 
 
 def test_plan_problems(spark):
-    df = spark.createDataFrame([(1, 1, "saturation.softclip", None, "mix", 0.5), (1, 2, "saturation.exciter", None, "mix", 2.0), (1, 3, "tone_eq", None, "gain_db", 1.0), (1, 4, "nothing", None, "mix", 0.1)], "plan int, pos long, function_id string, target string, parameter string, value double")
-    assert rows(actions.problems(df), "pos", "problem") == [(1, ""), (2, "out of range"), (3, "needs a band"), (4, "unknown function")]
-    assert rows(actions.plan_problems(df, ["spectrum", "lufs", "true_peak"])) == [(1, "saturation.exciter,saturation.softclip", "band_rms,crest_factor")]
+    df = spark.createDataFrame([(1, 1, "audio.saturation.softclip", None, None, {}, None), (1, 2, "audio.saturation.exciter", "air", None, {}, None), (1, 3, "tone_eq", None, None, {}, None), (1, 4, "nothing", None, None, {}, None), (1, 5, "tone_eq", "mid", "cut", {"gain_db": 1.0}, None), (1, 6, "loudness", None, "boost", {}, None)], ACTION)
+    assert rows(actions.problems(df), "pos", "operation", "problem") == [(1, "neutral", ""), (2, "boost", "takes no such band"), (3, "neutral", "needs a band"), (4, "protect", "unknown function"), (5, "cut", "contradicted"), (6, "boost", "unsupported")]
+    assert rows(actions.plan_problems(df, ["spectrum", "lufs", "true_peak"])) == [(1, "audio.saturation.exciter,audio.saturation.softclip", "band_rms,crest_factor,loudness_stats")]
+
+
+def test_parameters_have_types_choices_and_ranges(spark):
+    given = [("audio.repair.denoise", "level", "Auto"), ("audio.repair.pink_noise_compensation", "level", "Auto"), ("audio.loudness.normalize", "dual_mono", "1"), ("audio.tone_eq.low_pass", "poles", "1.5"), ("audio.tone_eq.low_pass", "poles", "3"), ("audio.glue.bus_compressor", "ratio", "true"), ("audio.glue.bus_compressor", "ratio", "0.5"), ("audio.limiter.true_peak", "oversampling", "3"), ("audio.limiter.true_peak", "speed", "3")]
+    got = actions.parameter_problems(spark.createDataFrame(given, "function_id string, parameter string, raw string")).collect()
+    assert {(r.function_id, r.parameter, r.raw): r.problem for r in got} == dict(zip(given, ["", "no choice", "not bool", "not int", "too high", "not float", "too low", "no choice", "unknown parameter"], strict=True))
+
+
+def test_guardrails_come_last(spark):
+    df = spark.createDataFrame([(1, 1, "audio.limiter.true_peak", None, None, {"ceiling_db": -0.5}, None), (1, 2, "audio.multiband.eq", "air", None, {"gain_db": 0.5}, None)], ACTION)
+    got = actions.guardrails(df, -15.5, -2.2).orderBy("step").collect()
+    assert [(r.function_id, r.injected) for r in got] == [("audio.multiband.eq", False), ("audio.loudness.normalize", True), ("audio.limiter.true_peak", False)]
+    assert got[1].params["target_lufs"] == -15.5 and got[2].params["ceiling_db"] == -2.2
 
 
 def test_catalog_is_sound():
-    names = [r[1] for r in catalog.rows()]
+    names = [f[0] for f in catalog.FUNCTIONS]
     assert len(names) == len(set(names)) == 36 and set(catalog.ALIASES.values()) <= set(names)
-    assert all(lo <= d <= hi for _, _, d, lo, hi in catalog.parameter_rows() if d is not None)
+    assert all(lo <= float(d) <= hi for _, _, kind, d, lo, hi, _ in catalog.parameter_rows() if kind == "float")
+    assert all(d in choices for *_, d, _, _, choices in catalog.parameter_rows() if choices)
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3])
+def test_rounding_is_python_s(spark, digits):
+    import random
+
+    r = random.Random(digits)
+    values = [0.865, 2.675, 0.125, -0.125, 1.005, 2.5, 3.5, -2.5, 0.0, 1e-9, *(r.uniform(-200, 200) for _ in range(300)), *(round(r.uniform(-50, 50), digits + 1) for _ in range(700))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for row in df.select("v", numeric.half_even(F.col("v"), digits).alias("w")).collect():
+        assert row.w == round(row.v, digits), row
+
+
+def test_profiles_and_ratings(spark):
+    df = spark.createDataFrame([(1, False, 9.0, 12.0, -4.0, "Good", -14.0, 60.0), (2, False, 4.5, 12.0, -4.0, "High", -14.0, 60.0), (3, False, 6.2, 9.5, -6.0, "Good", -16.0, 69.9), (4, False, 7.0, 9.0, -2.0, "Good", -14.0, 60.0)], "k int, clip boolean, lra double, crest double, peak double, noise string, lufs double, balance double")
+    p = diagnosis.profile(*(F.col(c) for c in ("clip", "lra", "crest", "peak", "noise", "lufs", "balance")))
+    got = {r.k: (r.p.label, r.p.reasons) for r in df.select("k", p.alias("p")).collect()}
+    assert got[1] == ("Agresivo", ["LRA amplio (9.0 LU)", "crest con headroom (12.0 dB)"])
+    assert got[2] == ("Conservador", ["LRA bajo (4.5 LU)", "ruido high"])
+    assert got[3] == ("Conservador", ["balance espectral justo (70/100)", "headroom moderado con LRA contenido (6.2 LU)"])
+    assert got[4] == ("Normal", ["LRA saludable (7.0 LU)", "crest razonable (9.0 dB)"])
+    r = df.select(diagnosis.rating(F.lit(-18.0), F.lit(-0.5), F.lit(3.0), F.lit(0.0), -14.0, -1.0).alias("r")).first().r
+    assert (r.score, r.label, len(r.advice.split("\n"))) == (50, "Necesita trabajo", 3)
 
 
 def test_canary_buckets(spark):
@@ -86,8 +148,9 @@ def test_keyword_score(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("Ana - Song_Mastered", "Ana"), ("Song", "Ana"), ("Song_master", ""), (" .:a/b ", None)], "s string, who string")
-    assert rows(df.select(text.output_stem(F.col("s"), F.col("who")))) == [("Ana - Song",), ("Ana - Song - Master",), ("Song",), ("a-b",)]
+    cases = [("Mi canción", "O-M-A", "O-M-A - Mi canción"), ("O-M-A - Mi canción", "O-M-A", "O-M-A - Mi canción - Master"), ("Mi canción_processed", "O-M-A", "O-M-A - Mi canción"), ("Tema: versión/uno", "O/M/A", "O-M-A - Tema- versión-uno"), ("Tema", "", "O-M-A - Tema"), ("_mix", None, "O-M-A - Sin título")]
+    df = spark.createDataFrame([c[:2] for c in cases], "s string, who string")
+    assert {(r.s, r.who): r.out for r in df.select("*", text.output_stem(F.col("s"), F.col("who")).alias("out")).collect()} == {c[:2]: c[2] for c in cases}
 
 
 def test_levels_of_silence_and_padding(spark):
