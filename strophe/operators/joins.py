@@ -20,21 +20,24 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: float) -> DataF
     return a.join(b, same & first & (F.least("a1", "b1") > F.greatest("a0", "b0"))).drop("_key", "_cell", "_b_cell")
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, rank: str, tolerance: Column, reach: float) -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, rank: str, tolerance: Column, reach: float, agrees: Column | None = None) -> DataFrame:
     """Each left row with the first (by ``rank``) right row of its keys whose ``y`` lies within the tolerance of ``x``.
 
-    reach: a bound of the tolerance; both sides are joined on cells of that width, a left row on three of them.
+    reach: the width of the cells that both sides are joined on; a left row is sent to all cells that its tolerance
+    touches, three or so where that is about the reach. agrees: what must hold of the first match; it is no reason to
+    look for another one.
     """
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    a = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", F.explode(F.array(cell(x) - 1, cell(x), cell(x) + 1)))
-    b = right.withColumn("_at", cell(y))
+    cell = lambda c: F.floor(c / reach).cast("long")
+    a = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", F.explode(F.sequence(cell(F.col(x) - tolerance), cell(F.col(x) + tolerance))))
+    b = right.withColumn("_at", cell(F.col(y)))
     for k in keys:
         b = b.withColumnRenamed(k, f"_{k}")
     on = (F.col("_cell") == F.col("_at")) & (F.abs(F.col(x) - F.col(y)) <= tolerance)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
     first = Window.partitionBy("_id").orderBy(rank)
-    return a.join(b, on).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_id", "_cell", "_at", "_rn", *(f"_{k}" for k in keys))
+    found = a.join(b, on).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_id", "_cell", "_at", "_rn", *(f"_{k}" for k in keys))
+    return found if agrees is None else found.where(agrees)
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -53,3 +56,28 @@ def outer_by_key(key: list[str], first: DataFrame, *others: DataFrame) -> DataFr
     for o in others:
         first = first.join(o, key, "left")
     return first
+
+
+def audited(logs: DataFrame, audits: DataFrame, key: str) -> DataFrame:
+    """Logs of applied plans whose audit passed, or that were never audited."""
+    state = audits.select(F.col(key).alias("_k"), F.col("status").alias("_audit"))
+    joined = logs.where(F.col("used_ai_strategy") & (F.col("status") == "applied")).join(state, F.col(key) == F.col("_k"), "left")
+    return joined.where(F.col("_k").isNull() | (F.col("_audit") == "passed")).drop("_k", "_audit")
+
+
+def with_overrides(rows: DataFrame, overrides: DataFrame, key: str, defaults: dict[str, float]) -> DataFrame:
+    """Settings by row: a key's own where it has one, the general ones elsewhere."""
+    own = overrides.select(F.col(key).alias("_k"), *(F.col(n).alias(f"_{n}") for n in defaults))
+    joined = rows.join(own, F.col(key) == F.col("_k"), "left")
+    return joined.withColumns({n: F.coalesce(f"_{n}", F.lit(d)) for n, d in defaults.items()}).drop("_k", *(f"_{n}" for n in defaults))
+
+
+def united_keys(a: Column, b: Column) -> Column:
+    """The keys of two maps, each once, in order."""
+    keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
+    return F.array_sort(F.array_union(keys(a), keys(b)))
+
+
+def first_of_each(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The first rows of each key, as a sample that everyone can repeat."""
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")

@@ -13,6 +13,7 @@ def integrity(rows: DataFrame, keys: list[str], before: str, after: str) -> Data
     return rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.round(20 * F.log10(F.greatest(rms(p), F.lit(1e-12)) / F.greatest(rms(b), F.lit(1e-12))), 4).alias("level_delta_db"),
+        F.round(20 * F.log10(F.greatest(rms(p - b), F.lit(1e-12))), 4).alias("delta_rms_db"),
         F.round(F.sum(b * p) / F.sqrt(F.sum(b * b) * F.sum(p * p)), 6).alias("correlation"),
         F.max(F.abs(p)).alias("peak"),
         F.count_if(F.abs(p) >= 0.999999).alias("clipped"),

@@ -355,6 +355,21 @@ def effective_order(actions: DataFrame) -> DataFrame:
     return actions.withColumn("step", F.row_number().over(Window.partitionBy("plan").orderBy(stage, "pos")))
 
 
+def plugin_order(moves: DataFrame) -> DataFrame:
+    """The order of plugins by plan after moves(plan, pos, plugin, place), each putting a plugin at a place, in turn; a place of -1 turns it off."""
+    spark = moves.sparkSession
+    start = F.array(*(F.lit(p) for p in catalog.PLUGINS))
+
+    def step(order: Column, m: Column) -> Column:
+        rest = F.array_remove(order, m["plugin"])
+        at = F.least(m["place"], F.size(rest))
+        return F.when(m["place"] < 0, rest).otherwise(F.concat(F.slice(rest, F.lit(1), at), F.array(m["plugin"]), F.slice(rest, at + 1, F.size(rest))))
+
+    known = moves.join(F.broadcast(catalog.plugins(spark).select(F.col("plugin").alias("_p"))), F.col("plugin") == F.col("_p"))
+    folded = known.groupBy("plan").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("pos", "plugin", "place"))), start, step).alias("order"))  # one plan's moves
+    return folded
+
+
 def graph(actions: DataFrame) -> DataFrame:
     """A plan as one chain of stages: neighbouring actions of a plugin that shares its stage are one stage.
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..operators import batch, decisions, joins, quality
+from ..plans import actions, catalog
+from ..sources import records
 
 
 def table(spark, sf_dir, name):
@@ -33,7 +35,7 @@ def batch_summary(spark, sf_dir):
     t = tracks(spark, sf_dir).withColumn("noise", batch.noise_category(F.col("noise_db")))
     rank = sum((F.when(F.col("noise") == c, i).otherwise(0) for i, c in enumerate(batch.NOISE[:-1])), F.lit(0))
     known = F.when(F.col("noise") != "Unknown", rank)
-    return t.groupBy("s_nationkey").agg(F.count("*").alias("tracks"), F.count_if("clipped").alias("clipped"), F.count_if("mono").alias("mono"), F.count_if(F.col("voice") > -10).alias("vocals"), F.round(F.avg(F.coalesce("lra", F.lit(0.0))), 4).alias("lra_avg"), F.max_by("noise", known).alias("noise_worst"))
+    return t.groupBy("s_nationkey").agg(F.count("*").alias("tracks"), F.count_if("clipped").alias("clipped"), F.count_if("mono").alias("mono"), F.count_if(F.col("voice") > -10).alias("vocals"), F.round(F.avg(F.coalesce("lra", F.lit(0.0))), 4).alias("lra_avg"), F.round(F.avg(F.coalesce("lufs", F.lit(0.0))), 4).alias("lufs_avg"), F.round(F.avg(F.coalesce("peak", F.lit(0.0))), 4).alias("peak_avg"), F.round(F.avg("width"), 4).alias("width_avg"), F.max_by("noise", known).alias("noise_worst"))
 
 
 def balance_score(spark, sf_dir):
@@ -144,6 +146,58 @@ def stage_timings(spark, sf_dir):
     return c.withColumn("avg_chars", F.round(F.col("chars") / F.col("turns"), 4))
 
 
+def log_scrape(spark, sf_dir):
+    """Figures from logs made from orders: levels, volumes, closing lines and the last measured block."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    price = F.floor(F.col("o_totalprice")).cast("long").cast("string")
+    parts = [
+        F.when(k % 3 > 0, F.concat(F.lit("Overall.RMS level dB: -"), price)), F.when(k % 5 > 0, F.concat(F.lit("RMS_level = -"), k.cast("string"), F.lit(".5"))), F.when(k % 7 > 0, F.lit("Overall.RMS level dB: -inf")), F.when(k % 2 == 0, F.concat(F.lit("mean_volume: -"), k.cast("string"), F.lit(" dB"))),
+        F.concat(F.lit("Output integrated:  -"), price, F.lit(".25 LUFS")), F.when(k % 11 == 0, F.lit("Output LRA: nan LU")), F.lit('{ "input_i": "x" }'), F.when(k % 4 == 0, F.concat(F.lit('{\n"input_i" : "-'), price, F.lit('", "input_tp": "1"}'))),
+    ]
+    log = F.concat_ws("\n", *parts)
+    lines = records.loudness_lines(F.col("log"))
+    return o.select("o_orderkey", log.alias("log")).select("o_orderkey", records.rms_level(F.col("log")).alias("rms"), records.volume(F.col("log"), "mean").alias("mean_volume"), lines["input_i"].alias("input_i"), F.isnan(lines["input_lra"]).alias("lra_nan"), records.loudness_block(F.col("log"))["input_i"].alias("block"))
+
+
+def audited_logs(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    logs = o.select("o_orderkey", (k % 3 > 0).alias("used_ai_strategy"), F.when(k % 4 > 0, "applied").otherwise("failed").alias("status"))
+    audits = o.where("o_orderkey % 5 > 0").select("o_orderkey", F.when(F.col("o_totalprice") > 100000, "passed").otherwise("warning").alias("status"))
+    return joins.audited(logs, audits, "o_orderkey").select("o_orderkey")
+
+
+def fade_overrides(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    own = c.where("c_custkey % 4 = 0").select("c_custkey", (k % 10 / 4).alias("fade_in"), F.when(k % 8 == 0, k % 7 / 2).alias("fade_out"))
+    return joins.with_overrides(c.select("c_custkey"), own, "c_custkey", {"fade_in": 0.0, "fade_out": 1.5})
+
+
+def united_keys(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    bands = F.array(*(F.lit(b) for b in ("sub_bass", "bass", "low_mid", "mid", "high_mid", "air")))
+    some = lambda n: F.map_from_entries(F.filter(F.transform(bands, lambda b, i: F.struct(b.alias("key"), i.alias("value"))), lambda e: (k + e["value"]) % n == 0))
+    return p.select("p_partkey", F.array_join(joins.united_keys(some(3), F.when(k % 5 > 0, some(4))), ",").alias("keys"))
+
+
+def first_samples(spark, sf_dir):
+    return joins.first_of_each(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], 5)
+
+
+def render_caps(spark, sf_dir):
+    """The first 20 lines of an order, in order, as a report shows them, and how many it leaves out."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey"))).alias("all"))  # one supplier's lines
+    shown = F.transform(F.slice("all", 1, 20), lambda x: F.concat_ws("-", x["l_orderkey"].cast("string"), x["l_linenumber"].cast("string"), x["l_partkey"].cast("string")))
+    return li.select("l_suppkey", F.array_join(shown, ",").alias("shown"), F.greatest(F.size("all") - 20, F.lit(0)).cast("long").alias("more"))
+
+
+def plugin_order(spark, sf_dir):
+    """Moves of plugins: each order's lines, in turn, put one at a place."""
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    names = F.array(*(F.lit(p) for p in [*catalog.PLUGINS, "audio.unknown"]))
+    moves = li.select(F.col("l_orderkey").alias("plan"), (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey")).alias("pos"), F.get(names, (F.col("l_partkey") % 16).cast("int")).alias("plugin"), (F.col("l_suppkey") % 18 - 1).cast("int").alias("place"))
+    return actions.plugin_order(moves).select("plan", F.array_join("order", ",").alias("order"))
+
+
 TR = """tr AS (SELECT l_suppkey, s_nationkey, hi / 1000 - 100 AS band_db, -100 * d1 AS voice, clips > 60 AS clipped, clips, CASE WHEN n % 11 > 0 THEN -30 - q0 - n % 20 END AS noise_db, ln < 7 AS mono, CAST(n % 50 AS DOUBLE) AS width, -10 * t1 AS peak, -10.0::DOUBLE - n % 80 AS lufs, CAST(n % 17 AS DOUBLE) AS lra,
  CAST(n % 13 AS DOUBLE) AS crest, d0 - t1 AS dc, 60.0::DOUBLE + n % 120 AS bpm FROM (SELECT l_suppkey, count(*) AS n, max(l_extendedprice) AS hi, min(l_discount) AS d0, max(l_discount) AS d1, max(l_tax) AS t1, count(*) FILTER (WHERE l_quantity >= 45) AS clips, min(l_quantity) AS q0, max(l_linenumber) AS ln FROM lineitem GROUP BY l_suppkey) JOIN supplier ON l_suppkey = s_suppkey)"""
 _cat = "CASE WHEN noise_db IS NULL THEN 'Unknown' WHEN noise_db <= -60 THEN 'Excellent' WHEN noise_db <= -50 THEN 'Good' WHEN noise_db <= -40 THEN 'Moderate' WHEN noise_db <= -30 THEN 'High' ELSE 'VeryHigh' END"
@@ -164,11 +218,12 @@ QUERIES = {
     "batch_merge": batch_merge, "batch_summary": batch_summary, "balance_score": balance_score, "guard_report": guard_report, "guard_report_lax": guard_report_lax,
     "validation_status": validation_status, "canary_bucket_md5": canary_bucket("md5"), "canary_bucket_sha256": canary_bucket("sha256"), "rollout_items": rollout_items, "rollout_report": rollout_report, "ab_integrity": ab_integrity, "before_after_delta": before_after_delta,
     "gain_reduction": gain_reduction, "stats_clean": stats_clean, "resume_pending": resume_pending, "cache_misses": cache_misses, "file_dedup_last_wins": file_dedup_last_wins, "tolerance_join": tolerance_join, "artifact_join": artifact_join, "stage_timings": stage_timings,
+    "log_scrape": log_scrape, "audited_logs": audited_logs, "fade_overrides": fade_overrides, "united_keys": united_keys, "first_samples": first_samples, "render_caps": render_caps, "plugin_order": plugin_order,
 }
 ORACLES = {
     "batch_merge": f"""WITH {TR}, c AS (SELECT *, {_cat} AS cat FROM tr) SELECT s_nationkey, count(*) AS tracks, round(avg(coalesce(band_db, -100)), 4) AS band_avg, max(voice) AS voice_max, bool_or(clipped) AS any_clipped, CAST(sum(clips) AS BIGINT) AS clips, max(noise_db) AS noise_max, arg_max(cat, {_rank}) AS noise_worst,
  bool_or(mono) AS any_mono, round(avg(width), 4) AS width_avg, max(peak) AS peak_max, max(lufs) FILTER (WHERE lufs > -70) AS lufs_max, min(lra) FILTER (WHERE lufs > -70) AS lra_min, min(crest) FILTER (WHERE lufs > -70) AS crest_min, arg_max(dc, abs(dc)) AS dc_worst, round(median(bpm), 4) AS bpm_median FROM c GROUP BY s_nationkey""",
-    "batch_summary": f"WITH {TR}, c AS (SELECT *, {_cat} AS cat FROM tr) SELECT s_nationkey, count(*) AS tracks, count(*) FILTER (WHERE clipped) AS clipped, count(*) FILTER (WHERE mono) AS mono, count(*) FILTER (WHERE voice > -10) AS vocals, round(avg(coalesce(lra, 0)), 4) AS lra_avg, arg_max(cat, {_rank}) FILTER (WHERE cat <> 'Unknown') AS noise_worst FROM c GROUP BY s_nationkey",
+    "batch_summary": f"WITH {TR}, c AS (SELECT *, {_cat} AS cat FROM tr) SELECT s_nationkey, count(*) AS tracks, count(*) FILTER (WHERE clipped) AS clipped, count(*) FILTER (WHERE mono) AS mono, count(*) FILTER (WHERE voice > -10) AS vocals, round(avg(coalesce(lra, 0)), 4) AS lra_avg, round(avg(coalesce(lufs, 0)), 4) AS lufs_avg, round(avg(coalesce(peak, 0)), 4) AS peak_avg, round(avg(width), 4) AS width_avg, arg_max(cat, {_rank}) FILTER (WHERE cat <> 'Unknown') AS noise_worst FROM c GROUP BY s_nationkey",
     "balance_score": "WITH l AS (SELECT l_suppkey, l_linenumber, max(l_quantity) AS level FROM lineitem GROUP BY ALL) SELECT l_suppkey, round(least(greatest(100 - 10 * stddev_pop(level), 0), 100), 4) AS score, max(level) - min(level) > 10 AS dynamic FROM l GROUP BY l_suppkey",
     "guard_report": f"WITH {CU}, {_guard(0.30, 0.10, 12, 8, 0.08)} SELECT c_custkey, blockers, warnings, ok FROM gd",
     "guard_report_lax": f"WITH {CU}, {_guard(0.45, 0.20, 16, 10, 0.12)} SELECT c_custkey, blockers, warnings, ok FROM gd",
@@ -178,7 +233,7 @@ ORACLES = {
     "rollout_items": f"WITH {CU}, {_guard(0.30, 0.10, 12, 8, 0.08)}, {RO} SELECT path, in_canary, apply FROM ap",
     "rollout_report": f"WITH {CU}, {_guard(0.30, 0.10, 12, 8, 0.08)}, {RO} SELECT count(*) AS items, count(*) FILTER (WHERE in_canary) AS canary, count(*) FILTER (WHERE apply) AS applied, round(count(*) FILTER (WHERE guard_ok) / count(*), 4) AS guard_rate, round(count(*) FILTER (WHERE ready) / count(*), 4) AS ready_rate, round(count(*) FILTER (WHERE apply) / count(*), 4) AS apply_rate FROM ap",
     "ab_integrity": """WITH x AS (SELECT l_returnflag, l_linestatus, l_extendedprice / 100000 AS b, l_extendedprice / 100000 * (1 - l_discount) AS p FROM lineitem)
- SELECT l_returnflag, l_linestatus, count(*) AS n, round(20 * log10(sqrt(avg(p * p)) / sqrt(avg(b * b))), 4) AS level_delta_db, round(sum(b * p) / sqrt(sum(b * b) * sum(p * p)), 6) AS correlation, max(abs(p)) AS peak, count(*) FILTER (WHERE abs(p) >= 0.999999) AS clipped FROM x GROUP BY l_returnflag, l_linestatus""",
+ SELECT l_returnflag, l_linestatus, count(*) AS n, round(20 * log10(sqrt(avg(p * p)) / sqrt(avg(b * b))), 4) AS level_delta_db, round(sum(b * p) / sqrt(sum(b * b) * sum(p * p)), 6) AS correlation, round(20 * log10(greatest(1e-12, sqrt(avg((p - b) * (p - b))))), 4) AS delta_rms_db, max(abs(p)) AS peak, count(*) FILTER (WHERE abs(p) >= 0.999999) AS clipped FROM x GROUP BY l_returnflag, l_linestatus""",
     "before_after_delta": """WITH x AS (SELECT o_orderpriority, round(avg(o_totalprice) FILTER (WHERE o_orderkey % 2 = 0), 2) AS before, round(avg(o_totalprice) FILTER (WHERE o_orderkey % 2 = 1), 2) AS after FROM orders GROUP BY o_orderpriority)
  SELECT *, CASE WHEN before IS NULL OR after IS NULL THEN 'N/A' ELSE printf('%+.1f', floor((after - before) * 10 + 0.5) / 10) END AS delta FROM x""",
     "gain_reduction": "WITH x AS (SELECT p_partkey, p_retailprice / 100 - 20 AS l FROM part), y AS (SELECT p_partkey, round(greatest(0.0::DOUBLE, (l + 18) * (1 - 1 / 1.4::DOUBLE)) + greatest(0.0::DOUBLE, (l + 8) * (1 - 1 / 4.0::DOUBLE)), 4) AS total FROM x) SELECT *, CASE WHEN total <= 6 THEN 'ok' WHEN total <= 8 THEN 'high' ELSE 'critical' END AS label FROM y",
@@ -190,4 +245,16 @@ ORACLES = {
     "tolerance_join": "SELECT o_orderkey, p_partkey, o_totalprice / 100 AS x, p_retailprice AS y FROM orders JOIN part ON o_orderkey % 5 = p_partkey % 5 AND abs(o_totalprice / 100 - p_retailprice) <= greatest(0.01::DOUBLE, o_totalprice / 100 * 0.0001::DOUBLE) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY p_partkey) = 1",
     "artifact_join": "SELECT o_orderkey, coalesce(lines, 0) AS lines, coalesce(worst, -1.0::DOUBLE) AS worst FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS lines FROM lineitem WHERE l_quantity > 48 GROUP BY 1) a ON a.k = o_orderkey LEFT JOIN (SELECT l_orderkey AS k, max(l_tax) AS worst FROM lineitem WHERE l_discount > 0.09 GROUP BY 1) b ON b.k = o_orderkey",
     "stage_timings": "SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum(length(text)) / count(*), 4) AS avg_chars FROM conversations GROUP BY role",
+    "log_scrape": """WITH l AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders)
+ SELECT k AS o_orderkey, CASE WHEN k % 3 > 0 THEN -p::DOUBLE WHEN k % 5 > 0 THEN -(k + 0.5e0) END AS rms, CASE WHEN k % 2 = 0 THEN -k::DOUBLE END AS mean_volume, -(p + 0.25e0) AS input_i, k % 11 = 0 AS lra_nan, CASE WHEN k % 4 = 0 THEN '-' || p ELSE 'x' END AS block FROM l""",
+    "audited_logs": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 AND (o_orderkey % 5 = 0 OR o_totalprice > 100000)",
+    "fade_overrides": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 10 / 4 ELSE 0e0 END AS fade_in, CASE WHEN c_custkey % 8 = 0 THEN c_custkey % 7 / 2 ELSE 1.5e0 END AS fade_out FROM customer",
+    "united_keys": "WITH b(i, band) AS (VALUES (0, 'sub_bass'), (1, 'bass'), (2, 'low_mid'), (3, 'mid'), (4, 'high_mid'), (5, 'air')) SELECT p_partkey, coalesce(string_agg(band, ',' ORDER BY band) FILTER (WHERE (p_partkey + i) % 3 = 0 OR (p_partkey % 5 > 0 AND (p_partkey + i) % 4 = 0)), '') AS keys FROM part, b GROUP BY p_partkey",
+    "first_samples": "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5",
+    "render_caps": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem) SELECT l_suppkey, string_agg(l_orderkey || '-' || l_linenumber || '-' || l_partkey, ',' ORDER BY rn) FILTER (WHERE rn <= 20) AS shown, count(*) FILTER (WHERE rn > 20) AS more FROM r GROUP BY l_suppkey",
+    "plugin_order": f"""WITH RECURSIVE m AS (SELECT l_orderkey AS plan, list_extract([{', '.join(f"'{p}'" for p in [*catalog.PLUGINS, 'audio.unknown'])}], l_partkey % 16 + 1) AS plugin, l_suppkey % 18 - 1 AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem WHERE l_orderkey % 4 = 0 AND l_partkey % 16 < 15),
+ n AS (SELECT plan, plugin, place, row_number() OVER (PARTITION BY plan ORDER BY q) AS k FROM m),
+ w AS (SELECT DISTINCT plan, 0::BIGINT AS k, [{', '.join(f"'{p}'" for p in catalog.PLUGINS)}] AS o FROM n
+  UNION ALL SELECT plan, k, CASE WHEN place < 0 THEN rest ELSE rest[1:least(place, len(rest))] || [plugin] || rest[least(place, len(rest)) + 1:] END FROM (SELECT w.plan, n.k, n.plugin, n.place, list_filter(w.o, lambda x: x <> n.plugin) AS rest FROM w JOIN n ON n.plan = w.plan AND n.k = w.k + 1))
+ SELECT plan, array_to_string(arg_max(o, k), ',') AS "order" FROM w GROUP BY plan""",
 }

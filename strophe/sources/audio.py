@@ -17,10 +17,10 @@ BANDS = {"sub": (20, 60), "bass": (60, 250), "low_mid": (250, 500), "mid": (500,
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, length and modified of the audio files below a folder; contents aren't read."""
+    """path, name, length and modified of the audio files below a folder, by path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified")).orderBy("path")
 
 
 def merged_listing(*listings: DataFrame) -> DataFrame:
@@ -46,24 +46,60 @@ def _samples(raw: bytes, width: int, channels: int) -> np.ndarray:
 
 
 def probe(spark: SparkSession, folder: str) -> DataFrame:
-    """duration, sample_rate, channels and bit_depth of each WAV file; nulls and an error for what can't be read."""
-    schema = pa.schema([("path", pa.string()), ("duration", pa.float64()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("bit_depth", pa.int32()), ("error", pa.string())])
+    """duration, sample_rate, channels, bit_depth, codec, format and bitrate of each WAV file; nulls and an error for what can't be read."""
+    kinds = {"path": pa.string(), "duration": pa.float64(), "sample_rate": pa.int32(), "channels": pa.int32(), "bit_depth": pa.int32(), "codec": pa.string(), "format": pa.string(), "bitrate": pa.int64(), "error": pa.string()}
+    schema = pa.schema(list(kinds.items()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, content in zip(b["path"].to_pylist(), b["content"], strict=True):
-                row = dict.fromkeys(schema.names) | {"path": path}
+                row, data = dict.fromkeys(schema.names) | {"path": path}, content.as_py()
                 try:
-                    with wave.open(io.BytesIO(content.as_py())) as w:
-                        row |= {"duration": w.getnframes() / w.getframerate(), "sample_rate": w.getframerate(), "channels": w.getnchannels(), "bit_depth": 8 * w.getsampwidth()}
+                    with wave.open(io.BytesIO(data)) as w:
+                        seconds, bits = w.getnframes() / w.getframerate(), 8 * w.getsampwidth()
+                        row |= {"duration": seconds, "sample_rate": w.getframerate(), "channels": w.getnchannels(), "bit_depth": bits, "codec": f"pcm_{'u8' if bits == 8 else f's{bits}le'}", "format": "wav", "bitrate": int(len(data) * 8 / seconds) if seconds else None}
                 except (wave.Error, EOFError) as x:
                     row["error"] = str(x) or type(x).__name__
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").endswith(".wav"))
-    return files.select("path", "content").mapInArrow(work, "path string, duration double, sample_rate int, channels int, bit_depth int, error string")
+    return _wavs(spark, folder).mapInArrow(work, "path string, duration double, sample_rate int, channels int, bit_depth int, codec string, format string, bitrate long, error string")
+
+
+def _wavs(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.where(F.lower("path").endswith(".wav")).select("path", "content")
+
+
+def decoded(spark: SparkSession, folder: str, seconds: float = 30.0, center: bool = False, rate: int | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """Samples of each WAV file in chunks: path, sample_rate, first (the place of a chunk's first sample), left, right and mono.
+
+    The first ``seconds`` of a file, or the middle ones. rate: samples a second to which they are brought by linear
+    interpolation; None keeps the file's own. A file of one channel has it on both sides; one that can't be read has no rows.
+    """
+    floats = pa.list_(pa.float32())
+    schema = pa.schema([("path", pa.string()), ("sample_rate", pa.int32()), ("first", pa.int64()), ("left", floats), ("right", floats), ("mono", floats)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["path"].to_pylist(), b["content"], strict=True):
+                try:
+                    w = wave.open(io.BytesIO(content.as_py()))
+                except (wave.Error, EOFError):
+                    continue
+                own, n = w.getframerate(), w.getnframes()
+                most = int(seconds * own)
+                w.setpos(max(0, int((n - most) / 2)) if center else 0)
+                x = _samples(w.readframes(min(n, most)), w.getsampwidth(), w.getnchannels())
+                if rate and rate != own and len(x):
+                    at = np.arange(int(len(x) * rate / own)) * (own / rate)
+                    x = np.stack([np.interp(at, np.arange(len(x)), c) for c in x.T], 1).astype(np.float32)
+                for i in range(0, len(x), chunk):
+                    part = x[i : i + chunk]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((path, rate or own, i, part[:, 0], part[:, min(1, part.shape[1] - 1)], part.mean(1)), schema.types, strict=True)], schema=schema)
+
+    return _wavs(spark, folder).mapInArrow(work, "path string, sample_rate int, first long, left array<float>, right array<float>, mono array<float>")
 
 
 def frames(spark: SparkSession, folder: str, size: float = 1.0, hop: float = 1.0) -> DataFrame:
@@ -105,5 +141,4 @@ def frames(spark: SparkSession, folder: str, size: float = 1.0, hop: float = 1.0
                         break
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema.types, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").endswith(".wav"))
-    return files.select("path", "content").mapInArrow(work, ", ".join(f"{f.name} {'string' if f.name == 'path' else 'bigint' if f.name == 'frame' else 'double'}" for f in schema))
+    return _wavs(spark, folder).mapInArrow(work, ", ".join(f"{f.name} {'string' if f.name == 'path' else 'bigint' if f.name == 'frame' else 'double'}" for f in schema))

@@ -58,3 +58,47 @@ def content_key(content: Column, chunk: int = CHUNK) -> Column:
     part = lambda at: F.substring(content, at + 1, F.lit(chunk))
     more = F.when(n > 3 * chunk, F.concat(part(F.floor(n / 2).cast("int")), part(n - chunk))).otherwise(F.lit("").cast("binary"))
     return F.md5(F.concat(n.cast("string").cast("binary"), part(F.lit(0)), more))
+
+
+#: What the lines of a loudness log are called, and the figure that each gives.
+LOUDNESS_LINES = {
+    "input_i": r"Output Integrated:\s*(-?(?:\d+(?:\.\d+)?|inf|nan))\s*LUFS",
+    "input_tp": r"Output True Peak:\s*(-?(?:\d+(?:\.\d+)?|inf|nan))\s*dBTP",
+    "input_lra": r"Output LRA:\s*(-?(?:\d+(?:\.\d+)?|inf|nan))\s*LU",
+    "input_thresh": r"Output Threshold:\s*(-?(?:\d+(?:\.\d+)?|inf|nan))\s*LUFS",
+    "target_offset": r"Target Offset:\s*(-?(?:\d+(?:\.\d+)?|inf|nan))\s*LU",
+}
+RMS_LINE = r"RMS[_ ]level(?:\s*dB)?\s*[:=]\s*(-?(?:\d+(?:\.\d+)?|inf|nan))"
+VOLUME_LINE = r"{name}_volume:\s*(-?\d+\.?\d*)\s*dB"
+
+
+def as_number(text: Column) -> Column:
+    """inf and nan are numbers here, what is no number is null."""
+    return text.try_cast("double")
+
+
+def last_finite(log: Column, pattern: str) -> Column:
+    """The last finite figure that a pattern finds in a log."""
+    found = F.transform(F.regexp_extract_all(log, F.lit(f"(?i){pattern}"), F.lit(1)), as_number)
+    return F.try_element_at(F.filter(found, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(-1))
+
+
+def rms_level(log: Column) -> Column:
+    """The last finite overall level, or else the last finite level of any channel."""
+    return F.coalesce(last_finite(log, r"Overall\." + RMS_LINE), last_finite(log, RMS_LINE))
+
+
+def volume(log: Column, name: str) -> Column:
+    """The mean or the max of a volume report."""
+    return as_number(F.nullif(F.regexp_extract(log, VOLUME_LINE.format(name=name), 1), F.lit("")))
+
+
+def loudness_lines(log: Column) -> dict[str, Column]:
+    """The figures of the closing lines of a loudness log; null where a line is missing."""
+    return {n: as_number(F.nullif(F.regexp_extract(log, f"(?i){p}", 1), F.lit(""))) for n, p in LOUDNESS_LINES.items()}
+
+
+def loudness_block(log: Column) -> Column:
+    """The last block of measured figures in a log, as a map of texts; null without one."""
+    blocks = F.regexp_extract_all(log, F.lit(r'(?s)(\{\s*"input_i".*?\})'), F.lit(1))
+    return F.from_json(F.try_element_at(blocks, F.lit(-1)), "map<string,string>")

@@ -34,8 +34,7 @@ def cuts(stream: DataFrame, key: str, order: str, value: str, jump: float, least
     def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, was = state.get if state.exists else (0, 0, None)
         found = []
-        for x in pd.concat(list(rows)).sort_values(order).itertuples(index=False):
-            v = float(getattr(x, value))
+        for v in pd.concat(list(rows)).sort_values(order)[value].astype(float).tolist():  # each cut depends on the one before
             if n == 0 or (abs(v - was) > jump and n - last >= least):
                 found.append((k[0], n, v))
                 last = n

@@ -49,7 +49,7 @@ def test_frame_rules(spark):
 
 def test_integrity_of_half_a_signal(spark):
     df = spark.createDataFrame([(1, x, x / 2) for x in (0.5, -0.5, 0.25, -0.25)], "k int, b double, p double")
-    assert rows(quality.integrity(df, ["k"], "b", "p")) == [(1, 4, -6.0206, 1.0, 0.25, 0)]
+    assert rows(quality.integrity(df, ["k"], "b", "p")) == [(1, 4, -6.0206, -14.0824, 1.0, 0.25, 0)]
 
 
 ACTION = "plan int, pos long, function_id string, target string, operation string, params map<string,double>, evidence map<string,double>"

@@ -23,6 +23,7 @@ def test_wav_probe_and_frames(spark, tmp_path):
     assert [r.name for r in audio.listing(spark, str(tmp_path)).orderBy("name").collect()] == ["a.wav", "b.WAV"]
     got = {r.path[-5:]: r for r in audio.probe(spark, str(tmp_path)).collect()}
     assert (got["a.wav"].duration, got["a.wav"].sample_rate, got["a.wav"].channels, got["a.wav"].bit_depth) == (2.2, 8000, 2, 16) and got["b.WAV"].error
+    assert (got["a.wav"].codec, got["a.wav"].format, got["a.wav"].bitrate) == ("pcm_s16le", "wav", int((17600 * 4 + 44) * 8 / 2.2))
     rows = audio.frames(spark, str(tmp_path)).orderBy("frame").collect()
     assert [r.t for r in rows] == [0.0, 1.0, 2.0]
     assert abs(rows[0].rms_db + 9.03) < 0.05 and abs(rows[0].crest_db - 3.01) < 0.05
@@ -67,3 +68,45 @@ def test_reports(spark, tmp_path):
     assert df.select(sinks.markdown(F.col("track"), {"LUFS": F.col("lufs"), "LRA": F.lit(None)})).first()[0] == "# a\n\n- **LUFS**: -14.126\n- **LRA**: n/a"
     sinks.json_reports(df, str(tmp_path / "j"), "track")
     assert spark.read.json(str(tmp_path / "j")).count() == 1
+
+
+def test_decoded_segments(spark, tmp_path):
+    write_wav(tmp_path / "a.wav", 2.0, 100, rate=1000)
+    whole = audio.decoded(spark, str(tmp_path), chunk=600).orderBy("first").collect()
+    assert [(r.first, len(r.left)) for r in whole] == [(0, 600), (600, 600), (1200, 600), (1800, 200)] and whole[0].left == whole[0].right
+    flat = [x for r in whole for x in r.mono]
+    middle = audio.decoded(spark, str(tmp_path), seconds=0.5, center=True).first()
+    assert list(middle.mono) == flat[750:1250]
+    slow = audio.decoded(spark, str(tmp_path), rate=500).first()
+    assert slow.sample_rate == 500 and list(slow.mono) == flat[::2]
+
+
+def test_cache_puts_invalidations_and_size(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    entry = lambda k, v: spark.createDataFrame([(k, v)], "content_key string, rms double")
+    sinks.cache_put(entry("a", -1.0), path), sinks.cache_put(entry("b", -2.0), path), sinks.cache_put(entry("a", -3.0), path)
+    assert sorted((r.content_key, r.rms) for r in sinks.cache(spark, path).collect()) == [("a", -3.0), ("b", -2.0)]
+    sinks.cache_invalidate(spark.createDataFrame([("b",)], "content_key string"), path)
+    n, size = sinks.cache_size(spark, path)
+    assert n == 1 and size > 0
+    sinks.cache_put(entry("b", -4.0), path)
+    assert sinks.cache_clear(spark, path) == 2 and sinks.cache(spark, path).count() == 0
+
+
+def test_checkpoints_and_report_files(spark, tmp_path):
+    done = str(tmp_path / "done")
+    for p in (["/a", "/b"], ["/b", "/c"]):
+        sinks.mark_completed(spark.createDataFrame([(x,) for x in p], "path string"), done)
+    assert sorted(r.path for r in sinks.completed(spark, done).collect()) == ["/a", "/b", "/c"]
+    df = spark.createDataFrame([("x", -14.0), ("y", -9.5)], "track string, lufs double")
+    sinks.report_pairs(df, str(tmp_path / "log"), "track", "guard", {"LUFS": F.col("lufs")})
+    assert spark.read.json(str(tmp_path / "log/guard.json")).count() == 2
+    assert (spark.read.text(str(tmp_path / "log/guard.md/track=y")).collect()[-1].value) == "- **LUFS**: -9.5"
+    assert spark.read.json(sinks.rollout_report(df, str(tmp_path), "2026-01-01")).count() == 2
+
+
+def test_log_figures(spark):
+    log = "RMS level dB: -20.5\nOverall.RMS_level = -18.25\nOverall.RMS level dB: -inf\nmean_volume: -19.1 dB\nmax_volume: -0.5 dB\nOutput True Peak:   -1.2 dBTP\n{ \"input_i\" : \"-1\" }\n{\n\"input_i\" : \"-23.1\", \"input_tp\" : \"-inf\"\n}"
+    c = F.col("log")
+    row = spark.createDataFrame([(log,)], "log string").select(records.rms_level(c).alias("rms"), records.volume(c, "mean").alias("mean"), records.volume(c, "max").alias("max"), records.loudness_lines(c)["input_tp"].alias("tp"), records.loudness_lines(c)["input_i"].alias("i"), records.loudness_block(c).alias("block")).first()
+    assert (row.rms, row["mean"], row["max"], row.tp, row.i, row.block) == (-18.25, -19.1, -0.5, -1.2, None, {"input_i": "-23.1", "input_tp": "-inf"})
