@@ -5,7 +5,8 @@ sends to every executor, beside their full strings. A url's candidates (each dom
 with the starts of its path at the lengths that rules have) are probed in one vectorised binary search for each
 batch; a hit counts only when the stored string is the candidate itself, so digests that collide do no harm.
 
-The files are sent up to ``MAX_BYTES``; a larger rule table is joined instead (``judge_by_join``), with the same result.
+Rules are a list or a table. Those of up to ``MAX_BYTES`` are gathered and sent; a larger rule table is joined instead
+(``judge_by_join``), with the same result.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; rules win
 by the length of host and path together, then the later string; repeated urls are judged one by one; an empty table
@@ -28,9 +29,9 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, released
+from .common import read, released, with_row_id
 
-MAX_BYTES = 1 << 30
+MAX_BYTES = 64 << 20
 #: (verdict, host, path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: The verdict on urls that no rule fits.
@@ -90,12 +91,18 @@ def domains(host: str) -> list[str]:
     return [".".join(labels[i:]) for i in range(len(labels))]
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """page_id, host, path, rule and verdict for each row of pages(page_id, url)."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """page_id, host, path, rule and verdict for each row of pages(page_id, url).
+
+    rules: (verdict, host, path), as a list or as a table with columns of these names.
+    """
     spark = pages.sparkSession
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "verdict string, host string, path string")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 17), F.lit(0))).first()[0]
+    if size > max_bytes:
+        return judge_by_join(with_row_id(pages), table, default)
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    if sum(len(h) + len(p) + 17 for _, h, p in rules) > max_bytes:
-        return judge_by_join(parsed, spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, host string, path string"), default)
+    rules = [(r["verdict"], r["host"], r["path"]) for r in table.select("verdict", "host", "path").collect()]  # max_bytes at most
     prefix, folder = f"rules-{uuid.uuid4().hex}", tempfile.mkdtemp()
     for f in DigestArray.write(rules, folder, prefix):
         spark.sparkContext.addFile(f)
@@ -125,11 +132,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     return parsed.mapInArrow(released(probe), "page_id long, host string, path string, rule string, verdict string")
 
 
-def judge_by_join(parsed: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
-    """The same for rule tables of any size: candidates are joined with the rules on their strings."""
+def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
+    """The same for rule tables of any size and pages that have ``_row``: candidates are joined with the rules on their strings."""
+    parsed = pages.select(F.col("_row").alias("_id"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     keys = rules.select(F.concat("host", "path").alias("_rule"), F.col("verdict").alias("_verdict"), F.length("path").alias("_n"))
     lengths = F.array_sort(F.collect_set("_n"))
-    rows = parsed.withColumn("_id", F.monotonically_increasing_id()).crossJoin(F.broadcast(keys.agg(lengths.alias("_lengths"))))  # one row: the distinct path lengths
+    rows = parsed.crossJoin(F.broadcast(keys.agg(lengths.alias("_lengths"))))  # one row: the distinct path lengths
     labels = F.split("host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = F.flatten(F.transform(names, lambda d: F.transform(F.filter("_lengths", lambda n: n <= F.length("path")), lambda n: F.concat(d, F.substring(F.col("path"), F.lit(1), n)))))
