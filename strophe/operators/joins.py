@@ -20,6 +20,18 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: float) -> DataF
     return a.join(b, same & first & (F.least("a1", "b1") > F.greatest("a0", "b0"))).drop("_key", "_cell", "_b_cell")
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, key: str, kinds: list[str]) -> DataFrame:
+    """left(key, a0, a1) with a column for each kind: how many of right(key, type, b0, b1) overlap by more than nothing.
+
+    For series whose intervals fit in a row: each key's are gathered once and looked through for each left row.
+    """
+    held = right.groupBy(key).agg(F.collect_list(F.struct("type", "b0", "b1")).alias("_e"))  # one series' intervals
+    meets = lambda e: F.least("a1", e["b1"]) > F.greatest("a0", e["b0"])
+    count = lambda k: F.coalesce(F.size(F.filter("_e", lambda e: (e["type"] == k) & meets(e))), F.lit(0)).cast("long")
+    joined = left.join(held, key, "left").withColumn("_e", F.coalesce("_e", F.array().cast(held.schema["_e"].dataType)))
+    return joined.withColumns({k: count(k) for k in kinds}).drop("_e")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, rank: str, tolerance: Column, reach: float, agrees: Column | None = None) -> DataFrame:
     """Each left row with the first (by ``rank``) right row of its keys whose ``y`` lies within the tolerance of ``x``.
 

@@ -53,8 +53,9 @@ def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = section_counts(spark, sf_dir).groupBy("user_id", "section").pivot("type", KINDS).sum("n")
-    rows = compacted(spark, sf_dir).select("user_id", "section", "label", "confidence").join(counts, ["user_id", "section"], "left")
+    parts = compacted(spark, sf_dir).select("user_id", "section", "label", "confidence", (F.col("first_frame") * DAY).alias("a0"), (F.col("last_frame") * DAY).alias("a1"))
+    found = merged_rules(spark, sf_dir).select("user_id", "type", F.col("start_t").alias("b0"), F.col("end_t").alias("b1"))
+    rows = joins.overlap_counts(parts, found, "user_id", KINDS).drop("a0", "a1")
     return decisions.decide(rows, KINDS).select("user_id", "section", "label", "confidence", *decisions.FIELDS)
 
 
