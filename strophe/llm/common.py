@@ -142,7 +142,7 @@ def few(df: DataFrame, elements: str | None = None) -> DataFrame:
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs, which has ``_row``, without the rows listed in dropped(_row)."""
-    gone = dropped.select(F.col("_row").alias("_gone"))
+    gone = materialize(dropped.select(F.col("_row").alias("_gone")), "dropped")
     return docs.join(few(gone), F.col("_row") == F.col("_gone"), "left_anti").transform(without_row_id)
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, materialize, read, released, small_batches, with_row_id, without_rows
+from .common import few, let, materialize, read, released, small_batches, with_row_id, without_rows
 from .url_filter import host_of
 
 LANGUAGES = ("en", "fr", "es", "de")
@@ -120,10 +120,15 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = S
     return model
 
 
-def softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores)
-    total = sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
-    return [F.exp(s - top) / total for s in scores]
+def softmax(scores: list[Column]) -> Column:
+    """An array of the scores' shares. Each step is evaluated once: written out, it would be repeated for every score."""
+    exps = let(F.array(*scores), lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))
+    return let(exps, lambda e: let(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda total: F.transform(e, lambda x: x / total)))
+
+
+def best_of(shares: Column, names: tuple[str, ...]) -> Column:
+    """The largest share with its name, as a struct (p, lang)."""
+    return F.array_max(F.zip_with(shares, F.array(*(F.lit(n) for n in names)), lambda p, n: F.struct(p.alias("p"), n.alias("lang"))))
 
 
 def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[str], languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -151,9 +156,10 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
     # The text's evidence: tempered to WEIGHT trigrams; the flat model has the same chance for every trigram.
     temper = F.least(F.lit(1.0), F.lit(float(WEIGHT)) / F.greatest("n_grams", F.lit(1)))
     scored = scored.withColumns({f"_t{i}": F.col(f"_t{i}") * temper for i in range(len(languages))} | {"_u": F.col("n_grams") * temper * float(-np.log(GRAMS))})
-    alone = softmax([F.col(f"_t{i}") for i in range(len(languages))])
+    scored = scored.withColumn("_alone", softmax([F.col(f"_t{i}") for i in range(len(languages))]))
+    scored = scored.withColumns({f"_p{i}": F.when(F.col("n_grams") > 0, F.get("_alone", F.lit(i))).otherwise(F.lit(0.0)) for i in range(len(languages))}).drop("_alone")
     with small_batches(rows.sparkSession):
-        scored = materialize(scored.withColumns({f"_p{i}": F.when(F.col("n_grams") > 0, p).otherwise(F.lit(0.0)) for i, p in enumerate(alone)}), "language-scores")
+        scored = materialize(scored, "language-scores")
 
     keys = [f"_l{i}" for i in range(len(levels))]
     add = [F.sum(f"_p{i}").alias(f"_p{i}") for i in range(len(languages))]
@@ -173,7 +179,8 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
         host = host.join(up, [host[f"{k}_of"] == up[k] for k in keys[:-1]]).drop(*keys[:-1])
     host = few(materialize(host, "language-hosts"))  # both sides come from files, so a host with most rows can be split
     joined = scored.join(host, functools.reduce(operator.and_, (F.col(k) == F.col(f"{k}_of") for k in keys)))
-    left = [F.greatest(F.col(f"_h{i}") - F.col(f"_p{i}"), F.lit(0.0)) for i in range(len(languages))]
+    joined = joined.withColumns({f"_q{i}": F.greatest(F.col(f"_h{i}") - F.col(f"_p{i}"), F.lit(0.0)) for i in range(len(languages))})  # without the row's own text
+    left = [F.col(f"_q{i}") for i in range(len(languages))]
     n = sum(left[1:], left[0])
     country = F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair))[F.col("_suffix")]
 
@@ -181,18 +188,17 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
         return F.when(~F.coalesce(at.isin(*languages), F.lit(False)), 0.0).when(at == lang, float(np.log(1 - wrong))).otherwise(float(np.log(wrong / (len(languages) - 1))))
 
     scores = [F.col(f"_t{i}") + F.log((left[i] + STRENGTH * above[i]) / (n + STRENGTH)) + points(F.col("_declared"), x, DECLARED_WRONG) + points(country, x, SUFFIX_WRONG) for i, x in enumerate(languages)]
-    joined = joined.withColumns({f"_s{i}": s for i, s in enumerate(scores)})
-    all_scores = [F.col(f"_s{i}") for i in range(len(languages))] + [F.when(F.col("n_grams") > 0, F.col("_u") + float(np.log(UNKNOWN))).otherwise(0.0)]
-    best = F.array_max(F.array(*(F.struct(p.alias("p"), F.lit(x).alias("lang")) for p, x in zip(softmax(all_scores), (*languages, "und"), strict=True))))
-    text_best = F.array_max(F.array(*(F.struct(F.col(f"_p{i}").alias("p"), F.lit(x).alias("lang")) for i, x in enumerate(languages))))
+    scores.append(F.when(F.col("n_grams") > 0, F.col("_u") + float(np.log(UNKNOWN))).otherwise(0.0))
+    joined = joined.withColumn("_best", best_of(softmax(scores), (*languages, "und")))
+    text_best = best_of(F.array(*(F.col(f"_p{i}") for i in range(len(languages)))), languages)
     empty = F.col("n_grams") == 0
     return joined.select(
         *keep,
-        F.when(empty, "und").otherwise(best["lang"]).alias("lang"),
-        F.when(empty, 1.0).otherwise(F.round(best["p"], 6)).alias("posterior"),
+        F.when(empty, "und").otherwise(F.col("_best.lang")).alias("lang"),
+        F.when(empty, 1.0).otherwise(F.round(F.col("_best.p"), 6)).alias("posterior"),
         F.when(~empty, text_best["lang"]).alias("text_lang"),
         "n_grams",
-        (~empty & (best["lang"] != "und")).alias("accepted"),
+        (~empty & (F.col("_best.lang") != "und")).alias("accepted"),
     )
 
 
