@@ -44,3 +44,8 @@ def cuts(stream: DataFrame, key: str, order: str, value: str, jump: float, least
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at long, value double", "n long, last long, was double", "append", GroupStateTimeout.NoTimeout)
+
+
+def resumable(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Writes all that has arrived and ends; the next call, after a restart too, goes on behind it and repeats nothing."""
+    stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -47,3 +47,12 @@ def test_cuts_keep_state(spark, tmp_path):
     _, stream = source(spark, tmp_path)
     got = sorted((r.k, r.at) for r in drained(series.cuts(stream, "k", "ts", "v", 2.0, 2), tmp_path).collect())
     assert got == [(1, 0), (1, 6), (2, 0), (2, 6), (9, 0)]
+
+
+def test_a_restarted_stream_repeats_nothing(spark, tmp_path):
+    folder, out, mark = (str(tmp_path / n) for n in ("files", "out", "mark"))
+    for rows in ([(1,), (2,)], [(3,)], []):
+        if rows:
+            spark.createDataFrame(rows, "n long").write.mode("append").parquet(folder)
+        series.resumable(spark.readStream.schema("n long").parquet(folder), out, mark)
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 2, 3]
