@@ -9,10 +9,12 @@ The arrays are sorted by key and kept in levels. A new batch gets its own array,
 level for the keys they share; two levels of one size are merged into one of twice the size, so there are as many as
 the logarithm of the batches.
 
-Runs with a shared key are then compared. Runs whose whole strings recur are repeated in full. The others, at the
-edges of a match, are brought together by key with one of each kind of their partners, and a suffix array of their
-strings (prefix doubling; neighbours in it share 400 bytes or not) tells which windows recur. A key with more
-runs than ``CROWD`` isn't gathered: its windows are counted by digest, in an aggregation with partial sums.
+Runs with a shared key are then compared. Runs are told apart by a cryptographic digest (BLAKE2b, 128 bits) of all
+their bytes; those whose whole strings recur are repeated in full. The others, at the edges of a match, are brought
+together by key with one of each kind of their partners, and a suffix array of their strings (prefix doubling;
+neighbours in it share 400 bytes or not) tells which windows recur. The kinds of one key are dealt to blocks of about
+``KINDS``, each with an array of its own. Where a key has several blocks, each sends one digest for each of its
+distinct windows; those found once in their block and in another block, too, recur as well.
 
 Defined cases: a null text is empty; a text below 400 bytes has nothing to remove; overlapping repeats within a text
 count; null ids and repeated rows are worked on row by row (a repeated row of 400 bytes or more is removed in full in
@@ -31,18 +33,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import few, materialize, read, released, shared_dir, small_batches, with_row_id
+from .common import delete, few, materialize, read, released, scratch, shared_dir, small_batches, with_row_id
 from .langid import spans
-from .shingles import _Powers, mixed
+from .shingles import mixed
 
 WINDOW, GRAM = 400, 200
 BATCHES = 4
-#: Runs of one key that are gathered in one place at most.
-CROWD = 4096
+#: Kinds of runs of one key in a block, about: some 2 MB of strings.
+KINDS = 4096
 #: Bytes of text, or of gathered strings, that a task works on at a time.
 SLICE = 1 << 20
-# Bytes are told apart by their case here, unlike in words.
+# Grams are hashed by sums of powers, which choose the keys alone: strings that collide are compared in vain.
 _VALUE = mixed(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+class _Powers:
+    """Powers of the base, and of its inverse, as far as they were needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 1 << 16)
+            cls.up, cls.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return cls.up, cls.down
+
+
+def digested(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Digests of the strings of data from lo to hi, as two 64-bit integers each."""
+    view = memoryview(np.ascontiguousarray(data))
+    whole = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+    return np.frombuffer(whole, "<i8").reshape(-1, 2)
 
 
 def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +74,9 @@ def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of texts that lie one after another in data: key, first window, windows, digest of all their bytes, and
-    whether the key's gram stands in them twice, without which no window can recur in its own run."""
-    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.bool_))
+    """Runs of texts that lie one after another in data: key, first window, windows, and whether the key's gram
+    stands in them twice, without which no window can recur in its own run."""
+    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.bool_))
     if len(data) < window:
         return empty
     total, down = prefix_sums(data)
@@ -78,7 +101,7 @@ def runs(data: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int = G
     key, ahead = least[lo], np.arange(w)
     left = lo + np.argmax(h[lo[:, None] + ahead] == key[:, None], 1)
     right = hi + w - 2 - np.argmax(h[(hi + w - 2)[:, None] - ahead] == key[:, None], 1)
-    return key, lo, hi - lo, mixed((total[hi - 1 + window] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)), left != right
+    return key, lo, hi - lo, left != right
 
 
 def repeated_windows(strings: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
@@ -113,11 +136,11 @@ def spans_of(flags: np.ndarray, first: int, window: int) -> list[tuple[int, int]
 
 
 _ROW = "_row struct<file:bigint,at:bigint>"
+_RUN = f"{_ROW}, key long, s1 long, s2 long, first long, windows long, twice boolean"
 
 
 def entries(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The runs of docs(_row, text): _row, key, sig, first (byte), windows and twice."""
-    small_batches(docs.sparkSession)
+    """The runs of docs(_row, text): _row, key, the digest of all their bytes (s1, s2), first (byte), windows and twice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,70 +153,105 @@ def entries(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 for at in range(a, max(z, a + 1), step):  # a long text in pieces that share all but one byte of a window
                     stop = min(z, at + step + window - 1)
                     own = np.array([0, stop - at]) if j == i + 1 else ends[i : j + 1] - a
-                    key, lo, size, sig, twice = runs(data[at:stop], own, window, gram)
+                    key, lo, size, twice = runs(data[at:stop], own, window, gram)
                     if not len(key):
                         continue
                     doc = i + (np.searchsorted(own, lo, "right") - 1 if j > i + 1 else np.zeros(len(lo), np.int64))
-                    columns = [pa.array(key.view(np.int64)), pa.array(sig.view(np.int64)), pa.array(lo + at - ends[doc]), pa.array(size), pa.array(twice)]
-                    yield pa.RecordBatch.from_arrays([b["_row"].take(pa.array(doc)), *columns], names=["_row", "key", "sig", "first", "windows", "twice"])
+                    digest = digested(data[at:stop], lo, lo + size + window - 1)
+                    columns = [pa.array(key.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(lo + at - ends[doc]), pa.array(size), pa.array(twice)]
+                    yield pa.RecordBatch.from_arrays([b["_row"].take(pa.array(doc)), *columns], names=["_row", "key", "s1", "s2", "first", "windows", "twice"])
                 i = j
 
-    return docs.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(released(work), f"{_ROW}, key long, sig long, first long, windows long, twice boolean")
+    return docs.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(released(work), _RUN)
 
 
 class SuffixIndex:
-    """Sorted arrays of runs in levels of 1, 2, 4 ... batches, and the keys found more than once so far."""
+    """Sorted arrays of runs in levels of 1, 2, 4 ... batches, and the keys found more than once so far.
+
+    A level is kept with its distinct keys: scans for shared keys join these, so no key has many rows in them.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/strophe/suffixes-{uuid.uuid4().hex}"
-        self.levels: list[tuple[int, str]] = []
+        self.levels: list[tuple[int, str, str]] = []
         self.shared: list[str] = []
 
+    def _new(self, name: str) -> str:
+        return f"{self.path}/{name}-{uuid.uuid4().hex}"
+
     def _write(self, df: DataFrame, name: str) -> str:
-        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        path = self._new(name)
         df.write.option("compression", "zstd").parquet(path)
         return path
 
-    def _sorted(self, df: DataFrame) -> DataFrame:
-        return df.repartition("key").sortWithinPartitions("key", "sig")
-
-    def _drop(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def add(self, docs: DataFrame) -> None:
-        """Takes in a batch of docs(_row, text)."""
-        here = self._write(self._sorted(entries(docs)), "level")
-        new = self.spark.read.parquet(here)
-        keys = new.groupBy("key").agg(F.count("*").alias("n"))
-        old = [self.spark.read.parquet(p).select("key") for _, p in self.levels]
-        found = keys.where("n > 1").select("key")
-        if old:
-            found = found.unionAll(keys.select("key").join(reduce(DataFrame.unionAll, old), "key", "left_semi"))
+    def add(self, docs: DataFrame, batches: int = 1) -> None:
+        """Takes in docs(_row, text) as so many batches, from one scan."""
+        path = self._new("batches")
+        dealt = entries(docs).withColumn("batch", F.pmod(F.xxhash64("_row"), F.lit(batches)).cast("int"))
+        with small_batches(self.spark):
+            dealt.repartition("key").sortWithinPartitions("batch", "key", "s1", "s2").write.partitionBy("batch").option("compression", "zstd").parquet(path)
+        held = self.spark.read.schema(f"{_RUN}, batch int").parquet(path)
+        for k in sorted(r["batch"] for r in held.select("batch").distinct().collect()):  # as many as there are batches
+            self._level(f"{path}/batch={k}")
+
+    def _level(self, path: str) -> None:
+        keys = self._write(self.spark.read.parquet(path).groupBy("key").agg(F.count("*").alias("n")), "keys")
+        new = self.spark.read.parquet(keys)
+        found = new.where("n > 1").select("key")
+        for _, _, other in self.levels:
+            found = found.unionAll(new.select("key").join(self.spark.read.parquet(other).select("key"), "key"))
         self.shared.append(self._write(found, "shared"))
-        self.levels.append((1, here))
+        self.levels.append((1, path, keys))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * n, self._write(self._sorted(self.spark.read.parquet(a, b)), "level")))
-            self._drop(a), self._drop(b)
+            (n, *a), (_, *b) = self.levels.pop(), self.levels.pop()
+            whole = self.spark.read.parquet(a[0], b[0]).repartition("key").sortWithinPartitions("key", "s1", "s2")
+            both = self.spark.read.parquet(a[1], b[1]).groupBy("key").agg(F.sum("n").alias("n"))
+            self.levels.append((2 * n, self._write(whole, "level"), self._write(both, "keys")))
+            delete(self.spark, [*a, *b])
 
     def candidates(self) -> DataFrame:
         """The runs whose key occurs again, in another run or in their own."""
-        runs_of = self.spark.read.parquet(*(p for _, p in self.levels))
+        if not self.levels:
+            return self.spark.createDataFrame([], _RUN)
+        runs_of = self.spark.read.parquet(*(p for _, p, _ in self.levels))
         shared = materialize(self.spark.read.parquet(*self.shared).distinct().select(F.col("key").alias("_key")), "shared-keys")
         again = runs_of.join(few(shared), F.col("key") == F.col("_key"), "left_semi")
-        return again.unionAll(runs_of.where("twice")).distinct()
+        return again.unionAll(runs_of.where("twice").join(few(shared), F.col("key") == F.col("_key"), "left_anti"))
+
+    def clear(self) -> None:
+        delete(self.spark, [self.path])
+
+
+def distinct_windows(strings: list[bytes], flags: list[np.ndarray], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One of each of the strings' windows: its string, its place there, its digest, and whether it is the only one."""
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    size = np.array([len(s) for s in strings], np.int64)
+    counts = np.array([len(f) for f in flags], np.int64)
+    which = np.repeat(np.arange(len(strings)), counts)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = place + np.repeat(np.cumsum(size) - size, counts)
+    digest = digested(data, at, at + window)
+    _, one = np.unique(digest.view([("a", "<i8"), ("b", "<i8")]).reshape(-1), return_index=True)
+    return which[one], place[one], digest[one], ~np.concatenate(flags)[one]
 
 
 def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_row, a, b): stretches of bytes that repeat, from docs(_row, text) and their candidate runs."""
-    found = materialize(candidates, "candidates")
-    kinds = found.groupBy(F.col("sig").alias("_sig")).agg(F.count("*").alias("many"), F.min(F.struct("_row", "first")).alias("one"))
-    told = materialize(found.join(kinds, F.col("sig") == F.col("_sig")).select("_row", "key", "first", "windows", "many", (F.struct("_row", "first") == F.col("one")).alias("one")), "told")
+    """(_row, a, b): stretches of bytes that repeat, from docs(_row, text) and their candidate runs.
+
+    What is counted for each kind of run or key is written before it is joined with the runs: both sides of the joins
+    are then dealt out by shuffles of their own, which skew handling can split.
+    """
+    found = materialize(candidates.withColumn("_id", F.monotonically_increasing_id()), "candidates")
+    kinds = found.groupBy(F.col("s1").alias("_s1"), F.col("s2").alias("_s2")).agg(F.count("*").alias("many"), F.min("_id").alias("_one"))
+    kinds = materialize(kinds, "kinds")
+    told = found.join(kinds, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")))
+    told = materialize(told.select("_row", "key", "first", "windows", "many", (F.col("_id") == F.col("_one")).alias("one")), "told")
     whole = told.where("many > 1").select("_row", F.col("first").alias("a"), (F.col("first") + F.col("windows") + (window - 1)).alias("b"))
 
     open_keys = told.where("one").groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("crowd"), F.min("many").alias("least")).where("least = 1").select("_key", "crowd")
-    send = told.where("one").join(open_keys, F.col("key") == F.col("_key")).groupBy("_row").agg(F.collect_list(F.struct("key", "first", "windows", "crowd")).alias("runs"))  # no more than a text has
+    open_keys = materialize(open_keys, "open-keys")
+    blocks = F.ceil(F.col("crowd") / KINDS).cast("int").alias("blocks")
+    send = told.where("one").join(few(open_keys), F.col("key") == F.col("_key")).groupBy("_row").agg(F.collect_list(F.struct("key", "first", "windows", blocks)).alias("runs"))  # no more than a text has
     send = materialize(send.select(F.col("_row").alias("_of"), "runs"), "open-runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,54 +261,56 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> Dat
                 data = text.encode()
                 for r in its:
                     which.append(i)
-                    rows.append((r["key"], r["first"], r["crowd"], data[r["first"] : r["first"] + r["windows"] + window - 1]))
+                    rows.append((r["key"], r["first"], r["blocks"], data[r["first"] : r["first"] + r["windows"] + window - 1]))
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["_row"].take(pa.array(which, pa.int64())), *arrays], names=["_row", "key", "first", "crowd", "string"])
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["_row"].take(pa.array(which, pa.int64())), *arrays], names=["_row", "key", "first", "blocks", "string"])
 
     joined = docs.join(few(send, "runs"), F.col("_row") == F.col("_of")).select("_row", F.col("text").cast("string").alias("text"), "runs")
-    strings = materialize(joined.mapInArrow(released(cut), f"{_ROW}, key long, first long, crowd long, string binary"), "strings")
+    with small_batches(docs.sparkSession):
+        strings = materialize(joined.mapInArrow(released(cut), f"{_ROW}, key long, first long, blocks int, string binary"), "strings")
 
     def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches, and of keys with several blocks one digest for each distinct window, alone if it stands there once."""
         held: list[tuple] = []
         size = 0
 
-        def flush(keep_last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            done = [r for r in held if not keep_last or r[1] != held[-1][1]]
-            if not done:
-                return
-            held = held[len(done) :]
-            size = sum(len(r[3]) for r in held)
-            rows = [(r[0], *s) for r, flags in zip(done, repeated_windows([r[3] for r in done], window), strict=True) for s in spans_of(flags, r[2], window)]
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.struct([("file", pa.int64()), ("at", pa.int64())])), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["_row", "a", "b"])
+        def told(which: np.ndarray, a: np.ndarray, b: np.ndarray, digest: np.ndarray | None = None, alone: np.ndarray | None = None) -> pa.RecordBatch:
+            row = [pa.array(np.array([r[i] for r in held], np.int64)[which]) for i in (0, 1)]
+            none = lambda kind: pa.nulls(len(which), kind)
+            rest = [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(alone)] if digest is not None else [none(pa.int64()), none(pa.int64()), none(pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(row, names=["file", "at"]), pa.array(a), pa.array(b), *rest], names=["_row", "a", "b", "d1", "d2", "alone"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            flagged = repeated_windows([r[5] for r in held], window)
+            found = np.array([(i, *s) for i, (r, flags) in enumerate(zip(held, flagged, strict=True)) for s in spans_of(flags, r[4], window)], np.int64).reshape(-1, 3)
+            yield told(*found.T)
+            shared = np.array([i for i, r in enumerate(held) if r[6] > 1 and len(flagged[i])], np.int64)
+            if shared.size:
+                which, place, digest, alone = distinct_windows([held[i][5] for i in shared], [flagged[i] for i in shared], window)
+                at = np.array([held[i][4] for i in shared], np.int64)[which] + place
+                yield told(shared[which], at, at + window, digest, alone)
 
         for b in batches:
-            for r in zip(*(b[n].to_pylist() for n in ("_row", "key", "first", "string")), strict=True):
-                if size >= SLICE and held[-1][1] != r[1]:
-                    yield from flush(False)
+            where = b["_row"].flatten()
+            for r in zip(*(x.to_pylist() for x in (*where, *(b[n] for n in ("key", "block", "first", "string", "blocks")))), strict=True):
+                if size >= SLICE and held[-1][2:4] != r[2:4]:
+                    yield from flush()
+                    held, size = [], 0
                 held.append(r)
-                size += len(r[3])
+                size += len(r[5])
         if held:
-            yield from flush(False)
-
-    gathered = strings.where(F.col("crowd") <= CROWD).drop("crowd").repartition("key").sortWithinPartitions("key")
-    edges = gathered.mapInArrow(released(array), f"{_ROW}, a long, b long")
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, first, s in zip(*(b[n].to_pylist() for n in ("_row", "first", "string")), strict=True):
-                total, down = prefix_sums(np.frombuffer(s, np.uint8))
-                d = mixed((total[window:] - total[:-window]) * down[: len(s) - window + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(d), pa.struct([("file", pa.int64()), ("at", pa.int64())])), pa.array(d.view(np.int64)), pa.array(first + np.arange(len(d)))], names=["_row", "digest", "a"])
+            yield from flush()
 
-    crowded = strings.where(F.col("crowd") > CROWD)
-    if not crowded.isEmpty():
-        each = materialize(crowded.select("_row", "first", "string").mapInArrow(released(digests), f"{_ROW}, digest long, a long"), "digests")
-        again = each.groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("n")).where("n > 1")
-        edges = edges.unionAll(each.join(again, F.col("digest") == F.col("_d")).select("_row", "a", (F.col("a") + window).alias("b")))
-    return whole.unionAll(edges)
+    dealt = strings.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("_row", "first"), F.col("blocks"))).otherwise(0).cast("int"))
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    with small_batches(docs.sparkSession):
+        edges = materialize(dealt.mapInArrow(released(array), f"{_ROW}, a long, b long, d1 long, d2 long, alone boolean"), "edges")
+    digests = edges.where("d1 IS NOT NULL")
+    again = digests.groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).agg(F.count("*").alias("n")).where("n > 1").select("_d1", "_d2")
+    again = few(materialize(again, "digests-again"))
+    across = digests.where("alone").join(again, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left_semi")
+    return whole.unionAll(edges.where("d1 IS NULL").select("_row", "a", "b")).unionAll(across.select("_row", "a", "b"))
 
 
 def joined_up(stretches: DataFrame) -> DataFrame:
@@ -262,29 +322,26 @@ def joined_up(stretches: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text that is left."""
+    """For each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left."""
     docs = with_row_id(docs).select("_row", "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     index = SuffixIndex(docs.sparkSession)
-    for k in range(batches):
-        index.add(docs.where(F.pmod(F.xxhash64("_row"), F.lit(batches)) == k))
-    stretches = repeats(docs, index.candidates(), window)
-    per_text = materialize(joined_up(stretches).groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts")  # no more than a text has
+    index.add(docs, batches)
+    with scratch(docs.sparkSession) as keep:
+        stretches = repeats(docs, index.candidates(), window)
+        per_text = keep(materialize(joined_up(stretches).groupBy(F.col("_row").alias("_of")).agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts"))  # no more than a text has
+    index.clear()
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in (whole.slice(i, 500) for whole in parts for i in range(0, whole.num_rows, 500)):
             rows = []
             for doc, text, cuts in zip(*(b[n].to_pylist() for n in ("doc_id", "text", "cuts")), strict=True):
-                data, at, gone, n, left = text.encode(), 0, 0, 0, []
-                end = -1
-                for c in sorted((c["a"], c["b"]) for c in cuts or ()):
-                    if c[0] > end:  # a run of removed bytes of its own
-                        left.append(data[at : c[0]])
-                        n, gone, at, end = n + 1, gone + c[1] - c[0], c[1], c[1]
-                    elif c[1] > end:
-                        gone, at, end = gone + c[1] - end, c[1], c[1]
+                data, at, gone, left = text.encode(), 0, 0, []
+                for a, z in sorted((c["a"], c["b"]) for c in cuts or ()):  # they neither overlap nor touch
+                    left.append(data[at:a])
+                    gone, at = gone + z - a, z
                 left.append(data[at:])
                 kept = b"".join(left)
-                rows.append((doc, len(data), gone, n, hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((doc, len(data), gone, len(left) - 1, hashlib.sha256(kept).hexdigest(), kept))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -294,4 +351,6 @@ def removed(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> Da
 
 
 def op9_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(read(spark, sf_dir, "documents")).drop("kept")
+    """The counts, and the text that is left: U+FFFD stands for a character of which a removed run took a part."""
+    found = removed(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
