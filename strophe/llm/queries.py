@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, media, mixing, near_dedup, packing, rans, sharding, suffix_dedup, url_filter
+from . import centroids, exact_dedup, langid, media, mixing, near_dedup, packing, rans, sharding, suffix_dedup, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_pfair_mixing": mixing.op1_pfair_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_suffix_levels": suffix_dedup.op9_suffix_levels,
     "op10_language_fusion": langid.op10_language_fusion,
+    "op11_factorization_machine": toxicity.op11_factorization_machine,
+    "op12_polarisation_whitening": whitening.op12_polarisation_whitening,
+    "op13_equal_average_clusters": centroids.op13_equal_average_clusters,
     "pages_language_fusion": langid.pages_language_fusion,
 }
-ORACLES = {"op4_digest_array": url_filter.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLES = {"op4_digest_array": url_filter.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op13_equal_average_clusters": centroids.OP13_SQL}
