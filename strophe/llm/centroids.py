@@ -45,7 +45,7 @@ class Search:
     """The nearest of some centroids, for many vectors at once."""
 
     def __init__(self, centroids: list[list[int]]):
-        self.centroids = np.array(centroids, object).reshape(len(centroids), -1)
+        self.centroids = np.array(centroids, object).reshape(len(centroids), len(centroids[0]) if centroids else 0)
         self.small = not self.centroids.size or int(np.abs(self.centroids).max()) <= FITS
         self.sums = self.centroids.sum(1) if len(centroids) else np.zeros(0, object)
         mean = self.sums.astype(np.float64) / max(1, self.centroids.shape[1])
