@@ -15,6 +15,8 @@ by rounds of sums and joins.
 
 The chance that two texts at the limit of 0.8 share no bucket is (1 - 0.8**5)**32, about 3 in a million.
 
+Sets hold 64-bit hashes of shingles under a secret drawn for each job, so texts can't be written to collide.
+
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and stay; a text with fewer
 words than a shingle is one shingle; null ids come after all others when the smallest is sought; repeated rows are
 copies; an empty table gives an empty result; other columns are not looked at.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import few, materialize, read, released, scratch, small_batches, with_row_id, without_rows
 from .components import components
-from .shingles import mixed, sets
+from .shingles import mixed, secret, sets
 
 REGISTERS, BAND = 160, 5
 BASE = 1.001
@@ -99,7 +101,7 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
     return grid[0, np.argmax(fits, 1)]
 
 
-def scan(docs: DataFrame, keep: list[str], k: int) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], k: int, key: bytes) -> DataFrame:
     """keep, n_shingles, the set's digest (s1, s2) and its sketch for each row of docs(text)."""
     told = docs.select(*keep, F.col("text").cast("string").alias("text"))
 
@@ -113,7 +115,7 @@ def scan(docs: DataFrame, keep: list[str], k: int) -> DataFrame:
                 held.clear()
 
             size = 0
-            for s in sets(b["text"], k):
+            for s in sets(b["text"], k, key):
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0)
                 held.append(s)
@@ -184,31 +186,32 @@ def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(released(work), "a long, b long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int, key: bytes) -> DataFrame:
     """(node, elements) for wanted(node, row): the sets of one text each, from docs(_row, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([s.tobytes() for s in sets(b["text"], k)], pa.binary())], names=["node", "elements"])
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([s.tobytes() for s in sets(b["text"], k, key)], pa.binary())], names=["node", "elements"])
 
     wanted = few(wanted)
     return docs.join(wanted, docs["_row"] == wanted["row"]).select("node", F.col("text").cast("string").alias("text")).mapInArrow(released(work), "node long, elements binary")
 
 
-def grouped(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: bytes | None = None) -> DataFrame:
     """For each row of docs(doc_id, text): _row, doc_id, n_shingles, component_id and stays (one row of a component)."""
-    return grouped_rows(with_row_id(docs), k, percent)
+    return grouped_rows(with_row_id(docs), k, percent, key)
 
 
-def grouped_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The same for rows that have ``_row``."""
+def grouped_rows(docs: DataFrame, k: int = 5, percent: int = 80, key: bytes | None = None) -> DataFrame:
+    """The same for rows that have ``_row``. key: the secret that sets are hashed under; a new one by default."""
+    key = key or secret()
     with small_batches(docs.sparkSession):
-        rows = materialize(scan(docs, ["_row", "doc_id"], k), "sketches")
+        rows = materialize(scan(docs, ["_row", "doc_id"], k, key), "sketches")
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
     nodes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     with scratch(docs.sparkSession) as keep:
-        labels = keep(materialize(linked(docs, nodes, k, percent), "labels"))
+        labels = keep(materialize(linked(docs, nodes, k, percent, key), "labels"))
     of_set = nodes.select("s1", "s2", "node", "first").join(labels, "node", "left").select("s1", "s2", "first", F.coalesce("component", "node").alias("component"))
     least = of_set.groupBy("component").agg(F.min("first").alias("least"))
     least = materialize(least, "components")
@@ -306,7 +309,7 @@ def crossed(outside: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int, key: bytes) -> DataFrame:
     """(node, component) of the nodes that have a link."""
     keys = bands(nodes)
     buckets = materialize(keys.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("members")).where("members > 1"), "bucket-sizes")
@@ -322,7 +325,7 @@ def linked(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame
     ends = likely.select(F.col("a").alias("node"), "a", "b", "estimate").unionAll(likely.select(F.col("b").alias("node"), "a", "b", "estimate"))
     best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("estimate", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b").distinct()
     wanted = ends.select("node").unionAll(family.select("node")).distinct().join(nodes.select("node", F.col("first._row").alias("row")), "node")
-    full = materialize(full_sets(docs, wanted, k), "full-sets")
+    full = materialize(full_sets(docs, wanted, k, key), "full-sets")
     links = materialize(confirmed(best, full, percent), "links-1")
     labels = components(links)
 
