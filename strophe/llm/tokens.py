@@ -119,15 +119,15 @@ class WordEncoder:
     they normalise, split or merge reaches over it. So does such a single line feed, which is left at the start of
     what follows. Texts are cut at these places, all at once in a batch's bytes, and each distinct word is encoded
     once. A text with any other white space, or with a word of more than ``LONGEST`` bytes, is cut at single spaces
-    only and encoded without this memory.
+    only and encoded without this memory; one with the string of a special token is encoded as a whole.
     """
 
     def __init__(self, path: str, most_words: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(path)  # as it is: the strings of special tokens become those
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.most_words, self.table = most_words, WordTable(most_words)
         # What stands between words that are encoded in one string: a line feed where it has an id, else a control
         # character between spaces. Neither joins with what is beside it.
@@ -153,9 +153,22 @@ class WordEncoder:
 
     def odd(self, text: str) -> bytes:
         """A text with white space that isn't single, cut at what single spaces it has, piece by piece."""
+        if any(x in text for x in self.special):
+            return self.each([text])[0].tobytes()
         first, *others = _SINGLE_SPACE.split(text)
         return b"".join(x.tobytes() for x in self.each([first, *(f" {w}" for w in others)]))
 
+    def with_special(self, data: np.ndarray, ends: np.ndarray) -> list[int]:
+        """The texts that hold a special token's string, or one that begins in one and ends in the next."""
+        whole, found = data.tobytes(), []
+        for x in (s.encode() for s in self.special):
+            at = whole.find(x)
+            while at >= 0:
+                i = int(np.searchsorted(ends, at, "right")) - 1
+                found.append(i)
+                at = whole.find(x, max(at + 1, int(ends[i + 1]) - len(x) + 1))
+        return found
+
     def slice(self, data: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The ids of texts that lie one after another."""
         n = len(ends) - 1
@@ -169,6 +182,7 @@ class WordEncoder:
         bad[1:] |= blank[1:] & blank[:-1]
         strange = np.zeros(n, np.bool_)
         strange[np.searchsorted(ends, np.concatenate((np.flatnonzero(bad), wide_spaces(data))), "right") - 1] = True
+        strange[self.with_special(data, ends)] = True
 
         kind = np.zeros(len(data), np.uint8)  # of what starts at a byte: 1 after a space, 2 a line feed, 3 a text
         kind[1:] = white[:-1] == 1

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from strophe.llm import tokens
 from strophe.llm.rans import BLOCK, Table, decode_segment, encode_segment, frequencies
@@ -16,8 +17,12 @@ NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ENCODERS = {n: WordEncoder(tokenizer_path(n), most_words=500) for n in NAMES}
 
 
+UNTOUCHED = {n: Tokenizer.from_file(tokenizer_path(n)) for n in NAMES}
+
+
 def direct(name, text):
-    return np.array(ENCODERS[name].tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    """By the library as it is loaded."""
+    return np.array(UNTOUCHED[name].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -34,10 +39,26 @@ def test_real_texts_and_special_strings(name):
     assert list(ENCODERS[name].documents(pa.array([None, *texts]), b"end!")) == [b"end!", *(direct(name, t) + b"end!" for t in texts)]
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "<", "a", "É", " ", "  ", "\n", ".", "\u3000"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(SPECIAL), max_size=12))
+def test_special_strings_are_the_librarys(name, parts):
+    text = "".join(parts)
+    texts = [text, "<|endof", "text|> so", text, f"it {text} is"]
+    assert list(ENCODERS[name].documents(pa.array(texts), b"")) == [direct(name, t) for t in texts]
+
+
+def test_a_special_token_in_the_middle():
+    assert np.frombuffer(next(ENCODERS[NAMES[0]].documents(pa.array(["stop <|endoftext|> here"]), b"")), "<u4").tolist() == [11338, 220, 50256, 994]
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_texts_longer_than_a_piece(name):
-    text = "one two\nthree  four " * (PIECE // 15)
-    assert list(ENCODERS[name].documents(pa.array(["a", text, "b"]), b"")) == [direct(name, t) for t in ("a", text, "b")]
+    for text in ("one two\nthree  four " * (PIECE // 15), "one two <|endoftext|> three four " * (PIECE // 30)):
+        assert list(ENCODERS[name].documents(pa.array(["a", text, "b"]), b"")) == [direct(name, t) for t in ("a", text, "b")]
     other = b"x" * (PIECE + 10)
     assert list(WordEncoder.pieces(other)) == [other]
 
