@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import ctypes
-import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -34,43 +34,88 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Steps that were written and not deleted yet.
-_STEPS: list[str] = []
+class Steps:
+    """The steps that one call has written to the shared folder, in a folder of its own; deleted as one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/strophe/{uuid.uuid4().hex}"
+        self.written: list[tuple[DataFrame, str]] = []
+        self.kept: list[str] = []
+
+    def write(self, parts: Iterable[DataFrame], name: str) -> DataFrame:
+        """Parts of one table, one or more, as one step."""
+        path, schema = f"{self.path}/{name}-{uuid.uuid4().hex}", None
+        for df in parts:
+            df.write.option("compression", "zstd").mode("append").parquet(path)
+            schema = df.schema
+        found = self.spark.read.schema(schema).parquet(path)
+        self.written.append((found, path))
+        return found
+
+    def close(self, outer: Steps | None) -> None:
+        """Deletes all but what was kept, which is the outer call's from now on."""
+        gone = [p for _, p in self.written if p not in self.kept]
+        delete(self.spark, gone if self.kept else [*gone, self.path])
+        if self.kept:
+            (outer or _rest(self.spark)).written += [(df, p) for df, p in self.written if p in self.kept]
+
+
+#: The innermost call that writes steps, in each thread; steps written outside all calls stay until ``clear``.
+_INNER: ContextVar[Steps | None] = ContextVar("steps", default=None)
+_OUTSIDE: list[Steps] = []
+
+
+def _rest(spark: SparkSession) -> Steps:
+    if not _OUTSIDE or _OUTSIDE[0].spark is not spark:
+        _OUTSIDE.insert(0, Steps(spark))
+    return _OUTSIDE[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut and a lost executor costs nothing before it."""
-    path = f"{shared_dir(df.sparkSession)}/strophe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _STEPS.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize_all(df.sparkSession, [df], name)
+
+
+def materialize_all(spark: SparkSession, parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """The same for parts of one table, one or more, that are made one after another."""
+    return (_INNER.get() or _rest(spark)).write(parts, name)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes at its end the steps written within, but for those of the frames handed to what it yields."""
-    first, kept = len(_STEPS), set()
+    """Deletes at its end the steps written within, but for the frames (as ``materialize`` gave them) handed to what it yields.
+
+    Those belong to the call around it. Around a whole job, written results included, it leaves no step behind:
+    ``with scratch(spark): pipeline(...).write.parquet(...)``.
+    """
+    outer, own = _INNER.get(), Steps(spark)
+    token = _INNER.set(own)
 
     def keep(df: DataFrame) -> DataFrame:
-        kept.add(_STEPS[-1])  # df was the last to be written
+        own.kept += [p for found, p in own.written if found is df]
         return df
 
-    yield keep
-    mine = _STEPS[first:]
-    _STEPS[first:] = [p for p in mine if p in kept]
-    delete(spark, [p for p in mine if p not in kept])
+    try:
+        yield keep
+    finally:
+        _INNER.reset(token)
+        own.close(outer)
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        fs, above = at.getFileSystem(spark._jsc.hadoopConfiguration()), at.getParent()
+        fs.delete(at, True)
+        if fs.exists(above) and not len(fs.listStatus(above)):
+            fs.delete(above, False)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all written steps: for the end of a job, when no frame made from them is used any more."""
-    delete(spark, _STEPS)
-    _STEPS.clear()
+    """Deletes the steps that calls outside ``scratch`` have left, when no frame made from them is used any more."""
+    for steps in _OUTSIDE:
+        delete(spark, [*(p for _, p in steps.written), steps.path])
+    _OUTSIDE.clear()
 
 
 def let(value: Column, body) -> Column:
@@ -78,26 +123,23 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def bucket_bits(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
-    return max(0, math.ceil(math.log2(max(1, rows) / per_bucket)))
-
-
-def numbered(df: DataFrame, key: str, tie: list[str], out: str, rows: int, per_bucket: int = ROWS_PER_BUCKET, then: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``out``: a gapless number from 0 within each ``key``, in order of a hash of ``tie``.
+def numbered(df: DataFrame, key: str, tie: list[str], out: str, per_bucket: int = ROWS_PER_BUCKET, then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``out``: a gapless number from 0 within each ``key`` (no nulls), in order of a hash of ``tie``.
 
-    A key that holds most rows is cut by hash ranges into buckets of about ``per_bucket`` rows, so no window
-    partition grows with the key; the bucket sizes, summed before them, give the offsets. ``df`` is read twice
-    and should be materialized. Rows that agree in all of ``tie`` are ordered by ``then``.
+    A key with more than ``per_bucket`` rows is cut by hash ranges into as many buckets as its own rows ask for, so no
+    window partition grows with the key; the bucket sizes, summed before them, give the offsets. ``df`` is read three
+    times and should be materialized. Rows that agree in all of ``tie`` are ordered by ``then``.
     """
-    bits = bucket_bits(rows, per_bucket)
-    hashed = df.withColumn("_h", F.xxhash64(*tie))
-    hashed = hashed.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
-    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = few(materialize(df.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")), "key-sizes"))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / per_bucket)).cast("int"))
+    hashed = df.withColumn("_h", F.xxhash64(*tie)).join(sizes, F.col(key) == F.col("_k")).withColumn("_bits", bits)
+    hashed = hashed.withColumn("_b", F.when(F.col("_bits") > 0, F.expr("shiftrightunsigned(_h, 64 - _bits)")).otherwise(F.lit(0).cast("long"))).drop("_k", "_n", "_bits")
+    before = Window.partitionBy("_k").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.count("*").alias("_n"))
-    offsets = offsets.withColumnRenamed("_kb", "_b").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_k", F.col("_b").alias("_kb"), "_before")
+    offsets = few(materialize(offsets.select("_k", "_kb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets"))
     inside = Window.partitionBy(key, "_b").orderBy("_h", *tie, *then)
     ranked = hashed.withColumn("_r", F.row_number().over(inside) - 1)
-    joined = ranked.join(offsets, ranked[key].eqNullSafe(offsets["_k"]) & (ranked["_b"] == offsets["_kb"]))
+    joined = ranked.join(offsets, (ranked[key] == offsets["_k"]) & (ranked["_b"] == offsets["_kb"]))
     return joined.withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_h", "_b", "_r", "_k", "_kb", "_before")
 
 

@@ -6,11 +6,12 @@ one with the earliest deadline does. For weights that add up to one this keeps e
 block of weight times slots, at each slot, for as long as all of them still have blocks.
 
 Weights are not rounded: they are given as integers, fractions or floats and taken as the exact fractions that these
-are, however many sources there are. Weights by count and power are floats. The driver holds the number of rows of each
-source and the place of each block; it schedules with two heaps up to the first slot that finds its source without a
-full block. From there on the other blocks follow in the order of their deadlines. Rows join the places of their
-blocks. A table has ``MOST_BLOCKS`` blocks and one for each source at most, so what the driver holds is bounded: beyond
-that blocks have more rows.
+are, however many sources there are. Weights by count and power are floats. The driver knows the number of rows of each
+source; it schedules with two heaps up to the first slot that finds its source without a full block. From there on the
+other blocks follow in the order of their deadlines. The schedule is written in pieces of ``PIECE`` slots: the driver
+holds one piece and the next block of each source, however many rows there are, and blocks have the same number of
+rows in every table. Rows join the places of their blocks. (The driver takes some 2 seconds for a million blocks, so a
+table of many billions of rows asks for larger ``block_rows``, and gets the deviation that goes with it.)
 
 Defined cases: a null source is a source of its own; an empty table gives an empty result; once a source has run out
 the others go on in the order of their deadlines, so every row is given a place (``on_target`` tells which lie before
@@ -22,19 +23,21 @@ are interchangeable.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, materialize, numbered, read, with_row_id, without_row_id
+from .common import few, materialize, materialize_all, numbered, read, with_row_id, without_row_id
 
 BLOCK_ROWS = 32
-#: Blocks of a table at most, besides the last one of each source.
-MOST_BLOCKS = 1 << 21
+#: Slots of the schedule that are written at a time.
+PIECE = 1 << 18
+_MOST = 2**63 - 1  # a window that far off tells nothing but that
 
 
 def integers(weights: list[int | float | Fraction]) -> list[int]:
@@ -46,10 +49,10 @@ def integers(weights: list[int | float | Fraction]) -> list[int]:
     return [w // common for w in whole]
 
 
-def schedule(parts: list[int], full: list[int]) -> np.ndarray:
+def schedule(parts: list[int], full: list[int]) -> Iterator[int]:
     """The class that runs in each slot: earliest deadline first among the released blocks, until one has no full block left."""
     total = sum(parts)
-    ran, out = [0] * len(parts), []
+    ran = [0] * len(parts)
     ready = [(-(-total // p), i) for i, p in enumerate(parts) if p > 0]  # (deadline, class)
     heapq.heapify(ready)
     later: list[tuple[int, int]] = []  # (release, class)
@@ -60,30 +63,43 @@ def schedule(parts: list[int], full: list[int]) -> np.ndarray:
             heapq.heappush(ready, (-(-(ran[i] + 1) * total // parts[i]), i))
         i = heapq.heappop(ready)[1]
         if ran[i] >= full[i]:
-            break
+            return
         ran[i] += 1
-        out.append(i)
+        yield i
         heapq.heappush(later, (ran[i] * total // parts[i], i))
         slot += 1
-    return np.array(out, np.int64)
 
 
-def places(parts: list[int], sizes: list[int], block_rows: int) -> tuple[pa.Table, int]:
-    """(class, block, release, deadline, slot) of all blocks, and the first slot off the target."""
-    slots = schedule(parts, [n // block_rows for n in sizes])
-    total, horizon = sum(parts), len(slots)
-    rows, ran = [], [0] * len(parts)
-    window = lambda i, k: (k * total // parts[i], -(-(k + 1) * total // parts[i])) if parts[i] > 0 else (None, None)
-    for slot, i in enumerate(slots.tolist()):
-        rows.append((i, ran[i], *window(i, ran[i]), slot))
+def places(parts: list[int], sizes: list[int], block_rows: int) -> Iterator[tuple[int, int, int | None, int | None, int, bool]]:
+    """(class, block, release, deadline, slot, on target) of all blocks, slot by slot."""
+    total, ran, slot = sum(parts), [0] * len(parts), 0
+
+    def block(i: int, k: int) -> tuple[int, int, int | None, int | None]:
+        return (i, k, min(_MOST, k * total // parts[i]), min(_MOST, -(-(k + 1) * total // parts[i]))) if parts[i] > 0 else (i, k, None, None)
+
+    def late(i: int) -> Iterator[tuple[bool, int, int, int]]:
+        for k in range(ran[i], -(-sizes[i] // block_rows)):
+            yield parts[i] <= 0, -(-(k + 1) * total // parts[i]) if parts[i] > 0 else 0, i, k
+
+    for slot, i in enumerate(schedule(parts, [n // block_rows for n in sizes]), 1):  # noqa: B007
+        yield *block(i, ran[i]), slot - 1, True
         ran[i] += 1
-    late = [(i, k, *window(i, k)) for i, n in enumerate(sizes) for k in range(ran[i], -(-n // block_rows))]
-    late.sort(key=lambda r: (r[3] is None, r[3] or 0, r[0], r[1]))
-    rows += [(*r, horizon + j) for j, r in enumerate(late)]
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    most = 2**63 - 1  # a window that far off tells nothing but that
-    columns[2:4] = [[x if x is None else min(x, most) for x in c] for c in columns[2:4]]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["_c", "_at", "release", "deadline", "slot"]), horizon
+    for j, (_, _, i, k) in enumerate(heapq.merge(*(late(i) for i in range(len(parts))))):
+        yield *block(i, k), slot + j, False
+
+
+def written(spark: SparkSession, blocks: Iterator[tuple], piece: int = PIECE) -> DataFrame:
+    """The places as a table, written piece by piece."""
+    kinds = [pa.int64()] * 5 + [pa.bool_()]
+    names = ["_c", "_at", "release", "deadline", "slot", "on_target"]
+
+    def pieces() -> Iterator[DataFrame]:
+        columns = list(zip(*itertools.islice(blocks, piece), strict=True)) or [()] * 6
+        while columns:
+            yield spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
+            columns = list(zip(*itertools.islice(blocks, piece), strict=True))
+
+    return materialize_all(spark, pieces(), "mix-places")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, int | float | Fraction] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -104,17 +120,15 @@ def mix(docs: DataFrame, weights: dict[str | None, int | float | Fraction] | Non
         share = [max(Fraction(w), 0) if w is not None else least * Fraction(s) / left for s, w in zip(share, given, strict=True)]
     parts = integers(share)
     total = sum(parts)
-    block_rows = max(block_rows, -(-sum(sizes) // MOST_BLOCKS))
-    at, horizon = places(parts, sizes, block_rows)
     classes = pa.table([counts["source"], pa.array(range(len(parts)), pa.int64()), pa.array([float(Fraction(p, total or 1)) for p in parts], pa.float64())], names=["_name", "class", "weight"])
     named = few(materialize(spark.createDataFrame(classes, "_name string, class long, weight double"), "mix-sources"))
     classed = rows.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    ranked = numbered(classed, "class", ["_digest", "doc_id", "source"], "_rank", sum(sizes), then=keep)
-    placed = few(materialize(spark.createDataFrame(at, "_c long, _at long, release long, deadline long, slot long"), "mix-places"))
+    ranked = numbered(classed, "class", ["_digest", "doc_id", "source"], "_rank", then=keep)
+    placed = few(written(spark, places(parts, sizes, block_rows)))
     return (
         ranked.withColumn("block", F.floor(F.col("_rank") / block_rows).cast("long"))
         .join(placed, (F.col("class") == F.col("_c")) & (F.col("block") == F.col("_at")))
-        .select("doc_id", "source", *keep, "weight", "block", "release", "deadline", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), (F.col("slot") < F.lit(horizon)).alias("on_target"))
+        .select("doc_id", "source", *keep, "weight", "block", "release", "deadline", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), "on_target")
     )
 
 

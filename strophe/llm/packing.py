@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE, or
         cut = materialize(pieces(docs, tokenizer or tokenizer_path("word_bpe_49k.json"), size, order), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
     table = few(materialize(docs.sparkSession.createDataFrame(plan(counts, size), "_length long, first long, n long, each long, sequence long, at long"), "plan"))
-    ranked = numbered(cut, "length", ["doc_id", "piece", "start", "ids_crc32"], "_rank", sum(counts.values()))
+    ranked = numbered(cut, "length", ["doc_id", "piece", "start", "ids_crc32"], "_rank")
     step = F.col("_rank") - F.col("first")
     placed = ranked.join(table, (F.col("length") == F.col("_length")) & (step >= 0) & (step < F.col("n"))).select(
         *cut.columns, (F.col("sequence") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + step % F.col("each") * F.col("length")).cast("long").alias("offset")

@@ -73,7 +73,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
     keys = materialize(keys.withColumn("arc", arc(F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id")))), "ring-keys")
     counts = {r["arc"]: r["n"] for r in keys.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # shards * vnodes rows at most
     pieces = docs.sparkSession.createDataFrame(plan(counts, owner.tolist(), shards), "_arc int, first long, n long, shard int, used long")
-    ranked = numbered(keys, "arc", ["doc_id", "text_crc32", "size"], "rank", sum(counts.values()))
+    ranked = numbered(keys, "arc", ["doc_id", "text_crc32", "size"], "rank")
     placed = ranked.join(F.broadcast(pieces), (F.col("arc") == F.col("_arc")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("used") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "arc")
 

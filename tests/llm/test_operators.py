@@ -51,7 +51,6 @@ def ids_of(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
 
 
@@ -131,7 +130,7 @@ def test_schedule_equals_earliest_deadline_slot_by_slot(seed):
     rng = np.random.default_rng(seed)
     weights = [float(x) for x in rng.random(int(rng.integers(1, 9))) ** 3] + [0.0] * (seed % 2)
     full = rng.integers(20, 90, len(weights)).tolist()
-    assert mixing.schedule(mixing.integers(weights), full).tolist() == one_by_one(weights, full)
+    assert list(mixing.schedule(mixing.integers(weights), full)) == one_by_one(weights, full)
 
 
 def test_mixture_keeps_to_the_given_weights(spark):
@@ -142,10 +141,24 @@ def test_mixture_keeps_to_the_given_weights(spark):
     assert check_mix(mixing.mix(thirds, {"a": 1 / 3, "b": 2 / 3}, block_rows=1).collect(), 6000, {"a": 1 / 3, "b": 2 / 3}) > 5990
 
 
-def test_large_tables_have_larger_blocks(spark, docs, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
-    rows = mixing.mix(docs, block_rows=1).collect()
-    assert len(rows) == 200 and len({r.position for r in rows}) == 200 and max(r.slot for r in rows) < 10 + 20
+def test_schedule_is_written_in_pieces(spark):
+    parts, sizes = mixing.integers([5, 3, 1, 0]), [100, 333, 70, 9]
+    whole = list(mixing.places(parts, sizes, 2))
+    got = mixing.written(spark, mixing.places(parts, sizes, 2), piece=17).collect()
+    assert sorted(map(tuple, got)) == sorted(whole) and [r[4] for r in whole] == list(range(len(whole)))
+
+
+def test_blocks_of_a_hundred_million_rows_stay_within_one(spark):
+    """The schedule alone: 3 million blocks of 32 rows, in pieces, each source within one block of its weight at each slot."""
+    weights, sizes = [0.5, 0.3, 0.15, 0.05], [50_000_000, 30_000_000, 15_000_000, 5_000_000]
+    ran, n, parts = [0] * 4, 0, mixing.integers(weights)
+    share = [p / sum(parts) for p in parts]
+    for i, k, _, _, slot, on_target in mixing.places(parts, sizes, mixing.BLOCK_ROWS):
+        assert k == ran[i] and slot == n
+        ran[i] += 1
+        n += 1
+        assert not on_target or abs(ran[i] - share[i] * n) < 1 + 1e-6
+    assert n == sum(-(-s // mixing.BLOCK_ROWS) for s in sizes)
 
 
 def test_interleaved_rows_are_in_order(spark, docs):
@@ -311,6 +324,53 @@ def test_words_made_to_collide_are_told_apart(spark):
     check_repeats(suffix_dedup.removed(table(spark, rows)).collect(), [(d, t.encode()) for d, t in rows], 400)
 
 
+INVERTED = ("mornings nineteen we left", "hosaolpf 2=l(z092 we left")
+
+
+def colliding_words(key):
+    """Two words of eight letters with one hash under a known key: a chain of births on the form's sums."""
+    from strophe.llm import shingles as m
+
+    f, rng, found = m.factors(key, "words", 2 + m.LONGEST // 4), np.random.default_rng(5), {}
+    assert f.shape[0] == 2
+    # x = first half, y = second half of a word: f x + g y over all pairs of halves; half of the hash is matched by search.
+    x, y = (rng.integers(97, 123, (1 << 17, 4)).astype(np.uint8) for _ in range(2))
+    data = np.concatenate((np.concatenate((x, y), 1).reshape(-1), np.zeros(8, np.uint8)))
+    at = np.arange(len(x)) * 8
+    half = m.word_hashes(data[:-8], at, at + 8, key) >> np.uint64(32)
+    for i, h in enumerate(half.tolist()):
+        if h in found and (data[at[i] : at[i] + 8] != data[found[h] : found[h] + 8]).any():
+            return bytes(data[found[h] : found[h] + 8]).decode(), bytes(data[at[i] : at[i] + 8]).decode()
+        found[h] = at[i]
+    raise AssertionError
+
+
+def test_texts_written_to_share_a_hash_are_apart(spark, monkeypatch):
+    from strophe.llm import shingles as m
+
+    rows = [(1, INVERTED[0]), (2, INVERTED[1]), (3, INVERTED[0])]
+    assert [r.component_id for r in near_dedup.grouped(table(spark, rows), k=4).orderBy("doc_id").collect()] == [1, 2, 1]
+    key = bytes(range(32))
+    a, b = colliding_words(key)
+    top = lambda w, k: int(m.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([8]), k)[0]) >> 32
+    assert a != b and top(a, key) == top(b, key)  # half of the hash agrees under this key, and under no other
+    assert all(top(a, k) != top(b, k) for k in (near_dedup.secret() for _ in range(20)))
+    rows = [(1, f"{a} we have left"), (2, f"{b} we have left")]
+    assert [r.component_id for r in near_dedup.grouped(table(spark, rows), k=4).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_shingles_do_not_depend_on_what_is_beside_them():
+    import pyarrow as pa
+
+    key, rng = near_dedup.secret(), np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list("abé-"), int(rng.integers(1, 300)))) for _ in range(int(rng.integers(0, 9)))) for _ in range(60)]
+    together = [s.tolist() for s in sets(pa.array(texts), 3, key)]
+    assert together == [next(sets(pa.array([t]), 3, key)).tolist() for t in texts]
+    assert together != [s.tolist() for s in sets(pa.array(texts), 3, near_dedup.secret())]
+    words = [t for t in {w for t in texts for w in t.split()}]
+    assert len({int(next(sets(pa.array([w]), 3, key))[0]) for w in words}) == len(words)
+
+
 def test_near_edges(spark, edge, none):
     rows = near_dedup.grouped(edge, k=5).collect()
     assert len(rows) == len(EDGE)
@@ -337,8 +397,8 @@ def test_shingle_sets_count_distinct_ones():
     import pyarrow as pa
 
     texts = ["a b c a b c a b", "A\tB\x0bC d", "a", None, "", "É é x y", "a  b", "b a"]
-    assert [len(s) for s in sets(pa.array(texts), 3)] == [len(shingles(t, 3)) for t in texts]
-    one, two = list(sets(pa.array(["a b", "b a"]), 3))
+    assert [len(s) for s in sets(pa.array(texts), 3, bytes(32))] == [len(shingles(t, 3)) for t in texts]
+    one, two = list(sets(pa.array(["a b", "b a"]), 3, bytes(32)))
     assert one[0] != two[0]
 
 
