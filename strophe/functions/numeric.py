@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def total(x: Column, digits: int) -> Column:
+    """The sum of values with so many digits, added as decimals: no order of rows changes it."""
+    return F.sum(half_even(x, digits).cast(f"decimal(28,{digits})")).cast("double")
+
+
+def sum_in_order(x: Column, *order: str) -> Column:
+    """The sum of a group's doubles, added in an order of its rows. For groups that fit a row, such as a plan's actions."""
+    listed = F.sort_array(F.collect_list(F.struct(*order, x.cast("double").alias("_x"))))
+    return F.aggregate(listed, F.lit(0.0), lambda a, e: a + e["_x"])
+
+
+def rounds_above(limit: float, digits: int) -> float:
+    """The least double that is more than limit once rounded to so many digits: x >= this tests the rounded x."""
+    x = limit + 0.5 / 10**digits
+    while round(x, digits) > limit + 1e-9:
+        x = math.nextafter(x, -math.inf)
+    while round(x, digits) <= limit + 1e-9:
+        x = math.nextafter(x, math.inf)
+    return x
+
+
 def fixed(x: Column, digits: int) -> Column:
     """A number as text with so many digits, rounded as above."""
     return F.format_string(f"%.{digits}f", half_even(x, digits))

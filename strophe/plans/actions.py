@@ -6,10 +6,10 @@ evidence (numbers by name).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_even, width_db
+from ..functions.numeric import half_even, let, rounds_above, sum_in_order, width_db
 from ..operators.diagnosis import BANDS as BAND_LABELS
 from . import catalog
 
@@ -41,6 +41,59 @@ TAIL = {"audio.loudness.normalize": 1, "audio.limiter.true_peak": 2}
 SCOPES = [*catalog.BANDS, "global", "vocal_center"]
 
 
+#: The parameter that moves the tone (and its sign), the one that moves the gain.
+TONES = {n: ("gain_db", 1.0) for n in TONAL_GAINS} | {n: ("max_reduction_db", -1.0) for n in [*SUPPRESSORS, "audio.spectral.deharsh"]} | {"audio.spectral.dullness_recovery": ("max_boost_db", 1.0)}
+GAINS = {"audio.autogain.output_gain": "gain_db", "audio.glue.bus_compressor": "makeup_db", "audio.multiband.compressor": "makeup_db"}
+#: What may boost a band, (parameter, factor, most, times the mix); widths follow a law of their own.
+BOOSTS = (
+    {n: ("gain_db", 1.0, None, False) for n in ("audio.tone_eq.band", "audio.multiband.eq", "audio.dynamic_eq.motion", "audio.low_end.dynamic_balance", "audio.autogain.output_gain")}
+    | {"audio.tone_eq.tilt": ("gain_db", 0.5, None, False), "audio.spectral.dullness_recovery": ("max_boost_db", 1.0, None, False), "audio.transient.dynamic_control": ("amount_db", 1.0, None, False)}
+    | {n: ("makeup_db", 1.0, None, False) for n in ("audio.glue.bus_compressor", "audio.multiband.compressor")}
+    | {n: ("drive_db", 0.10, 1.5, True) for n in ("audio.multiband.saturation", "audio.saturation.softclip")}
+    | {"audio.saturation.exciter": ("amount", 0.15, 1.5, True), "audio.vocal.center_naturalizer": ("body_gain_db", 1.0, None, True)}
+    | {n: ("width", 1.0, None, False) for n in WIDTHS}
+)
+#: Bands that a function reaches whatever its target; the tilt reaches the first when it rises, else the second.
+REACHES = {n: ["high_mid", "air"] for n in ("audio.tone_eq.tilt", "audio.spectral.dullness_recovery", "audio.saturation.exciter")} | {"audio.vocal.center_naturalizer": ["low_mid", "mid"]} | {n: catalog.BANDS for n in ("audio.autogain.output_gain", "audio.glue.bus_compressor")}
+FALLS = {"audio.tone_eq.tilt": ["sub_bass", "bass"]}
+
+
+def kind_of(function: str) -> tuple[str, list[str]]:
+    """What tells the operation of a function (width, sign, or the operation itself), and the operations it may be asked for."""
+    if function in WIDTHS:
+        return "width", ["narrow", "expand", "neutral"]
+    if function in PASSES:
+        return "cut", ["cut"]
+    if function in [*SUPPRESSORS, "audio.spectral.deharsh"]:
+        return "attenuate", ["cut", "attenuate", "protect"]
+    if function in ("audio.spectral.dullness_recovery", "audio.saturation.exciter"):
+        return "boost", ["boost", "neutral"]
+    if function in SIGNED:
+        return "sign", ["cut", "boost", "attenuate", "neutral"]
+    if function.startswith("audio.repair.") or function in ATTENUATORS:
+        return "attenuate", ["attenuate", "protect"]
+    return "protect", ["protect", "attenuate"] if function == "audio.vocal.center_naturalizer" else ["protect"]
+
+
+def laws(spark: SparkSession) -> DataFrame:
+    """A row for each function of the catalog: how its operation is told and what it adds to tone, gain and bands."""
+    rows = []
+    for f, *_ in catalog.FUNCTIONS:
+        boost, factor, most, wet = BOOSTS.get(f, (None, 0.0, None, False))
+        rows.append((f, *kind_of(f), SIGNED.get(f), *TONES.get(f, (None, 0.0)), GAINS.get(f), boost, factor, most, wet, REACHES.get(f), FALLS.get(f)))
+    fields = "function_id string, _kind string, _supported array<string>, _signed string, _tone string, _tone_sign double, _gain string, _boost string, _factor double, _most double, _wet boolean, _reach array<string>, _fall array<string>"
+    return spark.createDataFrame(rows, fields)
+
+
+def with_laws(actions: DataFrame) -> DataFrame:
+    """Actions with the law of their function, from a table of one row a function."""
+    return actions.join(F.broadcast(laws(actions.sparkSession)), "function_id", "left")
+
+
+def without_laws(actions: DataFrame) -> DataFrame:
+    return actions.drop(*laws(actions.sparkSession).columns[1:])
+
+
 def resolve(actions: DataFrame) -> DataFrame:
     """Old short names replaced by function ids, with the function's number, plugin and whether it takes a band."""
     spark = actions.sparkSession
@@ -67,68 +120,29 @@ def parameter_problems(given: DataFrame) -> DataFrame:
     return joined.withColumn("problem", F.when(raw.isNull(), "missing").otherwise(wrong)).drop("_f", "_p", "type", "least", "most", "choices")
 
 
-def of(name: str, default: float = 0.0) -> Column:
-    return F.coalesce(F.col("params")[name], F.lit(default))
-
-
-def by_function(values: dict[str, Column], otherwise: Column | None = None) -> Column:
-    out = F.lit(None).cast("double") if otherwise is None else otherwise
-    for name, value in values.items():
-        out = F.when(F.col("function_id") == name, value).otherwise(out)
-    return out
-
-
-def signed_value() -> Column:
-    """The parameter that tells cut from boost; null for functions without one."""
-    return by_function({f: of(p) for f, p in SIGNED.items()})
-
+def of(name: str | Column, default: float | Column = 0.0) -> Column:
+    return F.coalesce(F.col("params")[name], default if isinstance(default, Column) else F.lit(default))
 
-def operation() -> Column:
-    """What an action does, by its function and the sign of its parameters."""
-    f, v, w = F.col("function_id"), signed_value(), of("width", 1.0)
-    return (
-        F.when(f.isin(WIDTHS), F.when(w < 1, "narrow").when(w > 1, "expand").otherwise("neutral"))
-        .when(f.isin(PASSES), "cut")
-        .when(f.isin(*SUPPRESSORS, "audio.spectral.deharsh"), "attenuate")
-        .when(f.isin("audio.spectral.dullness_recovery", "audio.saturation.exciter"), "boost")
-        .when(v.isNotNull(), F.when(v < 0, "cut").when(v > 0, "boost").otherwise("neutral"))
-        .when(F.startswith(f, F.lit("audio.repair.")) | f.isin(ATTENUATORS), "attenuate")
-        .otherwise("protect")
-    )
-
-
-def supported() -> Column:
-    """The operations that a function may be asked for."""
-    f, some = F.col("function_id"), lambda *names: F.array(*(F.lit(n) for n in names))
-    return (
-        F.when(f.isin(list(SIGNED)), some("cut", "boost", "attenuate", "neutral"))
-        .when(f.isin(WIDTHS), some("narrow", "expand", "neutral"))
-        .when(f.isin(PASSES), some("cut"))
-        .when(f.isin(*SUPPRESSORS, "audio.spectral.deharsh"), some("cut", "attenuate", "protect"))
-        .when(f == "audio.vocal.center_naturalizer", some("protect", "attenuate"))
-        .when(f.isin("audio.spectral.dullness_recovery", "audio.saturation.exciter"), some("boost", "neutral"))
-        .when(F.startswith(f, F.lit("audio.repair.")) | f.isin(ATTENUATORS), some("attenuate", "protect"))
-        .otherwise(some("protect"))
-    )
 
+def problems(actions: DataFrame) -> DataFrame:
+    """Each action with its operation (inferred where none is given) and the first thing wrong with it (empty: nothing).
 
-def operation_problem(asked: Column) -> Column:
-    """What is wrong with the operation asked for (empty: nothing): one that the function lacks, or that its parameters contradict."""
-    v, w, wide = signed_value(), of("width", 1.0), F.col("function_id").isin(WIDTHS)
+    Wrong are functions that nobody knows, a missing or an extra band, an operation that the function lacks, and one that
+    its parameters contradict.
+    """
+    known = with_laws(resolve(actions)).withColumns({"_v": F.when(F.col("_signed").isNotNull(), of(F.col("_signed"))), "_w": of("width", 1.0)})
+    kind, v, w = F.coalesce("_kind", F.when(F.startswith("function_id", F.lit("audio.repair.")), "attenuate").otherwise("protect")), F.col("_v"), F.col("_w")
+    inferred = F.when(kind == "width", F.when(w < 1, "narrow").when(w > 1, "expand").otherwise("neutral")).when(kind == "sign", F.when(v < 0, "cut").when(v > 0, "boost").otherwise("neutral")).otherwise(kind)
+    known = known.withColumn("operation", F.coalesce("operation", inferred))
+    asked = F.col("operation")
     against = ((asked == "cut") & (v >= 0)) | ((asked == "boost") & (v <= 0)) | ((asked == "neutral") & (F.abs(v) > 1e-9)) | ((asked == "attenuate") & (v > 0))
-    stands = wide & (((asked == "narrow") & (w >= 1)) | ((asked == "expand") & (w <= 1)) | ((asked == "neutral") & (F.abs(w - 1) > 1e-9)))
-    return F.when(~F.array_contains(supported(), asked), "unsupported").when(F.coalesce(against, F.lit(False)) | stands, "contradicted").otherwise("")
-
-
-def problems(actions: DataFrame) -> DataFrame:
-    """Each action with its operation (inferred where none is given) and the first thing wrong with it (empty: nothing)."""
-    known = resolve(actions)
-    asked = F.coalesce("operation", operation())
+    stands = (kind == "width") & (((asked == "narrow") & (w >= 1)) | ((asked == "expand") & (w <= 1)) | ((asked == "neutral") & (F.abs(w - 1) > 1e-9)))
     wrong = (
         F.when(F.col("plugin").isNull(), "unknown function").when(F.col("banded") & F.col("target").isNull(), "needs a band")
-        .when(F.col("target").isNotNull() & (~F.col("banded") | ~F.col("target").isin(catalog.BANDS)), "takes no such band").otherwise(operation_problem(asked))
+        .when(F.col("target").isNotNull() & (~F.col("banded") | ~F.col("target").isin(catalog.BANDS)), "takes no such band")
+        .when(~F.array_contains("_supported", asked), "unsupported").when(F.coalesce(against, F.lit(False)) | stands, "contradicted").otherwise("")
     )
-    return known.withColumns({"operation": asked, "problem": wrong})
+    return without_laws(known.withColumn("problem", wrong)).drop("_v", "_w")
 
 
 def plan_problems(actions: DataFrame, analysis: list[str]) -> DataFrame:
@@ -138,35 +152,34 @@ def plan_problems(actions: DataFrame, analysis: list[str]) -> DataFrame:
     return per.select("plan", F.array_join(F.sort_array(F.array_intersect("_ids", "_against")), ",").alias("conflicts"), F.array_join(F.sort_array(F.array_except("_needs", F.array(*(F.lit(a) for a in analysis)))), ",").alias("missing"))
 
 
+def enabled(actions: DataFrame) -> Column:
+    """Whether an action is switched on: where there is such a column, unless it says no."""
+    return F.coalesce("enabled", F.lit(True)) if "enabled" in actions.columns else F.lit(True)
+
+
 def contributions(actions: DataFrame) -> DataFrame:
-    """What each action adds: tonal_boost, tonal_cut, gain_boost, gain_cut, scope (where its tone counts), bands (an array of boosts)."""
-    f, pos = F.col("function_id"), lambda x: F.greatest(x, F.lit(0.0))
-    tone = by_function({n: of("gain_db") for n in TONAL_GAINS} | {n: -of("max_reduction_db") for n in [*SUPPRESSORS, "audio.spectral.deharsh"]} | {"audio.spectral.dullness_recovery": of("max_boost_db")})
-    gain = by_function({"audio.autogain.output_gain": of("gain_db"), "audio.glue.bus_compressor": of("makeup_db"), "audio.multiband.compressor": of("makeup_db")})
-    vocal, mix = f == "audio.vocal.center_naturalizer", of("mix")
-    wet = F.least(F.lit(1.0), pos(mix))
-    level = by_function(
-        {n: of("gain_db") for n in ("audio.tone_eq.band", "audio.multiband.eq", "audio.dynamic_eq.motion", "audio.low_end.dynamic_balance", "audio.autogain.output_gain")}
-        | {"audio.tone_eq.tilt": F.abs(of("gain_db")) / 2, "audio.spectral.dullness_recovery": of("max_boost_db"), "audio.transient.dynamic_control": of("amount_db"), "audio.glue.bus_compressor": of("makeup_db"), "audio.multiband.compressor": of("makeup_db")}
-        | {n: F.least(F.lit(1.5), pos(of("drive_db")) * wet * 0.10) for n in ("audio.multiband.saturation", "audio.saturation.softclip")}
-        | {"audio.saturation.exciter": F.least(F.lit(1.5), pos(of("amount")) * wet * 0.15), "audio.vocal.center_naturalizer": pos(of("body_gain_db")) * wet}
-        | {n: width_db(pos(of("width", 1.0))) for n in WIDTHS}
-    )
-    high, low = F.array(F.lit("high_mid"), F.lit("air")), F.array(F.lit("sub_bass"), F.lit("bass"))
-    whole = F.array(*(F.lit(b) for b in catalog.BANDS))
-    own = F.when(F.col("target").isin(catalog.BANDS), F.array("target")).otherwise(whole)
-    at = (
-        F.when(f == "audio.tone_eq.tilt", F.when(of("gain_db") > 0, high).otherwise(low)).when(f.isin("audio.spectral.dullness_recovery", "audio.saturation.exciter"), high)
-        .when(vocal, F.array(F.lit("low_mid"), F.lit("mid"))).when(f.isin("audio.autogain.output_gain", "audio.glue.bus_compressor"), whole).otherwise(own)
-    )
-    boost = F.when(level > 1e-9, level).otherwise(0.0)
-    return actions.withColumns({
-        "tonal_boost": F.when(vocal, of("body_gain_db") * mix).otherwise(pos(F.coalesce(tone, F.lit(0.0)))),
-        "tonal_cut": F.when(vocal, (of("harshness_reduction_db") + of("air_reduction_db")) * mix).otherwise(pos(-F.coalesce(tone, F.lit(0.0)))),
-        "gain_boost": pos(F.coalesce(gain, F.lit(0.0))), "gain_cut": pos(-F.coalesce(gain, F.lit(0.0))),
-        "scope": F.when(vocal, "vocal_center").when(tone.isNotNull(), F.coalesce("target", F.lit("global"))),
-        "bands": F.array(*(F.when(F.array_contains(at, b), boost).otherwise(0.0) for b in catalog.BANDS)),
+    """What each action adds: tonal_boost, tonal_cut, gain_boost, gain_cut, scope (where its tone counts), bands (an array of boosts).
+
+    An action that is switched off boosts no band; tone and gain are counted of what is asked for.
+    """
+    pos, vocal = lambda x: F.greatest(x, F.lit(0.0)), F.col("function_id") == "audio.vocal.center_naturalizer"
+    told = with_laws(actions).withColumns({
+        "_t": F.when(F.col("_tone").isNotNull(), of(F.col("_tone")) * F.col("_tone_sign")), "_g": F.when(F.col("_gain").isNotNull(), of(F.col("_gain"))).otherwise(0.0), "_wide": F.coalesce(F.col("_boost") == "width", F.lit(False)),
+        "_mix": F.when(F.col("_wet"), F.least(F.lit(1.0), pos(of("mix")))).otherwise(1.0), "_b": of(F.col("_boost"), F.when(F.col("_boost") == "width", 1.0).otherwise(0.0)),
     })
+    size = F.when(F.col("_fall").isNotNull(), F.abs("_b")).otherwise(pos(F.col("_b")))
+    made = size * F.col("_mix") * F.col("_factor")
+    level = F.when(F.col("_wide"), width_db(size)).when(made > F.col("_most"), F.col("_most")).otherwise(made)
+    own = F.when(F.col("target").isin(catalog.BANDS), F.array("target")).otherwise(F.array(*(F.lit(b) for b in catalog.BANDS)))
+    told = told.withColumns({"_level": F.coalesce(F.when((level > 1e-9) & enabled(actions), level), F.lit(0.0)), "_at": F.when(F.col("_fall").isNotNull() & (F.col("_b") <= 0), F.col("_fall")).otherwise(F.coalesce("_reach", own))})
+    told = told.withColumns({
+        "tonal_boost": F.when(vocal, of("body_gain_db") * of("mix")).otherwise(pos(F.coalesce("_t", F.lit(0.0)))),
+        "tonal_cut": F.when(vocal, (of("harshness_reduction_db") + of("air_reduction_db")) * of("mix")).otherwise(pos(-F.coalesce("_t", F.lit(0.0)))),
+        "gain_boost": pos(F.col("_g")), "gain_cut": pos(-F.col("_g")),
+        "scope": F.when(vocal, "vocal_center").when(F.col("_t").isNotNull(), F.coalesce("target", F.lit("global"))),
+        "bands": F.array(*(F.when(F.array_contains("_at", b), F.col("_level")).otherwise(0.0) for b in catalog.BANDS)),
+    })
+    return without_laws(told).drop("_t", "_g", "_wide", "_mix", "_b", "_level", "_at")
 
 
 SIDES = ["tonal_boost", "tonal_cut", "gain_boost", "gain_cut"]
@@ -187,74 +200,94 @@ def alone_problem(columns: list[str]) -> Column:
 
 
 def budgets(actions: DataFrame) -> DataFrame:
-    """For each plan its totals (boosts and cuts are never netted), what is left of each, the governors that it offends, and the outcome."""
+    """For each plan its totals (boosts and cuts are never netted), what is left of each, the governors that it offends, and the outcome.
+
+    Totals add up in the order of the actions.
+    """
     parts = contributions(actions)
     parts = parts.withColumn("_alone", alone_problem(parts.columns))
-    scopes = parts.where("scope IS NOT NULL").groupBy("plan", "scope").agg(F.sum("tonal_boost").alias("b"), F.sum("tonal_cut").alias("c"), F.count("*").alias("n"))
+    scopes = parts.where("scope IS NOT NULL").groupBy("plan", "scope").agg(sum_in_order(F.col("tonal_boost"), "pos").alias("b"), sum_in_order(F.col("tonal_cut"), "pos").alias("c"), F.count("*").alias("n"))
     crowded = scopes.groupBy("plan").agg(F.coalesce(F.bool_or((F.col("n") > 1) & ((F.col("b") > LIMITS["tonal_boost_individual"] + 1e-9) | (F.col("c") > LIMITS["tonal_cut_individual"] + 1e-9))), F.lit(False)).alias("_crowded"))
-    per = parts.groupBy("plan").agg(
-        F.count("*").alias("actions"), *(half_even(F.sum(n), 3).alias(n) for n in SIDES), F.coalesce(F.bool_or(F.col("_alone") == TONAL), F.lit(False)).alias("_tonal"), F.coalesce(F.bool_or(F.col("_alone") == GAIN), F.lit(False)).alias("_gain"),
-        F.greatest(*(F.sum(F.get("bands", F.lit(i))) for i in range(len(catalog.BANDS)))).alias("_band"),
-    )
-    over = lambda n: F.col(n) > LIMITS[f"{n}_total"] + 1e-9
+    item = F.struct("pos", *SIDES, "bands")
+    per = parts.groupBy("plan").agg(F.count("*").alias("actions"), F.sort_array(F.collect_list(item)).alias("_a"), F.coalesce(F.bool_or(F.col("_alone") == TONAL), F.lit(False)).alias("_tonal"), F.coalesce(F.bool_or(F.col("_alone") == GAIN), F.lit(False)).alias("_gain"))  # one plan's actions
+    add = lambda n: F.aggregate("_a", F.lit(0.0), lambda t, x: t + x[n])
+    bands = F.aggregate("_a", F.array_repeat(F.lit(0.0), len(catalog.BANDS)), lambda t, x: F.zip_with(t, x["bands"], lambda p, q: p + q))
+    per = per.withColumns({f"_{n}_raw": add(n) for n in SIDES} | {"_band": F.array_max(bands)})
+    over = lambda n: F.col(f"_{n}_raw") > LIMITS[f"{n}_total"] + 1e-9
     found = [
         F.when(F.col("_tonal") | over("tonal_boost") | over("tonal_cut"), TONAL), F.when(F.col("_gain") | over("gain_boost") | over("gain_cut"), GAIN),
-        F.when(F.coalesce("_crowded", F.lit(False)), OVERLAP), F.when(half_even(F.col("_band"), 3) > LIMITS["band_boost"] + 1e-9, HEADROOM),
+        F.when(F.coalesce("_crowded", F.lit(False)), OVERLAP), F.when(F.col("_band") >= rounds_above(LIMITS["band_boost"], 3), HEADROOM),
     ]
-    left = {f"{n}_left": half_even(F.greatest(LIMITS[f"{n}_total"] - F.col(n), F.lit(0.0)), 3) for n in SIDES}
+    left = {f"{n}_left": half_even(F.greatest(LIMITS[f"{n}_total"] - F.col(f"_{n}_raw"), F.lit(0.0)), 3) for n in SIDES}
     joined = per.join(crowded, "plan", "left").withColumn("offended", F.array_join(F.array_compact(F.array(*found)), ","))
-    return joined.select("plan", "actions", *SIDES, *(c.alias(n) for n, c in left.items()), "offended", F.when(F.col("offended") == "", "passed").otherwise("rejected").alias("status"))
+    return joined.select("plan", "actions", *(half_even(F.col(f"_{n}_raw"), 3).alias(n) for n in SIDES), *(c.alias(n) for n, c in left.items()), "offended", F.when(F.col("offended") == "", "passed").otherwise("rejected").alias("status"))
 
 
 def headroom(actions: DataFrame) -> DataFrame:
-    """The band in which a plan boosts most, counting boosts alone; the first band on a tie."""
-    per = contributions(actions).select("plan", F.posexplode("bands").alias("no", "boost")).groupBy("plan", "no").agg(half_even(F.sum("boost"), 3).alias("boost"))
-    worst = per.groupBy("plan").agg(F.max_by(F.struct("no", "boost"), F.struct(F.col("boost"), -F.col("no"))).alias("w"))
-    return worst.select("plan", F.get(F.array(*(F.lit(b) for b in catalog.BANDS)), F.col("w.no")).alias("band"), F.col("w.boost").alias("boost"), (F.col("w.boost") > LIMITS["band_boost"] + 1e-9).alias("exceeded"))
+    """The band in which a plan boosts most, counting boosts alone, in the order of the actions; the first band on a tie."""
+    listed = contributions(actions).groupBy("plan").agg(F.sort_array(F.collect_list(F.struct("pos", "bands"))).alias("_a"))  # one plan's actions
+    sums = F.aggregate("_a", F.array_repeat(F.lit(0.0), len(catalog.BANDS)), lambda t, x: F.zip_with(t, x["bands"], lambda p, q: p + q))
+    sums = listed.select("plan", F.transform(sums, lambda x: half_even(x, 3)).alias("_s")).withColumn("boost", F.array_max("_s"))
+    at = F.array_position("_s", F.col("boost")).cast("int") - 1
+    return sums.select("plan", F.get(F.array(*(F.lit(b) for b in catalog.BANDS)), at).alias("band"), "boost", (F.col("boost") > LIMITS["band_boost"] + 1e-9).alias("exceeded"))
 
 
-def admit(actions: DataFrame, dense: Column | None = None) -> DataFrame:
+def admit(actions: DataFrame, dense: Column | None = None, unproven: Column | None = None) -> DataFrame:
     """Ordered admission: plan, pos, function_id, outcome and the reason of a rejection.
 
-    An action with a problem of its own is rejected, a neutral one is traced and costs nothing; any other is accepted if
-    the plan so far and it offend no governor and exclude each other in nothing. A rejected one leaves the plan as it
-    was; of several reasons the last one counts. dense: whether the plan's material is compressed already. A fold over
-    each plan's actions in order; its state is what the accepted ones add up to, as one array of sums.
+    An action with a problem of its own, or one that is switched off, is rejected, a neutral one is traced and costs
+    nothing; any other is accepted if the plan so far and it offend no governor and exclude each other in nothing. A
+    rejected one leaves the plan as it was; of several reasons the last one counts. dense: whether the plan's material is
+    compressed already. unproven: what an action's evidence lacks (``evidence.problem``), null if nothing. A fold over each
+    plan's actions in order; its state is what the accepted ones add up to. Only the scope of an action's own tone can
+    become crowded by it.
     """
     known = contributions(problems(actions))
-    known = known.withColumn("_alone", alone_problem(known.columns))
-    n, at = len(catalog.BANDS), lambda s: [F.when(F.col("scope") == x, s).otherwise(0.0) for x in SCOPES]
-    once = lambda f: F.when(F.col("function_id") == f, 1.0).otherwise(0.0)
+    known = known.withColumns({"_alone": alone_problem(known.columns), "_on": enabled(known)})
+    count = len(catalog.BANDS)
+    once = lambda f: F.col("function_id") == f
     exclusive = ("audio.saturation.softclip", "audio.saturation.exciter")
-    sums = F.array(*(F.col(x) for x in SIDES), *at(F.col("tonal_boost")), *at(F.col("tonal_cut")), *at(F.lit(1.0)), *(F.get("bands", F.lit(i)) for i in range(n)), *(once(f) for f in exclusive))
     heavy = F.coalesce(dense if dense is not None else F.lit(False), F.lit(False)) & F.col("function_id").isin(DENSITY)
     wide = (F.col("function_id") == "audio.multiband.stereo_width") & (F.col("target") == "sub_bass") & (of("width", 1.0) > 1)
-    blocked = F.when(F.col("problem") != "", F.col("problem")).when(F.coalesce(heavy, F.lit(False)), "dense material").when(F.coalesce(wide, F.lit(False)), "wide sub bass")
-    item = F.struct("pos", "function_id", (F.col("operation") == "neutral").alias("neutral"), blocked.alias("blocked"), F.col("_alone").alias("alone"), sums.alias("sums"))
-    size = len(SIDES) + 3 * len(SCOPES) + n + 2
-    start = F.struct(F.array_repeat(F.lit(0.0), size).alias("sums"), F.array().cast("array<struct<pos:bigint,function_id:string,outcome:string,reason:string>>").alias("out"))
-
-    def reason(t: Column, alone: Column) -> Column:
-        k, m = len(SIDES), len(SCOPES)
-        get = lambda i: F.get(t, F.lit(i))
-        either = lambda cs: F.array_contains(F.array(*cs), True)
-        crowded = either([(get(k + 2 * m + i) > 1) & ((get(k + i) > LIMITS["tonal_boost_individual"] + 1e-9) | (get(k + m + i) > LIMITS["tonal_cut_individual"] + 1e-9)) for i in range(m)])
-        room = either([half_even(get(k + 3 * m + i), 3) > LIMITS["band_boost"] + 1e-9 for i in range(n)])
-        clash = (get(size - 2) > 0) & (get(size - 1) > 0)
-        over = lambda i: get(i) > LIMITS[f"{SIDES[i]}_total"] + 1e-9
-        return F.when(clash, "conflict").when(room, HEADROOM).when(over(2) | over(3), GAIN).when(over(0) | over(1), TONAL).when(crowded, OVERLAP).otherwise(alone)
+    blocked = F.when(F.col("problem") != "", F.col("problem")).when(~F.col("_on"), "switched off")
+    late = F.coalesce(unproven if unproven is not None else F.lit(None).cast("string"), F.when(heavy, "dense material"), F.when(F.coalesce(wide, F.lit(False)), "wide sub bass"))
+    scopes = F.array(*(F.lit(x) for x in SCOPES))
+    item = F.struct(
+        "pos", "function_id", (F.col("operation") == "neutral").alias("neutral"), F.coalesce(blocked, F.when(F.col("operation") != "neutral", late)).alias("blocked"), F.col("_alone").alias("alone"),
+        F.array(*(F.col(x) for x in SIDES)).alias("sides"), (F.array_position(scopes, F.col("scope")) - 1).cast("int").alias("scope"), "tonal_boost", "tonal_cut", "bands", *(once(f).alias(f"x{i}") for i, f in enumerate(exclusive)),
+    )
+    zeros, m = lambda n: F.array_repeat(F.lit(0.0), n), len(SCOPES)
+    out = F.array().cast("array<struct<pos:bigint,function_id:string,outcome:string,reason:string>>")
+    start = F.struct(zeros(len(SIDES)).alias("sides"), zeros(3 * m).alias("tone"), zeros(count).alias("bands"), F.lit(False).alias("x0"), F.lit(False).alias("x1"), out.alias("out"))
+    over = lambda t, i: F.get(t, F.lit(i)) > LIMITS[f"{SIDES[i]}_total"] + 1e-9
 
     def step(a: Column, x: Column) -> Column:
-        def told(v: Column) -> Column:  # v: the sums with this action, and why not
-            fits = v["why"].isNull()
-            outcome = F.when(x["blocked"].isNotNull(), "rejected").when(x["neutral"], "neutral").when(fits, "accepted").otherwise("rejected")
-            why = F.when(x["blocked"].isNotNull(), x["blocked"]).when(~x["neutral"], v["why"])
-            row = F.struct(x["pos"].cast("bigint").alias("pos"), x["function_id"].alias("function_id"), outcome.alias("outcome"), why.alias("reason"))
-            taken = x["blocked"].isNull() & ~x["neutral"] & fits
-            return F.struct(F.when(taken, v["sums"]).otherwise(a["sums"]).alias("sums"), F.concat(a["out"], F.array(row)).alias("out"))
-
-        added = F.transform(F.array(F.zip_with(a["sums"], x["sums"], lambda p, q: p + q)), lambda t: F.struct(t.alias("sums"), reason(t, x["alone"]).alias("why")))
-        return F.transform(added, told)[0]
+        plus = lambda p, q: F.zip_with(p, q, lambda u, v: u + v)
+        at = lambda k: F.get(a["tone"], x["scope"] + k * m)  # noqa: E731  boosts, cuts and actions of the scope so far
+
+        def told(v: Column) -> Column:
+            """v: sides and bands with this action."""
+            crowded = (at(2) > 0) & ((at(0) + x["tonal_boost"] > LIMITS["tonal_boost_individual"] + 1e-9) | (at(1) + x["tonal_cut"] > LIMITS["tonal_cut_individual"] + 1e-9))
+            why = (
+                F.when((a["x0"] | x["x0"]) & (a["x1"] | x["x1"]), "conflict").when(F.array_max(v["bands"]) >= rounds_above(LIMITS["band_boost"], 3), HEADROOM).when(over(v["sides"], 2) | over(v["sides"], 3), GAIN)
+                .when(over(v["sides"], 0) | over(v["sides"], 1), TONAL).when(crowded, OVERLAP).otherwise(x["alone"])
+            )
+            outcome = F.when(x["blocked"].isNotNull(), "rejected").when(x["neutral"], "neutral").when(why.isNull(), "accepted").otherwise("rejected")
+            reason = F.when(x["blocked"].isNotNull(), x["blocked"]).when(~x["neutral"], why)
+            return F.struct(v["sides"].alias("sides"), v["bands"].alias("bands"), outcome.alias("outcome"), reason.alias("reason"))
+
+        def taken(t: Column) -> Column:
+            row = F.struct(x["pos"].cast("bigint").alias("pos"), x["function_id"].alias("function_id"), t["outcome"].alias("outcome"), t["reason"].alias("reason"))
+            yes = t["outcome"] == "accepted"
+            add = lambda v, i: v + F.when(i == x["scope"], x["tonal_boost"]).when(i == x["scope"] + m, x["tonal_cut"]).when(i == x["scope"] + 2 * m, 1.0).otherwise(0.0)
+            tone = F.when(yes & x["scope"].isNotNull(), F.transform(a["tone"], add)).otherwise(a["tone"])
+            return F.struct(
+                F.when(yes, t["sides"]).otherwise(a["sides"]).alias("sides"), tone.alias("tone"), F.when(yes, t["bands"]).otherwise(a["bands"]).alias("bands"),
+                (a["x0"] | (yes & x["x0"])).alias("x0"), (a["x1"] | (yes & x["x1"])).alias("x1"), F.concat(a["out"], F.array(row)).alias("out"),
+            )
+
+        added = F.struct(plus(a["sides"], x["sides"]).alias("sides"), plus(a["bands"], x["bands"]).alias("bands"))
+        return let(let(added, told), taken)
 
     folded = known.groupBy("plan").agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step).alias("s"))  # one plan's actions
     return folded.select("plan", F.explode("s.out").alias("o")).select("plan", "o.*")

@@ -115,8 +115,8 @@ def execution_audit(spark, sf_dir):
 
 
 def legacy_migration(spark, sf_dir):
-    """Old settings of each supplier: one for each of its lines up to the seventh part of them."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 7 = 0")
+    """Old settings of each supplier, one for each kind among its lines."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     names = ["noise_reduction_level", "declip_level", "declick_level", "deesser_intensity", "band_adjust_db", "tone_tilt_db", "band_widths", "saturation_drive_db", "glue_ratio", "never_known"]
     name = F.get(F.array(*(F.lit(n) for n in names)), (F.col("l_orderkey") % 10).cast("int"))
     banded = name.isin("band_adjust_db", "band_widths")
@@ -203,13 +203,13 @@ ORACLES = {
     "plan_validation": f"WITH {BASE}, {OP} SELECT plan, pos, operation, problem FROM pr",
     "plan_conflicts": f"""WITH {BASE}, g AS (SELECT plan, list(DISTINCT function_id) AS ids, flatten(list(conflicts)) AS against, flatten(list(needs)) AS needs FROM re GROUP BY plan)
  SELECT plan, array_to_string(list_sort(list_filter(ids, lambda i: list_contains(against, i))), ',') AS conflicts, array_to_string(list_sort(list_distinct(list_filter(needs, lambda n: NOT list_contains({_list(ANALYSIS)}, n)))), ',') AS missing FROM g""",
-    "budget_totals": f"""WITH {BASE}, {_contributions('re')}, sc AS (SELECT plan, scope FROM cx WHERE scope IS NOT NULL GROUP BY plan, scope HAVING count(*) > 1 AND (sum(tb) > 2 + 1e-9 OR sum(tc) > 3 + 1e-9)),
- b AS (SELECT plan, count(*) AS actions, {_r3('sum(tb)')} AS tonal_boost, {_r3('sum(tc)')} AS tonal_cut, {_r3('sum(gb)')} AS gain_boost, {_r3('sum(gc)')} AS gain_cut, bool_or(coalesce(alone = '{act.TONAL}', false)) AS ot, bool_or(coalesce(alone = '{act.GAIN}', false)) AS og, greatest({', '.join(_r3(_band_sum(b)) for b in catalog.BANDS)}) AS most FROM cx GROUP BY plan),
- o AS (SELECT *, concat_ws(',', CASE WHEN ot OR tonal_boost > 3 + 1e-9 OR tonal_cut > 6 + 1e-9 THEN '{act.TONAL}' END, CASE WHEN og OR gain_boost > 3 + 1e-9 OR gain_cut > 6 + 1e-9 THEN '{act.GAIN}' END, CASE WHEN plan IN (SELECT plan FROM sc) THEN '{act.OVERLAP}' END, CASE WHEN most > 2.5e0 + 1e-9 THEN '{act.HEADROOM}' END) AS offended FROM b)
- SELECT plan, actions, tonal_boost, tonal_cut, gain_boost, gain_cut, {_r3('greatest(0, 3 - tonal_boost)')} AS tonal_boost_left, {_r3('greatest(0, 6 - tonal_cut)')} AS tonal_cut_left, {_r3('greatest(0, 3 - gain_boost)')} AS gain_boost_left, {_r3('greatest(0, 6 - gain_cut)')} AS gain_cut_left, offended, CASE WHEN offended = '' THEN 'passed' ELSE 'rejected' END AS status FROM o""",
+    "budget_totals": f"""WITH {BASE}, {_contributions('re')}, sc AS (SELECT plan, scope FROM cx WHERE scope IS NOT NULL GROUP BY plan, scope HAVING count(*) > 1 AND (sum(tb ORDER BY pos) > 2 + 1e-9 OR sum(tc ORDER BY pos) > 3 + 1e-9)),
+ b AS (SELECT plan, count(*) AS actions, sum(tb ORDER BY pos) AS tb, sum(tc ORDER BY pos) AS tc, sum(gb ORDER BY pos) AS gb, sum(gc ORDER BY pos) AS gc, bool_or(coalesce(alone = '{act.TONAL}', false)) AS ot, bool_or(coalesce(alone = '{act.GAIN}', false)) AS og, greatest({', '.join(_r3(_band_sum(b)) for b in catalog.BANDS)}) AS most FROM cx GROUP BY plan),
+ o AS (SELECT *, concat_ws(',', CASE WHEN ot OR tb > 3 + 1e-9 OR tc > 6 + 1e-9 THEN '{act.TONAL}' END, CASE WHEN og OR gb > 3 + 1e-9 OR gc > 6 + 1e-9 THEN '{act.GAIN}' END, CASE WHEN plan IN (SELECT plan FROM sc) THEN '{act.OVERLAP}' END, CASE WHEN most > 2.5e0 + 1e-9 THEN '{act.HEADROOM}' END) AS offended FROM b)
+ SELECT plan, actions, {_r3('tb')} AS tonal_boost, {_r3('tc')} AS tonal_cut, {_r3('gb')} AS gain_boost, {_r3('gc')} AS gain_cut, {_r3('greatest(0, 3 - tb)')} AS tonal_boost_left, {_r3('greatest(0, 6 - tc)')} AS tonal_cut_left, {_r3('greatest(0, 3 - gb)')} AS gain_boost_left, {_r3('greatest(0, 6 - gc)')} AS gain_cut_left, offended, CASE WHEN offended = '' THEN 'passed' ELSE 'rejected' END AS status FROM o""",
     "band_headroom": f"""WITH {BASE}, {_contributions('re')}, s AS ({' UNION ALL '.join(f"SELECT plan, {i} AS no, '{b}' AS band, {_r3(_band_sum(b))} AS boost FROM cx GROUP BY plan" for i, b in enumerate(catalog.BANDS))})
  SELECT plan, band, boost, boost > 2.5e0 + 1e-9 AS exceeded FROM s QUALIFY row_number() OVER (PARTITION BY plan ORDER BY boost DESC, no) = 1""",
-    "admission_fold": f"""WITH RECURSIVE {BASE}, {OP}, {_contributions('pr')}, o AS (SELECT plan, pos, function_id, alone, operation = 'neutral' AS neutral, {_vec} AS vec, CASE WHEN problem <> '' THEN problem WHEN plan % 4 = 0 AND function_id IN {_in(act.DENSITY)} THEN 'dense material' WHEN function_id = 'audio.multiband.stereo_width' AND target = 'sub_bass' AND w > 1 THEN 'wide sub bass' END AS blocked,
+    "admission_fold": f"""WITH RECURSIVE {BASE}, {OP}, {_contributions('pr')}, o AS (SELECT plan, pos, function_id, alone, operation = 'neutral' AS neutral, {_vec} AS vec, CASE WHEN problem <> '' THEN problem WHEN operation = 'neutral' THEN NULL WHEN plan % 4 = 0 AND function_id IN {_in(act.DENSITY)} THEN 'dense material' WHEN function_id = 'audio.multiband.stereo_width' AND target = 'sub_bass' AND w > 1 THEN 'wide sub bass' END AS blocked,
    row_number() OVER (PARTITION BY plan ORDER BY pos) AS k FROM cx),
  w AS (SELECT plan, 0::BIGINT AS k, list_transform(range(36), lambda i: 0e0) AS state, NULL::BIGINT AS pos, NULL::VARCHAR AS function_id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS reason FROM o WHERE k = 1
   UNION ALL SELECT plan, k, CASE WHEN blocked IS NULL AND NOT neutral AND why IS NULL THEN nxt ELSE state END, pos, function_id, CASE WHEN blocked IS NOT NULL THEN 'rejected' WHEN neutral THEN 'neutral' WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END, CASE WHEN blocked IS NOT NULL THEN blocked WHEN NOT neutral THEN why END
@@ -232,7 +232,7 @@ ORACLES = {
     "execution_audit": f"""WITH {BASE}, {OP}, n AS (SELECT plan, {', '.join(f"count(*) FILTER (WHERE operation = '{o}') AS \"{o}\"" for o in act.OPERATIONS)} FROM pr GROUP BY plan),
  r AS (SELECT o_orderkey AS plan, CASE WHEN o_orderkey % 13 > 0 THEN o_orderkey % 40 / 50 - 14.4e0 END AS lufs, o_orderkey % 30 / 25 - 1.9e0 AS peak, -14e0 AS target, -1e0 AS ceiling FROM orders), c AS (SELECT *, coalesce(abs(lufs - target) <= 0.3e0, false) AS loud_enough, peak - ceiling <= 0.2e0 AS below_ceiling FROM r)
  SELECT c.*, {_r3('lufs - target')} AS error_lu, {_r3('peak - ceiling')} AS overshoot_db, {', '.join(f'coalesce("{o}", 0) AS "{o}"' for o in act.OPERATIONS)}, CASE WHEN loud_enough AND below_ceiling THEN 'passed' ELSE 'warning' END AS status FROM c LEFT JOIN n USING (plan)""",
-    "legacy_migration": f"""WITH s AS (SELECT l_suppkey AS track, l_orderkey % 10 AS n, CASE WHEN l_orderkey % 10 IN (4, 6) THEN list_extract({_list([*catalog.BANDS, *diagnosis.BANDS.values(), 'Elsewhere'])}, l_partkey % 13 + 1) END AS band, max(l_linenumber - 2)::DOUBLE AS value FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY ALL),
+    "legacy_migration": f"""WITH s AS (SELECT l_suppkey AS track, l_orderkey % 10 AS n, CASE WHEN l_orderkey % 10 IN (4, 6) THEN list_extract({_list([*catalog.BANDS, *diagnosis.BANDS.values(), 'Elsewhere'])}, l_partkey % 13 + 1) END AS band, max(l_linenumber - 2)::DOUBLE AS value FROM lineitem GROUP BY ALL),
  t(n, function_id, parameter, neutral, stage) AS (VALUES (0, 'audio.repair.denoise', 'level', 0, 0), (1, 'audio.repair.declip', 'level', 0, 0), (2, 'audio.repair.declick', 'level', 0, 0), (3, 'audio.deesser.sibilance_reduction', 'intensity', 0, 1), (4, 'audio.tone_eq.band', 'gain_db', 0, 2), (5, 'audio.tone_eq.tilt', 'gain_db', 0, 2), (6, 'audio.multiband.stereo_width', 'width', 1, 3), (7, 'audio.saturation.softclip', 'drive_db', 0, 4), (8, 'audio.glue.bus_compressor', 'ratio', 1, 5)),
  b(i, target, band) AS (VALUES {', '.join(f"({i}, '{b}', '{x}')" for i, b in enumerate(catalog.BANDS) for x in (b, diagnosis.BANDS[b]))}),
  j AS (SELECT track, stage, s.n, s.band, coalesce(i, -1) AS i, function_id, target, parameter, value FROM s JOIN t USING (n) LEFT JOIN b ON b.band = s.band WHERE value <> neutral AND (s.band IS NULL OR target IS NOT NULL))

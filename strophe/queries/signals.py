@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_even
+from ..functions.numeric import half_even, total
 from ..operators import batch, diagnosis, signal
 
 RATE = 20
@@ -24,12 +24,12 @@ def mono(spark, sf_dir):
 
 
 def center_segments(spark, sf_dir):
-    return signal.center(mono(spark, sf_dir), "track", 41).groupBy("track").agg(F.count("*").alias("n"), F.max("i").alias("last"), F.min_by("x", "i").alias("first"), half_even(F.sum("x"), 6).alias("total"))
+    return signal.center(mono(spark, sf_dir), "track", 41).groupBy("track").agg(F.count("*").alias("n"), F.max("i").alias("last"), F.min_by("x", "i").alias("first"), half_even(total(F.col("x"), 9), 6).alias("total"))
 
 
 def overlapped_frames(spark, sf_dir):
     f = signal.full_frames(mono(spark, sf_dir), "track", 16, 8)
-    return f.groupBy("track", "frame").agg(F.count("*").alias("n"), half_even(F.sum(F.col("x") * (F.col("at") + 1)), 6).alias("weighted"))
+    return f.groupBy("track", "frame").agg(F.count("*").alias("n"), half_even(total(F.col("x") * (F.col("at") + 1), 9), 6).alias("weighted"))
 
 
 def median_spectrum(spark, sf_dir):
@@ -44,7 +44,7 @@ def stereo_evidence_rows(spark, sf_dir):
 
 def onset_envelope(spark, sf_dir):
     o = signal.onsets(mono(spark, sf_dir), "track", 5, 4)
-    return o.groupBy("track").agg(F.count("*").alias("n"), F.count_if(F.col("x") > 0).alias("rising"), half_even(F.max("x"), 6).alias("top"), half_even(F.sum(half_even(F.col("x"), 6)), 4).alias("total"))
+    return o.groupBy("track").agg(F.count("*").alias("n"), F.count_if(F.col("x") > 0).alias("rising"), half_even(F.max("x"), 6).alias("top"), half_even(total(F.col("x"), 6), 4).alias("total"))
 
 
 def tempo(spark, sf_dir):
@@ -75,10 +75,10 @@ def processed_signals(spark, sf_dir):
     """Width, gain, fades and clips, each summed up over a track."""
     s = samples(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("track")))
     wide, _ = signal.widened(F.col("left"), F.col("right"), 1.5)
-    total = lambda c, n: half_even(F.sum(half_even(c, 6)), 4).alias(n)
+    summed = lambda c, n: half_even(total(c, 6), 4).alias(n)
     return s.groupBy("track").agg(
-        total(wide, "wide"), total(signal.gained(F.col("x"), -6.0), "gained"), total(signal.faded(F.col("x"), F.col("i"), F.col("n"), 10, 20), "faded"), total(signal.hard_clip(F.col("x"), -6.0), "hard"),
-        total(signal.soft_clip(F.col("x"), 6.0, 0.5), "tape"), total(signal.soft_clip(F.col("x"), 6.0, 0.25, "Tube"), "tube"),
+        summed(wide, "wide"), summed(signal.gained(F.col("x"), -6.0), "gained"), summed(signal.faded(F.col("x"), F.col("i"), F.col("n"), 10, 20), "faded"), summed(signal.hard_clip(F.col("x"), -6.0), "hard"),
+        summed(signal.soft_clip(F.col("x"), 6.0, 0.5), "tape"), summed(signal.soft_clip(F.col("x"), 6.0, 0.25, "Tube"), "tube"),
     )
 
 
@@ -121,7 +121,8 @@ def _noise(x: str) -> str:
 
 
 _cat = "CASE WHEN noise_db <= -60 THEN 'Excellent' WHEN noise_db <= -50 THEN 'Good' WHEN noise_db <= -40 THEN 'Moderate' WHEN noise_db <= -30 THEN 'High' ELSE 'VeryHigh' END"
-_total = lambda e, n: f"{_r(f'sum({_r(e, 6)})', 4)} AS {n}"
+_exact = lambda e, d: f"CAST(sum(CAST({_r(e, d)} AS DECIMAL(28, {d}))) AS DOUBLE)"
+_total = lambda e, n: f"{_r(_exact(e, 6), 4)} AS {n}"
 _loud = lambda limit, least, name: f"{name} AS (SELECT track, min(i) AS a, max(i) AS b FROM (SELECT track, i, i - row_number() OVER (PARTITION BY track ORDER BY i) AS g FROM sa WHERE abs(x) >= {limit}) GROUP BY track, g HAVING count(*) >= {least})"
 _point = lambda p, size, agg: f"{agg} FILTER (WHERE i >= {p} AND i < {p} + {size})"
 QUERIES = {
@@ -129,12 +130,12 @@ QUERIES = {
     "trimmed_signals": trimmed_signals, "processed_signals": processed_signals, "banded_gain": banded_gain, "automation_plan": automation_plan, "track_analysis": track_analysis,
 }
 ORACLES = {
-    "center_segments": f"WITH {S}, c AS (SELECT track, i - greatest(CAST(floor((n - 41) / 2) AS BIGINT), 0) AS j, x FROM sa JOIN ln USING (track)) SELECT track, count(*) AS n, max(j) AS last, arg_min(x, j) AS first, {_r('sum(x)', 6)} AS total FROM c WHERE j BETWEEN 0 AND 40 GROUP BY track",
-    "overlapped_frames": f"WITH {S}, {_fr} SELECT track, frame, count(*) AS n, {_r('sum(x * (spot + 1))', 6)} AS weighted FROM fr GROUP BY track, frame",
+    "center_segments": f"WITH {S}, c AS (SELECT track, i - greatest(CAST(floor((n - 41) / 2) AS BIGINT), 0) AS j, x FROM sa JOIN ln USING (track)) SELECT track, count(*) AS n, max(j) AS last, arg_min(x, j) AS first, {_r(_exact('x', 9), 6)} AS total FROM c WHERE j BETWEEN 0 AND 40 GROUP BY track",
+    "overlapped_frames": f"WITH {S}, {_fr} SELECT track, frame, count(*) AS n, {_r(_exact('x * (spot + 1)', 9), 6)} AS weighted FROM fr GROUP BY track, frame",
     "median_spectrum": f"WITH {S}, {_fr}, e AS (SELECT track, spot, median({_r('20 * log10(abs(x) + 1e-3)', 4)}) AS db FROM fr GROUP BY track, spot) SELECT track, {_r('median(db) FILTER (WHERE spot * 10 < 40)', 4)} AS low, {_r('median(db) FILTER (WHERE spot * 10 >= 40 AND spot * 10 < 200)', 4)} AS high FROM e GROUP BY track",
     "stereo_evidence_rows": f"WITH {S}, {EVIDENCE} SELECT * FROM ev",
     "onset_envelope": f"""WITH {S}, m AS (SELECT track, avg(x) AS mean FROM sa GROUP BY track), a AS (SELECT track, i, abs(x - mean) AS x FROM sa JOIN m USING (track)), v AS (SELECT track, i, sum(x) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS x FROM a), b AS (SELECT track, i // 4 AS i, avg(x) AS x FROM v GROUP BY track, i // 4 HAVING count(*) = 4),
- u AS (SELECT track, greatest(coalesce(x - lag(x) OVER (PARTITION BY track ORDER BY i), 0), 0) AS x FROM b), o AS (SELECT track, x / (max(x) OVER (PARTITION BY track) + 1e-9) AS x FROM u) SELECT track, count(*) AS n, count(*) FILTER (WHERE x > 0) AS rising, {_r('max(x)', 6)} AS top, {_r(f"sum({_r('x', 6)})", 4)} AS total FROM o GROUP BY track""",
+ u AS (SELECT track, greatest(coalesce(x - lag(x) OVER (PARTITION BY track ORDER BY i), 0), 0) AS x FROM b), o AS (SELECT track, x / (max(x) OVER (PARTITION BY track) + 1e-9) AS x FROM u) SELECT track, count(*) AS n, count(*) FILTER (WHERE x > 0) AS rising, {_r('max(x)', 6)} AS top, {_r(_exact('x', 6), 4)} AS total FROM o GROUP BY track""",
     "tempo": f"""WITH {S}, o AS (SELECT track, i, greatest({_r('x', 4)}, 0) AS x FROM sa), l AS (SELECT unnest(range(6, 16)) AS lag), t AS (SELECT track, n FROM ln WHERE n > 16), c AS (SELECT a.track, lag, sum(a.x * b.x) AS ac FROM o a, l, o b WHERE b.track = a.track AND b.i = a.i + lag GROUP BY a.track, lag),
  e AS (SELECT t.track, n, l.lag, {_r('coalesce(ac, 0)', 9)} AS ac FROM t CROSS JOIN l LEFT JOIN c ON c.track = t.track AND c.lag = l.lag), b AS (SELECT track, any_value(n) AS n, arg_min(lag, (-ac, lag)) AS lag, (max(ac) - avg(ac) - 1e-9) / (stddev_pop(ac) + 1e-9) AS z FROM e GROUP BY track),
  f AS (SELECT track, max(f) AS top, avg(f) AS mean FROM (SELECT o.track, o.i % greatest(8, lag) AS bin, avg(x) AS f FROM o JOIN b USING (track) WHERE o.i < least(n, lag * 8) // greatest(8, lag) * greatest(8, lag) GROUP BY o.track, o.i % greatest(8, lag)) GROUP BY track)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -184,17 +185,20 @@ def first_samples(spark, sf_dir):
 
 
 def render_caps(spark, sf_dir):
-    """The first 20 lines of an order, in order, as a report shows them, and how many it leaves out."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey"))).alias("all"))  # one supplier's lines
-    shown = F.transform(F.slice("all", 1, 20), lambda x: F.concat_ws("-", x["l_orderkey"].cast("string"), x["l_linenumber"].cast("string"), x["l_partkey"].cast("string")))
-    return li.select("l_suppkey", F.array_join(shown, ",").alias("shown"), F.greatest(F.size("all") - 20, F.lit(0)).cast("long").alias("more"))
+    """The first 20 lines of a supplier, in order, as a report shows them, and how many it leaves out."""
+    li, order = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"]
+    first = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order))
+    shown = li.select("l_suppkey", *order).withColumn("no", first).where("no <= 20").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("no", F.concat_ws("-", *(F.col(c).cast("string") for c in order)).alias("t")))).alias("s"))  # 20 at most
+    counts = li.groupBy(F.col("l_suppkey").alias("_k")).agg(F.count("*").alias("n"))
+    return shown.join(counts, F.col("l_suppkey") == F.col("_k")).select("l_suppkey", F.array_join(F.transform("s", lambda x: x["t"]), ",").alias("shown"), F.greatest(F.col("n") - 20, F.lit(0)).alias("more"))
 
 
 def plugin_order(spark, sf_dir):
     """Moves of plugins: each order's lines, in turn, put one at a place."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    li = table(spark, sf_dir, "lineitem")
     names = F.array(*(F.lit(p) for p in [*catalog.PLUGINS, "audio.unknown"]))
-    moves = li.select(F.col("l_orderkey").alias("plan"), (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey")).alias("pos"), F.get(names, (F.col("l_partkey") % 16).cast("int")).alias("plugin"), (F.col("l_suppkey") % 18 - 1).cast("int").alias("place"))
+    pos = F.struct(F.col("l_linenumber").cast("long").alias("line"), "l_partkey", "l_suppkey")
+    moves = li.select(F.col("l_orderkey").alias("plan"), pos.alias("pos"), F.get(names, (F.col("l_partkey") % 16).cast("int")).alias("plugin"), (F.col("l_suppkey") % 18 - 1).cast("int").alias("place"))
     return actions.plugin_order(moves).select("plan", F.array_join("order", ",").alias("order"))
 
 
@@ -252,7 +256,7 @@ ORACLES = {
     "united_keys": "WITH b(i, band) AS (VALUES (0, 'sub_bass'), (1, 'bass'), (2, 'low_mid'), (3, 'mid'), (4, 'high_mid'), (5, 'air')) SELECT p_partkey, coalesce(string_agg(band, ',' ORDER BY band) FILTER (WHERE (p_partkey + i) % 3 = 0 OR (p_partkey % 5 > 0 AND (p_partkey + i) % 4 = 0)), '') AS keys FROM part, b GROUP BY p_partkey",
     "first_samples": "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5",
     "render_caps": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem) SELECT l_suppkey, string_agg(l_orderkey || '-' || l_linenumber || '-' || l_partkey, ',' ORDER BY rn) FILTER (WHERE rn <= 20) AS shown, count(*) FILTER (WHERE rn > 20) AS more FROM r GROUP BY l_suppkey",
-    "plugin_order": f"""WITH RECURSIVE m AS (SELECT l_orderkey AS plan, list_extract([{', '.join(f"'{p}'" for p in [*catalog.PLUGINS, 'audio.unknown'])}], l_partkey % 16 + 1) AS plugin, l_suppkey % 18 - 1 AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem WHERE l_orderkey % 4 = 0 AND l_partkey % 16 < 15),
+    "plugin_order": f"""WITH RECURSIVE m AS (SELECT l_orderkey AS plan, list_extract([{', '.join(f"'{p}'" for p in [*catalog.PLUGINS, 'audio.unknown'])}], l_partkey % 16 + 1) AS plugin, l_suppkey % 18 - 1 AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem WHERE l_partkey % 16 < 15),
  n AS (SELECT plan, plugin, place, row_number() OVER (PARTITION BY plan ORDER BY q) AS k FROM m),
  w AS (SELECT DISTINCT plan, 0::BIGINT AS k, [{', '.join(f"'{p}'" for p in catalog.PLUGINS)}] AS o FROM n
   UNION ALL SELECT plan, k, CASE WHEN place < 0 THEN rest ELSE rest[1:least(place, len(rest))] || [plugin] || rest[least(place, len(rest)) + 1:] END FROM (SELECT w.plan, n.k, n.plugin, n.place, list_filter(w.o, lambda x: x <> n.plugin) AS rest FROM w JOIN n ON n.plan = w.plan AND n.k = w.k + 1))
