@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, half_even
+from .selection import median
+from .spectrum import autocorrelation
 
 #: Levels at which silence is looked for, from the lowest, in dB.
 SILENCES = [-60, -50, -40, -30]
@@ -39,9 +41,9 @@ def full_frames(samples: DataFrame, key: str, size: int, hop: int) -> DataFrame:
 
 def medians(spectra: DataFrame, key: str, bin: str, db: str, bands: dict[str, tuple[float, float]], width: float) -> DataFrame:
     """The median spectrum of each key's frames, and medians of its bands (low end included, high end not)."""
-    each = spectra.groupBy(key, bin).agg(F.median(db).alias("db"))
+    each = median(spectra, [key, bin], db, "db")
     hz = F.col(bin) * width
-    return each.groupBy(key).agg(*(half_even(F.median(F.when((hz >= lo) & (hz < hi), F.col("db"))), 4).alias(n) for n, (lo, hi) in bands.items()))
+    return each.groupBy(key).agg(*(half_even(F.median(F.when((hz >= lo) & (hz < hi), F.col("db"))), 4).alias(n) for n, (lo, hi) in bands.items()))  # one spectrum's bins
 
 
 def mid_side(samples: DataFrame, key: str) -> DataFrame:
@@ -85,9 +87,7 @@ def tempo(onset: DataFrame, key: str, rate: float, bpm: tuple[float, float] = (7
     Only whole beats among the first eight tell the clearness; a key shorter than the longest lag has no row.
     """
     low, high = int(rate * 60 / bpm[1]), int(rate * 60 / bpm[0])
-    moved = onset.select(F.col(key).alias("_k"), F.col("i").alias("_i"), F.col("x").alias("_x"))
-    spread = onset.where("x > 0").select(key, "i", "x", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("lag"))
-    ac = spread.join(moved, (F.col(key) == F.col("_k")) & (F.col("i") + F.col("lag") == F.col("_i"))).groupBy(key, "lag").agg(F.sum(F.col("x") * F.col("_x")).alias("ac"))
+    ac = autocorrelation(onset.where("x > 0"), key, "i", "x", range(low, high))
     sizes = onset.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).where(F.col("_n") > high)
     every = sizes.select(F.col("_k").alias(key), "_n", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("lag")).join(ac, [key, "lag"], "left")
     value = half_even(F.coalesce("ac", F.lit(0.0)), 9)
@@ -109,12 +109,18 @@ def silences(samples: DataFrame, key: str, limit: Column | float, least: int) ->
 
 
 def noise_floor(samples: DataFrame, key: str, least: int) -> DataFrame:
-    """The lowest level below which a key falls silent for a while; without one, what its range says."""
-    volume = samples.groupBy(key).agg((10 * F.log10(F.avg(F.col("x") * F.col("x")) + 1e-12)).alias("_mean"), (20 * F.log10(F.max(F.abs("x")) + 1e-12)).alias("_max"))
-    quiet = [silences(samples, key, 10 ** (db / 20), least).select(F.col(key).alias("_k"), F.lit(float(db)).alias("_db")) for db in SILENCES]
-    lowest = reduce(DataFrame.unionAll, quiet).groupBy("_k").agg(F.min("_db").alias("_found"))
+    """The lowest level below which a key falls silent for a while; without one, what its range says.
+
+    One pass for all levels: a sample below a level lies in the island that the last sample at or above it has opened.
+    """
+    by = Window.partitionBy(key).orderBy("i")
+    loud = {db: F.coalesce(F.last(F.when(F.abs("x") >= 10 ** (db / 20), F.col("i")), True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)) for db in SILENCES}
+    seen = samples.withColumns({f"_run{i}": F.col("i") - last for i, last in enumerate(loud.values())})
+    found = F.coalesce(*(F.when(F.max(f"_run{i}") >= least, float(db)) for i, db in enumerate(SILENCES)))
+    mean, top = 10 * F.log10(F.avg(F.col("x") * F.col("x")) + 1e-12), 20 * F.log10(F.max(F.abs("x")) + 1e-12)
+    volume = seen.groupBy(key).agg(mean.alias("_mean"), top.alias("_max"), found.alias("_found"))
     guess = F.col("_mean") - F.greatest(F.lit(6.0), (F.col("_max") - F.col("_mean")) * 0.7)
-    return volume.join(lowest, F.col(key) == F.col("_k"), "left").select(key, half_even(F.coalesce("_found", guess), 4).alias("noise_db"), F.col("_found").isNotNull().alias("has_silence"))
+    return volume.select(key, half_even(F.coalesce("_found", guess), 4).alias("noise_db"), F.col("_found").isNotNull().alias("has_silence"))
 
 
 def fades(samples: DataFrame, key: str, rate: int, limit: float, least: float = 0.3, probe: float = 0.25) -> DataFrame:

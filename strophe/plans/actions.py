@@ -235,10 +235,11 @@ def headroom(actions: DataFrame) -> DataFrame:
 def admit(actions: DataFrame, dense: Column | None = None, unproven: Column | None = None) -> DataFrame:
     """Ordered admission: plan, pos, function_id, outcome and the reason of a rejection.
 
-    An action with a problem of its own, or one that is switched off, is rejected, a neutral one is traced and costs
+    An action with a problem of its own, one that is switched off, or one without evidence where there is such a column, is
+    rejected, a neutral one is traced and costs
     nothing; any other is accepted if the plan so far and it offend no governor and exclude each other in nothing. A
     rejected one leaves the plan as it was; of several reasons the last one counts. dense: whether the plan's material is
-    compressed already. unproven: what an action's evidence lacks (``evidence.problem``), null if nothing. A fold over each
+    compressed already. unproven: what an action's evidence lacks (``evidence.proven``), null if nothing. A fold over each
     plan's actions in order; its state is what the accepted ones add up to. Only the scope of an action's own tone can
     become crowded by it.
     """
@@ -249,7 +250,8 @@ def admit(actions: DataFrame, dense: Column | None = None, unproven: Column | No
     exclusive = ("audio.saturation.softclip", "audio.saturation.exciter")
     heavy = F.coalesce(dense if dense is not None else F.lit(False), F.lit(False)) & F.col("function_id").isin(DENSITY)
     wide = (F.col("function_id") == "audio.multiband.stereo_width") & (F.col("target") == "sub_bass") & (of("width", 1.0) > 1)
-    blocked = F.when(F.col("problem") != "", F.col("problem")).when(~F.col("_on"), "switched off")
+    bare = F.coalesce(F.size("evidence"), F.lit(0)) <= 0 if "evidence" in known.columns else F.lit(False)
+    blocked = F.when(bare, "no evidence").when(F.col("problem") != "", F.col("problem")).when(~F.col("_on"), "switched off")
     late = F.coalesce(unproven if unproven is not None else F.lit(None).cast("string"), F.when(heavy, "dense material"), F.when(F.coalesce(wide, F.lit(False)), "wide sub bass"))
     scopes = F.array(*(F.lit(x) for x in SCOPES))
     item = F.struct(
@@ -406,12 +408,13 @@ def plugin_order(moves: DataFrame) -> DataFrame:
 def graph(actions: DataFrame) -> DataFrame:
     """A plan as one chain of stages: neighbouring actions of a plugin that shares its stage are one stage.
 
-    Labels are the plugin and its ordinal among the plan's stages of that plugin.
+    Labels are the plugin and its ordinal among the plan's stages of that plugin. Actions that are switched off are left
+    out; one of them between two others parts their stage.
     """
-    known = resolve(actions)
+    known = resolve(actions).withColumn("_on", enabled(actions))
     by = Window.partitionBy("plan").orderBy("pos")
-    fresh = ~F.coalesce((F.col("plugin") == SHARED_STAGE) & (F.lag("plugin").over(by) == F.col("plugin")), F.lit(False))
-    rows = known.withColumn("_fresh", fresh.cast("int")).withColumn("stage", F.sum("_fresh").over(by))
+    fresh = ~F.coalesce((F.col("plugin") == SHARED_STAGE) & (F.lag("plugin").over(by) == F.col("plugin")) & F.lag("_on").over(by), F.lit(False))
+    rows = known.withColumn("_fresh", fresh.cast("int")).withColumn("stage", F.sum("_fresh").over(by)).where("_on")
     stages = rows.groupBy("plan", "stage").agg(F.first("plugin").alias("plugin"), F.count("*").alias("n"))
     label = F.concat_ws("_", F.replace("plugin", F.lit("audio."), F.lit("")), F.row_number().over(Window.partitionBy("plan", "plugin").orderBy("stage")))
     node = F.struct("stage", F.concat(F.lit("["), label, F.lit(":"), F.col("n").cast("string"), F.lit("]")).alias("t"))
@@ -419,6 +422,19 @@ def graph(actions: DataFrame) -> DataFrame:
     return listed.select("plan", F.size("_nodes").cast("long").alias("stages"), F.array_join(F.transform("_nodes", lambda x: x["t"]), ";").alias("graph"))
 
 
+def compiled(actions: DataFrame) -> DataFrame:
+    """For each plan its graph, or why there is none: the first action that is not valid, functions that exclude each other, or a
+    band that is boosted beyond its headroom (as ``headroom`` has it)."""
+    checked = problems(actions)
+    first = checked.where("problem <> ''").groupBy("plan").agg(F.min_by(F.struct("pos", "problem"), "pos").alias("_p")).select(F.col("plan").alias("_a"), F.col("_p.problem").alias("_problem"))
+    against = plan_problems(actions, []).select(F.col("plan").alias("_b"), F.col("conflicts").alias("_conflicts"))
+    room = headroom(resolve(actions).drop("no", "plugin", "banded", "needs", "conflicts")).select(F.col("plan").alias("_c"), "band", "boost", "exceeded")
+    made = graph(actions).select(F.col("plan").alias("_d"), "stages", "graph")
+    plans = room.join(first, F.col("_c") == F.col("_a"), "left").join(against, F.col("_c") == F.col("_b"), "left").join(made, F.col("_c") == F.col("_d"), "left")
+    why = F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(F.coalesce("_conflicts", F.lit("")) != "", F.concat(F.lit("conflict: "), F.col("_conflicts"))).when(F.col("exceeded"), F.concat(F.lit(f"{HEADROOM}: "), F.col("band"), F.format_string("=%.2fdB", half_even(F.col("boost"), 2))))
+    return plans.select(F.col("_c").alias("plan"), why.alias("error"), F.when(why.isNull(), F.coalesce("stages", F.lit(0))).alias("stages"), F.when(why.isNull(), F.coalesce("graph", F.lit(""))).alias("graph"))
+
+
 def fingerprint(actions: DataFrame) -> DataFrame:
     """SHA-256 of each plan's actions, written out in order in one form."""
     numbers = F.array_join(F.transform(F.array_sort(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), ",")

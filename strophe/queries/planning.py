@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..operators import diagnosis
 from ..plans import actions as act
-from ..plans import catalog
+from ..plans import catalog, evidence
 from .diagnosis import FX, figures
 
 ANALYSIS = ["spectrum", "band_rms", "true_peak", "lufs", "sample_rate"]
@@ -100,6 +100,40 @@ def graph_compile(spark, sf_dir):
     return act.graph(actions(spark, sf_dir).where("function_id <> 'audio.nothing.known'"))
 
 
+def compiled_graphs(spark, sf_dir):
+    """Plans whose lines have a band where their function takes one; every seventh line is switched off."""
+    known = act.resolve(actions(spark, sf_dir)).withColumns({"target": F.when(F.col("banded"), F.coalesce("target", F.lit("mid"))), "operation": F.lit(None).cast("string"), "enabled": F.col("pos") % 7 > 0})
+    return act.compiled(known.drop("no", "plugin", "banded", "needs", "conflicts"))
+
+
+#: What a line claims and what was measured of its plan, from the plan's number k, the line's part p and its value v, in SQL that both engines read alike.
+HZ = "(p % 7 * 600 + 250)"
+LOCAL = {
+    "mid_side_ratio": "(0.3e0 + k % 15 / 20)", "vocal_center_confidence": "(0.4e0 + k % 12 / 20)", "transient_crest_db": "(10 + k % 9 / 2)", "stereo_correlation": "(k % 41 / 20 - 1)", "low_end_level_db": "(k % 13 / 2 - 3)",
+    "low_end_mid_ratio": "(k % 23 / 20)", "harshness_excess_db": "(k % 5 / 2 - 0.5e0)", "dullness_deficit_db": "(k % 7 / 2 - 0.5e0)",
+}
+CLAIMS = {n: f"{e} + CASE WHEN p % 8 = 0 THEN 1 ELSE 0 END" for n, e in LOCAL.items()} | {
+    "measured_excess_db": "1 + (k + p % 7) % 4 / 2 + CASE WHEN p % 10 = 0 THEN 1 ELSE 0 END", "measured_deficit_db": "p % 6 / 2", "compensation_required_db": "p % 5", "resonance_frequency_hz": f"{HZ} + p % 3 * 80",
+    "measured_body_deficit_db": "p % 4", "measured_harshness_excess_db": "p % 4", "measured_air_excess_db": "p % 4",
+}
+
+
+def claims(spark, sf_dir):
+    """Each line with its evidence (none for every 29th part) and what was measured: three resonances of a plan, 600 Hz apart."""
+    table = lambda d: F.map_from_entries(F.array(*(F.struct(F.lit(n).alias("key"), F.expr(e).cast("double").alias("value")) for n, e in d.items())))
+    found = lines(spark, sf_dir).withColumns({"k": F.col("plan"), "p": F.floor(F.col("pos") / 100000) % 10**7})
+    bands = F.array(*(F.lit(b) for b in catalog.BANDS))
+    one = lambda i: F.struct(F.expr(f"((k + {i}) % 7 * 600 + 250 + k % 3 * 30)").cast("double").alias("frequency_hz"), F.get(bands, F.expr(f"(k + {i}) % 6").cast("int")).alias("target"), F.expr(f"1 + k % 4 / 2 + {i} / 4").cast("double").alias("excess_db"))
+    return found.withColumns({
+        "params": table(PARAMS | {"frequency_hz": HZ}), "evidence": F.when(F.col("p") % 29 > 0, table(CLAIMS)), "local": table(LOCAL), "resonances": F.array(*(one(i) for i in range(3))),
+        "side": F.get(F.array(F.lit("stereo"), F.lit("mid"), F.lit("side")), (F.col("p") % 3).cast("int")), "enabled": F.col("p") % 31 > 0,
+    }).drop("v", "m", "k", "p")
+
+
+def admission_by_evidence(spark, sf_dir):
+    return act.admit(evidence.proven(act.resolve(claims(spark, sf_dir)).drop("no", "plugin", "banded", "needs", "conflicts")), F.col("plan") % 4 == 0, F.col("unproven"))
+
+
 def plan_fingerprint(spark, sf_dir):
     return act.fingerprint(actions(spark, sf_dir))
 
@@ -188,9 +222,47 @@ _why = (
     f" WHEN len(list_filter(range(1, 9), lambda i: nxt[20 + i] > 1 AND (nxt[4 + i] > 2 + 1e-9 OR nxt[12 + i] > 3 + 1e-9))) > 0 THEN '{act.OVERLAP}' ELSE alone END"
 )
 _map_text = "array_to_string([" + ", ".join(f"'{n}=' || printf('%.4f', CAST({e} AS DOUBLE))" for n, e in sorted(PARAMS.items())) + "], ',')"
+_band_of = f"list_extract({_list(catalog.BANDS)}, CAST((k + {{i}}) % 6 AS INTEGER) + 1)"
+_cands = "[" + ", ".join(f"{{{{'hz': CAST((k + {i}) % 7 * 600 + 250 + k % 3 * 30 AS DOUBLE), 'target': {_band_of.format(i=i)}, 'excess': CAST(1 + k % 4 / 2 + {i} / 4 AS DOUBLE)}}}}".replace("{{", "{").replace("}}", "}") for i in range(3)) + "]"
+_own, _cl = {n: f"CAST({e} AS DOUBLE)" for n, e in LOCAL.items()}, {n: f"CAST({e} AS DOUBLE)" for n, e in CLAIMS.items()}
+_ranges = " ".join(f"WHEN '{b}' THEN hz < {lo} OR hz > {hi}" for b, (lo, hi) in evidence.RANGES.items())
+_metric = lambda f, n, off, more="": f"WHEN function_id = '{f}' THEN CASE WHEN abs({_own[n]} - {_cl[n]}) > {off} THEN 'another value claimed' {more} END"
+#: The oracle's own account of what evidence bears out.
+EVID = f"""e0 AS (SELECT *, plan AS k, pos // 100000 % 10000000 AS p FROM pr), e1 AS (SELECT *, CAST({HZ} AS DOUBLE) AS hz, greatest(100e0, CAST({HZ} AS DOUBLE) * 0.10e0) AS off, list_extract(['stereo', 'mid', 'side'], p % 3 + 1) AS side, {_cands} AS cands FROM e0),
+ e2 AS (SELECT *, list_filter(cands, lambda c: abs(c.hz - hz) <= off AND CASE WHEN function_id LIKE 'audio.vocal.%' THEN c.hz BETWEEN 1800 AND 8000 ELSE c.target = target END)[1] AS hit FROM e1),
+ ev AS (SELECT *, p % 29 = 0 AS bare, p % 31 > 0 AS switched_on, CASE WHEN function_id LIKE 'audio.dynamic_eq.%' THEN CASE WHEN CASE target {_ranges} ELSE true END THEN 'outside its band'
+   WHEN function_id = 'audio.dynamic_eq.resonance' AND abs({_cl["resonance_frequency_hz"]} - hz) > off THEN 'another resonance claimed' WHEN function_id = 'audio.dynamic_eq.resonance' AND hit IS NULL THEN 'no such resonance'
+   WHEN function_id = 'audio.dynamic_eq.resonance' AND abs(hit.excess - {_cl["measured_excess_db"]}) > 0.75e0 THEN 'another excess claimed'
+   WHEN side = 'stereo' THEN NULL WHEN NOT {_cl["mid_side_ratio"]} BETWEEN 0 AND 1 THEN 'no ratio' WHEN abs({_own["mid_side_ratio"]} - {_cl["mid_side_ratio"]}) > 0.05e0 THEN 'another ratio claimed'
+   WHEN side = 'mid' AND {_cl["mid_side_ratio"]} < 0.60e0 THEN 'no middle' WHEN side = 'side' AND {_cl["mid_side_ratio"]} > 0.40e0 THEN 'no side' END
+  WHEN function_id LIKE 'audio.vocal.%' THEN CASE WHEN {_own["mid_side_ratio"]} < 0.60e0 OR {_own["vocal_center_confidence"]} < 0.65e0 THEN 'no sure voice'
+   WHEN abs({_cl["mid_side_ratio"]} - {_own["mid_side_ratio"]}) > 0.05e0 OR abs({_cl["vocal_center_confidence"]} - {_own["vocal_center_confidence"]}) > 0.05e0 THEN 'another voice claimed'
+   WHEN function_id = 'audio.vocal.resonance_suppressor' THEN CASE WHEN hit IS NULL OR abs({_cl["resonance_frequency_hz"]} - hz) > off THEN 'no such resonance' WHEN abs(hit.excess - {_cl["measured_excess_db"]}) > 0.75e0 THEN 'another excess claimed' END
+   WHEN abs(v) / 2 > 0 AND {_cl["measured_body_deficit_db"]} <= 0 THEN 'no measured_body_deficit_db' WHEN abs(v) > 0 AND {_cl["measured_harshness_excess_db"]} <= 0 THEN 'no measured_harshness_excess_db' WHEN {_cl["measured_air_excess_db"]} <= 0 THEN 'no measured_air_excess_db' END
+  {_metric("audio.transient.dynamic_control", "transient_crest_db", "0.75e0")}
+  {_metric("audio.stereo.correlation_guard", "stereo_correlation", "0.05e0", f"WHEN w > 1 AND {_own['stereo_correlation']} < 0.70e0 THEN 'not in phase' WHEN w < 1 AND {_own['stereo_correlation']} >= 0 THEN 'not out of phase'")}
+  {_metric("audio.low_end.dynamic_balance", "low_end_level_db", "0.75e0", f"WHEN NOT {_own['low_end_mid_ratio']} BETWEEN 0 AND 1 OR abs({_own['low_end_mid_ratio']} - {_cl['low_end_mid_ratio']}) > 0.05e0 THEN 'another ratio claimed'")}
+  {_metric("audio.spectral.deharsh", "harshness_excess_db", "0.75e0", f"WHEN {_own['harshness_excess_db']} <= 0 THEN 'nothing to mend'")}
+  {_metric("audio.spectral.dullness_recovery", "dullness_deficit_db", "0.75e0", f"WHEN {_own['dullness_deficit_db']} <= 0 THEN 'nothing to mend'")} END AS unproven FROM e2)"""
+_lack = lambda n: f"NOT coalesce({_cl[n]} > 0, false)"
+#: A single action's offence where there is evidence.
+ALONE = f"CASE WHEN gb > 2 AND NOT {_vocal} OR gc > 3 AND NOT {_vocal} OR gb > 0 AND {_lack('compensation_required_db')} THEN '{act.GAIN}' WHEN NOT {_vocal} AND (tb > 2 OR tc > 3) OR scope IS NOT NULL AND NOT {_vocal} AND (operation = 'boost' AND {_lack('measured_deficit_db')} OR operation = 'cut' AND {_lack('measured_excess_db')}) THEN '{act.TONAL}' END"
+_ROUND = "CAST(printf('%.3f', x) AS DOUBLE)"
+
+
+def _admission(blocked: str, source: str, alone: str, boost: str = "boost") -> str:
+    """The fold of the admission as a recursion over the actions of each plan."""
+    return f"""o AS (SELECT plan, pos, function_id, {alone} AS alone, operation = 'neutral' AS neutral, {_vec.replace('boost::DOUBLE', f'({boost})::DOUBLE')} AS vec, {blocked} AS blocked, row_number() OVER (PARTITION BY plan ORDER BY pos) AS k FROM {source}),
+ w AS (SELECT plan, 0::BIGINT AS k, list_transform(range(36), lambda i: 0e0) AS state, NULL::BIGINT AS pos, NULL::VARCHAR AS function_id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS reason FROM o WHERE k = 1
+  UNION ALL SELECT plan, k, CASE WHEN blocked IS NULL AND NOT neutral AND why IS NULL THEN nxt ELSE state END, pos, function_id, CASE WHEN blocked IS NOT NULL THEN 'rejected' WHEN neutral THEN 'neutral' WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END, CASE WHEN blocked IS NOT NULL THEN blocked WHEN NOT neutral THEN why END
+   FROM (SELECT *, {_why} AS why FROM (SELECT o.plan, o.k, w.state, o.pos, o.function_id, o.blocked, o.neutral, o.alone, list_transform(list_zip(w.state, o.vec), lambda p: p[1] + p[2]) AS nxt FROM w JOIN o ON o.plan = w.plan AND o.k = w.k + 1)))
+ SELECT plan, pos, function_id, outcome, reason FROM w WHERE k > 0"""
+
+
+_LATE = f"CASE WHEN plan % 4 = 0 AND function_id IN {_in(act.DENSITY)} THEN 'dense material' WHEN function_id = 'audio.multiband.stereo_width' AND target = 'sub_bass' AND w > 1 THEN 'wide sub bass' END"
 QUERIES = {
     "catalog_lookup": catalog_lookup, "catalog_certification": catalog_certification, "parameter_validation": parameter_validation, "plan_validation": plan_validation, "plan_conflicts": plan_conflicts, "budget_totals": budget_totals, "band_headroom": band_headroom,
-    "admission_fold": admission_fold, "guardrail_injection": guardrail_injection, "effective_order": effective_order, "graph_compile": graph_compile, "plan_fingerprint": plan_fingerprint, "classic_strategy": classic_strategy, "execution_audit": execution_audit,
+    "admission_fold": admission_fold, "guardrail_injection": guardrail_injection, "effective_order": effective_order, "graph_compile": graph_compile, "compiled_graphs": compiled_graphs, "admission_by_evidence": admission_by_evidence, "plan_fingerprint": plan_fingerprint, "classic_strategy": classic_strategy, "execution_audit": execution_audit,
     "legacy_migration": legacy_migration, "strategy_adjustments": strategy_adjustments, "adjusted_settings": adjusted_settings,
 }
 _words = _list(["off", "apagado", "leve", "medio", "alto", "?"])
@@ -209,12 +281,15 @@ ORACLES = {
  SELECT plan, actions, {_r3('tb')} AS tonal_boost, {_r3('tc')} AS tonal_cut, {_r3('gb')} AS gain_boost, {_r3('gc')} AS gain_cut, {_r3('greatest(0, 3 - tb)')} AS tonal_boost_left, {_r3('greatest(0, 6 - tc)')} AS tonal_cut_left, {_r3('greatest(0, 3 - gb)')} AS gain_boost_left, {_r3('greatest(0, 6 - gc)')} AS gain_cut_left, offended, CASE WHEN offended = '' THEN 'passed' ELSE 'rejected' END AS status FROM o""",
     "band_headroom": f"""WITH {BASE}, {_contributions('re')}, s AS ({' UNION ALL '.join(f"SELECT plan, {i} AS no, '{b}' AS band, {_r3(_band_sum(b))} AS boost FROM cx GROUP BY plan" for i, b in enumerate(catalog.BANDS))})
  SELECT plan, band, boost, boost > 2.5e0 + 1e-9 AS exceeded FROM s QUALIFY row_number() OVER (PARTITION BY plan ORDER BY boost DESC, no) = 1""",
-    "admission_fold": f"""WITH RECURSIVE {BASE}, {OP}, {_contributions('pr')}, o AS (SELECT plan, pos, function_id, alone, operation = 'neutral' AS neutral, {_vec} AS vec, CASE WHEN problem <> '' THEN problem WHEN operation = 'neutral' THEN NULL WHEN plan % 4 = 0 AND function_id IN {_in(act.DENSITY)} THEN 'dense material' WHEN function_id = 'audio.multiband.stereo_width' AND target = 'sub_bass' AND w > 1 THEN 'wide sub bass' END AS blocked,
-   row_number() OVER (PARTITION BY plan ORDER BY pos) AS k FROM cx),
- w AS (SELECT plan, 0::BIGINT AS k, list_transform(range(36), lambda i: 0e0) AS state, NULL::BIGINT AS pos, NULL::VARCHAR AS function_id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS reason FROM o WHERE k = 1
-  UNION ALL SELECT plan, k, CASE WHEN blocked IS NULL AND NOT neutral AND why IS NULL THEN nxt ELSE state END, pos, function_id, CASE WHEN blocked IS NOT NULL THEN 'rejected' WHEN neutral THEN 'neutral' WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END, CASE WHEN blocked IS NOT NULL THEN blocked WHEN NOT neutral THEN why END
-   FROM (SELECT *, {_why} AS why FROM (SELECT o.plan, o.k, w.state, o.pos, o.function_id, o.blocked, o.neutral, o.alone, list_transform(list_zip(w.state, o.vec), lambda p: p[1] + p[2]) AS nxt FROM w JOIN o ON o.plan = w.plan AND o.k = w.k + 1)))
- SELECT plan, pos, function_id, outcome, reason FROM w WHERE k > 0""",
+    "admission_fold": f"WITH RECURSIVE {BASE}, {OP}, {_contributions('pr')}, " + _admission(f"CASE WHEN problem <> '' THEN problem WHEN operation = 'neutral' THEN NULL ELSE {_LATE} END", "cx", "alone"),
+    "admission_by_evidence": f"WITH RECURSIVE {BASE}, {OP}, {EVID}, {_contributions('ev')}, " + _admission(f"CASE WHEN bare THEN 'no evidence' WHEN problem <> '' THEN problem WHEN NOT switched_on THEN 'switched off' WHEN operation = 'neutral' THEN NULL ELSE coalesce(unproven, {_LATE}) END", "cx", ALONE, "CASE WHEN switched_on THEN boost ELSE 0 END"),
+    "compiled_graphs": f"""WITH {AC}, {FN}, {AL}, {RE.replace("re AS (", "re0 AS (", 1)}, re AS (SELECT * REPLACE (NULL::VARCHAR AS asked, CASE WHEN banded THEN coalesce(target, 'mid') END AS target) FROM re0), {OP}, {_contributions('pr')},
+ bad AS (SELECT plan, arg_min(problem, pos) AS problem FROM pr WHERE problem <> '' GROUP BY plan), cf AS (SELECT plan, list(DISTINCT function_id) AS ids, flatten(list(conflicts)) AS against FROM re GROUP BY plan), cl AS (SELECT plan, array_to_string(list_sort(list_filter(ids, lambda i: list_contains(against, i))), ',') AS clash FROM cf),
+ s AS ({' UNION ALL '.join(f"SELECT plan, {i} AS no, '{b}' AS band, {_r3(f"sum(CASE WHEN pos % 7 > 0 AND list_contains(places, '{b}') THEN boost ELSE 0 END ORDER BY pos)")} AS boost FROM cx GROUP BY plan" for i, b in enumerate(catalog.BANDS))}), hr AS (SELECT plan, band, boost FROM s QUALIFY row_number() OVER (PARTITION BY plan ORDER BY boost DESC, no) = 1),
+ f AS (SELECT plan, pos, plugin, pos % 7 > 0 AS live, CASE WHEN plugin = 'audio.multiband' AND lag(plugin) OVER u = plugin AND lag(pos % 7 > 0) OVER u THEN 0 ELSE 1 END AS fresh FROM re WINDOW u AS (PARTITION BY plan ORDER BY pos)), st AS (SELECT *, sum(fresh) OVER (PARTITION BY plan ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stage FROM f),
+ g AS (SELECT plan, stage, any_value(plugin) AS plugin, count(*) AS n FROM st WHERE live GROUP BY plan, stage), l AS (SELECT *, '[' || substr(plugin, 7) || '_' || row_number() OVER (PARTITION BY plan, plugin ORDER BY stage) || ':' || n || ']' AS t FROM g), gr AS (SELECT plan, count(*) AS stages, string_agg(t, ';' ORDER BY stage) AS graph FROM l GROUP BY plan),
+ x AS (SELECT hr.plan, CASE WHEN problem IS NOT NULL THEN problem WHEN clash <> '' THEN 'conflict: ' || clash WHEN boost > 2.5e0 + 1e-9 THEN '{act.HEADROOM}: ' || band || printf('=%.2fdB', boost) END AS error, stages, graph FROM hr LEFT JOIN bad USING (plan) LEFT JOIN cl USING (plan) LEFT JOIN gr USING (plan))
+ SELECT plan, error, CASE WHEN error IS NULL THEN coalesce(stages, 0) END AS stages, CASE WHEN error IS NULL THEN coalesce(graph, '') END AS graph FROM x""",
     "guardrail_injection": f"""WITH {BASE}, own AS (SELECT plan, function_id, min(pos) AS pos, arg_min(v, pos) AS v FROM re WHERE function_id IN ('audio.loudness.normalize', 'audio.limiter.true_peak') GROUP BY plan, function_id),
  wanted AS (SELECT DISTINCT plan, f AS function_id FROM re, (VALUES ('audio.loudness.normalize'), ('audio.limiter.true_peak')) t(f)),
  u AS (SELECT plan, 0 AS stage, pos, function_id, false AS injected, NULL::DOUBLE AS target_lufs, NULL::DOUBLE AS ceiling_db, NULL::DOUBLE AS true_peak_db FROM re WHERE function_id NOT IN ('audio.loudness.normalize', 'audio.limiter.true_peak')

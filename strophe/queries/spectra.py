@@ -45,7 +45,8 @@ def spectrum_band_counts(spark, sf_dir):
 
 def tempo(spark, sf_dir):
     hours = stream(spark, sf_dir).groupBy("event_type", F.floor(F.col("t") / 3600).cast("long").alias("hour")).agg(F.count("*").alias("n"))
-    return spectrum.best_lag(spectrum.autocorrelation(hours, "event_type", "hour", "n", range(1, 49)), "event_type")
+    ac = spectrum.autocorrelation(hours, "event_type", "hour", "n", range(1, 49))
+    return spectrum.best_lag(ac.withColumn("ac", F.round("ac").cast("long")), "event_type")  # counts are whole
 
 
 def stereo_evidence(spark, sf_dir):

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import wav
+
 #: File endings that count as audio, and the bands' edges in Hz.
 SUFFIXES = ("wav", "aiff", "aif", "flac")
 BANDS = {"sub": (20, 60), "bass": (60, 250), "low_mid": (250, 500), "mid": (500, 2000), "high_mid": (2000, 6000), "air": (6000, 16000)}
@@ -33,6 +35,11 @@ def merged_listing(*listings: DataFrame) -> DataFrame:
     return last.drop("_seq", "_rn").orderBy(F.lower("name"), "path")
 
 
+def _wavs(spark: SparkSession, folder: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.where(F.lower("path").endswith(".wav")).select("path", "content")
+
+
 def _samples(raw: bytes, width: int, channels: int) -> np.ndarray:
     """PCM as floats from -1 to 1, a column for each channel."""
     if width == 1:
@@ -47,59 +54,29 @@ def _samples(raw: bytes, width: int, channels: int) -> np.ndarray:
 
 def probe(spark: SparkSession, folder: str) -> DataFrame:
     """duration, sample_rate, channels, bit_depth, codec, format and bitrate of each WAV file; nulls and an error for what can't be read."""
-    kinds = {"path": pa.string(), "duration": pa.float64(), "sample_rate": pa.int32(), "channels": pa.int32(), "bit_depth": pa.int32(), "codec": pa.string(), "format": pa.string(), "bitrate": pa.int64(), "error": pa.string()}
-    schema = pa.schema(list(kinds.items()))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"].to_pylist(), b["content"], strict=True):
-                row, data = dict.fromkeys(schema.names) | {"path": path}, content.as_py()
-                try:
-                    with wave.open(io.BytesIO(data)) as w:
-                        seconds, bits = w.getnframes() / w.getframerate(), 8 * w.getsampwidth()
-                        row |= {"duration": seconds, "sample_rate": w.getframerate(), "channels": w.getnchannels(), "bit_depth": bits, "codec": f"pcm_{'u8' if bits == 8 else f's{bits}le'}", "format": "wav", "bitrate": int(len(data) * 8 / seconds) if seconds else None}
-                except (wave.Error, EOFError) as x:
-                    row["error"] = str(x) or type(x).__name__
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return _wavs(spark, folder).mapInArrow(work, "path string, duration double, sample_rate int, channels int, bit_depth int, codec string, format string, bitrate long, error string")
-
-
-def _wavs(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.where(F.lower("path").endswith(".wav")).select("path", "content")
+    heads = wav.load(spark, folder, "path", "sample_rate", "channels", "bit_depth", "codec", "n_samples", "bytes", "error")
+    seconds = F.col("n_samples") / F.col("sample_rate")
+    known = F.col("error").isNull()
+    return heads.select(
+        "path", seconds.alias("duration"), "sample_rate", "channels", "bit_depth", "codec", F.when(known, "wav").alias("format"), F.when(F.col("n_samples") > 0, F.floor(F.col("bytes") * 8 / seconds)).alias("bitrate"), "error"
+    )
 
 
 def decoded(spark: SparkSession, folder: str, seconds: float = 30.0, center: bool = False, rate: int | None = None, chunk: int = 1 << 16) -> DataFrame:
     """Samples of each WAV file in chunks: path, sample_rate, first (the place of a chunk's first sample), left, right and mono.
 
-    The first ``seconds`` of a file, or the middle ones. rate: samples a second to which they are brought by linear
-    interpolation; None keeps the file's own. A file of one channel has it on both sides; one that can't be read has no rows.
+    The first ``seconds`` of a file, or the middle ones. rate: samples a second to which they are brought by a windowed
+    sinc; None keeps the file's own. A file of one channel has it on both sides; one that can't be read has no rows.
     """
-    floats = pa.list_(pa.float32())
-    schema = pa.schema([("path", pa.string()), ("sample_rate", pa.int32()), ("first", pa.int64()), ("left", floats), ("right", floats), ("mono", floats)])
+    options = {"seconds": seconds, "center": str(center).lower(), "chunk": chunk} | ({"rate": rate} if rate else {})
+    return wav.load(spark, folder, "path", "sample_rate", "first", "left", "right", "mono", **options)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b["path"].to_pylist(), b["content"], strict=True):
-                try:
-                    w = wave.open(io.BytesIO(content.as_py()))
-                except (wave.Error, EOFError):
-                    continue
-                own, n = w.getframerate(), w.getnframes()
-                most = int(seconds * own)
-                w.setpos(max(0, int((n - most) / 2)) if center else 0)
-                x = _samples(w.readframes(min(n, most)), w.getsampwidth(), w.getnchannels())
-                if rate and rate != own and len(x):
-                    at = np.arange(int(len(x) * rate / own)) * (own / rate)
-                    x = np.stack([np.interp(at, np.arange(len(x)), c) for c in x.T], 1).astype(np.float32)
-                for i in range(0, len(x), chunk):
-                    part = x[i : i + chunk]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((path, rate or own, i, part[:, 0], part[:, min(1, part.shape[1] - 1)], part.mean(1)), schema.types, strict=True)], schema=schema)
-
-    return _wavs(spark, folder).mapInArrow(work, "path string, sample_rate int, first long, left array<float>, right array<float>, mono array<float>")
+
+def samples(chunks: DataFrame, sides: tuple[str, ...] = ("mono",)) -> DataFrame:
+    """A row for each sample of decoded chunks: path, i and the sides, as the signal operators take them."""
+    zipped = F.arrays_zip(*sides) if len(sides) > 1 else F.transform(sides[0], lambda v: F.struct(v.alias(sides[0])))
+    rows = chunks.select("path", "first", F.posexplode(zipped).alias("at", "_v"))
+    return rows.select("path", (F.col("first") + F.col("at")).alias("i"), *(F.col(f"_v.{s}").cast("double").alias(s) for s in sides))
 
 
 def frames(spark: SparkSession, folder: str, size: float = 1.0, hop: float = 1.0) -> DataFrame:

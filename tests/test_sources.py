@@ -78,7 +78,7 @@ def test_decoded_segments(spark, tmp_path):
     middle = audio.decoded(spark, str(tmp_path), seconds=0.5, center=True).first()
     assert list(middle.mono) == flat[750:1250]
     slow = audio.decoded(spark, str(tmp_path), rate=500).first()
-    assert slow.sample_rate == 500 and list(slow.mono) == flat[::2]
+    assert slow.sample_rate == 500 and len(slow.mono) == 1000 and max(abs(a - b) for a, b in zip(list(slow.mono)[100:-100], flat[200:-200:2], strict=True)) < 1e-3  # a tone below the cut
 
 
 def test_cache_puts_invalidations_and_size(spark, tmp_path):
