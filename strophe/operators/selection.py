@@ -85,4 +85,5 @@ def median(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
         found = running.where((F.col("rank") >= before) & (F.col("rank") < F.col("_to")))
         targets = found.select(*keys, "rank_no", (F.col("rank") - before).alias("rank"), *digits, here)
         digits.append(here)
-    return values_of(targets, keys).groupBy(*keys).agg(F.avg("value").alias(out))
+    low, high = F.min("value"), F.max("value")
+    return values_of(targets, keys).groupBy(*keys).agg(F.when(low == high, low).otherwise(low * 0.5 + high * 0.5).alias(out), F.count("*").alias("_n")).where("_n > 0").drop("_n")

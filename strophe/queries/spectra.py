@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import quality, spectrum
+from ..operators import quality, resonance, selection, spectrum
 from .series import EV, stream
 
 N = 64
@@ -49,6 +50,28 @@ def tempo(spark, sf_dir):
     return spectrum.best_lag(ac.withColumn("ac", F.round("ac").cast("long")), "event_type")  # counts are whole
 
 
+def series_frames(spark, sf_dir, size, hop):
+    """The values of each kind of event in order of time, in frames."""
+    ordered = stream(spark, sf_dir).select("event_type", (F.row_number().over(Window.partitionBy("event_type").orderBy("t", "event_id")) - 1).alias("i"), "value")
+    return spectrum.framed(ordered, "event_type", "i", "value", size, hop)
+
+
+def frame_spectra(spark, sf_dir):
+    """Hann-windowed spectra of frames of 64 values every 32."""
+    found = spectrum.fft(series_frames(spark, sf_dir, 64, 32), ["event_type", "frame"], "x", 64)
+    return found.select("event_type", "frame", "bin", F.round("mag", 3).alias("mag"))
+
+
+def long_frame_spectra(spark, sf_dir):
+    """The median over frames of 8,192 values every 4,096, bin by bin (no SQL: a sum over all values for each bin takes too long)."""
+    return resonance.median_spectrum(series_frames(spark, sf_dir, resonance.FRAME, resonance.HOP), "event_type", "x")
+
+
+def long_frame_resonances(spark, sf_dir):
+    """What stands out of these spectra, taken as 44,100 values a second."""
+    return resonance.resonances(selection.held(long_frame_spectra(spark, sf_dir)), "event_type")
+
+
 def stereo_evidence(spark, sf_dir):
     half = lambda odd: F.filter("embedding", lambda x, i: i % 2 == odd)
     rows = vectors(spark, sf_dir).select("vec_id", half(0).alias("l"), half(1).alias("r"))
@@ -67,7 +90,7 @@ PR = "pr AS (SELECT a.vec_id, a.bin, round(any_value(a.db) - median(b.db), 5) AS
 
 QUERIES = {
     "spectrum_dft": spectrum_dft, "spectrum_hann": spectrum_hann, "spectrum_shape": spectrum_shape, "spectrum_peaks": spectrum_peaks, "spectrum_prominence": spectrum_prominence, "spectrum_nms": spectrum_nms, "spectrum_band_counts": spectrum_band_counts,
-    "tempo_autocorr": tempo, "stereo_evidence": stereo_evidence,
+    "tempo_autocorr": tempo, "frame_spectra": frame_spectra, "long_frame_spectra": long_frame_spectra, "long_frame_resonances": long_frame_resonances, "stereo_evidence": stereo_evidence,
 }
 ORACLES = {
     "spectrum_dft": f"WITH {_dft()} SELECT * FROM db",
@@ -81,6 +104,9 @@ ORACLES = {
     "spectrum_band_counts": f"WITH RECURSIVE {_dft()}, {PK} SELECT vec_id, count(*) FILTER (WHERE bin BETWEEN 0 AND 4) AS low, count(*) FILTER (WHERE bin BETWEEN 4 AND 16) AS mid, count(*) FILTER (WHERE bin BETWEEN 16 AND 32) AS high FROM pk GROUP BY vec_id",
     "tempo_autocorr": f"""WITH {EV}, h AS (SELECT event_type, CAST(floor(t / 3600) AS BIGINT) AS hour, count(*) AS n FROM ev GROUP BY event_type, floor(t / 3600)), ac AS (SELECT a.event_type, CAST(b.hour - a.hour AS INTEGER) AS lag, CAST(sum(a.n * b.n) AS BIGINT) AS ac FROM h a JOIN h b ON a.event_type = b.event_type AND b.hour - a.hour BETWEEN 1 AND 48 GROUP BY a.event_type, b.hour - a.hour)
  SELECT event_type, arg_max(lag, ac * 1000 - lag) AS lag, round((max(ac) - avg(ac)) / (stddev_pop(ac) + 1e-9), 4) AS z FROM ac GROUP BY event_type""",
+    "frame_spectra": f"""WITH {EV}, o AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) - 1 AS i, value FROM ev), n AS (SELECT event_type, count(*) AS n FROM o GROUP BY event_type),
+ f AS (SELECT o.event_type, CAST(u.f AS BIGINT) AS frame, i - u.f * 32 AS spot, value * (0.5 - 0.5 * cos((i - u.f * 32) * (2 * pi() / 63))) AS v FROM o JOIN n USING (event_type), unnest(generate_series(greatest(0, CAST(floor((i - 64) / 32) AS BIGINT) + 1), CAST(floor(i / 32) AS BIGINT))) AS u(f) WHERE u.f * 32 + 64 <= n)
+ SELECT event_type, frame, CAST(k AS INTEGER) AS bin, round(sqrt(pow(sum(v * cos(spot * k * (2 * pi() / 64))), 2) + pow(sum(v * sin(spot * k * (2 * pi() / 64))), 2)), 3) AS mag FROM f, range(33) s(k) GROUP BY event_type, frame, k""",
     "stereo_evidence": """WITH p AS (SELECT vec_id, CAST(embedding[2 * i + 1] AS DOUBLE) AS l, CAST(embedding[2 * i + 2] AS DOUBLE) AS r FROM embeddings, range(32) t(i)),
  s AS (SELECT vec_id, sqrt(sum((l + r) * (l + r) / 4) / 32) AS m, sqrt(sum((l - r) * (l - r) / 4) / 32) AS d, sum(l * r) / sqrt(sum(l * l) * sum(r * r)) AS c, max(greatest(abs(l), abs(r))) AS pk, sqrt(sum((l * l + r * r) / 2) / 32) AS rms FROM p GROUP BY vec_id)
  SELECT vec_id, round(m / (m + d + 1e-12), 4) AS mid_ratio, round(c, 4) AS correlation, round(20 * log10(pk / rms), 4) AS crest_db FROM s""",
