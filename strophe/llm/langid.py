@@ -202,10 +202,19 @@ def identify(rows: DataFrame, model: np.ndarray, levels: list[str], keep: list[s
     )
 
 
+#: The suffix of the first web or mail address in a text.
+ADDRESS = r"(?:https?://|@)[a-z0-9.-]+\.([a-z]{2,})\b"
+
+
 def identify_documents(docs: DataFrame, keep: list[str], languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """docs(doc_id, text, lang, source): the metadata's language is the declared one, the source the host."""
-    rows = docs.select(*keep, "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
-    return identify(rows, fit(docs, languages), ["host"], keep, languages)
+    """docs(doc_id, text, lang, source): the metadata's language is the declared one, the source the host.
+
+    Sources that are named alike but for a number at the end are a family, whose prior lies between those of all rows and of
+    the source. The suffix is that of the first address in the text.
+    """
+    family, suffix = F.regexp_replace("source", r"[0-9]+$", ""), F.regexp_extract(F.lower(F.col("text").cast("string")), ADDRESS, 1)
+    rows = docs.select(*keep, "text", F.col("lang").alias("declared"), suffix.alias("suffix"), family.alias("family"), F.col("source").alias("host"))
+    return identify(rows, fit(docs, languages), ["family", "host"], keep, languages)
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:

@@ -105,6 +105,19 @@ def test_language_evidence_is_fused_as_by_hand(spark, small):
             assert (got[i].lang, got[i].accepted) == (lang, lang != "und") and abs(got[i].posterior - p) < 2e-6
 
 
+def test_documents_have_suffixes_and_families(spark, small):
+    """The query's own evidence: declared language, the first address in the text, and priors of families of sources."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    end = ["", " see http://www.zeitung.DE/x or a@b.fr", " mail x.y@correo.mx", " at https://example.com/en"]
+    own = [(r.text[: 20 + 30 * (i % 9)] + end[i % 4], r.lang if i % 3 else None, f"{['web', 'news'][i % 2]}{i % 7}" if i % 10 else None) for i, r in enumerate(docs.orderBy("doc_id").limit(150).collect())]
+    df = spark.createDataFrame([(i, t, lang, s, "x", "y") for i, (t, lang, s) in enumerate(own)], "doc_id long, text string, lang string, source string, family string, suffix string")
+    suffix = [None, "de", "mx", "com"]
+    rows = [(t, lang, suffix[i % 4], (s and s.rstrip("0123456789"), s)) for i, (t, lang, s) in enumerate(own)]
+    got = {r.doc_id: r for r in langid.identify_documents(df, ["doc_id"]).collect()}
+    for i, (lang, p) in enumerate(judged(rows, langid.fit(df))):
+        assert (got[i].lang, got[i].accepted) == (lang, lang != "und") and abs(got[i].posterior - p) < 2e-6
+
+
 def test_pages_have_priors_of_suffix_domain_and_host(spark, small):
     pages = spark.createDataFrame([(1, "http://www.zeitung.de/a", '<html lang="de"><p>der und die das Haus ist nicht mehr da</p>'), (2, None, None), (3, "no url", "<b></b>"), (4, "http://www.zeitung.de/b", "<script>x</script><p>zu</p>")], "page_id long, url string, html string")
     got = {r.page_id: r for r in langid.identify_pages(pages.withColumn("text", F.lit("z")), spark.read.parquet(f"{small}/documents.parquet")).collect()}
