@@ -1,11 +1,11 @@
-"""Reports as files: JSON and Markdown by track, TOML, and append-only histories. Spark's committer publishes them whole."""
+"""Reports as files: JSON and Markdown by track, TOML, and append-only histories, published whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import last_wins
+from . import reports
 
 
 def json_reports(rows: DataFrame, folder: str, key: str) -> None:
@@ -42,9 +42,8 @@ def append_history(rows: DataFrame, folder: str) -> None:
 
 
 def report_pairs(rows: DataFrame, folder: str, key: str, kind: str, fields: dict[str, Column]) -> None:
-    """Each track's report twice: as JSON and as Markdown, in folders by kind and track."""
-    rows.write.mode("overwrite").partitionBy(key).json(f"{folder}/{kind}.json")
-    rows.select(key, markdown(F.col(key).cast("string"), fields).alias("value")).write.mode("overwrite").partitionBy(key).text(f"{folder}/{kind}.md")
+    """Each track's report twice, as ``<track>.<kind>.json`` and ``.md``; all of them are published at once."""
+    reports.write(rows, folder, F.concat(F.col(key).cast("string"), F.lit(f".{kind}")), markdown(F.col(key).cast("string"), fields))
 
 
 def rollout_report(report: DataFrame, folder: str, stamp: str) -> str:
@@ -54,37 +53,6 @@ def rollout_report(report: DataFrame, folder: str, stamp: str) -> str:
     return path
 
 
-def cache_put(entries: DataFrame, path: str, version: int = 2) -> None:
-    """Adds entries(content_key, ...) to a cache; of a key's entries the last one written counts."""
-    told = entries.withColumns({"schema_version": F.lit(version), "_written": F.current_timestamp(), "_gone": F.lit(False)})
-    told.write.mode("append").parquet(path)
-
-
-def cache_invalidate(keys: DataFrame, path: str) -> None:
-    """Takes the entries of keys(content_key) out of a cache: a mark is added, nothing is rewritten."""
-    held = keys.sparkSession.read.parquet(path).schema
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in held if f.name not in ("content_key", "_written", "_gone")]
-    keys.select("content_key", *nothing, F.current_timestamp().alias("_written"), F.lit(True).alias("_gone")).select(*held.names).write.mode("append").parquet(path)
-
-
-def cache(spark: SparkSession, path: str) -> DataFrame:
-    """The entries that count."""
-    return last_wins(spark.read.parquet(path), ["content_key"], [F.desc("_written"), F.desc("_gone")]).where(~F.col("_gone")).drop("_written", "_gone")
-
-
-def cache_size(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Entries that count, and bytes of all files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n"))
-    return cache(spark, path).count(), files.first()["n"]
-
-
-def cache_clear(spark: SparkSession, path: str) -> int:
-    """Empties a cache; returns how many entries counted."""
-    n, held = cache(spark, path).count(), spark.read.parquet(path)
-    spark.createDataFrame([], held.schema).write.mode("overwrite").parquet(path)
-    return n
-
-
 def mark_completed(done: DataFrame, path: str) -> None:
     """Adds finished files to a job's checkpoint: appended after each batch, so a restarted job goes on behind the last one."""
     done.select("path", F.current_timestamp().alias("at")).write.mode("append").parquet(path)

@@ -3,10 +3,11 @@ import math
 import struct
 import wave
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strophe.sources import audio, records, sinks
+from strophe.sources import audio, cache, records, sinks
 
 
 def write_wav(path, seconds, hz, rate=8000, channels=2):
@@ -56,8 +57,8 @@ def test_artifacts_history_and_renamed_keys(spark, tmp_path):
 
 def test_cache_hits_and_misses(spark):
     bands = {f"b{i}": -20.0 for i in range(6)}
-    cache = spark.createDataFrame([("a", 2, bands), ("b", 1, bands), ("c", 2, {k: -70.0 for k in bands})], "content_key string, schema_version int, band_stats map<string,double>")
-    hits, misses = records.cached(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "content_key string"), cache)
+    held = spark.createDataFrame([("a", 2, bands), ("b", 1, bands), ("c", 2, {k: -70.0 for k in bands})], "content_key string, schema_version int, band_stats map<string,double>")
+    hits, misses = records.cached(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "content_key string"), held)
     assert [r.content_key for r in hits.collect()] == ["a"] and sorted(r.content_key for r in misses.collect()) == ["b", "c", "d"]
 
 
@@ -84,13 +85,57 @@ def test_decoded_segments(spark, tmp_path):
 def test_cache_puts_invalidations_and_size(spark, tmp_path):
     path = str(tmp_path / "cache")
     entry = lambda k, v: spark.createDataFrame([(k, v)], "content_key string, rms double")
-    sinks.cache_put(entry("a", -1.0), path), sinks.cache_put(entry("b", -2.0), path), sinks.cache_put(entry("a", -3.0), path)
-    assert sorted((r.content_key, r.rms) for r in sinks.cache(spark, path).collect()) == [("a", -3.0), ("b", -2.0)]
-    sinks.cache_invalidate(spark.createDataFrame([("b",)], "content_key string"), path)
-    n, size = sinks.cache_size(spark, path)
+    assert cache.entries(spark, path) is None and cache.size(spark, path) == (0, 0)
+    cache.put(entry("a", -1.0), path), cache.put(entry("b", -2.0), path), cache.put(entry("a", -3.0), path)
+    assert sorted((r.content_key, r.rms, r.schema_version) for r in cache.entries(spark, path).collect()) == [("a", -3.0, 2), ("b", -2.0, 2)]
+    cache.invalidate(spark.createDataFrame([("b",), ("never",)], "content_key string"), path)
+    n, size = cache.size(spark, path)
     assert n == 1 and size > 0
-    sinks.cache_put(entry("b", -4.0), path)
-    assert sinks.cache_clear(spark, path) == 2 and sinks.cache(spark, path).count() == 0
+    cache.put(entry("b", -4.0).unionAll(entry("b", -9.0)).unionAll(entry(None, 1.0)), path)
+    assert sorted((r.content_key or "", r.rms) for r in cache.entries(spark, path).collect()) == [("", 1.0), ("a", -3.0), ("b", -4.0)]
+    assert cache.clear(spark, path) == 3 and cache.entries(spark, path).count() == 0
+    cache.put(entry("z", 0.0), path)
+    assert cache.entries(spark, path).count() == 1
+
+
+def folders(path):
+    return {p.relative_to(path).as_posix() for p in path.glob("data/*/_bucket=*")}
+
+
+def test_a_change_rewrites_the_buckets_it_touches(spark, tmp_path):
+    path = tmp_path / "cache"
+    cache.put(spark.range(2000).selectExpr("md5(string(id)) AS content_key", "id * 1.0 AS rms"), str(path))
+    first = folders(path)
+    assert len(first) == cache.BUCKETS
+    some = spark.range(3).selectExpr("md5(string(id)) AS content_key", "-1.0D AS rms")
+    touched = some.select(cache.bucket_of(F.col("content_key")).alias("b")).distinct().count()
+    cache.put(some, str(path))
+    assert len(folders(path) - first) == touched <= 3 and cache.entries(spark, str(path)).where("rms = -1").count() == 3 and cache.entries(spark, str(path)).count() == 2000
+    assert cache.vacuum(spark, str(path)) == touched and len(folders(path)) == cache.BUCKETS and cache.entries(spark, str(path)).count() == 2000
+    assert max(sum(1 for _ in p.glob("*.parquet")) for p in path.glob("data/*/_bucket=*")) == 1
+
+
+def test_a_reader_sees_a_cache_before_or_after_a_change(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    cache.put(spark.range(500).selectExpr("md5(string(id)) AS content_key", "1.0D AS rms"), path)
+    before = cache.entries(spark, path)  # opened before, read after
+    cache.put(spark.range(500).selectExpr("md5(string(id)) AS content_key", "2.0D AS rms"), path)
+    assert [tuple(r) for r in before.groupBy("rms").count().collect()] == [(1.0, 500)] and [tuple(r) for r in cache.entries(spark, path).groupBy("rms").count().collect()] == [(2.0, 500)]
+    number, told = cache.current(spark, path)
+    with pytest.raises(cache.Conflict):  # another change came first
+        cache._publish(spark, path, number, told)
+    assert not list((tmp_path / "cache/_lists").glob(".[0-9]*-*[!c]")) and cache.current(spark, path) == (number, told)
+
+
+def test_reports_are_published_all_or_none(spark, tmp_path):
+    rows = spark.range(20, numPartitions=4).selectExpr("concat('t', id) AS track", "id * 1.5 AS lufs")
+    sinks.report_pairs(rows, str(tmp_path / "ok"), "track", "guard", {"LUFS": F.col("lufs")})
+    assert sorted(p.name for p in (tmp_path / "ok").iterdir()) == sorted(f"t{i}.guard.{k}" for i in range(20) for k in ("json", "md"))
+    assert json.loads((tmp_path / "ok/t3.guard.json").read_text()) == {"track": "t3", "lufs": 4.5} and (tmp_path / "ok/t3.guard.md").read_text().endswith("- **LUFS**: 4.5")
+    for bad in (rows.withColumn("lufs", F.when(F.col("track") == "t17", F.raise_error(F.lit("no"))).otherwise(F.col("lufs"))), rows.unionAll(rows.limit(1))):
+        with pytest.raises(Exception, match="no|stem"):
+            sinks.report_pairs(bad, str(tmp_path / "bad"), "track", "guard", {"LUFS": F.col("lufs")})
+        assert not [p for p in (tmp_path / "bad").glob("*") if p.is_file()] and not list((tmp_path / "bad").glob("_pending*"))
 
 
 def test_checkpoints_and_report_files(spark, tmp_path):
@@ -100,8 +145,8 @@ def test_checkpoints_and_report_files(spark, tmp_path):
     assert sorted(r.path for r in sinks.completed(spark, done).collect()) == ["/a", "/b", "/c"]
     df = spark.createDataFrame([("x", -14.0), ("y", -9.5)], "track string, lufs double")
     sinks.report_pairs(df, str(tmp_path / "log"), "track", "guard", {"LUFS": F.col("lufs")})
-    assert spark.read.json(str(tmp_path / "log/guard.json")).count() == 2
-    assert (spark.read.text(str(tmp_path / "log/guard.md/track=y")).collect()[-1].value) == "- **LUFS**: -9.5"
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["x.guard.json", "x.guard.md", "y.guard.json", "y.guard.md"]
+    assert (tmp_path / "log/y.guard.md").read_text() == "# y\n\n- **LUFS**: -9.5"
     assert spark.read.json(sinks.rollout_report(df, str(tmp_path), "2026-01-01")).count() == 2
 
 
