@@ -1,13 +1,9 @@
-"""The window operators as streams: tumbling levels, gap sessions, and segmentation that keeps state for each key."""
+"""The window operators as streams: tumbling levels and gap sessions. Folds with a state of their own are in ``folds``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.frames import level
 
@@ -24,28 +20,6 @@ def sessions(stream: DataFrame, keys: list[str], ts: str, gap: str, late: str) -
     return grouped.agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("samples")).select(*keys, "start", "end", "samples")
 
 
-def cuts(stream: DataFrame, key: str, order: str, value: str, jump: float, least: int) -> DataFrame:
-    """Greedy boundaries over an endless series: a row for each cut, at least ``least`` rows after the one before.
-
-    State for each key: rows seen, the last cut and the last value. Rows of a batch are taken in order; a row that
-    arrives in a later batch than its successor is counted where it arrives.
-    """
-
-    def step(k: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, was = state.get if state.exists else (0, 0, None)
-        found = []
-        for v in pd.concat(list(rows)).sort_values(order)[value].astype(float).tolist():  # each cut depends on the one before
-            if n == 0 or (abs(v - was) > jump and n - last >= least):
-                found.append((k[0], n, v))
-                last = n
-            n, was = n + 1, v
-        state.update((n, last, was))
-        yield pd.DataFrame(found, columns=[key, "at", "value"])
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at long, value double", "n long, last long, was double", "append", GroupStateTimeout.NoTimeout)
-
-
 def resumable(stream: DataFrame, folder: str, checkpoint: str) -> None:
     """Writes all that has arrived and ends; the next call, after a restart too, goes on behind it and repeats nothing."""
     stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
