@@ -238,13 +238,15 @@ def difference(before: Column, after: Column) -> Column:
 def evaluation(before: dict[str, Column], after: dict[str, Column], bands: dict[str, tuple[Column, Column]], target: float, ceiling: float) -> Column:
     """A render against its source and its targets: arrays of successes, warnings and errors, as codes with their bands.
 
-    before and after: lufs, true_peak, lra, crest, dc, correlation, channels.
+    before and after: lufs, true_peak, lra, crest, dc, correlation, channels; after may have second_peak, the true peak as
+    another meter has it, which warns at most.
     """
     off, over = F.abs(after["lufs"] - target), after["true_peak"] - ceiling
     lra, crest = after["lra"] - before["lra"], after["crest"] - before["crest"]
     loud = {n: (a, z, (a >= -60) & (z >= -60)) for n, (a, z) in bands.items()}
-    good = [F.when(off <= 0.5, "lufs"), F.when(over <= 0, "true_peak"), F.when(F.abs(lra) <= 2, "lra")]
-    warn = [F.when((off > 0.5) & (off <= 1), "lufs"), F.when((over > 0) & (over <= 0.3), "true_peak"), F.when(lra < -2, "lra_down").when(lra > 2, "lra_up")]
+    second = after.get("second_peak", F.lit(None).cast("double")) - ceiling
+    good = [F.when(off <= 0.5, "lufs"), F.when(over <= 0, "true_peak"), F.when(second <= 0, "second_peak"), F.when(F.abs(lra) <= 2, "lra")]
+    warn = [F.when((off > 0.5) & (off <= 1), "lufs"), F.when((over > 0) & (over <= 0.3), "true_peak"), F.when(second > 0, "second_peak"), F.when(lra < -2, "lra_down").when(lra > 2, "lra_up")]
     for n, (a, z, heard) in loud.items():
         warn += [F.when(heard & (z - a > 6), f"{n}_up"), F.when(heard & (z - a < -6), f"{n}_down")]
     warn += [
@@ -273,7 +275,8 @@ def overlap_risk(tracks: DataFrame, key: str) -> DataFrame:
     """For each track and band how many processes meet in it, weighted, and which; and the worst band of the track.
 
     tracks(key, dynamic_eq, deesser, stereo_dynamic, stereo_mix, limiter, limiter_db map, saturation, per_band, sat_mix,
-    sat_drive, band_mix map, band_drive map); mixes of saturation are per cent.
+    sat_drive, band_mix map, band_drive map); mixes of saturation are per cent. A column stereo_band_mix, a map by band,
+    goes before stereo_mix where it has the band.
     """
     c = F.col
     names = F.array(*(F.struct(F.lit(i).alias("no"), F.lit(b).alias("band")) for i, b in enumerate(BANDS)))
@@ -282,10 +285,12 @@ def overlap_risk(tracks: DataFrame, key: str) -> DataFrame:
     some_limits = F.coalesce(F.size("limiter_db") > 0, F.lit(False))
     own = F.coalesce(c("band_mix")[c("band")], F.lit(0.0)) / 100 * (1 + F.abs(F.coalesce(c("band_drive")[c("band")], F.lit(0.0))) / 6)
     whole = c("sat_mix") / 100 * (1 + F.abs(c("sat_drive")) / 6)
+    mix = F.coalesce(F.nullif("stereo_mix", F.lit(0.0)), F.lit(0.4))
+    mix = F.coalesce(c("stereo_band_mix")[c("band")], mix) if "stereo_band_mix" in tracks.columns else mix
     parts = [
         ("dynamic_eq", F.when(c("dynamic_eq"), 0.8)),
         ("deesser", F.when(c("deesser") & c("band").isin(*SENSITIVE), 0.8)),
-        ("stereo_dynamic", F.when(c("stereo_dynamic"), F.greatest(F.lit(0.2), F.coalesce(F.nullif("stereo_mix", F.lit(0.0)), F.lit(0.4))))),
+        ("stereo_dynamic", F.when(c("stereo_dynamic"), F.greatest(F.lit(0.2), mix))),
         ("multiband_limiter", F.when(c("limiter"), F.when(some_limits, F.when(limit > -2, 0.9).when(limit.isNotNull(), 0.6)).otherwise(0.6))),
         ("saturation_band", F.when(c("saturation") & c("per_band") & (own > 0), own)),
         ("saturation_global", F.when(c("saturation") & ~c("per_band") & (whole > 0), whole)),

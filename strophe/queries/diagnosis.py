@@ -100,7 +100,7 @@ def band_overlap(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         "c_custkey", (k % 2 == 0).alias("dynamic_eq"), (k % 3 == 0).alias("deesser"), (k % 5 < 2).alias("stereo_dynamic"), ((k % 7) / 10).alias("stereo_mix"), (k % 3 > 0).alias("limiter"),
         F.when(k % 4 > 0, maps(lambda i: -1.0 * (k + i) % 4, (0, 2, 5))).alias("limiter_db"), (k % 4 > 0).alias("saturation"), (k % 8 > 3).alias("per_band"), (k % 90).cast("double").alias("sat_mix"), (k % 12 - 3).cast("double").alias("sat_drive"),
-        maps(lambda i: (k * (i + 3)) % 80, (1, 3, 4)).alias("band_mix"), maps(lambda i: (k * (i + 5)) % 9, (1, 4)).alias("band_drive"),
+        F.when(k % 6 > 1, maps(lambda i: (k * (i + 2)) % 9 / 10, (0, 3))).alias("stereo_band_mix"), maps(lambda i: (k * (i + 3)) % 80, (1, 3, 4)).alias("band_mix"), maps(lambda i: (k * (i + 5)) % 9, (1, 4)).alias("band_drive"),
     )
     found = diagnosis.overlap_risk(t, "c_custkey")
     return found.select("c_custkey", "worst_band", "worst_overlap", "risky", "overlap_ok", F.array_join(F.transform("bands", lambda b: F.concat(b["band"], F.lit("="), F.array_join(b["sources"], "+"))), ";").alias("sources"))
@@ -127,7 +127,7 @@ def render_evaluation(spark, sf_dir):
     """Each customer's track before and after, 2.1 to 6 dB louder."""
     c = F.col
     before = {"lufs": c("lufs"), "true_peak": c("peak"), "lra": c("lra"), "crest": c("crest"), "dc": F.lit(0.0), "correlation": c("width") + 0.2, "channels": F.when(c("mono"), 1).otherwise(2)}
-    after = {"lufs": c("lufs") + c("mult"), "true_peak": c("peak") + c("mult"), "lra": c("lra") - c("off"), "crest": c("crest") - c("mix") * 5, "dc": c("width") / 50, "correlation": 1 - c("width"), "channels": F.lit(2)}
+    after = {"lufs": c("lufs") + c("mult"), "true_peak": c("peak") + c("mult"), "lra": c("lra") - c("off"), "crest": c("crest") - c("mix") * 5, "dc": c("width") / 50, "correlation": 1 - c("width"), "channels": F.lit(2), "second_peak": F.when(~c("mono"), c("peak") + c("mult") - 0.25)}
     bands = {b: (c(b) * 5, c(b) * 5 + c("drive") - 7) for b in ("bass", "air")}
     e = diagnosis.evaluation(before, after, bands, -14.0, -1.0)
     return figures(spark, sf_dir).select("c_custkey", e.alias("e"), diagnosis.difference(F.when(c("mono"), -70.0).otherwise(c("lra")), c("crest")).alias("delta")).select("c_custkey", "delta", *(F.array_join(f"e.{n}", ",").alias(n) for n in ("successes", "warnings", "errors")))
@@ -219,7 +219,7 @@ ORACLES = {
     "saturation_budget": f"""WITH {FX}, t AS (SELECT *, {_total} AS total FROM fx) SELECT c_custkey, CAST(printf('%.6f', total) AS DOUBLE) AS thd, {_join('; ', [_if(f'{x} > 0', f"{n} || ': +' || {_p(x, 1)} || '%'") for n, x in _thd])} AS sources, CASE WHEN total < 2 THEN 'low' WHEN total < 4 THEN 'medium' ELSE 'high' END AS risk FROM t""",
     "band_overlap": """WITH b(no, band) AS (VALUES (0, 'sub_bass'), (1, 'bass'), (2, 'low_mid'), (3, 'mid'), (4, 'high_mid'), (5, 'air')), p AS (SELECT c_custkey AS k, no, band, 'a' AS o, 'dynamic_eq' AS source, 0.8e0 AS x FROM customer, b WHERE c_custkey % 2 = 0
   UNION ALL SELECT c_custkey, no, band, 'b', 'deesser', 0.8e0 FROM customer, b WHERE c_custkey % 3 = 0 AND no >= 4
-  UNION ALL SELECT c_custkey, no, band, 'c', 'stereo_dynamic', greatest(0.2e0, CASE WHEN c_custkey % 7 = 0 THEN 0.4e0 ELSE (c_custkey % 7) / 10e0 END) FROM customer, b WHERE c_custkey % 5 < 2
+  UNION ALL SELECT c_custkey, no, band, 'c', 'stereo_dynamic', greatest(0.2e0, CASE WHEN c_custkey % 6 > 1 AND no IN (0, 3) THEN c_custkey * (no + 2) % 9 / 10e0 WHEN c_custkey % 7 = 0 THEN 0.4e0 ELSE (c_custkey % 7) / 10e0 END) FROM customer, b WHERE c_custkey % 5 < 2
   UNION ALL SELECT c_custkey, no, band, 'd', 'multiband_limiter', CASE WHEN c_custkey % 4 > 0 AND -((c_custkey + no) % 4) > -2 THEN 0.9e0 ELSE 0.6e0 END FROM customer, b WHERE c_custkey % 3 > 0 AND (c_custkey % 4 = 0 OR no IN (0, 2, 5))
   UNION ALL SELECT c_custkey, no, band, 'e', 'saturation_band', c_custkey * (no + 3) % 80 / 100e0 * (1 + CASE WHEN no IN (1, 4) THEN c_custkey * (no + 5) % 9 ELSE 0 END / 6e0) FROM customer, b WHERE c_custkey % 4 > 0 AND c_custkey % 8 > 3 AND no IN (1, 3, 4) AND c_custkey * (no + 3) % 80 > 0
   UNION ALL SELECT c_custkey, no, band, 'f', 'saturation_global', c_custkey % 90 / 100e0 * (1 + abs(c_custkey % 12 - 3) / 6e0) FROM customer, b WHERE c_custkey % 4 > 0 AND c_custkey % 8 <= 3 AND c_custkey % 90 > 0),
@@ -233,8 +233,8 @@ ORACLES = {
  CASE WHEN width * 2 > 1 THEN CAST(printf('%.4f', 20 * log10(width * 2)) AS DOUBLE) ELSE 0e0 END AS width_db, CASE WHEN c_custkey % 16 + 1 <= 4 OR c_custkey % 9 = 0 OR c_custkey % 40 < 8 THEN 'Baja' WHEN c_custkey % 16 + 1 <= 8 OR c_custkey % 40 < 16 THEN 'Media' WHEN c_custkey % 16 + 1 <= 12 OR c_custkey % 40 < 32 THEN 'Alta' ELSE 'Muy alta' END AS resources,
  CAST(printf('%.2f', greatest(0.2e0, least(0.99e0, width * 1.3e0 - 0.1e0))) AS DOUBLE) AS confidence FROM fx""",
     "render_evaluation": f"""WITH {FX}, r AS (SELECT *, abs(lufs + mult + 14) AS apart, peak + mult + 1 AS above, lra - off - lra AS dl, crest - mix * 5 - crest AS dcr, bass * 5 + drive - 7 AS bass_z, air * 5 + drive - 7 AS air_z FROM fx)
- SELECT c_custkey, CASE WHEN mono OR lra = -70 OR crest = -70 THEN 'N/A' WHEN crest > lra THEN '+' || printf('%.2f', crest - lra) ELSE printf('%.2f', crest - lra) END AS delta, {_join(',', [_if('apart <= 0.5e0', "'lufs'"), _if('above <= 0', "'true_peak'"), _if('abs(dl) <= 2', "'lra'")])} AS successes,
- {_join(',', [_if('apart > 0.5e0 AND apart <= 1', "'lufs'"), _if('above > 0 AND above <= 0.3e0', "'true_peak'"), "CASE WHEN dl < -2 THEN 'lra_down' WHEN dl > 2 THEN 'lra_up' END", _if('bass * 5 >= -60 AND bass_z >= -60 AND bass_z - bass * 5 > 6', "'bass_up'"), _if('bass * 5 >= -60 AND bass_z >= -60 AND bass_z - bass * 5 < -6', "'bass_down'"),
+ SELECT c_custkey, CASE WHEN mono OR lra = -70 OR crest = -70 THEN 'N/A' WHEN crest > lra THEN '+' || printf('%.2f', crest - lra) ELSE printf('%.2f', crest - lra) END AS delta, {_join(',', [_if('apart <= 0.5e0', "'lufs'"), _if('above <= 0', "'true_peak'"), _if('NOT mono AND peak + mult - 0.25e0 + 1 <= 0', "'second_peak'"), _if('abs(dl) <= 2', "'lra'")])} AS successes,
+ {_join(',', [_if('apart > 0.5e0 AND apart <= 1', "'lufs'"), _if('above > 0 AND above <= 0.3e0', "'true_peak'"), _if('NOT mono AND peak + mult - 0.25e0 + 1 > 0', "'second_peak'"), "CASE WHEN dl < -2 THEN 'lra_down' WHEN dl > 2 THEN 'lra_up' END", _if('bass * 5 >= -60 AND bass_z >= -60 AND bass_z - bass * 5 > 6', "'bass_up'"), _if('bass * 5 >= -60 AND bass_z >= -60 AND bass_z - bass * 5 < -6', "'bass_down'"),
   _if('air * 5 >= -60 AND air_z >= -60 AND air_z - air * 5 > 6', "'air_up'"), _if('air * 5 >= -60 AND air_z >= -60 AND air_z - air * 5 < -6', "'air_down'"), _if('dcr < -3', "'crest'"), _if('abs(width / 50) > 0.01e0', "'dc'"), _if('NOT mono AND 1 - width < 0.3e0 AND width + 0.2e0 > 0.5e0', "'stereo'")])} AS warnings,
  {_join(',', [_if('apart > 1', "'lufs'"), _if('above > 0.3e0', "'true_peak'")])} AS errors FROM r""",
     "clip_counts": "SELECT l_orderkey, max(l_discount * 100 - 10) AS max_peak, count(*) FILTER (WHERE l_discount * 100 - 10 >= -0.1e0) AS clips, max(l_discount * 100 - 10) >= -0.1e0 AS clipped FROM lineitem GROUP BY l_orderkey",

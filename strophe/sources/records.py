@@ -68,6 +68,7 @@ LOUDNESS_LINES = {
     "input_thresh": r"Output Threshold:\s*(-?(?:\d+(?:\.\d+)?|inf|nan))\s*LUFS",
     "target_offset": r"Target Offset:\s*(-?(?:\d+(?:\.\d+)?|inf|nan))\s*LU",
 }
+#: Lines of levels and of volumes.
 RMS_LINE = r"RMS[_ ]level(?:\s*dB)?\s*[:=]\s*(-?(?:\d+(?:\.\d+)?|inf|nan))"
 VOLUME_LINE = r"{name}_volume:\s*(-?\d+\.?\d*)\s*dB"
 
