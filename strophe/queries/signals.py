@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even, total
-from ..operators import batch, diagnosis, signal
+from ..operators import batch, chunks, crossover, diagnosis, signal
 
 RATE = 20
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
@@ -87,6 +87,20 @@ def banded_gain(spark, sf_dir):
     return signal.banded_gain(li, "track", {"bass": -3.0, "air": 2.0}).select("track", half_even(F.col("x"), 4).alias("x"))
 
 
+SPLITS = [0.3, 1.0, 2.0, 4.0, 7.0]
+
+
+def band_splits(spark, sf_dir):
+    """Tracks of 20 samples a second split into six bands, the highest lowered by 6 dB: what each band and the sum amount to."""
+    out = crossover.equalised(mono(spark, sf_dir), "track", float(RATE), {"air": -6.0}, SPLITS, size=256)
+    return out.groupBy("track").agg(F.count("*").alias("n"), *(half_even(total(F.abs(c), 6), 3).alias(f"{c}_size") for c in ("x", *crossover.BANDS)))
+
+
+def cuts_in_chunks(spark, sf_dir):
+    """Where a track jumps, at least ten samples after the jump before: found in chunks of 64."""
+    return chunks.boundaries(mono(spark, sf_dir).select("track", "i", F.col("x").alias("rms_db"), F.lit(0.0).alias("bright")), "track", "i", 0.3, 1.0, 10, 64)
+
+
 def automation_plan(spark, sf_dir):
     o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
     bands = [*signal.AUTOMATED, "voice_db"]
@@ -127,7 +141,7 @@ _loud = lambda limit, least, name: f"{name} AS (SELECT track, min(i) AS a, max(i
 _point = lambda p, size, agg: f"{agg} FILTER (WHERE i >= {p} AND i < {p} + {size})"
 QUERIES = {
     "center_segments": center_segments, "overlapped_frames": overlapped_frames, "median_spectrum": median_spectrum, "stereo_evidence_rows": stereo_evidence_rows, "onset_envelope": onset_envelope, "tempo": tempo, "noise_floor": noise_floor, "edge_fades": edge_fades,
-    "trimmed_signals": trimmed_signals, "processed_signals": processed_signals, "banded_gain": banded_gain, "automation_plan": automation_plan, "track_analysis": track_analysis,
+    "trimmed_signals": trimmed_signals, "processed_signals": processed_signals, "banded_gain": banded_gain, "band_splits": band_splits, "cuts_in_chunks": cuts_in_chunks, "automation_plan": automation_plan, "track_analysis": track_analysis,
 }
 ORACLES = {
     "center_segments": f"WITH {S}, c AS (SELECT track, i - greatest(CAST(floor((n - 41) / 2) AS BIGINT), 0) AS j, x FROM sa JOIN ln USING (track)) SELECT track, count(*) AS n, max(j) AS last, arg_min(x, j) AS first, {_r(_exact('x', 9), 6)} AS total FROM c WHERE j BETWEEN 0 AND 40 GROUP BY track",
@@ -152,6 +166,12 @@ ORACLES = {
     "processed_signals": f"""WITH {S}, p AS (SELECT *, x * (8 - t) / 8 AS r FROM sa JOIN ln USING (track)) SELECT track, {_total('(x + r) / 2 + (x - r) / 2 * 1.5e0', 'wide')}, {_total('x * pow(10, -0.3e0)', 'gained')}, {_total('x * least(1, i / 10) * least(1, (n - i) / 20)', 'faded')}, {_total('greatest(-pow(10, -0.3e0), least(pow(10, -0.3e0), x))', 'hard')},
  {_total('x * 0.5e0 + tanh(x * pow(10, 0.3e0)) / tanh(pow(10, 0.3e0)) * 0.5e0', 'tape')}, {_total('x * 0.75e0 + atan(x * pow(10, 0.3e0)) / atan(pow(10, 0.3e0)) * 0.25e0', 'tube')} FROM p GROUP BY track""",
     "banded_gain": f"SELECT l_suppkey AS track, {_r('sum(CAST(l_quantity AS INTEGER) / 10 * CASE l_partkey % 7 WHEN 1 THEN pow(10, -0.15e0) WHEN 5 THEN pow(10, 0.1e0) ELSE 1 END)', 4)} AS x FROM lineitem GROUP BY l_suppkey",
+    "band_splits": f"""WITH RECURSIVE {S}, ar AS (SELECT track, list(x ORDER BY i) AS xs FROM sa GROUP BY track), w AS (SELECT track, 0::BIGINT AS k, xs, 0e0 AS x, {', '.join(f'0e0 AS p{j}, 0e0 AS q{j}' for j in range(5))} FROM ar
+  UNION ALL SELECT track, k + 1, xs, xs[k + 1], {', '.join(f'{a!r} * p{j} + {1 - a!r} * xs[k + 1], {a!r} * q{j} + {1 - a!r} * ({a!r} * p{j} + {1 - a!r} * xs[k + 1])' for j, a in enumerate(map(float, crossover.poles(RATE, SPLITS))))} FROM w WHERE k < len(xs)),
+ b AS (SELECT track, q0 AS sub_bass, q1 - q0 AS bass, q2 - q1 AS low_mid, q3 - q2 AS mid, q4 - q3 AS high_mid, x - q4 AS air FROM w WHERE k > 0), y AS (SELECT *, sub_bass + bass + low_mid + mid + high_mid + air * pow(10, -0.3e0) AS x FROM b)
+ SELECT track, count(*) AS n, {', '.join(f"{_r(_exact(f'abs({c})', 6), 3)} AS {c}_size" for c in ('x', *crossover.BANDS))} FROM y GROUP BY track""",
+    "cuts_in_chunks": f"""WITH RECURSIVE {S}, j AS (SELECT track, i FROM (SELECT track, i, abs(x - lag(x) OVER (PARTITION BY track ORDER BY i)) AS d FROM sa) WHERE d > 0.3e0), w AS (SELECT track, 0::BIGINT AS cut FROM ln UNION ALL SELECT w.track, min(j.i) FROM w JOIN j ON j.track = w.track AND j.i >= w.cut + 10 GROUP BY w.track, w.cut)
+ SELECT DISTINCT track, cut FROM (SELECT track, cut FROM w UNION ALL SELECT track, n - 1 FROM ln)""",
     "automation_plan": f"""WITH b(i, band, hz) AS (VALUES (0, 'subbass_db', 45e0), (1, 'bass_db', 120e0), (2, 'mid_db', 1000e0), (3, 'high_mid_db', 3800e0), (4, 'air_db', 9000e0)), s AS (SELECT o_orderkey AS section, o_orderkey % 50 AS a, o_orderkey % 50 + o_orderkey % 9 / 4 AS z, CASE WHEN o_orderkey % 4 > 0 THEN greatest(150, least(500, o_orderkey % 13 * 50)) ELSE 180 END AS ms, band, hz, greatest(-0.8e0, least(0.8e0, (o_orderkey * (3 + i) % 31 - 15) / 12)) AS g FROM orders, b),
  m AS (SELECT *, least(ms / 1000, greatest(0.01e0, (z - a) / 2)) AS ramp FROM s WHERE abs(g) >= 0.01e0 AND z > a) SELECT section, band, CASE WHEN g > 0 THEN 'boost' ELSE 'cut' END AS operation, hz AS frequency_hz, {_r('g', 4)} AS applied_db, ms::DOUBLE AS smoothing_ms, {_r('ramp', 4)} AS ramp_s, CASE WHEN a + 0.1e0 >= z THEN 0e0 ELSE {_r('least(1, (a + 0.1e0 - a) / ramp, (z - (a + 0.1e0)) / ramp)', 4)} END AS at FROM m""",
     "track_analysis": f"""WITH {S}, {EVIDENCE}, {_noise('x')}, lv AS (SELECT track, count(*) AS n, {_r('10 * log10(avg(x * x) + 1e-9)', 4)} AS rms_db, {_r('20 * log10(max(abs(x)) + 1e-9)', 4)} AS peak_db, count(*) FILTER (WHERE 20 * log10(abs(x) + 1e-3) >= -1) AS clips FROM sa GROUP BY track),
