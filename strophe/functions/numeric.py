@@ -111,11 +111,6 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
-def trapezoid(t: Column, start: float, end: float, ramp: float) -> Column:
-    """An envelope that rises and falls linearly over ``ramp`` at either end of an interval."""
-    return clamp(F.least((t - start) / ramp, (end - t) / ramp), 0.0, 1.0)
-
-
 def width_db(width: Column) -> Column:
     """What a stereo width above 1 may add to a peak, in decibels."""
     return F.when(width > 1, 20 * F.log10(width)).otherwise(0.0)

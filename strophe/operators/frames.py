@@ -53,6 +53,15 @@ def summary(frames: DataFrame, key: str) -> DataFrame:
     )
 
 
+def overview(frames: DataFrame, events: DataFrame, sections: DataFrame, key: str) -> DataFrame:
+    """The summary of each series with how many events (intervals, by type as well) and sections it has."""
+    found = events.groupBy(F.col(key).alias("_e"), "type").agg(F.count("*").alias("n")).groupBy("_e").agg(F.sum("n").alias("events"), F.sort_array(F.collect_list(F.struct("type", "n"))).alias("_by"))  # a few types
+    by = F.array_join(F.transform("_by", lambda x: F.concat(x["type"], F.lit("="), x["n"].cast("string"))), ",")
+    parts = sections.groupBy(F.col(key).alias("_s")).agg(F.count("*").alias("sections"))
+    joined = summary(frames, key).join(found.select("_e", "events", by.alias("event_types")), F.col(key) == F.col("_e"), "left").join(parts, F.col(key) == F.col("_s"), "left").drop("_e", "_s")
+    return joined.withColumns({"events": F.coalesce("events", F.lit(0).cast("long")), "event_types": F.coalesce("event_types", F.lit("")), "sections": F.coalesce("sections", F.lit(0).cast("long"))})
+
+
 def decimate(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     """Every step-th row of a series of more than ``most`` rows, for drawing it."""
     by = Window.partitionBy(key)

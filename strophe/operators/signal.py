@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, half_even
+from ..functions.numeric import clamp, from_db, half_even
 from .selection import median
 from .spectrum import autocorrelation
 
@@ -182,7 +182,7 @@ def widened(left: Column, right: Column, width: Column | float) -> tuple[Column,
 
 
 def gained(x: Column, db: Column | float) -> Column:
-    return x * F.pow(F.lit(10.0), (db if isinstance(db, Column) else F.lit(float(db))) / 20)
+    return x * from_db(db if isinstance(db, Column) else F.lit(float(db)))
 
 
 def hard_clip(x: Column, ceiling_db: float) -> Column:

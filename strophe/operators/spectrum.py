@@ -146,6 +146,11 @@ def best_lag(ac: DataFrame, key: str) -> DataFrame:
     return ac.groupBy(key).agg(F.max_by("lag", F.struct("ac", -F.col("lag"))).alias("lag"), F.round((F.max("ac") - F.avg("ac")) / (F.stddev_pop("ac") + 1e-9), 4).alias("z"))
 
 
+def within(points: DataFrame, hz: str, low: float = 20.0, high: float = 20000.0) -> DataFrame:
+    """The points of spectra that a plot shows: those whose frequency lies in a closed range."""
+    return points.where(F.col(hz).between(low, high))
+
+
 def band_counts(hz: Column, bands: dict[str, tuple[float, float]]) -> list[Column]:
     """Peaks in closed, overlapping bands; one on a shared edge counts in both."""
     return [F.count_if(hz.between(*b)).alias(n) for n, b in bands.items()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import batch, diagnosis
+from ..operators import batch, diagnosis, spectrum
 
 #: The figures of a track, in SQL that both engines read alike.
 FIGURES = {
@@ -80,6 +80,12 @@ def plot_points(spark, sf_dir):
     return li.groupBy("l_returnflag").agg(F.count_if(hz.between(20, 20000)).alias("shown"), F.count_if(~hz.between(20, 20000)).alias("hidden"), F.max(F.when(hz.between(20, 20000), F.col("l_extendedprice"))).alias("last"))
 
 
+def plotted_points(spark, sf_dir):
+    """These points themselves, with their lines."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.pow(F.col("l_extendedprice") / 10000, 3.0) * 30).alias("_hz"))
+    return spectrum.within(li, "_hz").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", numeric.half_even(F.col("_hz"), 3).alias("hz"))
+
+
 def saturation_warnings(spark, sf_dir):
     drive = {"high_mid": F.col("drive"), "air": F.col("drive") / 2}
     mix = {"high_mid": F.col("mix"), "air": F.when(F.col("c_custkey") % 2 == 0, F.col("mix"))}
@@ -193,7 +199,7 @@ _warns = [
 _thd = [("'Saturación global'", "(mult - 1) * 0.5e0 * mix"), (_names["bass"], "(mult - 0.5e0 - 1) * 0.3e0 * mix"), (_names["air"], "0.3e0"), ("'Glue compression'", "(mult - 3) * 0.2e0"), ("'Desbalance espectral'", "(50 - balance) * 0.02e0"), ("'Agudos fuertes'", f"CASE WHEN {_highs} THEN 0.5e0 ELSE 0e0 END")]
 _total = " + ".join(f"greatest(0e0, {x})" for _, x in _thd)
 QUERIES = {
-    "track_traits": track_traits, "issue_flags": issue_flags, "processing_profile": processing_profile, "mix_rating": mix_rating, "band_suggestions": band_suggestions, "stereo_category": stereo_category, "spectrum_presets": spectrum_presets, "plot_points": plot_points,
+    "track_traits": track_traits, "issue_flags": issue_flags, "processing_profile": processing_profile, "mix_rating": mix_rating, "band_suggestions": band_suggestions, "stereo_category": stereo_category, "spectrum_presets": spectrum_presets, "plot_points": plot_points, "plotted_points": plotted_points,
     "saturation_warnings": saturation_warnings, "saturation_budget": saturation_budget, "band_overlap": band_overlap, "track_settings": track_settings, "render_evaluation": render_evaluation, "clip_counts": clip_counts, "rounding": rounding, "calibration": calibration,
 }
 ORACLES = {
@@ -214,6 +220,7 @@ ORACLES = {
  t AS (SELECT *, n_20_60 > 0 AS has_sub_bass, n_250_500 > 1 AS has_muddy_mids, n_500_2000 > 0 AND n_2000_6000 > 0 AS has_vocal_clarity, l_orderkey % 30 * 100 > 2000 AS is_bright, l_orderkey % 30 * 100 < 1000 AS is_warm FROM c)
  SELECT *, CASE WHEN has_bass_punch AND has_air AND needs_deess THEN 'Fuego (Trap, Reguetón, Hip-Hop)' WHEN has_bass_punch AND has_air THEN 'Empuje (EDM, Dubstep, Bass Music)' WHEN has_vocal_clarity AND is_bright THEN 'Claridad (Clásica, R&B, Cantautor)' WHEN has_vocal_clarity AND is_warm THEN 'Cinta (Jazz, Alternativa, Indie)' WHEN has_vocal_clarity THEN 'Universal (Rock, Pop, Electrónica)'
   WHEN has_air AND l_orderkey % 10 > 3 THEN 'Espacial (Ambient, Experimental)' WHEN is_warm AND NOT has_bass_punch THEN 'Natural (Acústico, Jazz, Folk)' WHEN has_muddy_mids THEN 'Cinemático (Orquestal, Soundtrack)' ELSE 'Universal (Rock, Pop, Electrónica)' END AS preset FROM t""",
+    "plotted_points": "WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, pow(l_extendedprice / 10000, 3) * 30 AS f FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(printf('%.3f', f) AS DOUBLE) AS hz FROM p WHERE f >= 20 AND f <= 20000",
     "plot_points": "WITH p AS (SELECT l_returnflag, l_extendedprice AS x, pow(l_extendedprice / 10000, 3) * 30 AS hz FROM lineitem) SELECT l_returnflag, count(*) FILTER (WHERE hz >= 20 AND hz <= 20000) AS shown, count(*) FILTER (WHERE hz < 20 OR hz > 20000) AS hidden, max(x) FILTER (WHERE hz >= 20 AND hz <= 20000) AS last FROM p GROUP BY l_returnflag",
     "saturation_warnings": f"WITH {FX} SELECT c_custkey, {_join(',', _warns)} AS warnings FROM fx",
     "saturation_budget": f"""WITH {FX}, t AS (SELECT *, {_total} AS total FROM fx) SELECT c_custkey, CAST(printf('%.6f', total) AS DOUBLE) AS thd, {_join('; ', [_if(f'{x} > 0', f"{n} || ': +' || {_p(x, 1)} || '%'") for n, x in _thd])} AS sources, CASE WHEN total < 2 THEN 'low' WHEN total < 4 THEN 'medium' ELSE 'high' END AS risk FROM t""",

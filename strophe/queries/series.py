@@ -79,6 +79,10 @@ def timeline_summary(spark, sf_dir):
     return frames.summary(frame_features(spark, sf_dir), "user_id")
 
 
+def timeline_overview(spark, sf_dir):
+    return frames.overview(frame_features(spark, sf_dir), merged_rules(spark, sf_dir), compacted(spark, sf_dir), "user_id")
+
+
 def timeline_with_events(spark, sf_dir):
     return events.with_events(frame_features(spark, sf_dir), flagged(spark, sf_dir), "user_id")
 
@@ -172,7 +176,7 @@ ALL = f"{EV}, {BD}, {FL}, {MR}, {SER}, {SEC}, {CMP}, {CNT}"
 _eq = "greatest(" + ", ".join(f"abs({f})" for f in decisions.FIELDS[:5]) + ")"
 QUERIES = {
     "frame_features": frame_features, "frame_features_hopping": frame_features_hopping, "frame_event_flags": flagged, "merged_events": merged_events, "merged_rule_events": merged_rules, "event_type_counts": event_type_counts, "timeline_summary": timeline_summary,
-    "timeline_with_events": timeline_with_events, "section_boundaries": section_boundaries, "section_labels": cut_sections, "sections_compact": compacted, "section_event_overlap": section_counts, "section_decisions": decided, "shadow_risk": shadow_risk, "risk_units": risk_units,
+    "timeline_overview": timeline_overview, "timeline_with_events": timeline_with_events, "section_boundaries": section_boundaries, "section_labels": cut_sections, "sections_compact": compacted, "section_event_overlap": section_counts, "section_decisions": decided, "shadow_risk": shadow_risk, "risk_units": risk_units,
     "waveform_decimate": waveform_decimate, "silence_runs": silence_runs,
 }
 ORACLES = {
@@ -183,6 +187,8 @@ ORACLES = {
     "merged_rule_events": f"WITH RECURSIVE {EV}, {BD}, {FL}, {MR} SELECT * FROM mr",
     "event_type_counts": f"WITH RECURSIVE {EV}, {BD}, {FL}, {MR} SELECT type, severity, count(*) AS intervals, CAST(sum(samples) AS BIGINT) AS samples FROM mr GROUP BY type, severity",
     "timeline_summary": f"WITH {EV}, {FR} SELECT user_id, count(*) AS frames, {_mean('rms_db')} AS rms_avg, min(rms_db) AS rms_min, max(rms_db) AS rms_max, max(peak_db) AS peak_max, {_mean('crest_db')} AS crest_avg, arg_max(t, frame) AS last_t FROM fr GROUP BY user_id",
+    "timeline_overview": f"""WITH RECURSIVE {ALL}, {FR}, su AS (SELECT user_id, count(*) AS frames, {_mean('rms_db')} AS rms_avg, min(rms_db) AS rms_min, max(rms_db) AS rms_max, max(peak_db) AS peak_max, {_mean('crest_db')} AS crest_avg, arg_max(t, frame) AS last_t FROM fr GROUP BY user_id), te AS (SELECT user_id, type, count(*) AS n FROM mr GROUP BY user_id, type), ne AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS events, string_agg(type || '=' || n, ',' ORDER BY type) AS event_types FROM te GROUP BY user_id), ns AS (SELECT user_id, count(*) AS sections FROM cmp GROUP BY user_id)
+ SELECT su.*, coalesce(events, 0) AS events, coalesce(event_types, '') AS event_types, coalesce(sections, 0) AS sections FROM su LEFT JOIN ne USING (user_id) LEFT JOIN ns USING (user_id)""",
     "timeline_with_events": f"WITH {EV}, {FR}, {BD}, {FL}, p AS (SELECT user_id, frame, count(*) AS events, array_to_string(list_sort(list(DISTINCT type)), ',') AS kinds FROM fl GROUP BY user_id, frame) SELECT fr.*, coalesce(events, 0) AS events, coalesce(kinds, '') AS kinds FROM fr LEFT JOIN p USING (user_id, frame)",
     "section_boundaries": f"WITH RECURSIVE {EV}, {BD}, {SER} SELECT user_id, (SELECT count(*) FROM ser WHERE ser.user_id = num.user_id) AS frames, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS cuts FROM num GROUP BY user_id",
     "section_labels": f"WITH RECURSIVE {EV}, {BD}, {SER}, {SEC} SELECT * FROM sec",

@@ -153,11 +153,11 @@ def log_scrape(spark, sf_dir):
     price = F.floor(F.col("o_totalprice")).cast("long").cast("string")
     parts = [
         F.when(k % 3 > 0, F.concat(F.lit("Overall.RMS level dB: -"), price)), F.when(k % 5 > 0, F.concat(F.lit("RMS_level = -"), k.cast("string"), F.lit(".5"))), F.when(k % 7 > 0, F.lit("Overall.RMS level dB: -inf")), F.when(k % 2 == 0, F.concat(F.lit("mean_volume: -"), k.cast("string"), F.lit(" dB"))),
-        F.concat(F.lit("Output integrated:  -"), price, F.lit(".25 LUFS")), F.when(k % 11 == 0, F.lit("Output LRA: nan LU")), F.lit('{ "input_i": "x" }'), F.when(k % 4 == 0, F.concat(F.lit('{\n"input_i" : "-'), price, F.lit('", "input_tp": "1"}'))),
+        F.concat(F.lit("Output integrated:  -"), price, F.lit(".25 LUFS")), F.when(k % 11 == 0, F.lit("Output LRA: nan LU")), F.when(k % 6 > 0, F.concat(F.lit("out_time_us=7\nout_time_us="), (k * 1500).cast("string"))), F.lit('{ "input_i": "x" }'), F.when(k % 4 == 0, F.concat(F.lit('{\n"input_i" : "-'), price, F.lit('", "input_tp": "1"}'))),
     ]
     log = F.concat_ws("\n", *parts)
     lines = records.loudness_lines(F.col("log"))
-    return o.select("o_orderkey", log.alias("log")).select("o_orderkey", records.rms_level(F.col("log")).alias("rms"), records.volume(F.col("log"), "mean").alias("mean_volume"), lines["input_i"].alias("input_i"), F.isnan(lines["input_lra"]).alias("lra_nan"), records.loudness_block(F.col("log"))["input_i"].alias("block"))
+    return o.select("o_orderkey", log.alias("log")).select("o_orderkey", records.rms_level(F.col("log")).alias("rms"), records.volume(F.col("log"), "mean").alias("mean_volume"), lines["input_i"].alias("input_i"), F.isnan(lines["input_lra"]).alias("lra_nan"), records.loudness_block(F.col("log"))["input_i"].alias("block"), records.out_time(F.col("log")).alias("out_time"))
 
 
 def audited_logs(spark, sf_dir):
@@ -250,7 +250,7 @@ ORACLES = {
     "artifact_join": "SELECT o_orderkey, coalesce(lines, 0) AS lines, coalesce(worst, -1.0::DOUBLE) AS worst FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS lines FROM lineitem WHERE l_quantity > 48 GROUP BY 1) a ON a.k = o_orderkey LEFT JOIN (SELECT l_orderkey AS k, max(l_tax) AS worst FROM lineitem WHERE l_discount > 0.09 GROUP BY 1) b ON b.k = o_orderkey",
     "stage_timings": "SELECT role, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum(length(text)) / count(*), 4) AS avg_chars FROM conversations GROUP BY role",
     "log_scrape": """WITH l AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders)
- SELECT k AS o_orderkey, CASE WHEN k % 3 > 0 THEN -p::DOUBLE WHEN k % 5 > 0 THEN -(k + 0.5e0) END AS rms, CASE WHEN k % 2 = 0 THEN -k::DOUBLE END AS mean_volume, -(p + 0.25e0) AS input_i, k % 11 = 0 AS lra_nan, CASE WHEN k % 4 = 0 THEN '-' || p ELSE 'x' END AS block FROM l""",
+ SELECT k AS o_orderkey, CASE WHEN k % 3 > 0 THEN -p::DOUBLE WHEN k % 5 > 0 THEN -(k + 0.5e0) END AS rms, CASE WHEN k % 2 = 0 THEN -k::DOUBLE END AS mean_volume, -(p + 0.25e0) AS input_i, k % 11 = 0 AS lra_nan, CASE WHEN k % 4 = 0 THEN '-' || p ELSE 'x' END AS block, CASE WHEN k % 6 > 0 THEN k * 1500 / 1e6 END AS out_time FROM l""",
     "audited_logs": "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 AND (o_orderkey % 5 = 0 OR o_totalprice > 100000)",
     "fade_overrides": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 10 / 4 ELSE 0e0 END AS fade_in, CASE WHEN c_custkey % 8 = 0 THEN c_custkey % 7 / 2 ELSE 1.5e0 END AS fade_out FROM customer",
     "united_keys": "WITH b(i, band) AS (VALUES (0, 'sub_bass'), (1, 'bass'), (2, 'low_mid'), (3, 'mid'), (4, 'high_mid'), (5, 'air')) SELECT p_partkey, coalesce(string_agg(band, ',' ORDER BY band) FILTER (WHERE (p_partkey + i) % 3 = 0 OR (p_partkey % 5 > 0 AND (p_partkey + i) % 4 = 0)), '') AS keys FROM part, b GROUP BY p_partkey",

@@ -70,6 +70,7 @@ LOUDNESS_LINES = {
 }
 #: Lines of levels and of volumes.
 RMS_LINE = r"RMS[_ ]level(?:\s*dB)?\s*[:=]\s*(-?(?:\d+(?:\.\d+)?|inf|nan))"
+OUT_TIME = r"out_time_us=(\d+)"
 VOLUME_LINE = r"{name}_volume:\s*(-?\d+\.?\d*)\s*dB"
 
 
@@ -103,3 +104,9 @@ def loudness_block(log: Column) -> Column:
     """The last block of measured figures in a log, as a map of texts; null without one."""
     blocks = F.regexp_extract_all(log, F.lit(r'(?s)(\{\s*"input_i".*?\})'), F.lit(1))
     return F.from_json(F.try_element_at(blocks, F.lit(-1)), "map<string,string>")
+
+
+def out_time(text: Column) -> Column:
+    """How far a running job has come, in seconds: the last figure that its log has; null without one."""
+    found = F.regexp_extract_all(text, F.lit(OUT_TIME), 1)
+    return F.try_element_at(found, F.lit(-1)).cast("double") / 1e6
