@@ -10,7 +10,7 @@ are, however many sources there are. Weights by count and power are floats. The
 source; it schedules with two heaps up to the first slot that finds its source without a full block. From there on the
 other blocks follow in the order of their deadlines. The schedule is written in pieces of ``PIECE`` slots: the driver
 holds one piece and the next block of each source, however many rows there are, and blocks have the same number of
-rows in every table. Rows join the places of their blocks. (The driver takes some 2 seconds for a million blocks, so a
+rows in every table. Rows join the places of their blocks. (The driver takes some 4 seconds for a million blocks, so a
 table of many billions of rows asks for larger ``block_rows``, and gets the deviation that goes with it.)
 
 Defined cases: a null source is a source of its own; an empty table gives an empty result; once a source has run out
