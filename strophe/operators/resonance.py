@@ -18,7 +18,7 @@ RATE, FRAME, HOP = 44100, 8192, 4096
 #: Where resonances are looked for (Hz), what they must exceed their surroundings by (dB), how far apart they are (Hz), how many.
 LOW, HIGH, LEAST, APART, MOST = 200.0, 16000.0, 3.0, 120.0, 8
 #: Edges in Hz of the levels that are compared, and of the bands that a resonance may lie in.
-LEVELS = {"low": (45.0, 220.0), "reference": (250.0, 2000.0), "harsh": (2500.0, 6000.0), "air": (7000.0, 14000.0)}
+LEVELS = {"low": (45.0, 220.0), "mids": (250.0, 2000.0), "harsh": (2500.0, 6000.0), "air": (7000.0, 14000.0)}
 TARGETS = [(250.0, "bass"), (500.0, "low_mid"), (2000.0, "mid"), (6000.0, "high_mid")]
 
 
@@ -60,7 +60,7 @@ def levels(spectra: DataFrame, key: str, rate: float = RATE, size: int = FRAME)
     """key, low_end_level_db, harshness_excess_db and dullness_deficit_db, from medians of a spectrum's bands."""
     hz = F.col("bin") * (rate / size)
     per = spectra.groupBy(key).agg(*(F.coalesce(F.median(F.when((hz >= lo) & (hz < hi), F.col("db"))), F.lit(-120.0)).alias(f"_{n}") for n, (lo, hi) in LEVELS.items()))  # one spectrum's bins
-    ref = F.col("_reference")
+    ref = F.col("_mids")
     return per.select(
         key, half_even(F.col("_low") - ref, 2).alias("low_end_level_db"), half_even(F.greatest(F.lit(0.0), F.col("_harsh") - ref - 2), 2).alias("harshness_excess_db"), half_even(F.greatest(F.lit(0.0), ref - F.col("_air") - 10), 2).alias("dullness_deficit_db")
     )
