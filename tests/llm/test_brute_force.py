@@ -131,7 +131,7 @@ def test_pages_have_priors_of_suffix_domain_and_host(spark, small):
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_sql_gives_the_same_rows(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     columns = [c[0] for c in cur.description]
