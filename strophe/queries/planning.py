@@ -49,11 +49,14 @@ def catalog_lookup(spark, sf_dir):
 
 
 def catalog_certification(spark, sf_dir):
+    """Each plugin's functions and parameters, whether all their defaults are sound, and how many of the actions are its own."""
     p = catalog.parameters(spark)
+    used = act.resolve(actions(spark, sf_dir)).groupBy(F.col("plugin").alias("_p")).agg(F.count("*").alias("used"))
     number = F.col("standard").try_cast("double")
     sound = F.when(F.col("type").isin("int", "float"), (number >= F.coalesce("least", number)) & (number <= F.coalesce("most", number))).otherwise(True) & ((F.size("choices") == 0) | F.array_contains("choices", F.col("standard")))
     per = p.groupBy("function_id").agg(F.count("*").alias("params"), F.count_if(F.col("type") == "float").alias("floats"), F.bool_and(sound).alias("sound"))
-    return catalog.functions(spark).join(per, "function_id").groupBy("plugin").agg(F.count("*").alias("functions"), F.sum("params").alias("params"), F.sum("floats").alias("floats"), F.bool_and("sound").alias("sound"))
+    told = catalog.functions(spark).join(per, "function_id").groupBy("plugin").agg(F.count("*").alias("functions"), F.sum("params").alias("params"), F.sum("floats").alias("floats"), F.bool_and("sound").alias("sound"))
+    return told.join(used, F.col("plugin") == F.col("_p"), "left").drop("_p").withColumn("used", F.coalesce("used", F.lit(0)))
 
 
 def parameter_validation(spark, sf_dir):
@@ -268,7 +271,7 @@ QUERIES = {
 _words = _list(["off", "apagado", "leve", "medio", "alto", "?"])
 ORACLES = {
     "catalog_lookup": f"WITH {BASE} SELECT function_id, plugin, count(*) AS n FROM re GROUP BY function_id, plugin",
-    "catalog_certification": f"WITH {FN}, {PA}, p AS (SELECT id, count(*) AS params, count(*) FILTER (WHERE kind = 'float') AS floats, bool_and((kind IN ('str', 'bool') OR (try_cast(standard AS DOUBLE) >= coalesce(least, -1e300) AND try_cast(standard AS DOUBLE) <= coalesce(most, 1e300))) AND (len(choices) = 0 OR list_contains(choices, standard))) AS sound FROM pa GROUP BY id) SELECT plugin, count(*) AS functions, CAST(sum(params) AS BIGINT) AS params, CAST(sum(floats) AS BIGINT) AS floats, bool_and(sound) AS sound FROM fn JOIN p USING (id) GROUP BY plugin",
+    "catalog_certification": f"WITH {BASE}, {PA}, p AS (SELECT id, count(*) AS params, count(*) FILTER (WHERE kind = 'float') AS floats, bool_and((kind IN ('str', 'bool') OR (try_cast(standard AS DOUBLE) >= coalesce(least, -1e300) AND try_cast(standard AS DOUBLE) <= coalesce(most, 1e300))) AND (len(choices) = 0 OR list_contains(choices, standard))) AS sound FROM pa GROUP BY id), u AS (SELECT plugin, count(*) AS used FROM re GROUP BY plugin), c AS (SELECT plugin, count(*) AS functions, CAST(sum(params) AS BIGINT) AS params, CAST(sum(floats) AS BIGINT) AS floats, bool_and(sound) AS sound FROM fn JOIN p USING (id) GROUP BY plugin) SELECT c.*, coalesce(used, 0) AS used FROM c LEFT JOIN u USING (plugin)",
     "parameter_validation": f"""WITH {PA}, g AS (SELECT c_custkey, c_custkey % 129 AS spot, CASE c_custkey % 7 WHEN 0 THEN 'Leve' WHEN 1 THEN '2' WHEN 2 THEN 'true' WHEN 3 THEN '0.25' WHEN 4 THEN (c_custkey % 400) || '.5' WHEN 5 THEN '-' || (c_custkey % 90) END AS raw FROM customer)
  SELECT c_custkey, coalesce(id, 'audio.repair.denoise') AS function_id, coalesce(parameter, 'speed') AS parameter, CASE WHEN raw IS NULL THEN 'missing' WHEN id IS NULL THEN 'unknown parameter' WHEN kind = 'bool' AND raw NOT IN ('true', 'false') THEN 'not bool' WHEN kind = 'int' AND NOT regexp_full_match(raw, '[+-]?[0-9]+') THEN 'not int' WHEN kind = 'float' AND try_cast(raw AS DOUBLE) IS NULL THEN 'not float'
   WHEN len(choices) > 0 AND NOT list_contains(choices, raw) THEN 'no choice' WHEN try_cast(raw AS DOUBLE) < least THEN 'too low' WHEN try_cast(raw AS DOUBLE) > most THEN 'too high' ELSE '' END AS problem FROM g LEFT JOIN pa ON no = spot""",
