@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import overlap
+
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, width: float) -> DataFrame:
     """Pairs of intervals (a0, a1) and (b0, b1) of one key that overlap by more than nothing.
@@ -17,7 +19,7 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, width: float) -> DataF
     b = right.withColumnRenamed(key, "_key").select("*", cells("b0", "b1").alias("_b_cell"))
     same = (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_b_cell"))
     first = F.floor(F.greatest("a0", "b0") / width).cast("long") == F.col("_cell")
-    return a.join(b, same & first & (F.least("a1", "b1") > F.greatest("a0", "b0"))).drop("_key", "_cell", "_b_cell")
+    return a.join(b, same & first & (overlap(*(F.col(c) for c in ("a0", "a1", "b0", "b1"))) > 0)).drop("_key", "_cell", "_b_cell")
 
 
 def overlap_counts(left: DataFrame, right: DataFrame, key: str, kinds: list[str]) -> DataFrame:
@@ -26,7 +28,7 @@ def overlap_counts(left: DataFrame, right: DataFrame, key: str, kinds: list[str]
     For series whose intervals fit in a row: each key's are gathered once and looked through for each left row.
     """
     held = right.groupBy(key).agg(F.collect_list(F.struct("type", "b0", "b1")).alias("_e"))  # one series' intervals
-    meets = lambda e: F.least("a1", e["b1"]) > F.greatest("a0", e["b0"])
+    meets = lambda e: overlap(F.col("a0"), F.col("a1"), e["b0"], e["b1"]) > 0
     count = lambda k: F.coalesce(F.size(F.filter("_e", lambda e: (e["type"] == k) & meets(e))), F.lit(0)).cast("long")
     joined = left.join(held, key, "left").withColumn("_e", F.coalesce("_e", F.array().cast(held.schema["_e"].dataType)))
     return joined.withColumns({k: count(k) for k in kinds}).drop("_e")
