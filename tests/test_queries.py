@@ -56,5 +56,12 @@ def test_silent_frames_as_in_sql(spark, tmp_path, name):
     assert_same(spark, c, tmp_path, name)
 
 
+def test_balances_that_round_to_nothing_as_in_sql(spark, tmp_path):
+    c = duckdb.connect()
+    c.sql("CREATE TABLE customer AS SELECT 2 * i AS c_custkey, 'c' AS c_name, 1 AS c_nationkey, x AS c_acctbal, 'BUILDING' AS c_mktsegment FROM (VALUES (1::BIGINT, -0.04::DOUBLE), (2, 0.04), (3, -0.05), (4, -0.06), (5, '-0.0'::DOUBLE), (6, 0.0), (7, -12.25)) t(i, x)")
+    c.sql(f"COPY customer TO '{tmp_path}/customer.parquet'")
+    assert_same(spark, c, tmp_path, "prompt_briefs")
+
+
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES) | WITHOUT_SQL
