@@ -75,8 +75,12 @@ def rises(samples: DataFrame, key: str) -> DataFrame:
 
 
 def onsets(samples: DataFrame, key: str, smooth: int, block: int) -> DataFrame:
-    """Onsets of a signal: its magnitude around the mean, smoothed, thinned out and differenced."""
-    means = samples.groupBy(F.col(key).alias("_k")).agg(F.avg("x").alias("_mean"))
+    """Onsets of a signal: its magnitude around the mean, smoothed, thinned out and differenced.
+
+    The mean adds samples in their order: where blocks are equal but for the last bit, any other order has other onsets.
+    """
+    summed = samples.withColumn("_to", F.sum("x").over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    means = summed.groupBy(F.col(key).alias("_k")).agg((F.max_by("_to", "i") / F.count("x")).alias("_mean"))
     around = samples.join(means, F.col(key) == F.col("_k")).select(key, "i", F.abs(F.col("x") - F.col("_mean")).alias("x"))
     return rises(block_means(moving_average(around, key, smooth), key, block), key)
 
