@@ -39,18 +39,20 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], x: str, y
 
     reach: the width of the cells that both sides are joined on; a left row is sent to all cells that its tolerance
     touches, three or so where that is about the reach. agrees: what must hold of the first match; it is no reason to
-    look for another one.
+    look for another one. Of right rows that agree in keys and ``y`` only the first can be anyone's match, so the others are
+    left out before the join; nor is a left row repeated for more than its cells before it is down to one match in each.
     """
     cell = lambda c: F.floor(c / reach).cast("long")
     a = left.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cell", F.explode(F.sequence(cell(F.col(x) - tolerance), cell(F.col(x) + tolerance))))
-    b = right.withColumn("_at", cell(F.col(y)))
-    for k in keys:
-        b = b.withColumnRenamed(k, f"_{k}")
-    on = (F.col("_cell") == F.col("_at")) & (F.abs(F.col(x) - F.col(y)) <= tolerance)
+    held, own = [c for c in right.columns if c not in keys], left.columns
+    order = lambda r: F.struct(r.isNotNull(), r)  # noqa: E731  nulls first, as rows are numbered
+    first = lambda row, r: F.min_by(row, order(r))
+    b = right.groupBy(*(F.col(k).alias(f"_{k}") for k in keys), F.col(y).alias("_y")).agg(first(F.struct(*held), F.col(rank)).alias("_m")).withColumn("_at", cell(F.col("_y")))
+    on = (F.col("_cell") == F.col("_at")) & (F.abs(F.col(x) - F.col("_y")) <= tolerance)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    first = Window.partitionBy("_id").orderBy(rank)
-    found = a.join(b, on).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_id", "_cell", "_at", "_rn", *(f"_{k}" for k in keys))
+    pairs = a.join(b, on).groupBy("_id").agg(F.first(F.struct(*own)).alias("_l"), first(F.col("_m"), F.col(f"_m.{rank}")).alias("_m"))
+    found = pairs.select(*(F.col(f"_l.{c}").alias(c) for c in own), *(F.col(f"_m.{c}").alias(c) for c in held))
     return found if agrees is None else found.where(agrees)
 
 

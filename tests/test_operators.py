@@ -185,3 +185,13 @@ def test_tolerance_join_takes_the_first_match(spark):
     a = spark.createDataFrame([("mid", 3000.0), ("mid", 100.0)], "target string, f double")
     b = spark.createDataFrame([("mid", 3250.0, 2), ("mid", 2800.0, 1), ("air", 3000.0, 0)], "target string, g double, r int")
     assert rows(joins.nearest_within(a, b, ["target"], "f", "g", "r", F.greatest(F.lit(100.0), F.col("f") * 0.1), 2000.0), "f", "g") == [(3000.0, 2800.0)]
+
+
+def test_tolerance_join_meets_one_of_equal_rows(spark):
+    """Right rows that agree in key and value are one before the join: pairs do not grow with their product."""
+    a = spark.createDataFrame([(i, "mid", 100.0 + i % 3) for i in range(300)], "o long, target string, f double")
+    b = spark.createDataFrame([("mid", 100.0 + r % 4, r) for r in range(400, 0, -1)], "target string, g double, r int")
+    got = joins.nearest_within(a, b, ["target"], "f", "g", "r", F.lit(0.5), 1.0)
+    assert sorted((r.o, r.f, r.g, r.r) for r in got.collect()) == [(i, 100.0 + i % 3, 100.0 + i % 3, i % 3 or 4) for i in range(300)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [target" in plan[plan.index("Join") :]
