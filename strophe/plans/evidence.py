@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import apart
+
 #: Bands in Hz, and where voices have resonances.
 RANGES = {"sub_bass": (20.0, 60.0), "bass": (60.0, 250.0), "low_mid": (250.0, 500.0), "mid": (500.0, 2000.0), "high_mid": (2000.0, 6000.0), "air": (6000.0, 20000.0)}
 VOICE = (1800.0, 8000.0)
@@ -38,7 +40,7 @@ def proven(actions: DataFrame) -> DataFrame:
     param = lambda n, default=0.0: F.coalesce(F.col("params")[n], F.lit(default))
     voiced = F.startswith(f, F.lit("audio.vocal."))
     told = actions.withColumns({
-        "_hz": param("frequency_hz"), "_range": ranges[c("target")], "_metric": metrics[f], "_claimed_hz": claim("resonance_frequency_hz"), "_excess": claim("measured_excess_db", 0.0),
+        "_hz": apart(param("frequency_hz")), "_range": ranges[c("target")], "_metric": metrics[f], "_claimed_hz": claim("resonance_frequency_hz"), "_excess": claim("measured_excess_db", 0.0),
         "_ratio": own("mid_side_ratio"), "_claimed_ratio": claim("mid_side_ratio"), "_sure": own("vocal_center_confidence", 0.0), "_claimed_sure": claim("vocal_center_confidence", -1.0),
     })
     told = told.withColumn("_off", F.greatest(F.lit(HZ_OFF), c("_hz") * HZ_SHARE))
@@ -78,4 +80,4 @@ def proven(actions: DataFrame) -> DataFrame:
         .when(metric.isin("harshness_excess_db", "dullness_deficit_db") & (c("_own") <= 0), "nothing to mend")
     )
     found = F.when(F.startswith(f, F.lit("audio.dynamic_eq.")), dynamic).when(voiced, voice).when(metric.isNotNull(), measured)
-    return told.withColumn("unproven", found).drop("_hz", "_range", "_metric", "_claimed_hz", "_excess", "_ratio", "_claimed_ratio", "_sure", "_claimed_sure", "_off", "_match", "_own", "_told")
+    return told.withColumn("unproven", found).withColumn("side", apart(F.col("side"))).drop("_hz", "_range", "_metric", "_claimed_hz", "_excess", "_ratio", "_claimed_ratio", "_sure", "_claimed_sure", "_off", "_match", "_own", "_told")

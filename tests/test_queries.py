@@ -72,5 +72,18 @@ def test_onsets_of_equal_blocks_as_in_sql(spark, tmp_path):
     assert_same(spark, c, tmp_path, "onset_envelope")
 
 
+@pytest.mark.parametrize("name", ["admission_by_evidence", "compiled_graphs", "admission_fold", "budget_totals", "graph_compile", "plan_fingerprint"])
+def test_tasks_of_plans_hold_so_many_lines(spark, small, monkeypatch, name):
+    """Tasks grow in number with the lines, and what is shuffled are columns of the table, no made-up maps."""
+    from strophe.operators import chunks
+
+    monkeypatch.setattr(chunks, "SPREAD", 500)
+    df = registry.QUERIES[name](spark, small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    below = [plan[at:].splitlines()[1] for at in range(len(plan)) if plan.startswith("Exchange hashpartitioning", at)]
+    assert below and all("FileScan" in x or "Filter" in x or ("Project" in x and "map" not in x) for x in below)
+    assert df.rdd.getNumPartitions() == 12
+
+
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES) | WITHOUT_SQL
