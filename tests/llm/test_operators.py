@@ -692,3 +692,17 @@ def test_short_recordings_match_their_copies(spark):
     assert got == {(0, 0, 2), (10, 10, 2)}
     told = {(r.query_id, r.match_id, r.query_copies) for r in media.search(df, "k", F.col("k") % 10 == 0, report=True).collect()}
     assert told - got == {(0, None, 2), (10, None, 2), (20, None, 1), (30, None, 1), (40, None, 1)}
+
+
+def test_a_match_at_another_offset_than_the_most_voted():
+    """A recording with the clip twice: once more of its integers and the rest far off, once fewer and the rest almost right."""
+    rng = np.random.default_rng(7)
+    clip, noise = rng.integers(0, 2**32, 100, np.uint32), rng.integers(0, 2**32, 50, np.uint32)
+    one, two = clip.copy(), clip.copy()
+    one[60:] ^= np.uint32(0xFFFFFFFF)
+    two[55:] ^= np.uint32(1)
+    whole = np.concatenate((noise, one, noise, two, noise))
+    off, votes, n, errors = media.align(whole, clip)
+    assert (off, votes, n) == (200, 55, 100) and errors <= media.ERRORS
+    assert media.align(clip, whole)[:3] == (-200, 55, 100)
+    assert media.align(np.concatenate((noise, one)), clip)[:2] == (50, 60)
