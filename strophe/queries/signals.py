@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_even, total
+from ..functions.numeric import half_even, total, totals
 from ..operators import batch, chunks, crossover, diagnosis, signal
 
 RATE = 20
@@ -13,7 +13,9 @@ ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount",
 
 
 def samples(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """A supplier's lines are together from here on, in tasks of a bounded number of lines; steps by track shuffle them no more."""
+    columns = [*ORDER, "l_suppkey"]
+    li = chunks.spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns), "l_suppkey")
     i = (F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*ORDER)) - 1).cast("long")
     x = (F.round(F.col("l_discount") * 100).cast("int") - 5) * F.col("l_quantity").cast("int") / 300
     return li.select(F.col("l_suppkey").alias("track"), i.alias("i"), x.alias("x"), F.round(F.col("l_tax") * 100).cast("int").alias("t")).withColumns({"left": F.col("x"), "right": F.col("x") * (8 - F.col("t")) / 8})
@@ -75,11 +77,11 @@ def processed_signals(spark, sf_dir):
     """Width, gain, fades and clips, each summed up over a track."""
     s = samples(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("track")))
     wide, _ = signal.widened(F.col("left"), F.col("right"), 1.5)
-    summed = lambda c, n: half_even(total(c, 6), 4).alias(n)
-    return s.groupBy("track").agg(
-        summed(wide, "wide"), summed(signal.gained(F.col("x"), -6.0), "gained"), summed(signal.faded(F.col("x"), F.col("i"), F.col("n"), 10, 20), "faded"), summed(signal.hard_clip(F.col("x"), -6.0), "hard"),
-        summed(signal.soft_clip(F.col("x"), 6.0, 0.5), "tape"), summed(signal.soft_clip(F.col("x"), 6.0, 0.25, "Tube"), "tube"),
-    )
+    told = totals(s, ["track"], {
+        "wide": wide, "gained": signal.gained(F.col("x"), -6.0), "faded": signal.faded(F.col("x"), F.col("i"), F.col("n"), 10, 20), "hard": signal.hard_clip(F.col("x"), -6.0),
+        "tape": signal.soft_clip(F.col("x"), 6.0, 0.5), "tube": signal.soft_clip(F.col("x"), 6.0, 0.25, "Tube"),
+    }, 6)
+    return told.select("track", *(half_even(F.col(n), 4).alias(n) for n in told.columns[1:]))
 
 
 def banded_gain(spark, sf_dir):
