@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import half_even_units, unit_sum
 from .chunks import chunked
 from .selection import held
 
@@ -59,9 +60,9 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, flat[ends[at][:, None] + np.arange(n)]
 
 
-def equalised(samples: DataFrame, key: str, rate: float, gains: dict[str, float], edges: list[float] = EDGES, bands: list[str] = BANDS, size: int = SIZE) -> DataFrame:
-    """key, i, x and each band of samples(key, i, x), i from 0 without gaps; x is the bands' sum with gains in dB (0 if not told)."""
-    a, many = poles(rate, edges), 2 * len(edges)
+def _entered(samples: DataFrame, key: str, a: np.ndarray, size: int) -> DataFrame:
+    """key, chunk, xs and state: the blocks of samples, each with the state in which the low-passes a start it."""
+    many = 2 * len(a)
     blocks = chunked(samples, key, "i", ["x"], size)
     blocks = held(blocks.select(key, "chunk", F.transform("rows", lambda r: F.coalesce(r["x"].cast("double"), F.lit(0.0))).alias("xs")))
     kind = f"`{key}` {samples.schema[key].dataType.simpleString()}, chunk long"
@@ -84,17 +85,42 @@ def equalised(samples: DataFrame, key: str, rate: float, gains: dict[str, float]
     zero = F.struct(F.array_repeat(F.lit(0.0), many).alias("state"), F.array().cast("array<struct<chunk:bigint,state:array<double>>>").alias("out"))
     entered = brings.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list(F.struct("chunk", "brings"))), zero, step).alias("s"))  # a few numbers a block
     entered = entered.select(F.col(key).alias("_k"), F.explode("s.out").alias("o")).select("_k", F.col("o.chunk").alias("_c"), F.col("o.state").alias("state"))
-    factor = np.array([10 ** (gains.get(n, 0.0) / 20) for n in bands])
+    return blocks.join(entered, F.col(key).eqNullSafe(F.col("_k")) & (F.col("chunk") == F.col("_c"))).select(key, "chunk", "xs", "state")
+
+
+def _bands(batches: Iterator[pa.RecordBatch], a: np.ndarray, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of ``most`` blocks, the places there of blocks of one length, their samples and their bands (blocks, samples, bands)."""
+    for whole in batches:
+        for b in (whole.slice(i, most) for i in range(0, whole.num_rows, most)):
+            states = np.array(b["state"].flatten().to_numpy()).reshape(b.num_rows, len(a), 2)
+            for at, x in _by_length(b["xs"]):
+                low, _ = run(x, a, states[at])
+                yield b, at, x, np.diff(np.concatenate((np.zeros((*x.shape, 1)), low, x[..., None]), -1), axis=-1)
+
+
+def equalised(samples: DataFrame, key: str, rate: float, gains: dict[str, float], edges: list[float] = EDGES, bands: list[str] = BANDS, size: int = SIZE) -> DataFrame:
+    """key, i, x and each band of samples(key, i, x), i from 0 without gaps; x is the bands' sum with gains in dB (0 if not told)."""
+    a, factor = poles(rate, edges), np.array([10 ** (gains.get(n, 0.0) / 20) for n in bands])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 32) for i in range(0, whole.num_rows, 32)):
-                states = np.array(b["state"].flatten().to_numpy()).reshape(b.num_rows, len(a), 2)
-                for at, x in _by_length(b["xs"]):
-                    low, _ = run(x, a, states[at])
-                    parts = np.diff(np.concatenate((np.zeros((*x.shape, 1)), low, x[..., None]), -1), axis=-1)
-                    rows, place = pa.array(np.repeat(at, x.shape[1])), (b["chunk"].take(pa.array(at)).to_numpy()[:, None] * size + np.arange(x.shape[1])).reshape(-1)
-                    yield pa.RecordBatch.from_arrays([b[key].take(rows), pa.array(place), pa.array((parts @ factor).reshape(-1)), *(pa.array(parts[..., i].reshape(-1)) for i in range(len(bands)))], names=[key, "i", "x", *bands])
-
-    joined = blocks.join(entered, F.col(key).eqNullSafe(F.col("_k")) & (F.col("chunk") == F.col("_c"))).select(key, "chunk", "xs", "state")
-    return joined.mapInArrow(split, f"`{key}` {samples.schema[key].dataType.simpleString()}, i long, x double, " + ", ".join(f"{n} double" for n in bands))
+        for b, at, x, parts in _bands(batches, a, 32):
+            rows, place = pa.array(np.repeat(at, x.shape[1])), (b["chunk"].take(pa.array(at)).to_numpy()[:, None] * size + np.arange(x.shape[1])).reshape(-1)
+            yield pa.RecordBatch.from_arrays([b[key].take(rows), pa.array(place), pa.array((parts @ factor).reshape(-1)), *(pa.array(parts[..., i].reshape(-1)) for i in range(len(bands)))], names=[key, "i", "x", *bands])
+
+    return _entered(samples, key, a, size).mapInArrow(split, f"`{key}` {samples.schema[key].dataType.simpleString()}, i long, x double, " + ", ".join(f"{n} double" for n in bands))
+
+
+def magnitudes(samples: DataFrame, key: str, rate: float, gains: dict[str, float], digits: int, edges: list[float] = EDGES, bands: list[str] = BANDS, size: int = SIZE) -> DataFrame:
+    """key, n and, of what ``equalised`` gives, the sum of the magnitudes of x and of each band, each rounded to so many digits.
+
+    A block's samples are rounded and added where they are made, as integers, so a row for each block is shuffled.
+    """
+    a, factor = poles(rate, edges), np.array([10 ** (gains.get(n, 0.0) / 20) for n in bands])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at, x, parts in _bands(batches, a, max(1, (1 << 17) // size)):
+            sums = [half_even_units(np.abs(v), digits).sum(1) for v in (parts @ factor, *np.moveaxis(parts, -1, 0))]
+            yield pa.RecordBatch.from_arrays([b[key].take(pa.array(at)), pa.array(np.full(len(at), x.shape[1])), *map(pa.array, sums)], names=[key, "n", "x", *bands])
+
+    told = _entered(samples, key, a, size).mapInArrow(measure, f"`{key}` {samples.schema[key].dataType.simpleString()}, n long, x long, " + ", ".join(f"{n} long" for n in bands))
+    return told.groupBy(key).agg(F.sum("n").alias("n"), *(unit_sum(F.col(c), digits).alias(c) for c in ("x", *bands)))

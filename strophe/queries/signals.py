@@ -94,8 +94,8 @@ SPLITS = [0.3, 1.0, 2.0, 4.0, 7.0]
 
 def band_splits(spark, sf_dir):
     """Tracks of 20 samples a second split into six bands, the highest lowered by 6 dB: what each band and the sum amount to."""
-    out = crossover.equalised(mono(spark, sf_dir), "track", float(RATE), {"air": -6.0}, SPLITS, size=256)
-    return out.groupBy("track").agg(F.count("*").alias("n"), *(half_even(total(F.abs(c), 6), 3).alias(f"{c}_size") for c in ("x", *crossover.BANDS)))
+    out = crossover.magnitudes(mono(spark, sf_dir), "track", float(RATE), {"air": -6.0}, 6, SPLITS, size=256)
+    return out.select("track", "n", *(half_even(F.col(c), 3).alias(f"{c}_size") for c in ("x", *crossover.BANDS)))
 
 
 def cuts_in_chunks(spark, sf_dir):

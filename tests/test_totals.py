@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strophe.functions import numeric
-from strophe.operators import chunks
+from strophe.operators import chunks, crossover
 from strophe.queries import signals
 
 
@@ -33,3 +33,13 @@ def test_samples_lie_in_bounded_tasks(spark, small, monkeypatch):
     of_track = max(r["count"] for r in rows.groupBy("track").count().collect())
     assert len(sizes) > 4 and max(sizes) < 500 + 3 * of_track
     assert rows.groupBy("track").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_magnitudes_are_the_sums_of_what_equalised_gives(spark):
+    rng = np.random.default_rng(2)
+    signals_of = {"a": rng.normal(0, 1, 700), "b": rng.normal(0, 1, 64), "c": np.array([1.0]), None: rng.normal(0, 1, 50)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in signals_of.items() for i, v in enumerate(x)], "k string, i long, x double")
+    args = ("k", 8000.0, {"air": -6.0})
+    out = crossover.equalised(df, *args, size=64)
+    want = out.groupBy("k").agg(F.count("*").alias("n"), *(numeric.total(F.abs(c), 6).alias(c) for c in ("x", *crossover.BANDS)))
+    assert sorted(map(str, crossover.magnitudes(df, *args, 6, size=64).collect())) == sorted(map(str, want.collect()))
