@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Bits of a value that a round decides; 64 in all.
 DIGIT = 16
+#: Different values of a group that one task may hold at most; larger groups go digit by digit.
+SMALL = 1 << DIGIT
+#: Rows of a task, about, that sums up the counts of small groups.
+TASK = 1 << 18
 
 
 def _ordered(values: np.ndarray) -> np.ndarray:
@@ -58,12 +62,41 @@ def held(df: DataFrame) -> DataFrame:
 def median(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """keys and the exact median of each group's values (the mean of the middle two of an even number), as ``F.median`` has it.
 
-    Values are counted by their whole bit patterns in one aggregation; then, digit by digit, the counts are summed up to
-    the digit that holds the middle rank and only what starts with the digits found so far goes on. What is shuffled for a
-    round has a row for each digit of a group, 65,536 at most, so a group with most of the rows is no task's burden. A
+    Values are counted in one aggregation, which needs no shuffle where rows already lie by some of the keys. Groups of at
+    most ``SMALL`` different values take the middle ranks of their running counts; others go through ``_by_digits``. A
     group whose values are all null has no row.
     """
-    seen = held(patterns(rows, keys, value).groupBy(*keys, "d0", "d1", "d2", "d3").agg(F.count("*").alias("n")))
+    told = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    seen = held(told.groupBy(*keys, "_v").agg(F.count("*").alias("n")))
+    sizes = seen.groupBy(*keys).agg(F.count("*").alias("_kinds"))
+    total, many = sizes.agg(F.coalesce(F.sum("_kinds"), F.lit(0)), F.count_if(F.col("_kinds") > SMALL)).first()
+    dealt = lambda small: small.repartition(-(-total // TASK), *keys) if keys and total > TASK * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else small
+    if not many:
+        return _middles(dealt(seen), keys, out)
+    large = held(sizes.where(F.col("_kinds") > SMALL).select(*(F.col(k).alias(f"_{k}") for k in keys), F.lit(True).alias("_large")))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
+    large = F.broadcast(large) if many <= SMALL else large
+    return _middles(dealt(seen.join(large, same, "left_anti")), keys, out).unionAll(_by_digits(seen.join(large, same, "left_semi"), keys, out))
+
+
+def _middles(seen: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Medians of groups of seen(keys, _v, n) by the running counts of their values in order."""
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    running = seen.withColumn("_to", F.sum("n").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(by))
+    holds = lambda rank: (rank >= F.col("_to") - F.col("n")) & (rank < F.col("_to"))
+    middle = running.where(holds(F.floor((F.col("_all") - 1) / 2)) | holds(F.floor(F.col("_all") / 2)))
+    low, high = F.min("_v"), F.max("_v")
+    return middle.groupBy(*keys).agg(F.when(low == high, low).otherwise(low * 0.5 + high * 0.5).alias(out), F.count("*").alias("_n")).where("_n > 0").drop("_n")
+
+
+def _by_digits(seen: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The same for groups of any size: digit by digit, the counts are summed up to the digit that holds the middle rank and
+    only what starts with the digits found so far goes on.
+
+    What is shuffled for a round has a row for each digit of a group, 65,536 at most, so a group with most of the rows is
+    no task's burden.
+    """
+    seen = held(patterns(seen, [*keys, "n"], "_v"))
     targets: DataFrame | None = None
     digits: list[str] = []
     for i in range(4):

@@ -36,7 +36,8 @@ def overlapped_frames(spark, sf_dir):
 
 def median_spectrum(spark, sf_dir):
     """Frames of 16 samples as spectra of levels: medians over the frames, then over bands of places."""
-    f = signal.full_frames(mono(spark, sf_dir), "track", 16, 8).withColumn("db", half_even(20 * F.log10(F.abs("x") + 1e-3), 4))
+    levels = mono(spark, sf_dir).select("track", "i", half_even(20 * F.log10(F.abs("x") + 1e-3), 4).alias("db"))
+    f = signal.full_frames(levels, "track", 16, 8)
     return signal.medians(f, "track", "at", "db", {"low": (0.0, 40.0), "high": (40.0, 200.0)}, 10.0)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strophe.functions import numeric
-from strophe.operators import chunks, crossover
+from strophe.operators import chunks, crossover, selection
 from strophe.queries import signals
 
 
@@ -43,3 +43,20 @@ def test_magnitudes_are_the_sums_of_what_equalised_gives(spark):
     out = crossover.equalised(df, *args, size=64)
     want = out.groupBy("k").agg(F.count("*").alias("n"), *(numeric.total(F.abs(c), 6).alias(c) for c in ("x", *crossover.BANDS)))
     assert sorted(map(str, crossover.magnitudes(df, *args, 6, size=64).collect())) == sorted(map(str, want.collect()))
+
+
+def test_medians_of_small_and_large_groups_are_those_of_spark(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, j, float(v)) for k in (1, 2, None) for j, n in enumerate((1, 2, 3, 40, 41)) for v in rng.integers(-9, 9, n) / 7] + [(1, 0, None), (5, 1, None), (6, 0, float("nan")), (6, 0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, j int, v double")
+    want = sorted(map(str, df.where("v IS NOT NULL").groupBy("k", "j").agg(F.median("v").alias("m")).collect()))
+    for small in (4, 1, selection.SMALL):
+        monkeypatch.setattr(selection, "SMALL", small)
+        assert sorted(map(str, selection.median(df, ["k", "j"], "v", "m").collect())) == want
+
+
+def test_tasks_of_medians_hold_so_many_counts(spark, monkeypatch):
+    monkeypatch.setattr(selection, "TASK", 100)
+    df = spark.range(4000).select((F.col("id") % 400).alias("k"), (F.col("id") * 37 % 1009 / 7).alias("v"))
+    plan = selection.median(df, ["k"], "v", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 40)" in plan
