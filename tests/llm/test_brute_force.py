@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strophe.llm import common, langid, media, near_dedup, sharding
+from strophe.llm import common, langid, media, near_dedup, sharding, suffix_dedup
 from strophe.llm.queries import ORACLES, QUERIES
 
 from .test_operators import EDGE, check_pack, table
@@ -219,3 +219,19 @@ def test_large_tables_are_not_broadcast(spark, monkeypatch):
     assert shown(df, "b")
     monkeypatch.setattr(common, "BROADCAST_BYTES", 100 * common.ROW_BYTES + 500)
     assert shown(df.select("a")) and not shown(df, "b")
+
+
+def test_crowded_keys_shrink_by_longer_grams(spark):
+    """op9: of 60 strings around one 250-byte passage only the two that share 420 bytes are left after a round, not a row for each window."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    passage, tail = noise(250), noise(170)
+    texts = [noise(300) + passage + (tail if i < 2 else noise(170)) + noise(200) for i in range(60)]
+    assert suffix_dedup.longer_grams(400, 200) == [300, 350, 375, 400]
+    strings = spark.createDataFrame([((1, i), 0, bytearray(t)) for i, t in enumerate(texts)], "_row struct<file:bigint,at:bigint>, first long, string binary")
+    for gram in (300, 400):
+        pieces = suffix_dedup.rekeyed(strings, 400, gram)
+        assert pieces.agg(F.sum("windows")).first()[0] == sum(len(t) - 399 for t in texts)
+        whole, rest = suffix_dedup.sorted_out(pieces, 400, ("string",))
+        covered = {(r._row.at, r.a, r.b) for r in whole.collect()} | {(r._row.at, r.first, r.first + len(r.string)) for r in rest.collect()}
+        assert {at for at, _, _ in covered} == {0, 1} and len(covered) <= 42
