@@ -235,3 +235,33 @@ def test_crowded_keys_shrink_by_longer_grams(spark):
         whole, rest = suffix_dedup.sorted_out(pieces, 400, ("string",))
         covered = {(r._row.at, r.a, r.b) for r in whole.collect()} | {(r._row.at, r.first, r.first + len(r.string)) for r in rest.collect()}
         assert {at for at, _, _ in covered} == {0, 1} and len(covered) <= 42
+
+
+def test_matches_have_places_with_neighbours():
+    """op2: of any places that are as many as a match's votes, so many have another one or two further on."""
+    rng = np.random.default_rng(9)
+    for n in range(1, 40):
+        need, near = media.enough(n)
+        votes = -(-n // 2)
+        assert near or need == votes
+        for trial in range(200):
+            s = {(2 * i + trial) % n for i in range(votes)} if trial < 2 else set(rng.choice(n, votes, replace=False).tolist())
+            assert len(s) < votes or not near or sum(any(i + d in s for d in (-2, -1, 1, 2)) for i in s) >= need
+
+
+def test_links_are_the_matches_of_a_search(spark):
+    """op2: one row a document, with as many links as the pairs between classes say."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 256, 3000, dtype=np.uint8)
+    rows = [(k, bytes(np.concatenate((base[: 2000 + 64 * k], rng.integers(0, 256, 200, dtype=np.uint8))))) for k in range(12)]
+    rows += [(20, rows[3][1]), (21, bytes(rng.integers(0, 256, 3000, dtype=np.uint8))), (22, None), (23, b""), (24, b"short"), (25, b"short")]
+    df = spark.createDataFrame(rows, "k long, pcm binary")
+    asks = F.col("k") % 5 == 0
+    pairs = {(r.query_id, r.match_id): r.match_copies for r in media.search(df, "k", asks).collect() if r.query_id != r.match_id}
+    got = {r.k: r for r in media.linked(df, "k", asks).collect()}
+    assert sorted(got) == sorted(k for k, _ in rows) and len(pairs) > 10
+    both = {p for a, b in pairs for p in ((a, b), (b, a))}
+    for k, r in got.items():
+        assert r.class_id == {20: 3, 22: None, 23: None, 25: 24}.get(k, k) and r.copies == (2 if k in (3, 20, 24, 25) else 1)
+        assert r.links == sum(a == r.class_id for a, _ in both) and (r.links == 0) == (r.closest_id is None)
+        assert r.closest_id is None or (r.class_id, r.closest_id) in both
