@@ -265,3 +265,28 @@ def test_links_are_the_matches_of_a_search(spark):
         assert r.class_id == {20: 3, 22: None, 23: None, 25: 24}.get(k, k) and r.copies == (2 if k in (3, 20, 24, 25) else 1)
         assert r.links == sum(a == r.class_id for a, _ in both) and (r.links == 0) == (r.closest_id is None)
         assert r.closest_id is None or (r.class_id, r.closest_id) in both
+
+
+def test_recordings_that_repeat_a_sound_are_met_once(spark, monkeypatch):
+    """op2: pairs of recordings that repeat one sound are met about once, not at each of its integers, and no match is left out."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    rows = [(k, noise(int(rng.integers(50, 200))) + b"Is onhe. " * int(rng.integers(200, 300))) for k in range(60)] + [(k, noise(2000)) for k in range(60, 70)]
+    _, classes, pairs = media.aligned(spark.createDataFrame(rows, "k long, pcm binary"), "k", F.col("k") % 5 == 0)
+    prints = {r.node: (r.asks, np.frombuffer(r.prints, np.uint32)) for r in classes.collect()}
+    want = set()
+    for a, (asks, x) in prints.items():
+        for b, (_, y) in prints.items():
+            _, votes, _, errors = media.align(x, y) if asks and a != b else (0, 0, 0, 1.0)
+            if votes >= media.VOTES * min(len(x), len(y)) and errors <= media.ERRORS:
+                want.add((a, b))
+    assert len(want) > 500 and {(r.a, r.b) for r in pairs.collect()} == want
+    rows_met = {}
+    for often in (10**9, 4):
+        monkeypatch.setattr(media, "OFTEN", often)
+        monkeypatch.setattr(media, "TIMES", 0)
+        met = media.meetings(media.postings(classes, media.commonness(classes)))
+        rows_met[often] = met.count()
+        got = [(r.a, r.b) for r in media.candidates(classes).collect()]
+        assert len(got) == len(set(got)) and want <= set(got)
+    assert rows_met[4] < 1.5 * len(want) and rows_met[10**9] > 5 * len(want)
