@@ -267,6 +267,15 @@ def test_links_are_the_matches_of_a_search(spark):
         assert r.closest_id is None or (r.class_id, r.closest_id) in both
 
 
+def test_all_integers_are_counted(spark):
+    """op2: what tells rare integers from common ones are all classes, also beyond two million integers."""
+    rng = np.random.default_rng(13)
+    prints = [rng.integers(0, 1 << 32, 500_000, dtype=np.uint32) for _ in range(5)] + [np.zeros(0, np.uint32)]
+    classes = spark.createDataFrame([(s1, len(p), p.tobytes()) for s1, p in enumerate(prints)], "s1 long, n long, prints binary")
+    want = np.bincount(media.rank_of(np.concatenate(prints)), minlength=media.RANKS)
+    assert want.sum() == 2_500_000 and np.array_equal(media.commonness(classes), want)
+
+
 def test_recordings_that_repeat_a_sound_are_met_once(spark, monkeypatch):
     """op2: pairs of recordings that repeat one sound are met about once, not at each of its integers, and no match is left out."""
     rng = np.random.default_rng(11)
